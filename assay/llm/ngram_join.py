@@ -19,9 +19,10 @@ number of bits in which two differ bounds the symmetric difference from below
 and so the overlap from above.  Pairs that pass sizes and bitmaps are verified
 on the sorted shingle arrays.
 
-Groups.  Members of a tile are first paired with its smallest class only, so a
-group of near copies costs one pair for each member; verified links make
-components.  Only where an unverified pair leaves two components in one tile are
+Groups.  Members of a tile are first paired with its most connected class only
+(the one whose tiles have most members: the text that the others are edits of
+shares more slices than any edit does), so a group of near copies costs one pair
+for each member; verified links make components.  Only where an unverified pair leaves two components in one tile are
 all pairs across components compared, in blocks of 512 x 512 members, bitmaps
 first: large groups become many tasks, and only survivors leave a block.
 
@@ -369,8 +370,10 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     groups = every.where("kind = 1").select("tile", "class").distinct()
     groups = materialise(groups)
 
-    # every member with its tile's smallest class
-    first = groups.groupBy("tile").agg(F.min("class").alias("b"))
+    # every member with its tile's most connected class
+    sizes = groups.groupBy("tile").agg(F.count("*").alias("size"))
+    reach = groups.join(sizes, "tile").groupBy("class").agg(F.sum("size").alias("reach"))
+    first = groups.join(reach, "class").groupBy("tile").agg(F.max_by("class", F.struct("reach", "class")).alias("b"))
     stars = groups.join(first, "tile").where("class <> b").select(F.col("class").alias("a"), "b").distinct()
     sized = info.select("class", "n", "bits")
     stars = stars.join(sized.toDF("a", "na", "bits_a"), "a").join(sized.toDF("b", "nb", "bits_b"), "b")
