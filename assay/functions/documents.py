@@ -13,6 +13,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from assay.functions.text import PLACEHOLDER
 
@@ -29,7 +30,7 @@ PATHS = {
 }
 WEIGHTS = {"summary": 1.0, "description": 1.5, "tags": 1.0, "credits": 0.75, "use_limits": 1.0, "contact": 1.0, "extent": 0.75, "lineage": 1.0}
 ELEMENTS = tuple(PATHS)
-EVALUATION = "struct<" + ",".join(f"{k}:string" for k in ELEMENTS) + ",standard:string>"
+EVALUATION = StructType([StructField(k, StringType()) for k in (*ELEMENTS, "standard")])
 
 _HOLLOW = re.compile(PLACEHOLDER)
 

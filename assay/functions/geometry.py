@@ -13,8 +13,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 SHAPE = "array<array<struct<x:double,y:double,z:double>>>"
+_SHAPE = ArrayType(ArrayType(StructType([StructField(c, DoubleType()) for c in "xyz"])))
 
 
 def _parts(data: bytes) -> list | None:
@@ -61,7 +63,7 @@ def _parts(data: bytes) -> list | None:
         return None
 
 
-@F.pandas_udf(SHAPE)
+@F.pandas_udf(_SHAPE)
 def from_wkb(c: pd.Series) -> pd.Series:
     return c.map(lambda b: None if b is None else (lambda p: p if p is None else [[{"x": x, "y": y, "z": z} for x, y, z in part] for part in p])(_parts(bytes(b))))
 
@@ -86,8 +88,9 @@ def length(shape: Column) -> Column:
 
 
 def area(shape: Column) -> Column:
-    """Of the outer ring less the other rings."""
-    each = F.transform(shape, lambda p: F.abs(_steps(p, lambda a, b: a.x * b.y - b.x * a.y)) / 2)
+    """Of the outer ring less the other rings; a part that is not closed counts as if it were, so a line has none."""
+    closed = lambda p: F.when(F.size(p) > 0, F.concat(p, F.array(F.element_at(p, 1)))).otherwise(p)
+    each = F.transform(shape, lambda p: F.abs(_steps(closed(p), lambda a, b: a.x * b.y - b.x * a.y)) / 2)
     return F.coalesce(F.element_at(each, 1) - F.aggregate(F.slice(each, 2, 1_000_000), F.lit(0.0), lambda s, x: s + x), F.lit(0.0))
 
 
@@ -157,7 +160,7 @@ def _reason(kind: str, parts) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def invalid_reason(kind: pd.Series, shape: pd.Series) -> pd.Series:
     """Why a line or polygon is not valid; null if it is, for points, and for null or empty shapes."""
     return pd.Series([_reason((k or "").lower(), s) for k, s in zip(kind, shape, strict=True)], dtype=object)

@@ -7,7 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, DoubleType, FloatType
+from pyspark.sql.types import DataType, DoubleType, FloatType, StringType
 
 #: A number as text, for columns where a dirty value must not be taken for one ("1d", "1_0").
 NUMBER = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
@@ -78,7 +78,7 @@ def html_clean(c: Column) -> Column:
     return ws_trim(F.regexp_replace(F.regexp_replace(c, "<[^>]+>", " "), r"(?U)\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_unescape(c: pd.Series) -> pd.Series:
     """All named and numeric entities decoded (Spark has no built-in for the whole table)."""
     return c.map(html.unescape, na_action="ignore")
@@ -86,7 +86,7 @@ def html_unescape(c: pd.Series) -> pd.Series:
 
 def rule_key(c: Column) -> Column:
     """A message without its numbers, so that it keeps its key when only counts change."""
-    text = F.regexp_replace(F.coalesce(c, F.lit("")), "\\d[\\d,. ]*", "#")
+    text = F.regexp_replace(F.coalesce(c, F.lit("")), r"\d[\d,.\x{a0}]*", "#")
     return F.substring(F.lower(ws_trim(F.regexp_replace(text, r"(?U)\s+", " "))), 1, 300)
 
 

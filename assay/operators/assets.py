@@ -11,6 +11,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from assay.functions.text import name_fold
 from assay.operators.domains import small
@@ -45,7 +46,7 @@ def _score(g: str, t: str, bg: str, bt: str) -> float:
     return (by_type + by_group) / 2 if t else by_group
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _similarity(g: pd.Series, t: pd.Series, bg: pd.Series, bt: pd.Series) -> pd.Series:
     return pd.Series([_score(*x) for x in zip(g, t, bg, bt, strict=True)], dtype="float64")
 
