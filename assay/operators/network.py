@@ -9,6 +9,7 @@ Spark may split a crowded cell.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,10 +32,27 @@ def covered(segments: DataFrame, tolerance: float, cell: float) -> DataFrame:
     return columns.withColumn("cy", F.explode(F.sequence(_cell(below, cell), _cell(above, cell))))
 
 
+#: Occupied cells up to which they are broadcast, to drop the others before anything is shuffled (16 bytes each).
+MOST_CELLS = 1_000_000
+
+
+def spacing(points: DataFrame) -> float:
+    """About the distance between neighbouring points: the side of a square with one point in it, outliers left out."""
+    r = points.agg(F.count("*").alias("n"), F.percentile_approx("x", [0.05, 0.95]).alias("x"), F.percentile_approx("y", [0.05, 0.95]).alias("y")).head()
+    if not r.n or r.x is None or r.y is None:
+        return 1.0
+    return max((max(r.x[1] - r.x[0], 0.0) * max(r.y[1] - r.y[0], 0.0) / (0.81 * r.n)) ** 0.5, 1e-9)
+
+
 def touching(points: DataFrame, segments: DataFrame, tolerance: float, cell: float, how: str = "left_semi") -> DataFrame:
     """The points (owner, x, y, ...) within tolerance (inclusive) of a segment of another owner; how="left_anti": the others."""
-    p = points.withColumns({"cx": _cell(F.col("x"), cell), "cy": _cell(F.col("y"), cell)}).alias("p")
-    s = covered(segments, tolerance, cell).select(F.col("owner").alias("s_owner"), "x1", "y1", "x2", "y2", F.col("cx").alias("sx"), F.col("cy").alias("sy")).alias("s")
+    cell = max(cell, 4 * tolerance)
+    p = points.withColumns({"cx": _cell(F.col("x"), cell), "cy": _cell(F.col("y"), cell)})
+    occupied = p.select("cx", "cy").distinct()
+    if occupied.limit(MOST_CELLS + 1).count() <= MOST_CELLS:
+        occupied = F.broadcast(occupied)
+    s = covered(segments, tolerance, cell).join(occupied, ["cx", "cy"], "left_semi").select(F.col("owner").alias("s_owner"), "x1", "y1", "x2", "y2", F.col("cx").alias("sx"), F.col("cy").alias("sy")).alias("s")
+    p = p.alias("p")
     near = distance2(F.col("p.x"), F.col("p.y"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")) <= tolerance * tolerance
     own = ~F.col("p.owner").eqNullSafe(F.col("s_owner"))
     return p.join(s, (F.col("p.cx") == F.col("sx")) & (F.col("p.cy") == F.col("sy")) & own & near, how).drop("cx", "cy")
@@ -45,17 +63,20 @@ def as_points(points: DataFrame) -> DataFrame:
     return points.select("owner", F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("x").alias("x2"), F.col("y").alias("y2"))
 
 
-def endpoint_states(lines: DataFrame, points: DataFrame | None = None, snap: float = 0.001, near: float = 0.5, cell: float = 1.0) -> DataFrame:
+def endpoint_states(lines: DataFrame, points: DataFrame | None = None, snap: float = 0.001, near: float = 0.5, cell: float | None = None) -> DataFrame:
     """(layer, owner, x, y, n, state) of the distinct end points of lines (layer, owner, x1, y1, x2, y2, ends).
 
     ``ends`` is an array of structs (x, y): the end points that the row contributes.
     state: connected (within snap of another feature), near miss (within near) or dangle; n: how often it occurs.
+    The grid's cells are as wide as the points lie apart, unless given.
     """
     ends = lines.select("layer", "owner", F.explode("ends").alias("e")).groupBy("layer", "owner", F.col("e.x").alias("x"), F.col("e.y").alias("y")).agg(F.count("*").alias("n"))
     targets = lines.select("owner", "x1", "y1", "x2", "y2").distinct()
     if points is not None:
         targets = targets.unionByName(as_points(points))
-    free = touching(ends, targets, snap, cell, "left_anti")
+    cell = cell or spacing(ends)
+    # used twice below; a lost block is computed again
+    free = touching(ends, targets, snap, cell, "left_anti").persist(StorageLevel.MEMORY_AND_DISK)
     near_miss = touching(free, targets, near, cell).select("layer", "owner", "x", "y", F.lit("near miss").alias("state"))
     free = free.select("layer", "owner", "x", "y", F.lit(True).alias("free"))
     key = ["layer", "owner", "x", "y"]
@@ -70,9 +91,9 @@ def connectivity(states: DataFrame) -> DataFrame:
     return rows.withColumn("score", 100.0 * (1.0 - F.least(F.lit(1.0), (5.0 * F.col("near_miss") + 0.5 * F.col("dangles")) / F.col("endpoints"))))
 
 
-def orphan_points(points: DataFrame, segments: DataFrame, snap: float = 0.001, cell: float = 1.0) -> DataFrame:
+def orphan_points(points: DataFrame, segments: DataFrame, snap: float = 0.001, cell: float | None = None) -> DataFrame:
     """Points (owner, x, y, ...) that touch no segment."""
-    return touching(points, segments.withColumn("owner", F.lit(None).cast(points.schema["owner"].dataType)), snap, cell, "left_anti")
+    return touching(points, segments.withColumn("owner", F.lit(None).cast(points.schema["owner"].dataType)), snap, cell or spacing(points), "left_anti")
 
 
 def stacked_points(points: DataFrame, digits: int = 4) -> DataFrame:
