@@ -54,7 +54,7 @@ SHINGLE, NUM, DEN = 4, 85, 100
 #: Members on each side of a block in which all pairs are compared.
 BLOCK = 512
 #: Tile entries that a map task gathers before it packs them.
-FLUSH = 4_000_000
+FLUSH = 500_000
 
 
 def links(a: np.ndarray, b: np.ndarray, shared: np.ndarray) -> np.ndarray:
