@@ -5,14 +5,20 @@ context is the end token.  The ``heads`` most frequent words are classes of
 their own; the other of the ``top`` most frequent words fall into classes by the
 power of two of their rank; all remaining words, unseen ones too, are one class.
 
-    P(w | v) = [ l2 f(cw | cv) + l1 f(cw) + l0 / C ] * P(w | cw)
-
-f are maximum-likelihood n-gram estimates over classes (a head word's class is
-the word itself), P(w | cw) is (c + 1/2) / (sum of c + 1/2 over the class, one
-unseen word in the last).  The weights l depend on the bucket (power of two) of
-the context's frequency and are learned by expectation-maximisation: counts
-from nine tenths of the training texts, likelihood on the held-out tenth.  Final
-counts are those of all training texts.
+    Pc(w | v) = T(cw | cv) * P(w | cw),  T = l2 f(cw | cv) + l1 f(cw) + l0 / C
+    P(w | v) = a f(w | v) + (1 - a) Pc(w | v)                     v not a head
+    P(w | v) = T(cw | v) * [ a f(w | v, cw) + (1 - a) P(w | cw) ]     v a head
+
+f are maximum-likelihood n-gram estimates, over classes in T (a head word's
+class is the word itself, so between heads T is a word bigram) and over words in
+the lines below it, whatever the words' ranks; P(w | cw) is (c + 1/2) / (sum of
+c + 1/2 over the class, one unseen word in the last).  The weights l depend on
+the bucket (power of two) of the context's frequency and are learned by
+expectation-maximisation: counts from nine tenths of the training texts,
+likelihood on the held-out tenth.  The weights a depend on the bucket of the
+estimate's denominator, apart for head contexts, and are learned by leaving each
+training occurrence out of its own counts; a is 0 where the denominator is 0.
+Final counts are those of all training texts.
 
 Three passes over the texts.  (1) Word counts: summed in each task, packed,
 shuffled by word, all kept in a scratch table.  (2) Class pairs: a dense table
@@ -21,6 +27,12 @@ slices.  (3) Scores: words among the ``top`` are looked up in a broadcast of
 fixed size; the others travel packed to their word's bucket, where their
 training counts are known exactly because all their occurrences meet (a word
 this rare is in no bucket often), and partial sums travel back to the text.
+Pairs of neighbours, unless both are heads (those have their cell in T), travel
+the same way: to the pair's bucket if both words are among the ``top``, else to
+that of the rare word; of two rare words to the first's and, with its count, on
+to the second's.  No pair is more frequent than its rarer word, so none fills a
+bucket.  There the pair's count is known exactly; the ratio of f to the lower
+estimate goes to a scratch table until the weights are known.
 
 base_score is exact: sum over tokens of log10((c + 1/2) / (N + (V + 1) / 2)).
 Null and empty texts have the end token only.  Rows with a null id are training
@@ -117,6 +129,7 @@ class Lexicon:
         cls[rank] = np.arange(len(words))
         deep = cls >= heads
         cls[deep] = heads + np.log2(cls[deep] / heads + 1e-12).astype(np.int64)
+        self.heads = heads
         self.rare = heads + 19
         self.classes = heads + 20
         by = np.argsort(words)
@@ -124,6 +137,7 @@ class Lexicon:
         self.n, self.v = n, v
         self.start = np.searchsorted(self.hash >> U64(46), np.arange((1 << 18) + 1, dtype=U64))
         self.end = int(np.searchsorted(self.hash, END)) if len(words) else 0
+        self.has_end = self.end < len(words) and self.hash[self.end] == END
         self.z = n + 0.5 * (v + 1)
         mass = np.bincount(self.cls, self.count + 0.5, minlength=self.classes)
         mass[self.rare] = (n - self.count.sum()) + 0.5 * (v - len(words) + 1)
@@ -151,7 +165,7 @@ class Lexicon:
         at = self.find(w.hash)
         cls = np.full(len(at) + 1, self.rare, np.int64)
         cls[:-1][at >= 0] = self.cls[at[at >= 0]]
-        end = self.cls[self.end] if len(self.hash) and self.end < len(self.hash) and self.hash[self.end] == END else self.rare
+        end = self.cls[self.end] if self.has_end else self.rare
         token = np.insert(cls[:-1], w.first[1:], end)  # an end token after each text
         context = np.concatenate([[end], token[:-1]])
         return w, at, context, token
@@ -245,14 +259,71 @@ def transitions(kept: np.ndarray, held: np.ndarray) -> np.ndarray:
 
 # ---- pass 3: scores -------------------------------------------------------------------------------
 
-_PARTS = "bucket int, rid long, id {id}, held_out boolean, n_tokens long, n_known long, base double, score double, words binary, refs binary, texts binary"
+#: kind: null of a text; 0 of rare words; then of pairs of known words, a rare and a known, a known and a rare, two rare words.
+_PARTS = "bucket int, rid long, id {id}, held_out boolean, n_tokens long, n_known long, base double, score double, words binary, refs binary, texts binary, kind int"
+_BOTH, _FIRST, _SECOND, _NONE = 1, 2, 3, 4
+_LOW = U64(0xFFFFFFFF)
+_PAIRS = 1_000_000
+
+
+def _codes(key: np.ndarray) -> bytes:
+    """Places of two known words, below 2^20 each, in five bytes: four of all entries, then the fifth of all."""
+    code = (key >> U64(32)) << U64(20) | key & _LOW
+    return code.astype(np.uint32).tobytes() + (code >> U64(32)).astype(np.uint8).tobytes()
+
+
+def _of_codes(data) -> np.ndarray:
+    n = data.size // 5
+    code = np.frombuffer(data, np.uint32, n).astype(U64) | np.frombuffer(data, np.uint8, n, 4 * n).astype(U64) << U64(32)
+    return (code >> U64(20)) << U64(32) | code & U64((1 << 20) - 1)
+
+
+def _runs(rid: np.ndarray, held: np.ndarray) -> bytes:
+    """Neighbouring entries of one text as (text, twice their number, and 1 if held out)."""
+    at = np.flatnonzero(np.r_[True, rid[1:] != rid[:-1]])
+    return np.stack([rid[at], 2 * np.diff(np.r_[at, len(rid)]) + held[at]]).tobytes()
+
+
+def _of_runs(data) -> tuple[np.ndarray, np.ndarray]:
+    """The text of each entry, and whether it is a training text."""
+    rid, n = np.frombuffer(data, np.int64).reshape(2, -1)
+    return np.repeat(rid, n >> 1), np.repeat((n & 1) == 0, n >> 1)
 
 
 def _score(lexicon, table, n_buckets: int, id_type):
-    names = ["bucket", "rid", "id", "held_out", "n_tokens", "n_known", "base", "score", "words", "refs", "texts"]
+    names = ["bucket", "rid", "id", "held_out", "n_tokens", "n_known", "base", "score", "words", "refs", "texts", "kind"]
+
+    def pairs(lex, w, at, context, token, rid, held):
+        """(kind, key, the other word or null, text, held out) of a chunk's pairs."""
+        n = np.diff(w.first)
+        place = np.insert(at, w.first[1:], lex.end if lex.has_end else -1)
+        h = np.insert(w.hash, w.first[1:], END)
+        before, h_before = np.roll(place, 1), np.roll(h, 1)  # the last token is an end token, and so is the first context
+        who = np.repeat(np.arange(len(n)), n + 1)
+        first, second = before >= 0, place >= 0
+        go = ~((context < lex.heads) & (token < lex.heads))
+        for kind, p in ((_BOTH, first & second & go), (_FIRST, ~first & second), (_SECOND, first & ~second), (_NONE, ~first & ~second)):
+            p = np.flatnonzero(p)
+            if len(p):
+                key = (before[p].astype(U64) << U64(32)) | place[p].astype(U64) if kind == _BOTH else h[p] if kind == _SECOND else h_before[p]
+                other = None if kind == _BOTH else place[p].astype(U64) if kind == _FIRST else before[p].astype(U64) if kind == _SECOND else h[p]
+                yield kind, key, other, rid[who[p]], held[who[p]].astype(np.int64)
+
+    def pair_rows(found):
+        for kind in sorted({x[0] for x in found}):
+            key, other, rid, held = (np.concatenate(x) if x[0] is not None else None for x in list(zip(*[x for x in found if x[0] == kind], strict=True))[1:])
+            rows = [(k, _codes(key[p]) if kind == _BOTH else key[p].tobytes(), None if other is None else other[p].tobytes(), _runs(rid[p], held[p])) for k, p in _bucketed(tokens.mix(key) if kind == _BOTH else key, n_buckets)]
+            for i in range(0, len(rows), 64):
+                k, words, others, texts = zip(*rows[i : i + 64], strict=True)
+                m = len(k)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(k, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, id_type), pa.nulls(m, pa.bool_()), *[pa.nulls(m, pa.int64())] * 2,
+                    *[pa.nulls(m, pa.float64())] * 2, pa.array(words, pa.binary()), pa.array(others, pa.binary()), pa.array(texts, pa.binary()), pa.array([kind] * m, pa.int32()),
+                ], names=names)
 
     def run(batches):
         lex, logp = lexicon.value, table.value
+        found, waiting = [], 0
         for b in batches:
             rid_all, held_all = b.column(0).to_numpy(), b.column(2).to_numpy(zero_copy_only=False).astype(bool)
             for c in tokens.chunks(b.column(3)):
@@ -261,7 +332,7 @@ def _score(lexicon, table, n_buckets: int, id_type):
                 n = np.diff(w.first)
                 text = w.text_of()
                 known = at >= 0
-                has_end = len(lex.hash) > 0 and lex.end < len(lex.hash) and lex.hash[lex.end] == END
+                has_end = lex.has_end
                 end_base, end_in = (lex.base[lex.end], lex.inside[lex.end]) if has_end else (math.log10(0.5 / lex.z), math.log10(0.5 / lex.z) + lex.rare_shift)
                 base = np.bincount(text[known], lex.base[at[known]], minlength=c.n) + end_base
                 score = np.bincount(np.repeat(np.arange(c.n), n + 1), logp[context, token], minlength=c.n)
@@ -270,7 +341,7 @@ def _score(lexicon, table, n_buckets: int, id_type):
                 score += rare * lex.rare_shift
                 yield pa.RecordBatch.from_arrays([
                     pa.array((rid % n_buckets).astype(np.int32)), pa.array(rid), b.column(1).slice(c.first, c.n), pa.array(held), pa.array(n + 1), pa.array(n - rare + int(has_end)),
-                    pa.array(base), pa.array(score), *[pa.nulls(c.n, pa.binary())] * 3,
+                    pa.array(base), pa.array(score), *[pa.nulls(c.n, pa.binary())] * 3, pa.nulls(c.n, pa.int32()),
                 ], names=names)
                 if rare.any():
                     h, t = w.hash[~known], text[~known]
@@ -283,71 +354,262 @@ def _score(lexicon, table, n_buckets: int, id_type):
                     m = len(k)
                     yield pa.RecordBatch.from_arrays([
                         pa.array(k, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, id_type), pa.nulls(m, pa.bool_()), *[pa.nulls(m, pa.int64())] * 2,
-                        *[pa.nulls(m, pa.float64())] * 2, pa.array(words, pa.binary()), pa.array(refs, pa.binary()), pa.array(texts, pa.binary()),
+                        *[pa.nulls(m, pa.float64())] * 2, pa.array(words, pa.binary()), pa.array(refs, pa.binary()), pa.array(texts, pa.binary()), pa.array([0] * m, pa.int32()),
                     ], names=names)
+                for x in pairs(lex, w, at, context, token, rid, held):
+                    found.append(x)
+                    waiting += len(x[1])
+                if waiting >= _PAIRS:
+                    yield from pair_rows(found)
+                    found, waiting = [], 0
+        yield from pair_rows(found)
 
     return run
 
 
-_BACK = "home int, rid long, id {id}, held_out boolean, n_tokens long, n_known long, base double, score double, sums binary"
+def pair_ratio(c: np.ndarray, d: np.ndarray, lower: np.ndarray, cw: np.ndarray, head) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For pairs with count c, denominator d, log10 of the lower estimate and the second word's count: (ratio of c/d to the lower
+    estimate, number of the weight, cell of the histogram of ratios with one occurrence left out, or -1, and that cell's occurrences)."""
+    kind = np.where(head, 0, 64)
+    below = 10.0**lower
+    ratio = np.where(d > 0, c / np.maximum(d, 1), 0.0) / below
+    left = (c - 1) / np.maximum(d - 1, 1) / below * (cw + 0.5) / np.maximum(cw - 0.5, 0.5)
+    cell = np.clip(128 + 4 * np.log2(np.maximum(left, 1e-30)), 1, 255).astype(np.int64)
+    cell = (kind + bucket_of(d - 1)) * 256 + np.where(left > 0, cell, 0)
+    return ratio.astype(np.float32), (kind + bucket_of(d)).astype(np.uint8), np.where((c > 0) & (d > 1), cell, -1), c
+
 
+def pair_weights(cells: np.ndarray, n: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """The weight a for each bucket of denominators (from 64 on: of contexts that are not heads), by EM on the histogram of ratios."""
+    k, j = np.divmod(cells, 256)
+    r = np.where(j > 0, 2.0 ** ((j + 0.5 - 128) / 4), 0.0)
+    a = np.full(128, 0.5)
+    for _ in range(rounds):
+        up = a[k] * r
+        a = (np.bincount(k, n * up / (up + 1 - a[k]), minlength=128) + 0.5) / (np.bincount(k, n, minlength=128) + 1)
+    a[[0, 64]] = 0.0
+    return a
 
-def _rare(z: float, n_buckets: int, id_type):
-    names = ["home", "rid", "id", "held_out", "n_tokens", "n_known", "base", "score", "sums"]
+
+#: kind: null of a text, 0 of sums, 1 of ratios, 2 of a histogram, 3 of pairs for the second word's bucket, 4 of words with their counts.
+_BACK = "home int, rid long, id {id}, held_out boolean, n_tokens long, n_known long, base double, score double, sums binary, more binary, kind int"
+
+
+def _packs(home, sums, more, kind: int, id_type) -> pa.RecordBatch:
+    m = len(home)
+    return pa.RecordBatch.from_arrays([
+        pa.array(home, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, id_type), pa.nulls(m, pa.bool_()), *[pa.nulls(m, pa.int64())] * 2, *[pa.nulls(m, pa.float64())] * 2,
+        pa.array(sums, pa.binary()), pa.array(more, pa.binary()), pa.array([kind] * m, pa.int32()),
+    ], names=["home", "rid", "id", "held_out", "n_tokens", "n_known", "base", "score", "sums", "more", "kind"])
+
+
+def _ratios(rid: np.ndarray, at: np.ndarray, ratio, weight, id_type) -> Iterator[pa.RecordBatch]:
+    """Packs of the entries' ratios, ordered by text; at: each entry's place in ratio and weight."""
+    order = np.argsort(rid, kind="stable")
+    for i in range(0, len(order), 1 << 18):
+        p = order[i : i + (1 << 18)]
+        yield _packs([0], [_runs(rid[p], np.zeros(len(p), np.int64))], [ratio[at[p]].tobytes() + weight[at[p]].tobytes()], 1, id_type)
+
+
+def _histogram(cell: np.ndarray, n: np.ndarray, id_type) -> Iterator[pa.RecordBatch]:
+    if (cell >= 0).any():
+        n = np.bincount(cell[cell >= 0], n[cell >= 0]).astype(np.int64)
+        yield _packs([0], [np.flatnonzero(n).tobytes()], [n[n > 0].tobytes()], 2, id_type)
+
+
+def _rare(lexicon, table, within, n_buckets: int, id_type):
+    """within: training pairs of each head and each class that is not a head."""
+    names = ["home", "rid", "id", "held_out", "n_tokens", "n_known", "base", "score", "sums", "more", "kind"]
 
     def run(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex, logp, inner = lexicon.value, table.value, within.value
+        z, rare, heads = lex.z, lex.rare, lex.heads
         words, texts, train = [], [], []
+        pairs: dict[int, list] = {k: [] for k in (_BOTH, _FIRST, _SECOND, _NONE)}
         for b in group:
             packed = b.column("words").is_valid()
             docs = b.filter(pa.array(~packed.to_numpy(zero_copy_only=False)))
             if docs.num_rows:
-                yield pa.RecordBatch.from_arrays([docs.column("bucket"), *[docs.column(x) for x in names[1:8]], pa.nulls(docs.num_rows, pa.binary())], names=names)
+                m = docs.num_rows
+                yield pa.RecordBatch.from_arrays([docs.column("bucket"), *[docs.column(x) for x in names[1:8]], *[pa.nulls(m, pa.binary())] * 2, pa.nulls(m, pa.int32())], names=names)
             for i in np.flatnonzero(packed.to_numpy(zero_copy_only=False)):
-                h = np.frombuffer(b.column("words")[i].as_buffer(), U64)
+                kind = b.column("kind")[i].as_py()
+                data = b.column("words")[i].as_buffer()
+                h = _of_codes(data) if kind == _BOTH else np.frombuffer(data, U64)
+                if kind:
+                    other = None if kind == _BOTH else np.frombuffer(b.column("refs")[i].as_buffer(), U64)
+                    pairs[kind].append((h, other, *_of_runs(b.column("texts")[i].as_buffer())))
+                    continue
                 who = np.frombuffer(b.column("texts")[i].as_buffer(), np.int64).reshape(2, -1)
                 refs = b.column("refs")[i].as_buffer()
                 at = np.frombuffer(refs, np.uint16 if refs.size == 2 * len(h) else np.uint32)
                 words.append(h), texts.append(who[0][at]), train.append(who[1][at] == 0)
-        if not words:
+        rare_words, rare_counts = np.zeros(0, U64), np.zeros(0, np.int64)
+        if words:
+            h, t, ok = np.concatenate(words), np.concatenate(texts), np.concatenate(train)
+            rare_words, at = np.unique(h, return_inverse=True)
+            rare_counts = np.bincount(at, ok).astype(np.int64)
+            c = rare_counts[at]
+            rid, at = np.unique(t, return_inverse=True)
+            base = np.bincount(at, np.log10((c + 0.5) / z))
+            known = np.bincount(at, c > 0)
+            rows = [(k, np.stack([rid[p].view(np.float64), base[p], known[p]]).tobytes()) for k, p in _homes(rid, n_buckets)]
+            k, sums = zip(*rows, strict=True)
+            yield _packs(k, sums, [None] * len(k), 0, id_type)
+            slot = ((rare_words[0] >> U64(32)) % U64(n_buckets)).astype(int)
+            yield _packs([slot], [rare_words.tobytes()], [rare_counts.tobytes()], 4, id_type)
+        words, texts, train = [], [], []
+
+        if pairs[_BOTH]:
+            key, _, rid, ok = (np.concatenate(x) if x[0] is not None else None for x in zip(*pairs.pop(_BOTH), strict=True))
+            u, at = np.unique(key, return_inverse=True)
+            c = np.bincount(at, ok, minlength=len(u))
+            v, w = (u >> U64(32)).astype(np.int64), (u & _LOW).astype(np.int64)
+            cv, cw = lex.cls[v], lex.cls[w]
+            head = cv < heads
+            d = np.where(head, inner[np.minimum(cv, heads - 1), np.maximum(cw - heads, 0)], lex.count[v])
+            ratio, weight, cell, n = pair_ratio(c, d, lex.inside[w] + np.where(head, 0.0, logp[cv, cw]), lex.count[w], head)
+            yield from _ratios(rid, at, ratio, weight, id_type)
+            yield from _histogram(cell, n, id_type)
+            del key, rid, ok, u, at, c, ratio, weight
+        if pairs[_SECOND]:
+            key, other, rid, ok = map(np.concatenate, zip(*pairs[_SECOND], strict=True))
+            at, (h, v), c = _unique(key, other, ok)
+            cw = rare_counts[np.searchsorted(rare_words, h)] if len(rare_words) else np.zeros(len(h), np.int64)
+            cv = lex.cls[v.astype(np.int64)]
+            head = cv < heads
+            d = np.where(head, inner[np.minimum(cv, heads - 1), rare - heads], lex.count[v.astype(np.int64)])
+            ratio, weight, cell, n = pair_ratio(c, d, np.log10((cw + 0.5) / z) + lex.rare_shift + np.where(head, 0.0, logp[cv, rare]), cw, head)
+            yield from _ratios(rid, at, ratio, weight, id_type)
+            yield from _histogram(cell, n, id_type)
+        if pairs[_FIRST] or pairs[_NONE]:
+            first, at = np.unique(np.concatenate([x[0] for k in (_FIRST, _NONE) for x in pairs[k]]), return_inverse=True)
+            follow = np.bincount(at, np.concatenate([x[3] for k in (_FIRST, _NONE) for x in pairs[k]]))
+            for kind in (_FIRST, _NONE):
+                if not pairs[kind]:
+                    continue
+                key, other, rid, ok = map(np.concatenate, zip(*pairs[kind], strict=True))
+                at, (h, w), c = _unique(key, other, ok)
+                d = follow[np.searchsorted(first, h)]
+                if kind == _FIRST:
+                    w = w.astype(np.int64)
+                    ratio, weight, cell, n = pair_ratio(c, d, logp[rare, lex.cls[w]] + lex.inside[w], lex.count[w], False)
+                    yield from _ratios(rid, at, ratio, weight, id_type)
+                    yield from _histogram(cell, n, id_type)
+                    continue
+                # a pair goes on once, with its texts
+                dealt = list(_bucketed(w, n_buckets))
+                place = np.empty(len(h), np.int64)
+                place[np.concatenate([p for _, p in dealt])] = np.arange(len(h))
+                order, size, done = np.argsort(place[at], kind="stable"), np.bincount(at, minlength=len(h)), 0
+                for k, p in dealt:
+                    rows = order[done : done + int(size[p].sum())]
+                    done += len(rows)
+                    yield _packs([k], [np.stack([w[p].view(np.int64), c[p].astype(np.int64), d[p].astype(np.int64), size[p]]).tobytes()], [rid[rows].tobytes()], 3, id_type)
+
+    return run
+
+
+def _homes(rid: np.ndarray, n_buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    home = rid % n_buckets
+    order = np.argsort(home, kind="stable")
+    cuts = np.concatenate([[0], np.cumsum(np.bincount(home, minlength=n_buckets))])
+    for k in range(n_buckets):
+        if cuts[k + 1] > cuts[k]:
+            yield k, order[cuts[k] : cuts[k + 1]]
+
+
+def _unique(key: np.ndarray, other: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """Each entry's place among the different (key, other), these, and how many entries of each are ok."""
+    order = np.lexsort((other, key))
+    k, o = key[order], other[order]
+    new = np.r_[True, (k[1:] != k[:-1]) | (o[1:] != o[:-1])]
+    at = np.empty(len(key), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return at, (k[new], o[new]), np.bincount(at, ok)
+
+
+def _second(lexicon, table, id_type):
+    """Pairs of two rare words, in the second one's bucket."""
+
+    def run(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex, logp = lexicon.value, table.value
+        known, pairs = [], []
+        for b in group:
+            for i in range(b.num_rows):
+                sums, more = b.column("sums")[i].as_buffer(), b.column("more")[i].as_buffer()
+                if b.column("kind")[i].as_py() == 4:
+                    known.append((np.frombuffer(sums, U64), np.frombuffer(more, np.int64)))
+                else:
+                    pairs.append((np.frombuffer(sums, np.int64).reshape(4, -1), np.frombuffer(more, np.int64)))
+        if not pairs:
             return
-        h, t, ok = np.concatenate(words), np.concatenate(texts), np.concatenate(train)
-        _, at = np.unique(h, return_inverse=True)
-        c = np.bincount(at, ok)[at]
-        rid, at = np.unique(t, return_inverse=True)
-        base = np.bincount(at, np.log10((c + 0.5) / z))
-        known = np.bincount(at, c > 0)
-        home = rid % n_buckets
-        order = np.argsort(home, kind="stable")
-        cuts = np.concatenate([[0], np.cumsum(np.bincount(home, minlength=n_buckets))])
-        rows = [(k, np.stack([rid[p].view(np.float64), base[p], known[p]]).tobytes()) for k in range(n_buckets) if len(p := order[cuts[k] : cuts[k + 1]])]
-        k, sums = zip(*rows, strict=True)
-        m = len(k)
-        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, id_type), pa.nulls(m, pa.bool_()), *[pa.nulls(m, pa.int64())] * 2, *[pa.nulls(m, pa.float64())] * 2, pa.array(sums, pa.binary())], names=names)
+        w, c, d, n = np.concatenate([x[0] for x in pairs], axis=1)
+        rid = np.concatenate([x[1] for x in pairs])
+        h, cw = _sum(known) if known else (np.zeros(0, U64), np.zeros(0, np.int64))
+        w = w.view(U64)
+        place = np.minimum(np.searchsorted(h, w), max(0, len(h) - 1))
+        cw = np.where(h[place] == w, cw[place], 0) if len(h) else np.zeros(len(w), np.int64)
+        ratio, weight, cell, m = pair_ratio(c, d, np.log10((cw + 0.5) / lex.z) + lex.rare_shift + logp[lex.rare, lex.rare], cw, False)
+        yield from _ratios(rid, np.repeat(np.arange(len(w)), n), ratio, weight, id_type)
+        yield from _histogram(cell, m, id_type)
+
+    return run
+
+
+def _cells(batches):
+    for b in batches:
+        for i in range(b.num_rows):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b.column(c)[i].as_buffer(), np.int64)) for c in (0, 1)], names=["cell", "n"])
+
+
+def _weighed(a: np.ndarray, n_buckets: int, id_type):
+    """Packs of ratios -> sums of log10(1 - a + a * ratio) for each text."""
+
+    def run(batches):
+        for b in batches:
+            rids, sums = [], []
+            for i in range(b.num_rows):
+                rid, n = np.frombuffer(b.column("sums")[i].as_buffer(), np.int64).reshape(2, -1)
+                n = n >> 1
+                more, m = b.column("more")[i].as_buffer(), int(n.sum())
+                k = a[np.frombuffer(more, np.uint8, m, 4 * m)]
+                rids.append(rid), sums.append(np.bincount(np.repeat(np.arange(len(n)), n), np.log10(1 - k + k * np.frombuffer(more, np.float32, m)), minlength=len(n)))
+            if rids:
+                rid, at = np.unique(np.concatenate(rids), return_inverse=True)
+                total = np.bincount(at, np.concatenate(sums))
+                k, packed = zip(*[(k, np.stack([rid[p].view(np.float64), total[p]]).tobytes()) for k, p in _homes(rid, n_buckets)], strict=True)
+                yield _packs(k, packed, [None] * len(k), 1, id_type)
 
     return run
 
 
 def _together(id_type):
     def run(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, parts = [], []
+        docs, parts, ratios = [], [], []
         for b in group:
             packed = b.column("sums").is_valid().to_numpy(zero_copy_only=False)
             docs.append(b.filter(pa.array(~packed)))
-            parts += [np.frombuffer(b.column("sums")[i].as_buffer(), np.float64).reshape(3, -1) for i in np.flatnonzero(packed)]
+            for i in np.flatnonzero(packed):
+                one = b.column("kind")[i].as_py() == 1
+                (ratios if one else parts).append(np.frombuffer(b.column("sums")[i].as_buffer(), np.float64).reshape(2 if one else 3, -1))
         if not any(d.num_rows for d in docs):
             return
         t = pa.Table.from_batches(docs).combine_chunks()
         rid, at, copies = np.unique(t.column("rid").to_numpy(), return_inverse=True, return_counts=True)
-        base, known = np.zeros(len(rid)), np.zeros(len(rid))
+        base, known, pairs = np.zeros(len(rid)), np.zeros(len(rid)), np.zeros(len(rid))
+        if ratios:
+            p = np.concatenate(ratios, axis=1)
+            pairs = np.bincount(np.searchsorted(rid, np.ascontiguousarray(p[0]).view(np.int64)), p[1], minlength=len(rid))
         if parts:
             p = np.concatenate(parts, axis=1)
             place = np.searchsorted(rid, np.ascontiguousarray(p[0]).view(np.int64))
             base, known = np.bincount(place, p[1], minlength=len(rid)), np.bincount(place, p[2], minlength=len(rid))
         # rows alike in id and text share a reference: each gets its part of their sums
-        base, known = (base / copies)[at], np.rint(known / copies).astype(np.int64)[at]
+        base, pairs, known = (base / copies)[at], (pairs / copies)[at], np.rint(known / copies).astype(np.int64)[at]
         yield pa.RecordBatch.from_arrays([
             t.column("id").combine_chunks(), t.column("held_out").combine_chunks(), t.column("n_tokens").combine_chunks(), pa.array(t.column("n_known").to_numpy() + known),
-            pa.array(t.column("base").to_numpy() + base), pa.array(t.column("score").to_numpy() + base),
+            pa.array(t.column("base").to_numpy() + base), pa.array(t.column("score").to_numpy() + base + pairs),
         ], names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     return run
@@ -355,6 +617,8 @@ def _together(id_type):
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heads: int = HEADS, top: int = TOP) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs; held_out: crc32(id) mod 5 is 1."""
+    if top >= 1 << 20:
+        raise ValueError("top must be below 2^20")
     spark = docs.sparkSession
     sc = spark.sparkContext
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -377,9 +641,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
             break
         least = r.least
     n, v = sum(r.n for r in steps), sum(r.v for r in steps)
-    best = words.where(F.col("c") >= least).toArrow() if least is not None else None
-    w = best.column("word").to_numpy().view(U64) if best is not None else np.zeros(0, U64)
-    c = best.column("c").to_numpy() if best is not None else np.zeros(0, np.int64)
+    best = words.where((F.col("c") >= least if least is not None else F.lit(False)) | (F.col("word") == int(END))).toArrow()
+    w, c = best.column("word").to_numpy().view(U64), best.column("c").to_numpy()
     lexicon = Lexicon(np.ascontiguousarray(w), np.ascontiguousarray(c), n, v, heads)
     lex = sc.broadcast(lexicon)
 
@@ -392,6 +655,13 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
 
     rows = docs.select(F.xxhash64(F.col(id_col), text).bitwiseAND(F.lit((1 << 63) - 1)).alias("rid"), F.col(id_col).alias("id"), held.alias("held_out"), text.alias("text"))
     parts = rows.mapInArrow(_score(lex, table, n_buckets, arrow_id), _PARTS.format(id=id_type))
-    back = parts.repartitionById(n_buckets, "bucket").mapInArrow(_rare(lexicon.z, n_buckets, arrow_id), _BACK.format(id=id_type))
+    back = _BACK.format(id=id_type)
+    within = sc.broadcast(counts.sum(axis=0).reshape(shape)[:heads, heads:])
+    first = materialise(parts.repartitionById(n_buckets, "bucket").mapInArrow(_rare(lex, table, within, n_buckets, arrow_id), back))
+    second = materialise(first.where("kind in (3, 4)").repartitionById(n_buckets, "home").mapInArrow(_second(lex, table, arrow_id), back))
+    both = first.where("kind in (1, 2)").unionByName(second)
+    cells = both.where("kind = 2").select("sums", "more").mapInArrow(_cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    a = pair_weights(np.array([r.cell for r in cells], np.int64), np.array([r.n for r in cells], float))
+    back = first.where("kind is null or kind = 0").unionByName(both.where("kind = 1").mapInArrow(_weighed(a, n_buckets, arrow_id), back))
     out = back.repartitionById(n_buckets, "home").mapInArrow(_together(arrow_id), f"id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

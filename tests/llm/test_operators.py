@@ -451,3 +451,23 @@ def test_lm_is_a_distribution_and_em_climbs():
     for k in set(lex.cls.tolist()):
         assert math.isclose(inside[lex.cls == k].sum(), 1)
     assert lex.find(np.append(words[::-1], [np.uint64(5)])).tolist()[-1] == -1 and (lex.hash[lex.find(words)] == words).all()
+
+
+@pytest.mark.parametrize("top", [4, 12, 1000])
+def test_lm_word_pairs_beyond_the_heads(spark, top):
+    """Two-word texts over the whole vocabulary: the model is a distribution, and pairs seen in training count whatever the words' ranks."""
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(20)]
+    held = [i for i in range(5000) if zlib.crc32(str(i).encode()) % 5 == 1]
+    train = [i for i in range(5000) if zlib.crc32(str(i).encode()) % 5 != 1]
+    rows = [(train.pop(), " ".join(x for _ in range(rng.randint(1, 6)) for x in rng.choice([("w17", "w18"), (rng.choice(words[: rng.randint(1, 20)]),)]))) for _ in range(120)]
+    seen = sorted({x for _, t in rows for x in t.split()})
+    every = [*seen, "unseen"]
+    ids = {t: held.pop() for t in [*every, *[f"{x} {y}" for x in every for y in every], ""]}
+    frame = spark.createDataFrame(rows + [(i, t) for t, i in ids.items()], "doc_id long, text string").repartition(3)
+    score = {r.doc_id: r.score for r in lm.lm_scores(frame, heads=3, top=top).collect()}
+    p = {t: 10 ** score[i] for t, i in ids.items()}
+    # similar to the matrix of P(w | v): the largest eigenvalue of a distribution's is 1, here less what l0 gives to classes without words
+    q = np.array([[p[""], *[p[x] for x in every]], *[[1.0, *[p[f"{x} {y}"] / p[x] for y in every]] for x in every]])
+    assert 0.998 < max(abs(np.linalg.eigvals(q))) < 1.00001
+    assert p["w17 w18"] / (p["w17"] * p["w18"]) > 5 * p["w18 w17"] / (p["w17"] * p["w18"])
