@@ -1,7 +1,8 @@
 """N-gram Jaccard join: size-banded tiles, hashed bitmap signatures, exact sorted-array intersection.
 
 Documents are sets of distinct four-word shingles; two link when
-100 * |A & B| >= 85 * |A | B|.  Equal sets are one *class*.  All links between
+100 * |A & B| >= 85 * |A | B| (both are arguments; the figures below are those
+of 85/100, derived from the argument in the code).  Equal sets are one *class*.  All links between
 classes are found, none by chance:
 
 Tiles.  Sizes are cut into bands (6-11, 12-23, ...).  If A and B link and A, the
@@ -50,42 +51,48 @@ from assay.llm import tokens
 from assay.llm.common import buckets, components, materialise
 from assay.llm.tokens import U64
 
+#: Words in a shingle, and the least similarity as a fraction, unless given.
 SHINGLE, NUM, DEN = 4, 85, 100
+#: A least similarity: numerator and denominator.
+Least = tuple[int, int]
 #: Members on each side of a block in which all pairs are compared.
 BLOCK = 512
 #: Tile entries that a map task gathers before it packs them.
 FLUSH = 500_000
 
 
-def links(a: np.ndarray, b: np.ndarray, shared: np.ndarray) -> np.ndarray:
-    return DEN * shared >= NUM * (a + b - shared)
+def links(a: np.ndarray, b: np.ndarray, shared: np.ndarray, least: Least) -> np.ndarray:
+    num, den = least
+    return den * shared >= num * (a + b - shared)
 
 
-def _bands(n: int) -> list[tuple[int, int, int]]:
+def _bands(n: int, least: Least) -> list[tuple[int, int, int]]:
     """(number, most differences, slices) of the bands in which a set of n shingles looks for partners."""
-    if n < 6:
+    num, den = least
+    low = -(-num // (den - num))
+    if n < low:
         return []  # it links with equal sets only
-    k = (n // 6).bit_length() - 1
+    k = (n // low).bit_length() - 1
     out = []
     for j in (k, k - 1):
-        if j < 0 or j < k and -(-NUM * n // DEN) >= 6 << k:
+        if j < 0 or j < k and -(-num * n // den) >= low << k:
             continue
-        most = (6 << (j + 1)) - 1
-        d = (DEN - NUM) * most // NUM
+        most = (low << (j + 1)) - 1
+        d = (den - num) * most // num
         out.append((j, d, d + 2 + d // 8))
     return out
 
 
-def tiles(s: np.ndarray) -> np.ndarray:
+def tiles(s: np.ndarray, least: Least) -> np.ndarray:
     """Names of the tiles of a set (distinct hashes, ascending)."""
     names = []
-    for band, d, m in _bands(len(s)):
+    for band, d, m in _bands(len(s), least):
         where = ((s >> U64(32)) * U64(m)) >> U64(32)
         at = np.flatnonzero(np.r_[True, where[1:] != where[:-1]])
         content = np.add.reduceat(tokens.mix(s), at)
         names.append(tokens.mix(content + where[at] * U64(0x9E3779B97F4A7C15) + U64(band + 1)))
         if m - len(at) >= m - d:
-            prefix = len(s) - -(-NUM * len(s) // DEN) + 1
+            prefix = len(s) - -(-least[0] * len(s) // least[1]) + 1
             names.append(tokens.mix(s[:prefix] + U64(0xABCD) * U64(band + 1)))
     return np.concatenate(names) if names else np.zeros(0, U64)
 
@@ -105,9 +112,9 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
     return bits
 
 
-def may_link(na: np.ndarray, nb: np.ndarray, differ: np.ndarray) -> np.ndarray:
+def may_link(na: np.ndarray, nb: np.ndarray, differ: np.ndarray, least: Least) -> np.ndarray:
     """Whether sets of these sizes that differ in at least so many shingles can link."""
-    return links(na, nb, (na + nb - np.maximum(differ, np.abs(na - nb))) // 2)
+    return links(na, nb, (na + nb - np.maximum(differ, np.abs(na - nb))) // 2, least)
 
 
 # ---- pass over the texts: classes, bitmaps, tiles -------------------------------------------------
@@ -115,7 +122,7 @@ def may_link(na: np.ndarray, nb: np.ndarray, differ: np.ndarray) -> np.ndarray:
 _MAP = "bucket int, kind int, id {id}, th long, class long, n long, data binary, members binary"
 
 
-def _map(n_buckets: int, id_type):
+def _map(n_buckets: int, id_type, shingle: int, least: Least):
     """Rows of kind 0: a document (data: its class's bitmap); 1: packed tiles of a bucket; 2: packed (tile, class) of groups met here."""
     schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("id", id_type), ("th", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), ("data", pa.binary()), ("members", pa.binary())])
 
@@ -160,7 +167,7 @@ def _map(n_buckets: int, id_type):
         done: set[int] = set()
         for b in batches:
             for c in tokens.chunks(b.column(1)):
-                sets = tokens.shingle_sets(tokens.words(c), SHINGLE)
+                sets = tokens.shingle_sets(tokens.words(c), shingle)
                 ids = [tokens.set_id(s) if len(s) else None for s in sets]
                 maps = []
                 for s, i in zip(sets, ids, strict=True):
@@ -169,7 +176,7 @@ def _map(n_buckets: int, id_type):
                         continue
                     done.add(i)
                     maps.append(bitmap(s))
-                    t = tiles(s)
+                    t = tiles(s, least)
                     if len(t):
                         names.append(t), classes.append(i)
                         held += len(t)
@@ -255,16 +262,20 @@ def differing(left, i: np.ndarray, right, j: np.ndarray) -> np.ndarray:
     return out
 
 
-def _screen(batches):
+def _screen(least: Least):
     """(a, b, na, nb, bits of both) -> (a, b, may)."""
-    for t in batches:
-        n = t.num_rows
-        at = np.arange(n)
-        na, nb = t.column(2).to_numpy(), t.column(3).to_numpy()
-        may = np.zeros(n, bool)
-        if n:
-            may = may_link(na, nb, differing(_as_words(t.column(4).to_pylist()), at, _as_words(t.column(5).to_pylist()), at))
-        yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(may)], names=["a", "b", "may"])
+
+    def run(batches):
+        for t in batches:
+            n = t.num_rows
+            at = np.arange(n)
+            na, nb = t.column(2).to_numpy(), t.column(3).to_numpy()
+            may = np.zeros(n, bool)
+            if n:
+                may = may_link(na, nb, differing(_as_words(t.column(4).to_pylist()), at, _as_words(t.column(5).to_pylist()), at), least)
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), pa.array(may)], names=["a", "b", "may"])
+
+    return run
 
 
 def _pairs_in(start: np.ndarray, size: np.ndarray, side: np.ndarray, diagonal: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -283,85 +294,95 @@ def _pairs_in(start: np.ndarray, size: np.ndarray, side: np.ndarray, diagonal: n
         yield np.repeat(np.arange(s, s + one), n - one), np.tile(np.arange(s + one, s + n), one)
 
 
-def _compare(batches):
+def _compare(least: Least):
     """Blocks, sorted by (tile, lo, hi, side): (tile, lo, hi, side, class, comp, n, bits) -> (a, b) that may link."""
 
-    def blocks(t: pa.Table):
-        key = [t.column(k).to_numpy() for k in range(4)]
-        cls, comp, n = (t.column(k).to_numpy() for k in (4, 5, 6))
-        head = np.ones(t.num_rows, bool)
-        head[1:] = (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1]) | (key[2][1:] != key[2][:-1])
-        start = np.flatnonzero(head)
-        size = np.diff(np.r_[start, t.num_rows])
-        bits = _as_words(t.column(7).to_pylist())
-        for i, j in _pairs_in(start, size, key[3], key[1][start] == key[2][start]):
-            ok = (comp[i] != comp[j]) & (DEN * np.minimum(n[i], n[j]) >= NUM * np.maximum(n[i], n[j]))
-            i, j = i[ok], j[ok]
-            ok = may_link(n[i], n[j], differing(bits, i, bits, j)) if len(i) else np.zeros(0, bool)
-            if ok.any():
-                a, b = cls[i[ok]], cls[j[ok]]
-                both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
-
-    rest = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        t = pa.Table.from_batches([b])
-        rest = t if rest is None else pa.concat_tables([rest, t])
-        key = [rest.column(k).to_numpy() for k in range(3)]
-        last = np.flatnonzero((key[0] != key[0][-1]) | (key[1] != key[1][-1]) | (key[2] != key[2][-1]))
-        cut = int(last[-1]) + 1 if len(last) else 0  # the last block may go on in the next batch
-        if cut:
-            yield from blocks(rest.slice(0, cut).combine_chunks())
-            rest = rest.slice(cut)
-    if rest is not None:
-        yield from blocks(rest.combine_chunks())
-
-
-def _sets(batches):
-    done: set[int] = set()
-    for b in batches:
-        for c in tokens.chunks(b.column(0)):
-            names, sets = [], []
-            for s in tokens.shingle_sets(tokens.words(c), SHINGLE):
-                if len(s) and (i := tokens.set_id(s)) not in done:
-                    done.add(i)
-                    names.append(i), sets.append(s.tobytes())
-            if names:
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], names=["class", "set"])
+    def run(batches):
+        def blocks(t: pa.Table):
+            key = [t.column(k).to_numpy() for k in range(4)]
+            cls, comp, n = (t.column(k).to_numpy() for k in (4, 5, 6))
+            head = np.ones(t.num_rows, bool)
+            head[1:] = (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1]) | (key[2][1:] != key[2][:-1])
+            start = np.flatnonzero(head)
+            size = np.diff(np.r_[start, t.num_rows])
+            bits = _as_words(t.column(7).to_pylist())
+            for i, j in _pairs_in(start, size, key[3], key[1][start] == key[2][start]):
+                ok = (comp[i] != comp[j]) & (least[1] * np.minimum(n[i], n[j]) >= least[0] * np.maximum(n[i], n[j]))
+                i, j = i[ok], j[ok]
+                ok = may_link(n[i], n[j], differing(bits, i, bits, j), least) if len(i) else np.zeros(0, bool)
+                if ok.any():
+                    a, b = cls[i[ok]], cls[j[ok]]
+                    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+        rest = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            rest = t if rest is None else pa.concat_tables([rest, t])
+            key = [rest.column(k).to_numpy() for k in range(3)]
+            last = np.flatnonzero((key[0] != key[0][-1]) | (key[1] != key[1][-1]) | (key[2] != key[2][-1]))
+            cut = int(last[-1]) + 1 if len(last) else 0  # the last block may go on in the next batch
+            if cut:
+                yield from blocks(rest.slice(0, cut).combine_chunks())
+                rest = rest.slice(cut)
+        if rest is not None:
+            yield from blocks(rest.combine_chunks())
+
+    return run
 
 
-def _exact(batches):
+def _sets(shingle: int):
+    def run(batches):
+        done: set[int] = set()
+        for b in batches:
+            for c in tokens.chunks(b.column(0)):
+                names, sets = [], []
+                for s in tokens.shingle_sets(tokens.words(c), shingle):
+                    if len(s) and (i := tokens.set_id(s)) not in done:
+                        done.add(i)
+                        names.append(i), sets.append(s.tobytes())
+                if names:
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], names=["class", "set"])
+
+    return run
+
+
+def _exact(least: Least):
     """(a, b, set of a, set of b) -> (a, b) that link."""
-    for t in batches:
-        ok = np.zeros(t.num_rows, bool)
-        for k in range(t.num_rows):
-            x, y = (np.frombuffer(t.column(c)[k].as_buffer(), U64) for c in (2, 3))
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-            ok[k] = links(len(x), len(y), int(np.count_nonzero(y[at] == x)))
-        yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], names=["a", "b"]).filter(pa.array(ok))
-
-
-def _verified(pairs: DataFrame, info: DataFrame, texts: DataFrame) -> DataFrame:
+
+    def run(batches):
+        for t in batches:
+            ok = np.zeros(t.num_rows, bool)
+            for k in range(t.num_rows):
+                x, y = (np.frombuffer(t.column(c)[k].as_buffer(), U64) for c in (2, 3))
+                if len(x) > len(y):
+                    x, y = y, x
+                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                ok[k] = links(len(x), len(y), int(np.count_nonzero(y[at] == x)), least)
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], names=["a", "b"]).filter(pa.array(ok))
+
+    return run
+
+
+def _verified(pairs: DataFrame, info: DataFrame, texts: DataFrame, shingle: int, least: Least) -> DataFrame:
     """The pairs (a, b) of classes that link, by their shingle sets; one text of each class involved is read again."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(info.select("class", "th"), "class").select("th").distinct()
     needed = materialise(needed)
     few = needed.count() <= 1_000_000  # 8 MB; more are joined by a shuffle
-    sets = texts.join(F.broadcast(needed) if few else needed, "th", "left_semi").select("text").mapInArrow(_sets, "class long, set binary").dropDuplicates(["class"])
+    sets = texts.join(F.broadcast(needed) if few else needed, "th", "left_semi").select("text").mapInArrow(_sets(shingle), "class long, set binary").dropDuplicates(["class"])
     left, right = sets.select(F.col("class").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("class").alias("b"), F.col("set").alias("set_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(_exact, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(_exact(least), "a long, b long")
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) for each row of docs."""
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: Least = (NUM, DEN)) -> DataFrame:
+    """(id, n_shingles, component_id) for each row of docs; two link from the similarity `least`, below 1, of their sets of `shingle` words on."""
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("th"))
     arrow_id = pa.int64() if id_type == "bigint" else pa.int32() if id_type == "int" else pa.string()
-    packed = texts.mapInArrow(_map(buckets(spark), arrow_id), _MAP.format(id=id_type))
+    packed = texts.mapInArrow(_map(buckets(spark), arrow_id, shingle, least), _MAP.format(id=id_type))
     every = materialise(packed.groupBy("bucket").applyInArrow(_reduce(arrow_id), _REDUCED.format(id=id_type)))
 
     rows = every.where("kind = 0").select("id", "th", "class", "n")
@@ -377,8 +398,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     stars = groups.join(first, "tile").where("class <> b").select(F.col("class").alias("a"), "b").distinct()
     sized = info.select("class", "n", "bits")
     stars = stars.join(sized.toDF("a", "na", "bits_a"), "a").join(sized.toDF("b", "nb", "bits_b"), "b")
-    stars = materialise(stars.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(_screen, "a long, b long, may boolean"))
-    found = materialise(_verified(stars.where("may").select("a", "b"), info, texts))
+    stars = materialise(stars.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(_screen(least), "a long, b long, may boolean"))
+    found = materialise(_verified(stars.where("may").select("a", "b"), info, texts, shingle, least))
     comps = materialise(components(found))
 
     # components that meet in an unlinked pair: compare across them wherever they share a tile
@@ -393,13 +414,13 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("tile", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "class", "comp", "n", "bits")
     dealt = dealt.repartition("tile", "lo", "hi").sortWithinPartitions("tile", "lo", "hi", "side")
-    more = materialise(dealt.mapInArrow(_compare, "a long, b long").distinct())
-    more = _verified(more, info, texts)
+    more = materialise(dealt.mapInArrow(_compare(least), "a long, b long").distinct())
+    more = _verified(more, info, texts, shingle, least)
     comps = materialise(components(found.unionByName(more)))
 
     of = comps.select(F.col("node").alias("class"), F.col("component").alias("comp"))
     classes = info.select("class", "id").join(of, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
-    least = classes.groupBy("comp").agg(F.min("id").alias("component_id"))
-    named = classes.select("class", "comp").join(least, "comp").select("class", "component_id")
+    smallest = classes.groupBy("comp").agg(F.min("id").alias("component_id"))
+    named = classes.select("class", "comp").join(smallest, "comp").select("class", "component_id")
     out = rows.join(named, "class", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))

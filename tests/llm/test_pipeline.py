@@ -39,3 +39,24 @@ def test_stages_against_brute_force(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} == seen[4] and len(corpus_pipeline.STAGES) == 5
     assert ngram_join.ngram_join(docs).count() == len(text) and decontamination.LEAST == 0.8
+
+
+def test_near_copies_of_five_word_similarity_80(spark):
+    rows = []
+    for k, (n, more, cut) in enumerate([(49, 0, 24), (52, 0, 24), (200, 45, None), (8, 1, None), (48, 0, 24), (200, 53, None)]):
+        w = [f"w{k}x{i}" for i in range(n)]
+        v = w + [f"m{k}x{i}" for i in range(more)]
+        if cut:
+            v[cut] = "edited"
+        rows += [(10 * k, " ".join(w)), (10 * k + 1, " ".join(v))]
+
+    def similarity(a, b):
+        a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split()))
+        return len(a & b) / len(a | b)
+
+    want = set()
+    for (i, a), (j, b) in zip(rows[::2], rows[1::2], strict=True):
+        want |= {i} if similarity(a, b) >= 0.8 else {i, j}
+    assert want == {0, 10, 20, 30, 40, 41, 50, 51}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.ngram_jaccard_join(spark, docs, "").collect()} == want
