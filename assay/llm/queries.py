@@ -72,34 +72,85 @@ def _shingles(table: str, key: str, n: int) -> str:
         when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as sh from (select {key}, {_WORDS.format("coalesce(text, '')")} as w from {table}))"""
 
 
-OP2_SQL = r"""
+def _op2_sql(levels: int = url_filter.LEVELS) -> str:
+    """The tree of url_filter, level by level, as its docstring defines it."""
+    head = r"""
 with p0 as (select page_id as id, coalesce(url, '') as url from pages),
 p1 as (select id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from p0),
 p2 as (select id, regexp_extract(rest, '^[^/?#]*', 0) as raw, rest from p1),
-p3 as (select id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*', 0) as path from p2),
+p3 as (
+    select id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+        regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*', 0) as path
+    from p2),
 rules(verdict, h, p) as (values ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
-fits as (select id, host, path, max_by(h || p, length(h || p)) as rule, max_by(verdict, length(h || p)) as by_rule from p3 left join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by all),
-seen as (select *, '/' || array_to_string(list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s:
-    case when regexp_matches(s, '^([0-9]+(\.[A-Za-z0-9]+)?|[0-9a-fA-F]{8,}|[0-9]{4}-[0-9]{2}-[0-9]{2}|[^/]*-[0-9]{3,})$') then '*' else s end), '/') as lexical from fits),
-paths as (select host, lexical, count(*) as n, count(by_rule) as labelled, count(*) filter (by_rule = 'block') as bad from seen group by all),
-steps as (select host, lexical, n, pos, parts[pos] as seg, array_to_string(parts[1:pos - 1], '/') as parent from (select host, lexical, n, parts, unnest(range(1, len(parts) + 1)) as pos from (select *, string_split(substr(lexical, 2), '/') as parts from paths))),
-children as (select host, parent, pos, seg, sum(n) as n from steps group by all),
-nodes as (select host, parent, pos, sum(n) as total, count(*) as kinds from children group by all),
-wild as (select host, parent, pos, seg from children join nodes using (host, parent, pos) where kinds >= 8 and n < 0.1::double * total),
-named as (select host, lexical, '/' || string_agg(s, '/' order by pos) as template, coalesce(string_agg(s, '/' order by pos) filter (pos < last), '') as branch from (
-    select s.host, s.lexical, s.pos, case when w.seg is not null then '*' else s.seg end as s, max(s.pos) over (partition by s.host, s.lexical) as last from steps s left join wild w on s.host = w.host and s.parent = w.parent and s.pos = w.pos and s.seg = w.seg) group by host, lexical),
-templates as (select host, branch, template, sum(labelled) as labelled, sum(bad) as bad from named join paths using (host, lexical) group by all),
-around as (select host, branch, sum(labelled) as al, sum(bad) as ab from templates group by all),
-marked as (select t.*, case when labelled > 0 and al > labelled then
-    (bad::double / labelled - (ab::double - bad) / (al::double - labelled)) * (bad::double / labelled - (ab::double - bad) / (al::double - labelled))
-    <= 1.96::double * 1.96::double * (ab::double / al) * (1.0::double - ab::double / al) * (1.0::double / labelled + 1.0::double / (al::double - labelled)) else false end as alike from templates t join around using (host, branch)),
-merged as (select host, branch, sum(labelled) as ml, sum(bad) as mb from marked where alike group by all),
-judged as (select m.host, m.template, case when alike then ml else labelled end as labelled, case when alike then mb else bad end as bad from marked m left join merged using (host, branch)),
-rate as (select case when count(by_rule) > 0 then (count(*) filter (by_rule = 'block'))::double / count(by_rule) else 0 end as rate from seen)
-select s.id as page_id, s.host, s.path, s.rule, coalesce(s.by_rule, case when (j.bad::double + 10.0::double * rate) / (j.labelled::double + 10.0::double) >= 0.8::double then 'block' else 'allow' end) as verdict,
-    n.template, j.labelled::bigint as labelled, j.bad::bigint as bad
-from seen s left join named n using (host, lexical) left join judged j on j.host = s.host and j.template = n.template cross join rate
+fits as (
+    select id, host, path, max_by(h || p, length(h || p)) as rule, max_by(verdict, length(h || p)) as by_rule
+    from p3 left join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by all),
+cut as (
+    select *, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s:
+        case when regexp_matches(s, '^([0-9]+(\.[A-Za-z0-9]+)?|[0-9a-fA-F]{8,}|[0-9]{4}-[0-9]{2}-[0-9]{2}|[^/]*-[0-9]{3,})$') then '*' else s end) as whole
+    from fits),
 """
+    parts = [f"""
+seen as (
+    select * exclude (whole), case when len(whole) > {levels} then list_append(whole[1:{levels - 1}], array_to_string(whole[{levels}:], '/')) else whole end as segs
+    from cut),
+paths as (
+    select host, segs, count(*) as n, count(by_rule) as labelled, count(*) filter (by_rule = 'block') as bad, [] :: varchar[] as gens, '' as node
+    from seen group by host, segs)"""]
+    last = "paths"
+    for k in range(1, levels + 1):
+        parts.append(f"""
+c{k} as (select host, node, segs[{k}] as seg, sum(n) as c from {last} where len(segs) >= {k} group by all),
+w{k} as (
+    select host, node, seg from c{k} join (select host, node, sum(c) as total, count(*) as kinds from c{k} group by all) using (host, node)
+    where kinds >= 8 and c < 0.1::double * total),
+g{k} as (
+    select p.host, segs, n, labelled, bad, list_append(gens, gen) as gens, p.node || '/' || gen as node
+    from (select p.*, case when w.seg is null then p.segs[{k}] else '*' end as gen
+        from {last} p left join w{k} w on w.host = p.host and w.node = p.node and w.seg = p.segs[{k}]) p where len(segs) >= {k}
+    union all select * from {last} where len(segs) < {k})""")
+        last = f"g{k}"
+    parts.append(f"""
+named as (select host, segs, gens, n, labelled, bad from {last}),
+shapes as (select host, gens, sum(n) as n, sum(labelled) as labelled, sum(bad) as bad from named group by all),
+rate as (select coalesce(sum(bad)::double / nullif(sum(labelled), 0), 0) as rate from shapes),
+hosts as (select host, sum(labelled) as ml, sum(bad) as mb from shapes group by host),
+m0 as (select s.*, '' as branch, ml, mb, (mb::double + 10.0::double * rate) / (ml::double + 10.0::double) as purity from shapes s join hosts using (host), rate)""")
+    for k in range(1, levels + 1):
+        parts.append(f"""
+l{k} as (select *, gens[{k}] as g, coalesce(gens[{k + 1}], '') as nxt from m{k - 1} where len(gens) >= {k}),
+each{k} as (
+    select *, lag(g) over w as prev, lag(n) over w as np,
+        last_value(case when l > 0 then l end ignore nulls) over v as ll, last_value(case when l > 0 then b end ignore nulls) over v as lb
+    from (select *, (b + 10.0::double * p) / (l + 10.0::double) as rate
+        from (select host, branch, g, sum(n)::double as n, sum(labelled)::double as l, sum(bad)::double as b, max(purity) as p from l{k} group by all))
+    window w as (partition by host, branch order by rate, g), v as (partition by host, branch order by rate, g rows between unbounded preceding and 1 preceding)),
+cells{k} as (select host, branch, g, nxt, sum(n)::double as o from l{k} group by all),
+both{k} as (
+    select host, branch, g, nxt, sum(og) as og, sum(op) as op, max(a) as a
+    from (select e.host, e.branch, e.g, nxt, sqrt(np / n) as a, o as og, 0::double as op from each{k} e join cells{k} c on c.host = e.host and c.branch = e.branch and c.g = e.g where prev is not null
+        union all select e.host, e.branch, e.g, nxt, sqrt(np / n), 0, o from each{k} e join cells{k} c on c.host = e.host and c.branch = e.branch and c.g = e.prev) group by host, branch, g, nxt),
+shape{k} as (select host, branch, g, sum((og * a - op / a) * (og * a - op / a) / (og + op)) as chi, (count(*) - 1)::double as df from both{k} group by all),
+runs{k} as (
+    select *, sum(case when alike then 0 else 1 end) over (partition by host, branch order by rate, g) as run
+    from (select e.*, coalesce(chi <= df + 1.96::double * sqrt(2 * df) + 1e-6::double, false) and coalesce(
+            pow(b / nullif(l, 0) - lb / ll, 2) <= 1.96::double * 1.96::double * ((b + lb) / (l + ll)) * (1 - (b + lb) / (l + ll)) * (1 / nullif(l, 0) + 1 / ll) + 1e-9::double, true) as alike
+        from each{k} e left join shape{k} s on s.host = e.host and s.branch = e.branch and s.g = e.g)),
+same{k} as (select host, branch, g, case when count(*) over (partition by host, branch, run) > 1 then '+' || run::bigint else g end as name from runs{k}),
+n{k} as (
+    select l.* exclude (g, nxt) replace (l.branch || '/' || s.name as branch)
+    from l{k} l join same{k} s on s.host = l.host and s.branch = l.branch and s.g = l.g),
+b{k} as (select host, branch, sum(labelled) as bl, sum(bad) as bb from n{k} group by all),
+m{k} as (
+    select n.* replace (bl as ml, bb as mb, (bb::double + 10.0::double * purity) / (bl::double + 10.0::double) as purity) from n{k} n join b{k} using (host, branch)
+    union all select * from m{k - 1} where len(gens) < {k})""")
+    return head + ",".join(parts).lstrip() + f"""
+select s.id as page_id, s.host, s.path, s.rule, coalesce(s.by_rule, case when m.purity >= 0.8::double then 'block' else 'allow' end) as verdict,
+    case when m.branch = '' then '/' else m.branch end as template, m.ml::bigint as labelled, m.mb::bigint as bad, m.purity
+from seen s join named n on n.host = s.host and n.segs = s.segs join m{levels} m on m.host = n.host and m.gens = n.gens
+"""
+
 
 OP4_SQL = f"""
 with d as ({_shingles("documents", "doc_id", 5)}), b as ({_shingles("benchmark", "item_id", 5)}),
@@ -118,4 +169,4 @@ reach(x, y) as (select doc_id, doc_id from n union select r.x, b.y from reach r
 select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(m.c, d.doc_id) as component_id from documents d left join n using (doc_id) left join (select x, min(y) as c from reach group by x) m on m.x = d.doc_id
 """
 
-SQL = {"op2_url_filter": OP2_SQL, "op4_decontamination": OP4_SQL, "op10_ngram_join": OP10_SQL}
+SQL = {"op2_url_filter": _op2_sql(), "op4_decontamination": OP4_SQL, "op10_ngram_join": OP10_SQL}

@@ -1,36 +1,51 @@
 """URL filter: a path-template tree per host, judged by smoothed labelled purity.
 
 Only DataFrame functions.  Urls that a rule fits are labelled by that rule
-(block = bad) and keep its verdict; the others get their template's verdict:
-
-1. every path segment that looks like an id (digits, hex, dates, numbered
-   slugs) becomes ``*``; under a node of the host's tree with at least
-   ``min_children`` different children of which each is rare, the others do too;
-2. sibling templates whose labelled bad rates do not differ significantly from
-   those of the rest (two-proportion z test) are merged and share their counts;
-3. a template is blocked if (bad + k * overall rate) / (labelled + k) reaches
-   ``reject``.  A template without labels has the overall rate.
-
-Counts are made per (host, id-free path) before anything is joined, so a hot
-host costs one partial sum per task; joins back are plain equi-joins that Spark
-may split when skewed.
+(block = bad) and keep its verdict; the others get that of their template:
+
+1. Generalise, level by level from the host down.  A path segment that looks like
+   an id (digits, hex, dates, numbered slugs) is ``*`` from the start.  Under a
+   node with at least ``min_children`` different children those that hold less
+   than ``rare`` of its urls become ``*`` too.  The node of the next level is named
+   by the generalised segments, so children of a wildcard are pooled.
+2. Merge, again from the host down.  Siblings are put in the order of their smoothed
+   bad rates.  Neighbours in it are alike if their distributions of next segments
+   pass a two-sample chi-square test (at most df + z * sqrt(2 df)) and the later
+   one's bad rate passes a two-proportion z test against the last labelled sibling
+   before it; siblings without labels pass that.  A run of two or more neighbours
+   that are alike becomes one branch ``+1``, ``+2``, ... whose subtrees are merged.
+   (After step 1 a node has few children: fewer than ``min_children``, or those with
+   the share ``rare`` at least and ``*``.)
+3. Judge.  The purity of a node is (bad + k * purity of its parent) / (labelled + k),
+   over all urls at or below it; a host's parent is the rate of all labels.  So
+   labels reach unlabelled templates of their branch and host; a host without any
+   label has the overall rate.  A template is blocked from purity ``reject`` on.
+
+Segments from level ``levels`` on count as one, so work grows with a path's length
+and not with its square, however long it is.  Counts are made per (host, id-free
+path) before anything is joined, so a hot host costs one partial sum per task; each
+level is written once, and joins are plain equi-joins of written tables, which
+Spark may split when skewed.
 
 Null urls and urls without ``://`` have an empty host and path, no rule, and the
-verdict of that (empty) template.  Repeated rows are judged alike and all
-returned; an empty table gives an empty result; other columns are ignored.
+verdict of that host's root.  Repeated rows are judged alike and all returned; ids
+may have any type; an empty table gives an empty result; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assay.llm.common import ascii_lower
+from assay.llm.common import ascii_lower, materialise
 
 #: (verdict, host, path) of the production list.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
+#: Levels of the tree.
+LEVELS = 6
 VARIABLE = r"^([0-9]+(\.[A-Za-z0-9]+)?|[0-9a-fA-F]{8,}|[0-9]{4}-[0-9]{2}-[0-9]{2}|[^/]*-[0-9]{3,})\z"
 
 
@@ -57,44 +72,83 @@ def _longest(rules: Sequence[tuple[str, str, str]], host: Column, path: Column,
     return F.lit(None).cast("string") if out is None else out
 
 
-def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", min_children: int = 8, rare: float = 0.1, z: float = 1.96, k: float = 10.0, reject: float = 0.8) -> DataFrame:
-    """(id, host, path, rule, verdict, template, labelled, bad): one row for each row of pages."""
-    url = F.col(url_col)
+def _segments(path: Column, levels: int) -> Column:
+    cut = F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), lambda s: F.when(s.rlike(VARIABLE), "*").otherwise(s))
+    rest = F.array(F.array_join(F.slice(cut, levels, F.greatest(F.size(cut), F.lit(1))), "/"))
+    return F.when(F.size(cut) > levels, F.concat(F.slice(cut, 1, levels - 1), rest)).otherwise(cut)
+
+
+def _generalised(paths: DataFrame, depth: int, min_children: int, rare: float) -> DataFrame:
+    """paths (host, segs, ...) with ``gens``, the segments with wildcards."""
+    out = paths.withColumns({"gens": F.array().cast("array<string>"), "node": F.lit("")})
+    for k in range(1, depth + 1):
+        out = materialise(out.withColumn("seg", F.try_element_at("segs", F.lit(k))))
+        children = out.where("seg is not null").groupBy("host", "node", "seg").agg(F.sum("n").alias("c"))
+        nodes = materialise(children.groupBy("host", "node").agg(F.sum("c").alias("total"), F.count("*").alias("kinds")).where(F.col("kinds") >= min_children))
+        wild = materialise(children.join(nodes, ["host", "node"]).where(F.col("c") < rare * F.col("total")).select("host", "node", "seg", F.lit(True).alias("wild")))
+        out = out.join(wild, ["host", "node", "seg"], "left").withColumn("gen", F.when(F.col("wild"), "*").otherwise(F.col("seg")))
+        out = out.withColumns({"gens": F.when(F.col("gen").isNull(), F.col("gens")).otherwise(F.concat("gens", F.array("gen"))), "node": F.when(F.col("gen").isNull(), F.col("node")).otherwise(F.concat("node", F.lit("/"), "gen"))})
+        out = out.drop("seg", "wild", "gen")
+    return materialise(out.drop("node"))
+
+
+def _merged(level: DataFrame, z: float, k: float) -> DataFrame:
+    """level (host, branch, g, next, n, labelled, bad, purity of the branch) -> (host, branch, g, name) of the siblings' runs."""
+    each = level.groupBy("host", "branch", "g").agg(*[F.sum(c).cast("double").alias(c[0]) for c in ("n", "labelled", "bad")], F.max("purity").alias("p"))
+    each = each.withColumn("rate", (F.col("b") + k * F.col("p")) / (F.col("l") + k))
+    order = Window.partitionBy("host", "branch").orderBy("rate", "g")
+    before = F.last(F.when(F.col("l") > 0, F.struct("l", "b")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    each = materialise(each.withColumns({"prev": F.lag("g").over(order), "np": F.lag("n").over(order), "last": before}))
+    cells = level.groupBy("host", "branch", "g", "next").agg(F.sum("n").cast("double").alias("o"))
+    pairs = each.where("prev is not null").select("host", "branch", "g", "prev", F.sqrt(F.col("np") / F.col("n")).alias("a"))
+    mine = pairs.join(cells, ["host", "branch", "g"]).select("host", "branch", "g", "next", "a", F.col("o").alias("og"), F.lit(0.0).alias("op"))
+    theirs = pairs.join(cells.withColumnRenamed("g", "prev"), ["host", "branch", "prev"]).select("host", "branch", "g", "next", "a", F.lit(0.0).alias("og"), F.col("o").alias("op"))
+    both = mine.unionByName(theirs).groupBy("host", "branch", "g", "next").agg(F.sum("og").alias("og"), F.sum("op").alias("op"), F.max("a").alias("a"))
+    gap = F.col("og") * F.col("a") - F.col("op") / F.col("a")
+    shape = both.groupBy("host", "branch", "g").agg(F.sum(gap * gap / (F.col("og") + F.col("op"))).alias("chi"), (F.count("*") - 1).cast("double").alias("df"))
+    l, b, m, c = F.col("l"), F.col("b"), F.col("last.l"), F.col("last.b")
+    rate, apart = F.try_divide(b + c, l + m), F.try_divide(b, l) - F.try_divide(c, m)
+    same_rate = F.coalesce(apart * apart <= z * z * rate * (1.0 - rate) * (F.try_divide(F.lit(1.0), l) + F.try_divide(F.lit(1.0), m)) + 1e-9, F.lit(True))
+    alike = F.coalesce(F.col("chi") <= F.col("df") + z * F.sqrt(2.0 * F.col("df")) + 1e-6, F.lit(False)) & same_rate
+    runs = each.join(shape, ["host", "branch", "g"], "left").withColumn("run", F.sum(F.when(alike, 0).otherwise(1)).over(order))
+    size = F.count("*").over(Window.partitionBy("host", "branch", "run"))
+    return runs.select("host", "branch", "g", F.when(size > 1, F.concat(F.lit("+"), F.col("run").cast("string"))).otherwise(F.col("g")).alias("name"))
+
+
+def _judged(shapes: DataFrame, depth: int, z: float, k: float) -> DataFrame:
+    """shapes (host, gens, n, labelled, bad) with template, purity and the labels at or below the template's node."""
+    purity = lambda c, prior: (F.col(c + "bad").cast("double") + k * prior) / (F.col(c + "labelled").cast("double") + k)
+    overall = shapes.agg(F.coalesce(F.try_divide(F.sum("bad").cast("double"), F.sum("labelled")), F.lit(0.0)).alias("rate"))
+    hosts = shapes.groupBy("host").agg(F.sum("labelled").alias("m_labelled"), F.sum("bad").alias("m_bad")).crossJoin(F.broadcast(overall))  # one row
+    hosts = hosts.select("host", "m_labelled", "m_bad", purity("m_", F.col("rate")).alias("purity"))
+    out = shapes.join(materialise(hosts), "host").withColumn("branch", F.lit(""))
+    for i in range(1, depth + 1):
+        out = materialise(out.withColumns({"g": F.try_element_at("gens", F.lit(i)), "next": F.coalesce(F.try_element_at("gens", F.lit(i + 1)), F.lit(""))}))
+        merged = materialise(_merged(out.where("g is not null"), z, k))
+        out = out.join(merged, ["host", "branch", "g"], "left")
+        out = materialise(out.withColumn("branch", F.when(F.col("g").isNotNull(), F.concat("branch", F.lit("/"), "name")).otherwise(F.col("branch"))).drop("name"))
+        below = out.where("g is not null").groupBy("host", "branch").agg(F.sum("labelled").alias("b_labelled"), F.sum("bad").alias("b_bad"))
+        out = out.join(materialise(below).withColumn("here", F.lit(True)), ["host", "branch"], "left")
+        here = F.col("here") & F.col("g").isNotNull()
+        out = out.withColumns({
+            "purity": F.when(here, purity("b_", F.col("purity"))).otherwise(F.col("purity")),
+            "m_labelled": F.when(here, F.col("b_labelled")).otherwise(F.col("m_labelled")), "m_bad": F.when(here, F.col("b_bad")).otherwise(F.col("m_bad")),
+        }).drop("g", "next", "b_labelled", "b_bad", "here")
+    return out.select("host", "gens", F.when(F.col("branch") == "", "/").otherwise(F.col("branch")).alias("template"), F.col("m_labelled").alias("labelled"), F.col("m_bad").alias("bad"), "purity")
+
+
+def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", min_children: int = 8, rare: float = 0.1, z: float = 1.96, k: float = 10.0, reject: float = 0.8, levels: int = LEVELS) -> DataFrame:
+    """(id, host, path, rule, verdict, template, labelled, bad, purity): one row for each row of pages."""
+    url = F.col(url_col).cast("string")
     seen = pages.select(F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"))
     host, path = F.col("host"), F.col("path")
-    segments = F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), lambda s: F.when(s.rlike(VARIABLE), "*").otherwise(s))
-    seen = seen.select("id", "host", "path", _longest(rules, host, path, lambda r: r[1] + r[2]).alias("rule"), _longest(rules, host, path, lambda r: r[0]).alias("by_rule"), F.concat(F.lit("/"), F.array_join(segments, "/")).alias("lexical"))
-
-    paths = seen.groupBy("host", "lexical").agg(F.count("*").alias("n"), F.count("by_rule").alias("labelled"), F.count_if(F.col("by_rule") == "block").alias("bad"))
-    parts = F.split(F.substring(F.col("lexical"), 2, F.length("lexical")), "/")
-    steps = paths.select("host", "lexical", "n", parts.alias("parts")).select("host", "lexical", "n", "parts", F.posexplode("parts").alias("pos", "seg"))
-    steps = steps.select("host", "lexical", "n", "pos", "seg", F.array_join(F.slice("parts", F.lit(1), F.col("pos")), "/").alias("parent"))
-    children = steps.groupBy("host", "parent", "pos", "seg").agg(F.sum("n").alias("n"))
-    nodes = children.groupBy("host", "parent", "pos").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-    wild = children.join(nodes, ["host", "parent", "pos"]).where((F.col("kinds") >= min_children) & (F.col("n") < rare * F.col("total"))).select("host", "parent", "pos", "seg", F.lit(True).alias("wild"))
-    named = steps.join(wild, ["host", "parent", "pos", "seg"], "left").groupBy("host", "lexical").agg(F.array_sort(F.collect_list(F.struct("pos", F.when(F.col("wild"), "*").otherwise(F.col("seg")).alias("seg")))).alias("s"))
-    named = named.select("host", "lexical", F.concat(F.lit("/"), F.array_join("s.seg", "/")).alias("template"), F.array_join(F.slice(F.col("s.seg"), F.lit(1), F.size("s") - 1), "/").alias("branch"))
-
-    templates = named.join(paths, ["host", "lexical"]).groupBy("host", "branch", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-    around = templates.groupBy("host", "branch").agg(F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
-    n, b, big_n, big_b = (F.col(c).cast("double") for c in ("labelled", "bad", "all_labelled", "all_bad"))
-    pooled = big_b / big_n
-    gap = b / n - (big_b - b) / (big_n - n)
-    alike = (F.col("labelled") > 0) & (F.col("all_labelled") > F.col("labelled")) & F.coalesce(gap * gap <= z * z * pooled * (1.0 - pooled) * (1.0 / n + 1.0 / (big_n - n)), F.lit(False))
-    # the quotients of branches without labels are never reached: each is guarded by a when
-    alike = F.when((F.col("labelled") > 0) & (F.col("all_labelled") > F.col("labelled")), alike).otherwise(False)
-    marked = templates.join(around, ["host", "branch"]).select("host", "branch", "template", "labelled", "bad", alike.alias("alike"))
-    merged = marked.where("alike").groupBy("host", "branch").agg(F.sum("labelled").alias("m_labelled"), F.sum("bad").alias("m_bad"))
-    judged = marked.join(merged, ["host", "branch"], "left").select(
-        "host", "template",
-        F.when(F.col("alike"), F.col("m_labelled")).otherwise(F.col("labelled")).alias("labelled"),
-        F.when(F.col("alike"), F.col("m_bad")).otherwise(F.col("bad")).alias("bad"),
-    )
-    rate = seen.agg(F.count_if(F.col("by_rule") == "block").cast("double").alias("b"), F.count("by_rule").cast("double").alias("n")).select(F.when(F.col("n") > 0, F.try_divide("b", "n")).otherwise(0.0).alias("rate"))
-    judged = judged.crossJoin(F.broadcast(rate))  # one row
-    purity = (F.col("bad").cast("double") + k * F.col("rate")) / (F.col("labelled").cast("double") + k)
-    judged = judged.select("host", "template", "labelled", "bad", F.when(purity >= reject, "block").otherwise("allow").alias("by_template"))
-    lookup = named.select("host", "lexical", "template").join(judged, ["host", "template"])
-    return seen.join(lookup, ["host", "lexical"], "left").select(
-        F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("by_rule", "by_template").alias("verdict"), "template", "labelled", "bad",
+    seen = seen.select("id", "host", "path", _longest(rules, host, path, lambda r: r[1] + r[2]).alias("rule"), _longest(rules, host, path, lambda r: r[0]).alias("by_rule"), _segments(path, levels).alias("segs"))
+    paths = materialise(seen.groupBy("host", "segs").agg(F.count("*").alias("n"), F.count("by_rule").alias("labelled"), F.count_if(F.col("by_rule") == "block").alias("bad")))
+    depth = paths.agg(F.max(F.size("segs")).alias("d")).head().d or 0
+    named = _generalised(paths, depth, min_children, rare)
+    shapes = materialise(named.groupBy("host", "gens").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")))
+    lookup = materialise(named.select("host", "segs", "gens").join(materialise(_judged(shapes, depth, z, k)), ["host", "gens"]).drop("gens"))
+    by_template = F.when(F.col("purity") >= reject, "block").otherwise("allow")
+    return seen.join(lookup, ["host", "segs"], "left").select(
+        F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("by_rule", by_template).alias("verdict"), "template", "labelled", "bad", "purity",
     )
