@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +33,53 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch, at most, unless one row is longer.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_BYTES: what a Python worker and its JVM hold of a table with long rows is a few batches."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = re.fullmatch(r"(\d+)([bkmg]?)b?", spark.conf.get(key).strip().lower())
+    if size and int(size[1]) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30}[size[2]] > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def free_memory() -> None:
+    """Gives the free memory of a Python worker, which Spark keeps for later tasks, back to the machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to give back
+        pass
+
+
+def freeing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, for mapInArrow, with free_memory at the end of a task."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            free_memory()
+
+    return task
+
+
+def text_udf(kind: str, value: Callable[[pa.Array], pa.Array]) -> Callable[[Column], Column]:
+    """value, an Arrow function of a text column, as a column function; only that column travels to Python."""
+
+    @F.arrow_udf(kind)
+    def task(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            for t in texts:
+                yield value(t)
+        finally:
+            free_memory()
+
+    return task
+
+
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """df without the columns (in any case) whose names an operator is about to add."""
     taken = {n.lower() for n in names}
@@ -50,27 +100,30 @@ def buckets(spark: SparkSession) -> int:
     return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most: int = 60) -> DataFrame:
+def _fingerprint(edges: DataFrame) -> tuple:
+    """Equal for equal sets of distinct edges: their number and two sums of hashes, which only 128 equal bits could confuse."""
+    two = [F.sum(F.xxhash64("u", "v", F.lit(k)).cast("decimal(38,0)")).alias(f"h{k}") for k in (1, 2)]
+    return tuple(edges.agg(F.count("*").alias("n"), *two).head())
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected graph of long ids: rows (node, component), component being the smallest node reached.
 
-    Alternates large-star and small-star steps until nothing changes; each step
-    is one shuffle by node with map-side minima, and each round's edges go to a
-    scratch table.  Stars around one hot node are split by Spark's skew join
-    because only (node, minimum) pairs meet.
+    Alternates large-star and small-star steps until nothing changes (rounds grow
+    with the logarithm of the longest chain); each step is one shuffle by node with
+    map-side minima, and each round's edges go to a scratch table.  Stars around one
+    hot node are split by Spark's skew join because only (node, minimum) pairs meet.
     """
     e = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     e = materialise(e)
-    for _ in range(most):
+    old, new = None, _fingerprint(e)
+    while new != old:
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        new = materialise(small)
-        changed = new.join(e, ["u", "v"], "left_anti").limit(1).count() + e.join(new, ["u", "v"], "left_anti").limit(1).count()
-        e = new
-        if not changed:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {most} rounds")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+        ends = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        e = materialise(large.join(low, "u").select(F.explode(ends).alias("e")).select("e.u", "e.v").where("u <> v").distinct())
+        old, new = new, _fingerprint(e)
+    roots = e.select(F.col("v").alias("node"), F.col("v").alias("component"))
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots).distinct()
