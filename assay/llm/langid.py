@@ -13,8 +13,9 @@ each task before they are shuffled; the driver gets ``size`` rows a language.
 
 Null texts and texts without letters are ``und`` with score 0, and so is every
 text if nothing was learned.  Rows without a language are not learned from.
-Repeated rows count as often as they occur and are all returned.  An empty
-table gives an empty result; other columns are ignored.
+Repeated rows count as often as they occur and are all returned.  Very long texts
+are counted whole; ids may have any type.  An empty table gives an empty result;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assay.llm import tokens
-from assay.llm.common import remainder
+from assay.llm.common import freeing, remainder, small_batches
 from assay.llm.tokens import U64
 
 SIZE = 300
@@ -115,7 +116,7 @@ def _sum(parts):
 def profiles(train: DataFrame, lang_col: str = "lang", text_col: str = "text", size: int = SIZE) -> DataFrame:
     """(lang, gram, rank): the profile of each language; gram packs the n-gram's code points."""
     rows = train.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    counts = rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(freeing(_count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), F.col("gram").bitwiseXOR(F.lit(-(1 << 63))))
     return counts.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < size).select("lang", "gram", "rank")
 
@@ -147,6 +148,7 @@ class Model:
 
 def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", size: int = SIZE) -> DataFrame:
     """(id, held_out, lang_pred, score) for each row of docs; held_out: crc32(id) mod 4 is 2."""
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(Model(profiles(train, lang_col, text_col, size).collect(), size))
     id_type = docs.schema[id_col].dataType.simpleString()
 
@@ -157,4 +159,4 @@ def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col
 
     held = F.coalesce(remainder(id_col, 4) == 2, F.lit(False))
     rows = docs.select(F.col(id_col).alias("id"), held.alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {id_type}, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(freeing(run), f"id {id_type}, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)

@@ -36,8 +36,9 @@ estimate goes to a scratch table until the weights are known.
 
 base_score is exact: sum over tokens of log10((c + 1/2) / (N + (V + 1) / 2)).
 Null and empty texts have the end token only.  Rows with a null id are training
-texts.  Repeated rows are all counted, scored alike and returned.  An empty
-table gives an empty result; other columns are ignored.
+texts; ids may have any type.  Repeated rows are all counted, scored alike and
+returned.  Very long texts are read whole, in chunks of bounded size.  An empty
+table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -49,9 +50,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from assay.llm import tokens
-from assay.llm.common import materialise, remainder
+from assay.llm.common import freeing, materialise, remainder, small_batches
 from assay.llm.tokens import END, U64
 
 HEADS, TOP = 1024, 1 << 18
@@ -621,16 +623,17 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
         raise ValueError("top must be below 2^20")
     spark = docs.sparkSession
     sc = spark.sparkContext
+    small_batches(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
-    arrow_id = {"bigint": pa.int64(), "int": pa.int32()}.get(id_type, pa.string())
+    arrow_id = to_arrow_type(docs.schema[id_col].dataType)
     n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a partition each, so even without more buckets than partitions
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     held = F.coalesce(remainder(id_col, 5) == 1, F.lit(False))
     fold = F.coalesce(F.floor(F.crc32(F.col(id_col).cast("string").cast("binary")) / 5) % 10 == 0, F.lit(False))
     train = docs.where(~held)
 
-    words = train.select(text.alias("text")).mapInArrow(_count_words(n_buckets), _PACK)
-    words = materialise(words.repartitionById(n_buckets, "bucket").mapInArrow(_add_words, "word long, c long"))
+    words = train.select(text.alias("text")).mapInArrow(freeing(_count_words(n_buckets)), _PACK)
+    words = materialise(words.repartitionById(n_buckets, "bucket").mapInArrow(freeing(_add_words), "word long, c long"))
     # the count from which on at most `top` words remain, by sixteenths of a power of two
     grade = F.floor(16 * F.log2("c")).cast("int")
     steps = sorted(words.groupBy(grade.alias("g")).agg(F.count("*").alias("v"), F.sum("c").alias("n"), F.min("c").alias("least")).collect(), key=lambda r: -r.g)
@@ -646,7 +649,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     lexicon = Lexicon(np.ascontiguousarray(w), np.ascontiguousarray(c), n, v, heads)
     lex = sc.broadcast(lexicon)
 
-    pairs = train.select(text.alias("text"), fold.alias("fold")).mapInArrow(_count_pairs(lex), "slice int, code binary, n binary")
+    pairs = train.select(text.alias("text"), fold.alias("fold")).mapInArrow(freeing(_count_pairs(lex)), "slice int, code binary, n binary")
     counts = np.zeros((2, lexicon.classes * lexicon.classes), np.int64)
     for r in pairs.groupBy("slice").applyInArrow(_add_pairs, "slice int, code binary, n binary").collect():
         counts[:, np.frombuffer(bytes(r.code), np.int64)] = np.frombuffer(bytes(r.n), np.int64).reshape(2, -1)
@@ -654,14 +657,14 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     table = sc.broadcast(transitions(counts[0].reshape(shape), counts[1].reshape(shape)))
 
     rows = docs.select(F.xxhash64(F.col(id_col), text).bitwiseAND(F.lit((1 << 63) - 1)).alias("rid"), F.col(id_col).alias("id"), held.alias("held_out"), text.alias("text"))
-    parts = rows.mapInArrow(_score(lex, table, n_buckets, arrow_id), _PARTS.format(id=id_type))
+    parts = rows.mapInArrow(freeing(_score(lex, table, n_buckets, arrow_id)), _PARTS.format(id=id_type))
     back = _BACK.format(id=id_type)
     within = sc.broadcast(counts.sum(axis=0).reshape(shape)[:heads, heads:])
-    first = materialise(parts.repartitionById(n_buckets, "bucket").mapInArrow(_rare(lex, table, within, n_buckets, arrow_id), back))
-    second = materialise(first.where("kind in (3, 4)").repartitionById(n_buckets, "home").mapInArrow(_second(lex, table, arrow_id), back))
+    first = materialise(parts.repartitionById(n_buckets, "bucket").mapInArrow(freeing(_rare(lex, table, within, n_buckets, arrow_id)), back))
+    second = materialise(first.where("kind in (3, 4)").repartitionById(n_buckets, "home").mapInArrow(freeing(_second(lex, table, arrow_id)), back))
     both = first.where("kind in (1, 2)").unionByName(second)
-    cells = both.where("kind = 2").select("sums", "more").mapInArrow(_cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    cells = both.where("kind = 2").select("sums", "more").mapInArrow(freeing(_cells), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     a = pair_weights(np.array([r.cell for r in cells], np.int64), np.array([r.n for r in cells], float))
-    back = first.where("kind is null or kind = 0").unionByName(both.where("kind = 1").mapInArrow(_weighed(a, n_buckets, arrow_id), back))
-    out = back.repartitionById(n_buckets, "home").mapInArrow(_together(arrow_id), f"id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    back = first.where("kind is null or kind = 0").unionByName(both.where("kind = 1").mapInArrow(freeing(_weighed(a, n_buckets, arrow_id)), back))
+    out = back.repartitionById(n_buckets, "home").mapInArrow(freeing(_together(arrow_id)), f"id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

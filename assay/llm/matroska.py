@@ -12,8 +12,9 @@ A packet table is exploded in the task that parses the row: one row of media is
 one unit of work, and nothing is shuffled.
 
 Null media give no packets, null texts are stored as empty ones.  Damaged media
-give the packets before the damage and a non-null ``error``.  Repeated rows are
-all returned; an empty table gives an empty result; other columns are ignored.
+give the packets before the damage and a non-null ``error``.  Very long texts are
+stored whole.  Repeated rows are all returned; ids may have any type; an empty
+table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assay.llm.common import freeing, small_batches
+
 # Element ids of the Matroska and EBML specifications.
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
 TIMESTAMP_SCALE, TRACK, NUMBER, UID, KIND, CODEC, LACING = 0x2AD7B1, 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0x9C
@@ -305,8 +308,9 @@ def _write_rows(batches):
 
 def as_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, media): each text as a Matroska file."""
+    small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_write_rows, f"id {id_type}, n_bytes long, media binary").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(freeing(_write_rows), f"id {id_type}, n_bytes long, media binary").withColumnRenamed("id", id_col)
 
 
 def _packet_rows(batches):
@@ -327,7 +331,7 @@ def packet_table(media: DataFrame, id_col: str = "doc_id", media_col: str = "med
     """(id, packet, track, timestamp_ns, start, size, key_frame, lacing, codec, error): a row for each packet of each file."""
     id_type = media.schema[id_col].dataType.simpleString()
     rows = media.select(F.col(id_col).alias("id"), F.col(media_col).alias("media"))
-    return rows.mapInArrow(_packet_rows, f"id {id_type}, packet long, track long, timestamp_ns long, start long, size long, key_frame boolean, lacing int, codec string, error string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(freeing(_packet_rows), f"id {id_type}, packet long, track long, timestamp_ns long, start long, size long, key_frame boolean, lacing int, codec string, error string").withColumnRenamed("id", id_col)
 
 
 def payload(media, m: Media) -> bytes:
@@ -339,26 +343,34 @@ def _feature(m: Media, data: bytes) -> str:
     x = np.frombuffer(data, np.uint8)
     t = next(iter(m.tracks.values()), {})
     kinds = ",".join(str(sum(1 for p in m.packets if p[5] == k)) for k in range(4))
-    return f"codec={t.get('codec')};rate={t.get('rate'):g};clusters={m.clusters};blocks={m.blocks};packets={len(m.packets)};lacing={kinds};cues={len(m.cues)};last_ns={m.packets[-1][1]};mean={x.mean():.4f};peak={x.max()}"
+    last, mean, peak = m.packets[-1][1] if m.packets else 0, x.mean() if len(x) else 0.0, x.max() if len(x) else 0
+    return f"codec={t.get('codec')};rate={t.get('rate') or 0:g};clusters={m.clusters};blocks={m.blocks};packets={len(m.packets)};lacing={kinds};cues={len(m.cues)};last_ns={last};mean={mean:.4f};peak={peak}"
 
 
 def _digest_rows(batches):
     for b in batches:
         rows = []
         for media in b.column(2):
-            raw = bytes(media.as_buffer())
+            if not media.is_valid:
+                rows.append((None,) * 7)
+                continue
+            raw = media.as_buffer().to_pybytes()
             m = parse(raw)
-            if m.error:
-                raise Damaged(m.error)
             p = payload(raw, m)
-            rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(raw), hashlib.sha256(raw).hexdigest(), _feature(m, p)))
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)]], names=["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(raw), hashlib.sha256(raw).hexdigest(), _feature(m, p), m.error))
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+        names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)]], names=names)
 
 
 def digests(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """(id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature), read back from the stored files."""
+    """(id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, error), read back from the stored files.
+
+    Null media have null digests; damaged ones the digests of the packets before the damage, and the error.
+    """
+    small_batches(media.sparkSession)
     id_type = media.schema[id_col].dataType.simpleString()
-    rows = media.select(F.col(id_col).alias("id"), "n_bytes", F.col(media_col).alias("media"))
-    return rows.mapInArrow(_digest_rows, f"id {id_type}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").withColumnRenamed("id", id_col)
+    rows = media.select(F.col(id_col).alias("id"), F.col("n_bytes").cast("long").alias("n_bytes"), F.col(media_col).alias("media"))
+    kinds = f"id {id_type}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
+    return rows.mapInArrow(freeing(_digest_rows), kinds).withColumnRenamed("id", id_col)
