@@ -7,6 +7,7 @@ small function in an Arrow UDF; broken XML, a DOCTYPE or null count as no docume
 
 from __future__ import annotations
 
+import html
 import re
 from xml.etree import ElementTree
 
@@ -49,17 +50,18 @@ def _tree(doc: str | None) -> ElementTree.Element | None:
 
 
 def _plain(e: ElementTree.Element) -> str:
-    return re.sub(r"\s+", " ", re.sub("<[^>]+>", " ", " ".join(e.itertext()))).strip()
+    """The element's text as a reader sees it: markup that was stored as escaped text is unescaped and taken out."""
+    return re.sub(r"\s+", " ", re.sub("<[^>]+>", " ", html.unescape(" ".join(e.itertext())))).strip()
 
 
 def _state(name: str, e: ElementTree.Element) -> str:
+    if name == "extent":  # four bounds, however they are written
+        return "present" if sum(1 for x in e.iter() if x.text and re.search(r"\d", x.text)) >= 4 else "missing"
     text = _plain(e)
-    if name == "extent":
-        numbers = [x for x in e.iter() if x.text and re.fullmatch(r"\s*[-+]?\d+(\.\d*)?([eE][-+]?\d+)?\s*", x.text)]
-        return "present" if len(numbers) >= 4 else "missing"
-    if not text or name == "contact" and len(text) < 3:
-        return "missing"
-    return "placeholder" if _HOLLOW.search(text) else "present"
+    hollow = bool(_HOLLOW.search(text))
+    if name == "contact":
+        return "present" if len(text) >= 3 and not hollow else "missing"
+    return "missing" if not text else "placeholder" if hollow else "present"
 
 
 def evaluate(doc: str | None) -> dict:
@@ -68,20 +70,20 @@ def evaluate(doc: str | None) -> dict:
     root = _tree(doc)
     if root is None:
         return out
-    tags = {e.tag for e in root.iter()}
-    arcgis = root.find("Esri") is not None or root.find("dataIdInfo") is not None
-    out["standard"] = "ISO 19139" if any(str(t).startswith("MD_Metadata") for t in tags) else "FGDC" if root.find("idinfo") is not None else "ArcGIS" if arcgis else "Unknown"
-    machine = {id(child) for e in root.iter("DataProperties") for child in e}
+    tags = {e.tag for e in root.iter() if isinstance(e.tag, str)}
+    signs = {"ISO 19139": {"MD_Metadata"}, "FGDC CSDGM": {"idinfo"}, "ArcGIS": {"Esri", "dataIdInfo"}}
+    out["standard"] = next((name for name, known in signs.items() if known & tags), "Unknown")
+    machine = {child for e in root.iter("DataProperties") for child in e}
     for name, paths in PATHS.items():
         for e in (e for path in paths for e in root.iterfind(f".//{path}")):
-            if name == "lineage" and id(e) in machine:
+            if name == "lineage" and e in machine:
                 continue
             state = _state(name, e)
             if state != "missing":
                 out[name] = state
             if state == "present":
                 break
-    if out["lineage"] == "missing" and root.find("Esri/DataProperties/lineage/Process") is not None:
+    if out["lineage"] == "missing" and any(e.find("DataProperties/lineage/Process") is not None for e in root.iterfind(".//Esri")):
         out["lineage"] = "auto"
     return out
 

@@ -1,8 +1,10 @@
-"""Geometry as columns: a shape is ``array<array<struct<x, y, z>>>`` (parts of vertices); measures are built-in expressions.
+"""Geometry as columns: a shape is ``array<array<array<struct<x, y, z>>>>``; measures are built-in expressions.
 
-WKB is decoded by an Arrow UDF (Spark has no parser for it); validity of rings and
-lines needs segment intersections and is a small numpy UDF.  Null and empty
-shapes have length and area 0 and no end points.
+Levels: parts (points, lines or polygons), their rings (a point's or a line's only
+one; of a polygon the shell, then the holes), vertices.  WKB is decoded by an Arrow
+UDF (Spark has no parser for it); validity of rings and lines needs segment
+intersections and is a small numpy UDF.  Null and empty shapes have length and
+area 0 and no end points.
 """
 
 from __future__ import annotations
@@ -15,12 +17,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
-SHAPE = "array<array<struct<x:double,y:double,z:double>>>"
-_SHAPE = ArrayType(ArrayType(StructType([StructField(c, DoubleType()) for c in "xyz"])))
+VERTEX = "struct<x:double,y:double,z:double>"
+SHAPE = f"array<array<array<{VERTEX}>>>"
+_SHAPE = ArrayType(ArrayType(ArrayType(StructType([StructField(c, DoubleType()) for c in "xyz"]))))
 
 
 def _parts(data: bytes) -> list | None:
-    """Parts of a WKB point, line, polygon or multi of these; None if it cannot be read."""
+    """Parts of a WKB point, line, polygon or multi of these as lists of rings; None if it cannot be read."""
 
     def read(at: int):
         order = "<" if data[at] == 1 else ">"
@@ -39,23 +42,22 @@ def _parts(data: bytes) -> list | None:
             return struct.unpack_from(order + "I", data, at)[0], at + 4
 
         if kind == 1:
-            part, at = run(1, at)
-            return ([part] if part[0][0] == part[0][0] else []), at
-        if kind == 2:
-            n, at = count(at)
-            part, at = run(n, at)
-            return ([part] if part else []), at
-        parts: list = []
+            ring, at = run(1, at)
+            return ([[ring]] if ring[0][0] == ring[0][0] else []), at
         n, at = count(at)
+        if kind == 2:
+            ring, at = run(n, at)
+            return ([[ring]] if ring else []), at
+        inner: list = []
         for _ in range(n):
             if kind == 3:
                 m, at = count(at)
-                part, at = run(m, at)
-                parts.append(part)
+                ring, at = run(m, at)
+                inner.append(ring)
             else:
-                inner, at = read(at)
-                parts += inner
-        return parts, at
+                parts, at = read(at)
+                inner += parts
+        return ([inner] if inner else []) if kind == 3 else inner, at
 
     try:
         return read(0)[0]
@@ -65,17 +67,27 @@ def _parts(data: bytes) -> list | None:
 
 @F.pandas_udf(_SHAPE)
 def from_wkb(c: pd.Series) -> pd.Series:
-    return c.map(lambda b: None if b is None else (lambda p: p if p is None else [[{"x": x, "y": y, "z": z} for x, y, z in part] for part in p])(_parts(bytes(b))))
+    named = lambda parts: None if parts is None else [[[{"x": x, "y": y, "z": z} for x, y, z in ring] for ring in part] for part in parts]
+    return c.map(lambda b: None if b is None else named(_parts(bytes(b))))
+
+
+def rings(shape: Column) -> Column:
+    return F.coalesce(F.flatten(shape), F.array().cast(f"array<array<{VERTEX}>>"))
 
 
 def vertices(shape: Column) -> Column:
-    return F.coalesce(F.flatten(shape), F.array().cast("array<struct<x:double,y:double,z:double>>"))
+    return F.flatten(rings(shape))
 
 
 def is_empty(shape: Column) -> Column:
     return shape.isNull() | (F.size(vertices(shape)) == 0)
 
 
+def has_z(shape: Column) -> Column:
+    """Whether any vertex has a height; false for null and empty shapes."""
+    return F.exists(vertices(shape), lambda v: v.z.isNotNull())
+
+
 def _steps(part: Column, value) -> Column:
     """Sum of value(a, b) over consecutive vertices."""
     pairs = F.when(F.size(part) > 1, F.zip_with(F.slice(part, F.lit(1), F.size(part) - 1), F.slice(part, F.lit(2), F.size(part) - 1), value)).otherwise(F.array().cast("array<double>"))
@@ -83,25 +95,46 @@ def _steps(part: Column, value) -> Column:
 
 
 def length(shape: Column) -> Column:
-    each = F.transform(shape, lambda p: _steps(p, lambda a, b: F.sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y))))
-    return F.coalesce(F.aggregate(each, F.lit(0.0), lambda s, x: s + x), F.lit(0.0))
+    each = F.transform(rings(shape), lambda p: _steps(p, lambda a, b: F.sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y))))
+    return F.aggregate(each, F.lit(0.0), lambda s, x: s + x)
+
+
+def _ring_area(ring: Column) -> Column:
+    closed = F.when(F.size(ring) > 0, F.concat(ring, F.array(F.element_at(ring, 1)))).otherwise(ring)
+    return F.abs(_steps(closed, lambda a, b: a.x * b.y - b.x * a.y)) / 2
 
 
 def area(shape: Column) -> Column:
-    """Of the outer ring less the other rings; a part that is not closed counts as if it were, so a line has none."""
-    closed = lambda p: F.when(F.size(p) > 0, F.concat(p, F.array(F.element_at(p, 1)))).otherwise(p)
-    each = F.transform(shape, lambda p: F.abs(_steps(closed(p), lambda a, b: a.x * b.y - b.x * a.y)) / 2)
-    return F.coalesce(F.element_at(each, 1) - F.aggregate(F.slice(each, 2, 1_000_000), F.lit(0.0), lambda s, x: s + x), F.lit(0.0))
+    """Sum over the parts of the shell's area less its holes'; a ring that is not closed counts as if it were, so a line of two vertices has none."""
+    holes = lambda part: F.aggregate(F.slice(part, 2, 1_000_000), F.lit(0.0), lambda s, r: s + _ring_area(r))
+    each = F.transform(F.filter(shape, lambda p: F.size(p) > 0), lambda p: _ring_area(F.element_at(p, 1)) - holes(p))
+    return F.coalesce(F.aggregate(each, F.lit(0.0), lambda s, x: s + x), F.lit(0.0))
 
 
 def ends(shape: Column) -> Column:
-    """First and last vertex of each part, to be exploded."""
-    return F.flatten(F.transform(F.filter(shape, lambda p: F.size(p) > 0), lambda p: F.array(F.element_at(p, 1), F.element_at(p, -1))))
+    """First and last vertex of each line, to be exploded."""
+    return F.flatten(F.transform(F.filter(rings(shape), lambda p: F.size(p) > 0), lambda p: F.array(F.element_at(p, 1), F.element_at(p, -1))))
 
 
 def segments(shape: Column) -> Column:
-    """Consecutive vertices of each part as (x1, y1, x2, y2), to be exploded."""
-    return F.flatten(F.transform(F.filter(shape, lambda p: F.size(p) > 1), lambda p: F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p) - 1), lambda a, b: F.struct(a.x.alias("x1"), a.y.alias("y1"), b.x.alias("x2"), b.y.alias("y2")))))
+    """Consecutive vertices of each ring as (x1, y1, x2, y2), to be exploded."""
+    step = lambda a, b: F.struct(a.x.alias("x1"), a.y.alias("y1"), b.x.alias("x2"), b.y.alias("y2"))
+    return F.flatten(F.transform(F.filter(rings(shape), lambda p: F.size(p) > 1), lambda p: F.zip_with(F.slice(p, F.lit(1), F.size(p) - 1), F.slice(p, F.lit(2), F.size(p) - 1), step)))
+
+
+def simplified(shape: Column, tolerance: Column | float) -> Column:
+    """Vertices nearer than tolerance to the last one kept are left out of each ring, its first and last vertex never."""
+
+    def thin(ring: Column) -> Column:
+        def step(kept: Column, v: Column) -> Column:
+            last = F.element_at(kept, -1)
+            far = (v.x - last.x) * (v.x - last.x) + (v.y - last.y) * (v.y - last.y) >= F.lit(tolerance) * F.lit(tolerance)
+            return F.when((F.size(kept) == 0) | far, F.concat(kept, F.array(v))).otherwise(kept)
+
+        inner = F.aggregate(F.slice(ring, F.lit(1), F.size(ring) - 1), F.slice(ring, 1, 0), step)
+        return F.when(F.size(ring) > 2, F.concat(inner, F.array(F.element_at(ring, -1)))).otherwise(ring)
+
+    return F.transform(shape, lambda part: F.transform(part, thin))
 
 
 def distance2(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
@@ -143,20 +176,70 @@ def _crosses(p: np.ndarray, closed: bool) -> bool:
     return False
 
 
+def _meet(p: np.ndarray, q: np.ndarray) -> bool:
+    """Whether two rings cross: segments that pass through each other, or overlap along a line; touching in a point is no crossing."""
+    turn = lambda o, u, v: np.sign((u[..., 0] - o[..., 0]) * (v[..., 1] - o[..., 1]) - (u[..., 1] - o[..., 1]) * (v[..., 0] - o[..., 0]))
+    c, d = q[:-1], q[1:]
+    for a, b in zip(p[:-1], p[1:], strict=True):
+        d1, d2, d3, d4 = turn(a, b, c), turn(a, b, d), turn(c, d, a), turn(c, d, b)
+        if np.any((d1 * d2 < 0) & (d3 * d4 < 0)):
+            return True
+        along = np.flatnonzero((d1 == 0) & (d2 == 0))
+        t = (b - a) @ (b - a)
+        if len(along) and t > 0:
+            s = np.sort(np.stack([(c[along] - a) @ (b - a), (d[along] - a) @ (b - a)]) / t, axis=0)
+            if np.any(np.minimum(s[1], 1) - np.maximum(s[0], 0) > 0):
+                return True
+    return False
+
+
+def _inside(p: np.ndarray, ring: np.ndarray) -> bool:
+    """Whether the first vertex of p that is not on the ring lies in it; true if all are on it."""
+    a, b = ring[:-1], ring[1:]
+    for x, y in p:
+        cross = (b[:, 0] - a[:, 0]) * (y - a[:, 1]) - (b[:, 1] - a[:, 1]) * (x - a[:, 0])
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        if np.any((cross == 0) & (low[:, 0] <= x) & (x <= high[:, 0]) & (low[:, 1] <= y) & (y <= high[:, 1])):
+            continue
+        up = (a[:, 1] > y) != (b[:, 1] > y)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            at = a[:, 0] + (y - a[:, 1]) * (b[:, 0] - a[:, 0]) / (b[:, 1] - a[:, 1])
+        return bool(np.count_nonzero(up & (x < at)) % 2)
+    return True
+
+
 def _reason(kind: str, parts) -> str | None:
+    shells = []
     for part in parts if parts is not None else ():
-        p = np.array([(v["x"], v["y"]) for v in part], float).reshape(-1, 2)
-        if not np.isfinite(p).all():
-            return "Invalid Coordinate"
-        if "line" in kind and len(np.unique(p, axis=0)) < 2:
-            return "Too few points in geometry component"
-        if "polygon" in kind:
-            if len(p) < 4 or len(np.unique(p, axis=0)) < 3:
+        polygon = [np.array([(v["x"], v["y"]) for v in ring], float).reshape(-1, 2) for ring in part]
+        for p in polygon:
+            if not np.isfinite(p).all():
+                return "Invalid Coordinate"
+            if "line" in kind and len(np.unique(p, axis=0)) < 2:
                 return "Too few points in geometry component"
-            if (p[0] != p[-1]).any():
-                return "Points of LinearRing do not form a closed linestring"
-            if _crosses(p, True):
+            if "polygon" in kind:
+                if len(p) < 4 or len(np.unique(p, axis=0)) < 3:
+                    return "Too few points in geometry component"
+                if (p[0] != p[-1]).any():
+                    return "Points of LinearRing do not form a closed linestring"
+                if _crosses(p, True):
+                    return "Self-intersection"
+        if "polygon" not in kind or not polygon:
+            continue
+        shell, *holes = polygon
+        if any(_meet(p, q) for i, p in enumerate(polygon) for q in polygon[:i]):
+            return "Self-intersection"
+        if not all(_inside(h, shell) for h in holes):
+            return "Hole lies outside shell"
+        if any(_inside(h, g) for h in holes for g in holes if h is not g):
+            return "Holes are nested"
+        shells.append(polygon)
+    for i, (p, *_) in enumerate(shells):
+        for q, *holes in (x for k, x in enumerate(shells) if k != i):
+            if _meet(p, q):
                 return "Self-intersection"
+            if _inside(p, q) and not any(_inside(p, h) for h in holes):
+                return "Nested shells"
     return None
 
 
@@ -167,17 +250,22 @@ def invalid_reason(kind: pd.Series, shape: pd.Series) -> pd.Series:
 
 
 def geojson(kind: Column, shape: Column, properties: Column) -> Column:
-    """A GeoJSON feature as text: point, line string or polygon, two dimensions, null geometry for empty shapes."""
+    """A GeoJSON feature as text, two dimensions; a multi kind where there are several parts, null geometry for empty shapes."""
     low = F.lower(kind)
-    pair = lambda v: F.concat(F.lit("["), v.x.cast("string"), F.lit(","), v.y.cast("string"), F.lit("]"))
-    runs = F.transform(shape, lambda p: F.concat(F.lit("["), F.array_join(F.transform(p, pair), ","), F.lit("]")))
-    first = F.element_at(F.flatten(shape), 1)
-    body = (
-        F.when(low.contains("polygon"), F.concat(F.lit('{"type":"Polygon","coordinates":['), F.array_join(runs, ","), F.lit("]}")))
-        .when(low.contains("line"), F.concat(F.lit('{"type":"MultiLineString","coordinates":['), F.array_join(runs, ","), F.lit("]}")))
-        .otherwise(F.concat(F.lit('{"type":"Point","coordinates":'), pair(first), F.lit("}")))
-    )
-    return F.concat(F.lit('{"type":"Feature","geometry":'), F.when(is_empty(shape), "null").otherwise(body), F.lit(',"properties":'), F.to_json(properties), F.lit("}"))
+    joined = lambda parts: F.concat(F.lit("["), F.array_join(parts, ","), F.lit("]"))
+    run = lambda ring: joined(F.transform(ring, lambda v: F.concat(F.lit("["), v.x.cast("string"), F.lit(","), v.y.cast("string"), F.lit("]"))))
+    line = lambda part: run(F.element_at(part, 1))
+    point = lambda part: F.regexp_extract(line(part), r"^\[(.*)\]\z", 1)
+    polygon = lambda part: joined(F.transform(part, run))
+    parts = F.filter(shape, lambda p: F.size(F.flatten(p)) > 0)
+
+    def body(name: str, one) -> Column:
+        every = F.transform(parts, one)
+        single = F.concat(F.lit(f'{{"type":"{name}","coordinates":'), F.element_at(every, 1), F.lit("}"))
+        return F.when(F.size(parts) == 1, single).otherwise(F.concat(F.lit(f'{{"type":"Multi{name}","coordinates":'), joined(every), F.lit("}")))
+
+    geometry = F.when(low.contains("polygon"), body("Polygon", polygon)).when(low.contains("line"), body("LineString", line)).otherwise(body("Point", point))
+    return F.concat(F.lit('{"type":"Feature","geometry":'), F.when(is_empty(shape), "null").otherwise(geometry), F.lit(',"properties":'), F.to_json(properties), F.lit("}"))
 
 
 _R = 6378137.0
@@ -191,3 +279,17 @@ def to_mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
 def from_mercator(x: Column, y: Column) -> tuple[Column, Column]:
     """Web Mercator metres to WGS 84 degrees."""
     return F.degrees(x / _R), F.degrees(2 * F.atan(F.exp(y / _R)) - F.lit(np.pi / 2))
+
+
+def moved(shape: Column, change) -> Column:
+    """The shape with change(x, y) applied to its vertices; heights stay."""
+
+    def vertex(v: Column) -> Column:
+        x, y = change(v.x, v.y)
+        return F.struct(x.alias("x"), y.alias("y"), v.z.alias("z"))
+
+    return F.transform(shape, lambda part: F.transform(part, lambda ring: F.transform(ring, vertex)))
+
+
+def point(x: Column, y: Column) -> Column:
+    return F.array(F.array(F.array(F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"), F.lit(None).cast("double").alias("z")))))

@@ -1,61 +1,85 @@
-"""Line connectivity: which end points touch other features, by a grid join.
-
-A segment covers the grid cells that it passes, column by column, widened by the
-tolerance; a point lies in one cell.  Points and segments meet by an equi-join on
-the cell with the exact distance as residual condition, in a semi or anti join, so
-no pair is ever emitted.  Equal end points of one owner are looked up once, and
-Spark may split a crowded cell.
+"""Line connectivity: which end points touch other features, by a join on a grid of levels.
+
+Cells double in size from level to level.  A segment lies on the level where it
+is at most ``REACH`` cells long and covers the cells that it passes there, widened
+by the tolerance, so it makes a few dozen rows at most, whatever its length; a
+point looks once at each level in use.  Rows therefore grow in proportion to
+segments and points.  They meet by an equi-join on level and cell with the exact
+distance as residual condition, in a semi or anti join, so no pair is ever
+emitted.  Equal end points of one owner are looked up once, and Spark may split a
+crowded cell.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assay.functions.geometry import distance2
 
+#: Cells that a segment is long at most, on its level.
+REACH = 48
+
 
-def _cell(v: Column, h: float) -> Column:
+def _cell(v: Column, h: Column) -> Column:
     return F.floor(v / h).cast("long")
 
 
-def covered(segments: DataFrame, tolerance: float, cell: float) -> DataFrame:
-    """segments (owner, x1, y1, x2, y2) once for each cell (cx, cy) that they come near to."""
+def levels_of(segments: DataFrame, base: float) -> DataFrame:
+    """segments (x1, y1, x2, y2, ...) with ``level``: cells of it are base * 2^level wide."""
+    longer = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))
+    return segments.withColumn("level", F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(longer, F.lit(base)) / (REACH * base)))).cast("int"))
+
+
+def covered(segments: DataFrame, tolerance: float, base: float) -> DataFrame:
+    """segments (owner, x1, y1, x2, y2) once for each cell (level, cx, cy) that they come near to."""
     x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
     t = tolerance * 1.000001 + 1e-9
-    columns = segments.withColumn("cx", F.explode(F.sequence(_cell(F.least(x1, x2) - t, cell), _cell(F.greatest(x1, x2) + t, cell))))
+    cell = F.lit(base) * F.pow(F.lit(2.0), F.col("level"))
+    columns = levels_of(segments, base).withColumn("cx", F.explode(F.sequence(_cell(F.least(x1, x2) - t, cell), _cell(F.greatest(x1, x2) + t, cell))))
     low, high = F.greatest(F.col("cx") * cell - t, F.least(x1, x2)), F.least((F.col("cx") + 1) * cell + t, F.greatest(x1, x2))
     at = lambda x: F.when(x1 == x2, y1).otherwise(y1 + (y2 - y1) * F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide(x - x1, x2 - x1))))
     a, b = at(low), at(high)
-    below, above = F.when(x1 == x2, F.least(y1, y2)).otherwise(F.least(a, b)) - t, F.when(x1 == x2, F.greatest(y1, y2)).otherwise(F.greatest(a, b)) + t
+    below = F.when(x1 == x2, F.least(y1, y2)).otherwise(F.least(a, b)) - t
+    above = F.when(x1 == x2, F.greatest(y1, y2)).otherwise(F.greatest(a, b)) + t
     return columns.withColumn("cy", F.explode(F.sequence(_cell(below, cell), _cell(above, cell))))
 
 
-#: Occupied cells up to which they are broadcast, to drop the others before anything is shuffled (16 bytes each).
-MOST_CELLS = 1_000_000
+def extent(segments: DataFrame) -> tuple[float, float]:
+    """(about the distance between neighbouring ends: the side of a square with one end in it, outliers left out; the longest side of a segment)."""
+    longer = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))
+    r = segments.agg(F.count("*").alias("n"), F.percentile_approx("x1", [0.05, 0.95]).alias("x"), F.percentile_approx("y1", [0.05, 0.95]).alias("y"), F.max(F.when(~F.isnan(longer), longer)).alias("longest")).head()
+    if not r.n or r.x is None or r.y is None:
+        return 1.0, 0.0
+    return max((max(r.x[1] - r.x[0], 0.0) * max(r.y[1] - r.y[0], 0.0) / (0.81 * r.n)) ** 0.5, 1e-9), r.longest or 0.0
 
 
-def spacing(points: DataFrame) -> float:
-    """About the distance between neighbouring points: the side of a square with one point in it, outliers left out."""
-    r = points.agg(F.count("*").alias("n"), F.percentile_approx("x", [0.05, 0.95]).alias("x"), F.percentile_approx("y", [0.05, 0.95]).alias("y")).head()
-    if not r.n or r.x is None or r.y is None:
-        return 1.0
-    return max((max(r.x[1] - r.x[0], 0.0) * max(r.y[1] - r.y[0], 0.0) / (0.81 * r.n)) ** 0.5, 1e-9)
+def hits(points: DataFrame, segments: DataFrame, tolerance: float, base: float, longest: float) -> DataFrame:
+    """The distinct (owner, x, y) of points within tolerance (inclusive) of a segment of another owner.
+
+    base: the width of the smallest cells; longest: the longest side of a segment, which says how many levels there are.
+    Points and segments with a null or NaN coordinate touch nothing.
+    """
+    base = max(base, 4 * tolerance)
+    top = max(0, math.ceil(math.log2(max(longest, base) / (REACH * base)))) + 1
+    sane = lambda c: F.col(c).isNotNull() & ~F.isnan(c)
+    segments = segments.where(sane("x1") & sane("y1") & sane("x2") & sane("y2"))
+    # one long for level and cell: where two cells share one, the exact distance tells them apart
+    place = F.xxhash64("level", "cx", "cy")
+    s = covered(segments, tolerance, base).select(F.col("owner").alias("s_owner"), "x1", "y1", "x2", "y2", place.alias("s_place"))
+    cell = F.lit(base) * F.pow(F.lit(2.0), F.col("level"))
+    looks = points.where(sane("x") & sane("y")).select("owner", "x", "y").distinct().withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(top))))
+    looks = looks.withColumns({"cx": _cell(F.col("x"), cell), "cy": _cell(F.col("y"), cell)}).select("owner", "x", "y", place.alias("place"))
+    near = distance2(F.col("x"), F.col("y"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")) <= tolerance * tolerance
+    return looks.join(s, (F.col("place") == F.col("s_place")) & ~F.col("owner").eqNullSafe(F.col("s_owner")) & near, "left_semi").select("owner", "x", "y").distinct()
 
 
-def touching(points: DataFrame, segments: DataFrame, tolerance: float, cell: float, how: str = "left_semi") -> DataFrame:
-    """The points (owner, x, y, ...) within tolerance (inclusive) of a segment of another owner; how="left_anti": the others."""
-    cell = max(cell, 4 * tolerance)
-    p = points.withColumns({"cx": _cell(F.col("x"), cell), "cy": _cell(F.col("y"), cell)})
-    occupied = p.select("cx", "cy").distinct()
-    if occupied.limit(MOST_CELLS + 1).count() <= MOST_CELLS:
-        occupied = F.broadcast(occupied)
-    s = covered(segments, tolerance, cell).join(occupied, ["cx", "cy"], "left_semi").select(F.col("owner").alias("s_owner"), "x1", "y1", "x2", "y2", F.col("cx").alias("sx"), F.col("cy").alias("sy")).alias("s")
-    p = p.alias("p")
-    near = distance2(F.col("p.x"), F.col("p.y"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")) <= tolerance * tolerance
-    own = ~F.col("p.owner").eqNullSafe(F.col("s_owner"))
-    return p.join(s, (F.col("p.cx") == F.col("sx")) & (F.col("p.cy") == F.col("sy")) & own & near, how).drop("cx", "cy")
+def _same_point(hit: DataFrame) -> tuple[DataFrame, Column]:
+    named = hit.toDF("h_owner", "hx", "hy")
+    return named, F.col("owner").eqNullSafe(F.col("h_owner")) & (F.col("x") == F.col("hx")) & (F.col("y") == F.col("hy"))
 
 
 def as_points(points: DataFrame) -> DataFrame:
@@ -63,25 +87,24 @@ def as_points(points: DataFrame) -> DataFrame:
     return points.select("owner", F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("x").alias("x2"), F.col("y").alias("y2"))
 
 
-def endpoint_states(lines: DataFrame, points: DataFrame | None = None, snap: float = 0.001, near: float = 0.5, cell: float | None = None) -> DataFrame:
+def endpoint_states(lines: DataFrame, points: DataFrame | None = None, snap: float = 0.001, near: float = 0.5) -> DataFrame:
     """(layer, owner, x, y, n, state) of the distinct end points of lines (layer, owner, x1, y1, x2, y2, ends).
 
-    ``ends`` is an array of structs (x, y): the end points that the row contributes.
+    ``ends`` is an array of structs (x, y): the end points that the row contributes; points: (owner, x, y) of other features.
     state: connected (within snap of another feature), near miss (within near) or dangle; n: how often it occurs.
-    The grid's cells are as wide as the points lie apart, unless given.
     """
     ends = lines.select("layer", "owner", F.explode("ends").alias("e")).groupBy("layer", "owner", F.col("e.x").alias("x"), F.col("e.y").alias("y")).agg(F.count("*").alias("n"))
     targets = lines.select("owner", "x1", "y1", "x2", "y2").distinct()
+    base, longest = extent(lines)
     if points is not None:
         targets = targets.unionByName(as_points(points))
-    cell = cell or spacing(ends)
     # used twice below; a lost block is computed again
-    free = touching(ends, targets, snap, cell, "left_anti").persist(StorageLevel.MEMORY_AND_DISK)
-    near_miss = touching(free, targets, near, cell).select("layer", "owner", "x", "y", F.lit("near miss").alias("state"))
-    free = free.select("layer", "owner", "x", "y", F.lit(True).alias("free"))
-    key = ["layer", "owner", "x", "y"]
-    out = ends.join(free, key, "left").join(near_miss, key, "left")
-    return out.select(*key, "n", F.when(F.col("free").isNull(), "connected").otherwise(F.coalesce("state", F.lit("dangle"))).alias("state"))
+    snapped, same = _same_point(hits(ends, targets, snap, base, longest).persist(StorageLevel.MEMORY_AND_DISK))
+    missed = hits(ends.join(snapped, same, "left_anti"), targets, near, base, longest).toDF("m_owner", "mx", "my")
+    close = F.col("owner").eqNullSafe(F.col("m_owner")) & (F.col("x") == F.col("mx")) & (F.col("y") == F.col("my"))
+    out = ends.join(snapped, same, "left").join(missed, close, "left")
+    state = F.when(F.col("hx").isNotNull(), "connected").when(F.col("mx").isNotNull(), "near miss").otherwise("dangle")
+    return out.select("layer", "owner", "x", "y", "n", state.alias("state"))
 
 
 def connectivity(states: DataFrame) -> DataFrame:
@@ -91,9 +114,14 @@ def connectivity(states: DataFrame) -> DataFrame:
     return rows.withColumn("score", 100.0 * (1.0 - F.least(F.lit(1.0), (5.0 * F.col("near_miss") + 0.5 * F.col("dangles")) / F.col("endpoints"))))
 
 
-def orphan_points(points: DataFrame, segments: DataFrame, snap: float = 0.001, cell: float | None = None) -> DataFrame:
+def orphan_points(points: DataFrame, segments: DataFrame, snap: float = 0.001) -> DataFrame:
     """Points (owner, x, y, ...) that touch no segment."""
-    return touching(points, segments.withColumn("owner", F.lit(None).cast(points.schema["owner"].dataType)), snap, cell or spacing(points), "left_anti")
+    base, longest = extent(segments)
+    anyone = segments.withColumn("owner", F.lit(None).cast(points.schema["owner"].dataType))
+    # owners do not matter here: null stands for that of all segments, and points without an owner are looked up by place
+    named = points.withColumn("owner", F.coalesce(F.col("owner").cast("string"), F.lit("-"))).select("owner", "x", "y")
+    hit, _ = _same_point(hits(named, anyone.withColumn("owner", F.col("owner").cast("string")), snap, base, longest))
+    return points.join(hit.select("hx", "hy").distinct(), (F.col("x") == F.col("hx")) & (F.col("y") == F.col("hy")), "left_anti")
 
 
 def stacked_points(points: DataFrame, digits: int = 4) -> DataFrame:
@@ -101,8 +129,8 @@ def stacked_points(points: DataFrame, digits: int = 4) -> DataFrame:
     return points.groupBy(F.round("x", digits).alias("x"), F.round("y", digits).alias("y")).agg(F.count("*").alias("members")).where("members > 1")
 
 
-def z_statistics(df: DataFrame, z: Column) -> DataFrame:
-    """(vertices, zero, flat): flat where at least 99.9 % of the heights are zero, NaN or missing."""
+def z_statistics(df: DataFrame, z: Column, *by: str) -> DataFrame:
+    """(by..., vertices, zero, flat): flat where at least 99.9 % of the heights are zero, NaN or missing."""
     zero = F.coalesce((z == 0) | F.isnan(z), F.lit(True))
-    n = df.agg(F.count("*").alias("vertices"), F.count_if(zero).alias("zero"))
+    n = df.groupBy(*by).agg(F.count("*").alias("vertices"), F.count_if(zero).alias("zero"))
     return n.withColumn("flat", (F.col("vertices") == 0) | (F.col("zero") >= 0.999 * F.col("vertices")))

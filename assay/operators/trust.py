@@ -23,11 +23,19 @@ ACTIONS = {
     "observation": "Review the note and close it if no change is required.",
 }
 ROLES = {"metadata": "Data steward", "lineage": "GIS administrator", "schema": "Data modeler", "quality": "Data editor", "discover": "GIS administrator", "report": "Data steward"}
+WHY = {
+    "discover": "What is missing from the inventory is never checked.", "metadata": "Readers without metadata cannot tell what the data are and how they may be used.",
+    "lineage": "Without a known source and coordinate system the data cannot be combined with others.", "schema": "Data that differ from the model are refused or changed when they are loaded.",
+    "quality": "Defective records spread into every product made from them.", "report": "The note may explain other findings.",
+}
 PRIORITIES = {"critical": "urgent", "error": "high", "warning": "medium", "info": "low"}
-ID_TAG = "unv-finding-1"
+#: Part of every finding id.
+ID_TAG = "assay-finding-1"
 
 #: dataset, stage, check, severity, layer, message, count, ids (text), detail
 BASE = "dataset string, stage string, check string, severity string, layer string, message string, count long, ids string, detail string"
+#: What a check may say beside that.
+MORE = "rule string, confidence double, evidence string, method string, threshold string, affected_count long, action string"
 
 
 def _pick(table: dict[str, str], key: Column, otherwise: str) -> Column:
@@ -58,6 +66,33 @@ def complete(findings: DataFrame) -> DataFrame:
     return out.withColumn("action", action(F.col("classification"))).withColumn("finding_id", finding_id(F.col("check"), F.col("layer"), F.col("rule"), keys))
 
 
+def detailed(findings: DataFrame) -> DataFrame:
+    """findings (BASE and MORE) with finding_id and, where a check did not say more, the defaults of each column."""
+    keys = F.when(F.coalesce("ids", F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split("ids", ","))
+    kind = classification(F.col("stage"), F.col("severity"))
+    said = lambda c, otherwise: F.coalesce(F.when(F.col(c) != "", F.col(c)), otherwise)
+    out = findings.withColumns({"rule": said("rule", rule_key(F.col("message"))), "classification": kind})
+    return out.withColumns({
+        "confidence": F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("confidence", F.lit(1.0)))), 4), "evidence": said("evidence", said("detail", F.col("message"))),
+        "method": said("method", F.col("check")), "threshold": F.coalesce("threshold", F.lit("")), "action": said("action", action(F.col("classification"))),
+        "affected_count": F.coalesce("affected_count", "count", F.size(keys).cast("long")), "finding_id": finding_id(F.col("check"), F.col("layer"), F.col("rule"), keys),
+    })
+
+
+#: The columns of the findings report, in order.
+REPORT = {
+    "dataset": "dataset", "severity": "severity", "stage": "stage", "check": "check", "layer": "layer", "count": "count", "message": "message", "detail": "detail", "sample_object_ids": "ids", "finding_id": "finding_id",
+    "rule": "rule", "classification": "classification", "confidence": "confidence", "evidence": "evidence", "method": "method", "threshold": "threshold", "affected_count": "affected_count",
+    "affected_record_ids": "ids", "recommended_action": "action", "disposition": "disposition", "disposition_note": "disposition_note",
+}
+
+
+def report(findings: DataFrame) -> DataFrame:
+    """The findings report: detailed findings, disposed of or not, in its 21 columns; ids with a blank between."""
+    have = findings if "disposition" in findings.columns else findings.withColumns({"disposition": F.lit("OPEN"), "disposition_note": F.lit("")})
+    return have.select(*[(F.translate(F.col(c), ",", " ") if c == "ids" else F.col(c)).alias(n) for n, c in REPORT.items()])
+
+
 def rank_of(severity: Column) -> Column:
     return F.coalesce(F.array_position(F.array(*map(F.lit, SEVERITIES)), severity) - 1, F.lit(9)).cast("int")
 
@@ -90,8 +125,9 @@ def questions(findings: DataFrame, limit: int = 200) -> DataFrame:
     still = findings.where(F.upper(F.coalesce("disposition", F.lit("OPEN"))) == "OPEN")
     keys = ["dataset", "stage", "check", "layer", "severity"]
     rows = still.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_set("finding_id")), ",").alias("finding_ids"))
+    # Fixed value: the sentence that is asked
     asked = F.concat(F.lit("Is the '"), F.coalesce("check", F.lit("this check")), F.lit("' result on "), F.when(F.coalesce("layer", F.lit("")) == "", "the dataset").otherwise(F.col("layer")), F.lit(" expected, and if not, who will correct it?"))
-    rows = rows.withColumns({"question": asked, "role": _pick(ROLES, F.col("stage"), "Data steward"), "priority": _pick(PRIORITIES, F.col("severity"), "low")})
+    rows = rows.withColumns({"question": asked, "role": _pick(ROLES, F.col("stage"), "Data steward"), "priority": _pick(PRIORITIES, F.col("severity"), "low"), "why_it_matters": _pick(WHY, F.col("stage"), WHY["report"])})
     return rows.withColumn("rank", rank_of(F.col("severity"))).orderBy("rank", "dataset", "check", "layer", "stage").limit(limit)
 
 

@@ -112,9 +112,27 @@ def mapping_whitespace(spark, sf):
 # ---- metadata -------------------------------------------------------------------------------------
 
 _PURPOSE = "case when doc_id % 5 = 0 then 'TBD' when doc_id % 7 = 0 then '' else concat('about ', source) end"
-_XML = f"concat('<metadata><dataIdInfo><idPurp>', {_PURPOSE}, '</idPurp>', case when doc_id % 3 = 0 then '' else '<idAbs>REQUIRED: a summary</idAbs>' end, '<searchKeys><keyword>', lang, '</keyword></searchKeys></dataIdInfo>', case when doc_id % 2 = 0 then '<Esri><DataProperties><lineage><Process>x</Process></lineage></DataProperties></Esri>' else '' end, case when doc_id % 11 = 0 then '<broken>' else '' end, '</metadata>')"
-_META = f"""select doc_id, case when doc_id % 11 = 0 or {_PURPOSE} = '' then 'missing' when {_PURPOSE} = 'TBD' then 'placeholder' else 'present' end as summary, case when doc_id % 11 = 0 or doc_id % 3 = 0 then 'missing' else 'placeholder' end as description,
-case when doc_id % 11 = 0 then 'missing' else 'present' end as tags, case when doc_id % 11 = 0 or doc_id % 2 = 1 then 'missing' else 'auto' end as lineage, case when doc_id % 11 <> 0 then 'ArcGIS' end as standard from documents"""
+_EMPTY_HTML = "&amp;lt;p&amp;gt; &amp;lt;/p&amp;gt;"  # markup escaped twice: no text at all
+_ABSTRACT = f"case when doc_id % 3 = 0 then '' when doc_id % 3 = 1 then 'REQUIRED: a summary' when doc_id % 6 = 2 then '{_EMPTY_HTML}' else concat('made of ', lang) end"
+_CONTACT = "case when doc_id % 4 = 0 then 'TBD' when doc_id % 4 = 1 then 'x' when doc_id % 4 = 2 then '' else concat('desk ', source) end"
+_BOUNDS = "case when doc_id % 2 = 0 then concat('<{0}>', n_chars, ' W</{0}><{0}>', n_chars, '</{0}><{0}>1.5 N</{0}><{0}>-3e2</{0}>') else '<{0}>10</{0}><{0}>20</{0}>' end"
+#: One document for each row, of three standards in turn; each eleventh is broken.
+_XML = f"""concat(case when doc_id % 3 = 0 then concat(
+    '<metadata><dataIdInfo><idPurp>', {_PURPOSE}, '</idPurp><idAbs>', {_ABSTRACT}, '</idAbs><idPoC><n>', {_CONTACT}, '</n></idPoC><searchKeys><keyword>', lang, '</keyword></searchKeys><dataExt><GeoBndBox>', {_BOUNDS.format("v")},
+    '</GeoBndBox></dataExt></dataIdInfo><outer><Esri><DataProperties><lineage><Process>x</Process></lineage></DataProperties></Esri></outer>')
+when doc_id % 3 = 1 then concat(
+    '<metadata><wrap><idinfo><descript><abstract>', {_ABSTRACT}, '</abstract><purpose>', {_PURPOSE}, '</purpose></descript><spdom><bounding>', {_BOUNDS.format("b")}, '</bounding></spdom><ptcontac>', {_CONTACT},
+    '</ptcontac><keywords><themekey>', lang, '</themekey></keywords></idinfo></wrap>')
+else concat(
+    '<metadata><g:MD_Metadata xmlns:g="urn:g"><g:abstract><g:t>', {_ABSTRACT}, '</g:t></g:abstract><g:purpose><g:t>', {_PURPOSE}, '</g:t></g:purpose><g:contact>', {_CONTACT}, '</g:contact><g:EX_GeographicBoundingBox>', {_BOUNDS.format("g:b")},
+    '</g:EX_GeographicBoundingBox><g:keyword>', lang, '</g:keyword><g:lineage><g:LI_Lineage>made by hand</g:LI_Lineage></g:lineage></g:MD_Metadata>') end,
+case when doc_id % 11 = 0 then '<broken>' else '' end, '</metadata>')"""
+_STATE = "case when {0} = '' then 'missing' when {0} in ('TBD', 'REQUIRED: a summary') then 'placeholder' else 'present' end"
+_META = f"""select doc_id, case when broken then 'missing' else {_STATE.format("purpose")} end as summary, case when broken or abstract = '{_EMPTY_HTML}' then 'missing' else {_STATE.format("abstract")} end as description,
+case when broken then 'missing' else 'present' end as tags, case when not broken and length(contact) >= 3 and contact <> 'TBD' then 'present' else 'missing' end as contact, case when not broken and doc_id % 2 = 0 then 'present' else 'missing' end as extent,
+case when broken or doc_id % 3 = 1 then 'missing' when doc_id % 3 = 0 then 'auto' else 'present' end as lineage, case when not broken then case doc_id % 3 when 0 then 'ArcGIS' when 1 then 'FGDC CSDGM' else 'ISO 19139' end end as standard
+from (select doc_id, doc_id % 11 = 0 as broken, {_PURPOSE} as purpose, {_ABSTRACT} as abstract, {_CONTACT} as contact from documents)"""
+_ITEMS = ("summary", "description", "tags", "contact", "extent", "lineage")
 
 
 def _evaluated(spark, sf):
@@ -123,20 +141,21 @@ def _evaluated(spark, sf):
 
 @query(_META)
 def metadata_eval(spark, sf):
-    return _evaluated(spark, sf).select("doc_id", "m.summary", "m.description", "m.tags", "m.lineage", "m.standard")
+    return _evaluated(spark, sf).select("doc_id", *[f"m.{e}" for e in _ITEMS], "m.standard")
 
 
-_MSCORE = "round(100.0::double * (case when summary = 'present' then 1.0 else 0.0 end + case when tags = 'present' then 1.0 else 0.0 end + case when lineage = 'auto' then 0.5 else 0.0 end) / 8.0, 1)"
+_WEIGHT = {"summary": 1.0, "description": 1.5, "tags": 1.0, "contact": 1.0, "extent": 0.75, "lineage": 1.0}
+_GAINED = " + ".join(f"case {e} when 'present' then {w} when 'auto' then {w / 2} else 0.0 end" for e, w in _WEIGHT.items())
 
 
-@query(f"select doc_id, {_MSCORE} as score from ({_META})")
+@query(f"select doc_id, round(100.0::double * ({_GAINED})::double / 8.0::double, 1) as score from ({_META})")
 def metadata_score(spark, sf):
     return _evaluated(spark, sf).select("doc_id", documents.metadata_score(F.col("m")).alias("score"))
 
 
-@query(" union all ".join(f"select '{e}' as element, count(*) filter ({e} in ('missing', 'placeholder')) as lacking, count(*) filter ({e} = 'placeholder') as placeholders from ({_META})" for e in ("summary", "description", "tags", "lineage")))
+@query(" union all ".join(f"select '{e}' as element, count(*) filter ({e} in ('missing', 'placeholder')) as lacking, count(*) filter ({e} = 'placeholder') as placeholders from ({_META})" for e in _ITEMS))
 def metadata_items(spark, sf):
-    rows = _evaluated(spark, sf).select(F.explode(F.array(*[F.struct(F.lit(e).alias("element"), F.col(f"m.{e}").alias("state")) for e in ("summary", "description", "tags", "lineage")])).alias("e")).select("e.*")
+    rows = _evaluated(spark, sf).select(F.explode(F.array(*[F.struct(F.lit(e).alias("element"), F.col(f"m.{e}").alias("state")) for e in _ITEMS])).alias("e")).select("e.*")
     return rows.groupBy("element").agg(F.count_if(F.col("state").isin("missing", "placeholder")).alias("lacking"), F.count_if(F.col("state") == "placeholder").alias("placeholders"))
 
 
@@ -291,19 +310,60 @@ def _segments(spark, sf):
 
 def _shape(c1: str = "x1", c2: str = "y1", c3: str = "x2", c4: str = "y2"):
     v = lambda a, b: F.struct(F.col(a).alias("x"), F.col(b).alias("y"), F.lit(None).cast("double").alias("z"))
-    return F.array(F.array(v(c1, c2), v(c3, c4)))
+    return F.array(F.array(F.array(v(c1, c2), v(c3, c4))))
 
 
-@query("select vec_id % 2 as side, min(embedding[1])::double as west, min(embedding[2])::double as south, max(embedding[1])::double as east, max(embedding[2])::double as north, true as plausible from embeddings group by 1")
+_BOX = " union all ".join(f"select vec_id % 2 as side, {k} as pair, 100.0 * embedding[{2 * k + 1}]::double as x, 100.0 * embedding[{2 * k + 2}]::double as y from embeddings" for k in range(4))
+
+
+@query(f"""select *, west >= -180 and east <= 180 and south >= -90 and north <= 90 as plausible
+from (select side, pair, min(x) as west, min(y) as south, max(x) as east, max(y) as north from ({_BOX}) group by all)""")
 def geo_bounds(spark, sf):
-    b = read(spark, sf, "embeddings").groupBy((F.col("vec_id") % 2).alias("side")).agg(*[f(F.col("embedding")[i].cast("double")).alias(n) for f, i, n in ((F.min, 0, "west"), (F.min, 1, "south"), (F.max, 0, "east"), (F.max, 1, "north"))])
+    e = read(spark, sf, "embeddings")
+    at = lambda i: 100.0 * F.col("embedding")[i].cast("double")
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("pair"), at(2 * k).alias("x"), at(2 * k + 1).alias("y")) for k in range(4)]))
+    b = e.select((F.col("vec_id") % 2).alias("side"), pairs.alias("p")).select("side", "p.*").groupBy("side", "pair").agg(F.min("x").alias("west"), F.min("y").alias("south"), F.max("x").alias("east"), F.max("y").alias("north"))
     return b.withColumn("plausible", lineage.plausible_degrees(*map(F.col, ("west", "south", "east", "north"))))
 
 
-@query(f"select event_id, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) as length, 0.0::double as area, x1 = x2 and y1 = y2 as zero from ({_SEG}) where x2 is not null")
+# two polygons of each vector: a four-cornered one, and a triangle with a hole of half its size at its first corner
+_QUAD, _TRI = [(0, 1), (2, 3), (4, 5), (6, 7)], [(8, 9), (10, 11), (12, 13)]
+
+
+def _shoelace(corners: list[tuple[str, str]]) -> str:
+    return "abs(" + " + ".join(f"({a} * {d} - {c} * {b})" for (a, b), (c, d) in zip(corners, corners[1:] + corners[:1], strict=True)) + ") / 2"
+
+
+def _around(corners: list[tuple[str, str]]) -> str:
+    return " + ".join(f"sqrt(({c} - {a}) * ({c} - {a}) + ({d} - {b}) * ({d} - {b}))" for (a, b), (c, d) in zip(corners, corners[1:] + corners[:1], strict=True))
+
+
+_E = lambda i: f"embedding[{i + 1}]::double"
+_SQL_QUAD, _SQL_TRI = [(_E(i), _E(j)) for i, j in _QUAD], [(_E(i), _E(j)) for i, j in _TRI]
+_SQL_HOLE = [(f"(({x} + {_SQL_TRI[0][0]}) / 2)", f"(({y} + {_SQL_TRI[0][1]}) / 2)") for x, y in _SQL_TRI]
+
+
+def _ring(corners: list[tuple[int, int]], halved: bool = False, same=None):
+    """A closed ring of a vector's numbers; halved towards its first corner; ``same``: where the second half repeats the first."""
+    at = lambda i: F.col("embedding")[i].cast("double")
+    first = corners[0]
+    xy = [((at(i) + at(first[0])) / 2, (at(j) + at(first[1])) / 2) if halved else (at(i), at(j)) for i, j in corners]
+    if same is not None:
+        xy = [*xy[:2], *[(F.when(same, xy[k][0]).otherwise(x), F.when(same, xy[k][1]).otherwise(y)) for k, (x, y) in enumerate(xy[2:])]]
+    return F.array(*[F.struct(x.alias("x"), y.alias("y"), F.lit(None).cast("double").alias("z")) for x, y in [*xy, xy[0]]])
+
+
+@query(f"""select vec_id, {_around(_SQL_QUAD)} + {_around(_SQL_TRI)} + {_around(_SQL_HOLE)} as length,
+{_shoelace(_SQL_QUAD)} + {_shoelace(_SQL_TRI)} - {_shoelace(_SQL_HOLE)} as area from embeddings""")
+def geo_areas(spark, sf):
+    shape = F.array(F.array(_ring(_QUAD)), F.array(_ring(_TRI), _ring(_TRI, halved=True)))
+    return read(spark, sf, "embeddings").select("vec_id", geometry.length(shape).alias("length"), geometry.area(shape).alias("area"))
+
+
+@query(f"select event_id, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) as length, x1 = x2 and y1 = y2 as zero from ({_SEG}) where x2 is not null")
 def geo_measures(spark, sf):
     s = _segments(spark, sf).withColumn("g", _shape())
-    return s.select("event_id", geometry.length(F.col("g")).alias("length"), F.abs(geometry.area(F.col("g"))).alias("area"), (geometry.length(F.col("g")) == 0).alias("zero"))
+    return s.select("event_id", geometry.length(F.col("g")).alias("length"), (geometry.length(F.col("g")) == 0).alias("zero"))
 
 
 @query("select event_type, count(*) filter (event_id % 13 = 0) as empty, count(*) as rows from events group by 1")
@@ -312,11 +372,21 @@ def geo_empty(spark, sf):
     return p.groupBy("event_type").agg(F.count_if(geometry.is_empty(F.col("g"))).alias("empty"), F.count("*").alias("rows"))
 
 
-@query("select case when vec_id % 3 = 0 then 'Self-intersection' when vec_id % 3 = 1 then 'Too few points in geometry component' else 'valid' end as reason, count(*) as n from embeddings group by 1")
+def _turn(o: str, u: str, v: str) -> str:
+    return f"sign((x{u} - x{o}) * (y{v} - y{o}) - (y{u} - y{o}) * (x{v} - x{o}))"
+
+
+def _crossing(a: str, b: str, c: str, d: str) -> str:
+    return f"({_turn(a, b, c)} * {_turn(a, b, d)} <= 0 and {_turn(c, d, a)} * {_turn(c, d, b)} <= 0)"
+
+
+@query(f"""select reason, count(*) as n from (
+    select case when (select count(distinct v) from unnest([(x0, y0), (x1, y1), (x2, y2), (x3, y3)]) as t(v)) < 3 then 'Too few points in geometry component'
+        when {_crossing("0", "1", "2", "3")} or {_crossing("1", "2", "3", "0")} then 'Self-intersection' else 'valid' end as reason
+    from (select x0, y0, x1, y1, case when twin then x0 else x2 end as x2, case when twin then y0 else y2 end as y2, case when twin then x1 else x3 end as x3, case when twin then y1 else y3 end as y3
+        from (select vec_id % 7 = 0 as twin, {", ".join(f"{x} as x{k}, {y} as y{k}" for k, (x, y) in enumerate(_SQL_QUAD))} from embeddings))) group by 1""")
 def geo_validity(spark, sf):
-    v = lambda x, y: F.struct((F.col("vec_id") + x).cast("double").alias("x"), F.lit(float(y)).alias("y"), F.lit(None).cast("double").alias("z"))
-    bow, flat, square = [v(0, 0), v(2, 2), v(2, 0), v(0, 2), v(0, 0)], [v(0, 0), v(1, 1), v(0, 0)], [v(0, 0), v(2, 0), v(2, 2), v(0, 2), v(0, 0)]
-    shape = F.when(F.col("vec_id") % 3 == 0, F.array(F.array(*bow))).when(F.col("vec_id") % 3 == 1, F.array(F.array(*flat))).otherwise(F.array(F.array(*square)))
+    shape = F.array(F.array(_ring(_QUAD, same=F.col("vec_id") % 7 == 0)))
     return read(spark, sf, "embeddings").select(F.coalesce(geometry.invalid_reason(F.lit("polygon"), shape), F.lit("valid")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
@@ -325,10 +395,11 @@ def geo_stacked_points(spark, sf):
     return network.stacked_points(_points(spark, sf))
 
 
-@query("select event_type, count(*) as vertices, count(*) filter (value < 1 or value is null) as zero, count(*) filter (value < 1 or value is null) >= 0.999 * count(*) as flat from events where event_type = 'view' group by 1")
+@query("""select event_type, count(*) as vertices, count(*) filter (z = 0 or z is null or isnan(z)) as zero, count(*) filter (z = 0 or z is null or isnan(z)) >= 0.999 * count(*) as flat
+from (select event_type, case when value < 1 or event_type = 'view' and event_id % 2000 <> 0 then 0.0::double when event_id % 5 = 0 then 'NaN'::double else value end as z from events) group by 1""")
 def geo_z_flat(spark, sf):
-    p = read(spark, sf, "events").where("event_type = 'view'")
-    return network.z_statistics(p, F.when(F.col("value") < 1, 0.0).otherwise(F.col("value"))).select(F.lit("view").alias("event_type"), "vertices", "zero", "flat")
+    z = F.when((F.col("value") < 1) | (F.col("event_type") == "view") & (F.col("event_id") % 2000 != 0), 0.0).when(F.col("event_id") % 5 == 0, float("nan")).otherwise(F.col("value"))
+    return network.z_statistics(read(spark, sf, "events"), z, "event_type")
 
 
 _T = "case when s.dx * s.dx + s.dy * s.dy > 0 then greatest(0.0::double, least(1.0::double, ((e.x - s.x1) * s.dx + (e.y - s.y1) * s.dy) / (s.dx * s.dx + s.dy * s.dy))) else 0.0::double end"
@@ -427,7 +498,7 @@ union all select 'schema', 'coded values', 'error', 'orders', concat(cast(count(
 union all select 'discover', 'inventory', 'info', '', concat(cast(count(*) as varchar), ' regions'), count(*) from region)"""
 _RULE = "substr(lower(trim(regexp_replace(regexp_replace(message, '\\d[\\d,.\\x{a0}]*', '#', 'g'), '\\s+', ' ', 'g'))), 1, 300)"
 _CLASS = "case when severity = 'info' and stage <> 'discover' then 'observation' when stage = 'quality' then 'defect' when stage = 'schema' then 'conformance' when stage = 'discover' then 'discovery' else 'observation' end"
-_ID = f"substr(sha256(concat('unv-finding-1', chr(10), \"check\", chr(10), layer, chr(10), {_RULE})), 1, 20)"
+_ID = f"substr(sha256(concat('assay-finding-1', chr(10), \"check\", chr(10), layer, chr(10), {_RULE})), 1, 20)"
 _ALL = f"""select 'sample' as dataset, stage, "check", severity, layer, message, count, {_RULE} as rule, {_CLASS} as classification, {_ID} as finding_id from {_BASE_FINDINGS}"""
 
 
@@ -460,7 +531,7 @@ def findings_filter(spark, sf):
     return trust.search(findings(spark, sf), ["critical", "error"], text="KEY").select("finding_id", "message")
 
 
-@query("select c_custkey, substr(sha256(concat('unv-finding-1', chr(10), 'names', chr(10), c_mktsegment, chr(10), 'rule', chr(10), array_to_string(list_sort(list_distinct([cast(c_custkey as varchar), cast(c_nationkey as varchar)])), chr(10)))), 1, 20) as finding_id from customer")
+@query("select c_custkey, substr(sha256(concat('assay-finding-1', chr(10), 'names', chr(10), c_mktsegment, chr(10), 'rule', chr(10), array_to_string(list_sort(list_distinct([cast(c_custkey as varchar), cast(c_nationkey as varchar)])), chr(10)))), 1, 20) as finding_id from customer")
 def finding_id(spark, sf):
     keys = F.array(F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string"))
     return read(spark, sf, "customer").select("c_custkey", trust.finding_id(F.lit("names"), F.col("c_mktsegment"), F.lit("rule"), keys).alias("finding_id"))
@@ -507,7 +578,7 @@ def dispositions_apply(spark, sf):
 @query(f"""select dataset, stage, "check", layer, severity, string_agg(finding_id, ',' order by finding_id) as finding_ids, concat('Is the ''', "check", ''' result on ', case when layer = '' then 'the dataset' else layer end, ' expected, and if not, who will correct it?') as question,
 case stage when 'quality' then 'Data editor' when 'schema' then 'Data modeler' else 'GIS administrator' end as role, case severity when 'critical' then 'urgent' when 'error' then 'high' else 'low' end as priority from ({_ALL}) where severity <> 'warning' group by all""")
 def questions_rollup(spark, sf):
-    return trust.questions(_closed(spark, sf)).drop("rank")
+    return trust.questions(_closed(spark, sf)).drop("rank", "why_it_matters")
 
 
 _SIGNED = "sha256(array_to_string([finding_id, \"check\", layer, severity, message, cast(count as varchar), stage, rule, classification], chr(10)))"
@@ -550,7 +621,7 @@ def sample_flagged(spark, sf):
 
 @query()
 def input_hash(spark, sf):
-    return sinks.input_hash(sinks.input_hashes(spark, f"{sf}/region.parquet").unionByName(sinks.input_hashes(spark, f"{sf}/nation.parquet")))
+    return sinks.input_hash(sinks.input_hashes(spark, sf))
 
 
 @query("select 'failed' as status, cast(null as double) as score, 'n/a' as grade")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from assay.functions import scoring
 from assay.operators import completeness, dates, domains, profiles, references, trust, uniqueness
 from assay.plans.rules import digest, effective
-from assay.sources.dataset import Dataset, data_layers, summary
+from assay.sources.dataset import Dataset
 
 
 @dataclass(frozen=True)
@@ -59,6 +59,8 @@ def load_plugins(paths: Iterable[str]) -> dict[str, str]:
 
 @dataclass
 class Run:
+    """What a check works with: the dataset, the rules, and where findings, scores, tables, flags and notes go."""
+
     dataset: Dataset
     rules: dict[str, Any] = field(default_factory=effective)
     as_of: datetime = field(default_factory=datetime.now)
@@ -66,22 +68,59 @@ class Run:
     scores: list[tuple] = field(default_factory=list)
     tables: dict[str, DataFrame] = field(default_factory=dict)
     events: list[dict] = field(default_factory=list)
+    #: shapes for the map: (layer, id, severity, label, shape), lazily
+    flags: list[DataFrame] = field(default_factory=list)
+    #: what checks leave to later ones
+    state: dict[str, Any] = field(default_factory=dict)
     now: Check | None = None
+    cancelled: Callable[[], bool] = lambda: False
+    _inventory: list | None = None
 
     def emit(self, kind: str, **what) -> None:
         self.events.append({"seq": len(self.events), "kind": kind, **what})
 
+    def log(self, text: str, level: str = "info") -> None:
+        self.emit("log", check=self.now.name, level=level, text=text)
+
+    def progress(self, share: float, label: str = "") -> None:
+        if self.cancelled():
+            raise Cancelled
+        self.emit("check_progress", check=self.now.name, share=min(1.0, max(0.0, share)), label=label)
+
     def severity(self, key: str) -> str:
         return self.rules["severities"][key]
 
-    def find(self, severity: str, message: str, layer: str = "", count: int | None = None, ids: str = "", detail: str = "") -> None:
-        self.findings.append((self.dataset.name, self.now.stage, self.now.name, severity, layer, message, count, ids, detail))
+    def find(
+        self, severity: str, message: str, layer: str = "", count: int | None = None, ids: str = "", detail: str = "", *, check: str = "", rule: str = "", confidence: float = 1.0,
+        evidence: str = "", method: str = "", threshold: str = "", affected: int | None = None, action: str = "",
+    ) -> None:
+        if severity not in trust.SEVERITIES:
+            raise ValueError(f"no such severity: {severity}")
+        name = check or self.now.name
+        self.findings.append((self.dataset.name, self.now.stage, name, severity, layer, message, count, ids, detail, rule, float(confidence), evidence, method, threshold, affected, action))
+        self.emit("finding", check=name, severity=severity, layer=layer, message=message)
 
     def score(self, value: float | None, weight: float = 1.0) -> None:
-        self.scores.append((self.now.stage, self.now.name, value, weight))
+        self.scores.append((self.now.stage, self.now.name, None if value is None else min(100.0, max(0.0, value)), weight))
+
+    def flag(self, layer: str, shapes: DataFrame, severity: str, label: str, most: int = 200) -> None:
+        """Puts shapes (id, g) of a layer on the map: those ``most`` whose ids hash lowest, the same ones in any run."""
+        few = trust.hash_sample(shapes.select(F.lit(layer).alias("layer"), F.col("id").cast("string").alias("id"), "g"), "layer", "id", most)
+        self.flags.append(few.select("layer", "id", F.lit(severity).alias("severity"), F.lit(label).alias("label"), "g"))
 
-    def layers(self) -> dict[str, DataFrame]:
-        return {r.layer: self.dataset.frames[r.layer] for r in data_layers(self.dataset.layers()).select("layer").collect()}
+    def inventory(self) -> list:
+        """(layer, rows, fields, readable, system), counted once a run: a row for each table."""
+        if self._inventory is None:
+            self._inventory = self.dataset.layers().collect()
+        return self._inventory
+
+    def layers(self, kind: str | None = None) -> dict[str, DataFrame]:
+        """The tables to check; kind: those alone whose geometry is of that kind."""
+        ok = [r.layer for r in self.inventory() if not r.system and r.readable and r.rows]
+        return {n: self.dataset.frames[n] for n in ok if kind is None or kind in self.dataset.geometry.get(n, "").lower()}
+
+    def rows(self, layer: str) -> int:
+        return next((r.rows for r in self.inventory() if r.layer.lower() == layer.lower()), 0)
 
     def fields(self, df: DataFrame) -> dict[str, str]:
         return {c.lower(): c for c in df.columns}
@@ -91,22 +130,34 @@ class Run:
         return row.ids if row else ""
 
 
+class Cancelled(Exception):
+    """The caller wants the run to stop."""
+
+
 @dataclass
 class Result:
+    dataset: str
+    status: str
     findings: DataFrame
     stages: dict[str, float | None]
     score: float | None
     grade: str
     tables: dict[str, DataFrame]
     events: list[dict]
+    rules: dict[str, Any]
     rules_sha256: str
+    layers: list[tuple[str, int]]
+    flags: DataFrame | None = None
 
 
-def validate(dataset: Dataset, rules: dict | None = None, as_of: datetime | None = None, stages: Iterable[str] = trust.STAGES) -> Result:
-    """All registered checks of the stages, in order; a check that raises is reported and the run goes on."""
-    run = Run(dataset, rules or effective(), as_of or datetime.now())
+def validate(dataset: Dataset, rules: dict | None = None, as_of: datetime | None = None, stages: Iterable[str] = trust.STAGES, cancelled: Callable[[], bool] = lambda: False) -> Result:
+    """All registered checks of the stages, in order; a check that raises is reported and the run goes on; a cancelled run keeps what it has."""
+    run = Run(dataset, rules or effective(), as_of or datetime.now(), cancelled=cancelled)
     run.emit("job_start", dataset=dataset.name)
+    status = "ok" if dataset.frames else "failed"
     for stage in stages:
+        if status == "cancelled":
+            break
         run.emit("stage_start", stage=stage)
         for c in sorted((c for c in _CHECKS.values() if c.stage == stage), key=lambda c: (c.order, c.name)):
             if any(importlib.util.find_spec(m) is None for m in c.requires):
@@ -116,17 +167,29 @@ def validate(dataset: Dataset, rules: dict | None = None, as_of: datetime | None
             run.emit("check_start", check=c.name)
             before = len(run.findings), len(run.scores)
             try:
+                if cancelled():
+                    raise Cancelled
                 c.fn(run)
+            except Cancelled:
+                status = "cancelled"
+                break
             except Exception as e:
                 del run.findings[before[0] :], run.scores[before[1] :]
+                run.emit("check_error", check=c.name, error=f"{type(e).__name__}: {e}"[:300])
                 run.find("warning", f"Check failed to run: {type(e).__name__}", detail=str(e)[:300])
             run.emit("check_end", check=c.name, findings=len(run.findings) - before[0])
         run.emit("stage_end", stage=stage)
     by_stage = {s: scoring.weighted_mean([(v, w) for t, _, v, w in run.scores if t == s]) for s in scoring.STAGE_WEIGHTS}
-    total = scoring.overall(by_stage, run.rules["weights"]["stages"]) if dataset.frames else None
-    run.emit("job_end", score=total)
-    found = trust.complete(dataset.spark.createDataFrame(run.findings, trust.BASE))
-    return Result(found, by_stage, total, scoring.grade_of(total), run.tables, run.events, digest(run.rules))
+    total = scoring.overall(by_stage, run.rules["weights"]["stages"]) if status != "failed" else None
+    run.emit("job_end", score=total, status=status)
+    found = trust.detailed(dataset.spark.createDataFrame(run.findings, f"{trust.BASE}, {trust.MORE}"))
+    layers = sorted((r.layer, r.rows) for r in run.inventory() if not r.system)
+    return Result(dataset.name, status, found, by_stage, total, scoring.grade_of(total), run.tables, run.events, run.rules, digest(run.rules), layers, trust.union(*run.flags) if run.flags else None)
+
+
+def mean_score(results: Iterable[Result]) -> float | None:
+    """The mean of the datasets' scores; failed datasets and those without a score are left out."""
+    return scoring.weighted_mean((r.score, 1.0) for r in results if r.status != "failed")
 
 
 # ---- built-in checks ------------------------------------------------------------------------------
@@ -134,14 +197,13 @@ def validate(dataset: Dataset, rules: dict | None = None, as_of: datetime | None
 
 @check("discover", "Inventory", 10)
 def inventory(run: Run) -> None:
-    layers = run.dataset.layers()
-    run.tables["layers"] = layers
-    for r in layers.where("not readable or rows = 0").collect():
-        if r.readable and not r.system:
+    run.tables["layers"] = run.dataset.layers()
+    for r in run.inventory():
+        if r.readable and not r.rows and not r.system:
             run.find("info", f"{r.layer} is empty", r.layer, 0)
         elif not r.readable:
             run.find("info" if r.layer.lower().startswith("view_") else "error", f"{r.layer} cannot be read", r.layer, detail=run.dataset.errors.get(r.layer, ""))
-    if not summary(layers).head().layers:
+    if all(r.system or not r.readable for r in run.inventory()):
         run.find("warning", "The dataset has no user layers")
 
 
@@ -158,22 +220,33 @@ def profile(run: Run) -> None:
 
 @check("quality", "Layer readability", 5)
 def readability(run: Run) -> None:
-    r = run.dataset.layers().where("not system and not lower(layer) like 'view!_%' escape '!'").agg(F.count_if("readable").alias("ok"), F.count("*").alias("n")).head()
-    run.score(100.0 * r.ok / r.n if r.n else None)
+    mine = [r for r in run.inventory() if not r.system and not r.layer.lower().startswith("view_")]
+    run.score(100.0 * sum(r.readable for r in mine) / len(mine) if mine else None)
 
 
 @check("quality", "Required fields", 10)
 def required(run: Run) -> None:
+    """Configured fields, and those that the catalog's ``class_fields`` (class, field, type, nullable, required) demand."""
     bad = total = 0
-    always = {f.lower() for f in run.rules["required_fields"]}
-    for name, df in run.layers().items():
-        names = [c for low, c in run.fields(df).items() if low in always]
-        if not names:
-            continue
-        for r in completeness.blank_counts(df, names).collect():
+    spark = run.dataset.spark
+    declared = run.dataset.catalog.get("class_fields")
+    found = spark.createDataFrame([(n, f, "") for n, df in run.layers().items() for f in df.columns] or [("", "", "")], "layer string, name string, type string")
+    if declared is None:
+        listed = found.withColumns({"nullable": F.lit(True), "required": F.lit(False)})
+    else:
+        said = declared.select(F.lower("class").alias("k"), F.lower("field").alias("f"), F.col("type").alias("t"), "nullable", "required")
+        listed = found.join(said, (F.lower("layer") == F.col("k")) & (F.lower("name") == F.col("f")), "left").select("layer", "name", F.coalesce("t", "type").alias("type"), "nullable", "required")
+    needed: dict[str, list] = {}
+    for r in completeness.required_fields(listed, run.rules["required_fields"]).orderBy("layer", "name").collect():
+        needed.setdefault(r.layer, []).append(r)
+    for name, rows in needed.items():
+        df = run.layers()[name]
+        why = {r.name: r for r in rows}
+        for r in completeness.blank_counts(df, list(why)).collect():
             bad, total = bad + r.empty, total + r.rows
             if r.empty:
-                sev = run.severity("null_globalid" if r.field.upper() == "GLOBALID" else "null_required")
+                strict = why[r.field].configured or not why[r.field].nullable
+                sev = run.severity("null_globalid" if r.field.upper() == "GLOBALID" else "null_required" if strict else "null_optional")
                 run.find(sev, f"{r.empty} of {r.rows} values in {r.field} are blank", name, r.empty, run.ids(completeness.blank_rows(df, [r.field]), df.columns[0]))
     run.score(scoring.penalty_of(bad, total), 2)
 
@@ -188,16 +261,18 @@ def duplicates(run: Run) -> None:
             ids[name] = (df, have["globalid"])
             key = df.select(uniqueness.guid(F.col(have["globalid"]).cast("string")).alias("gid"), F.col(df.columns[0]).alias("__id"))
             n = uniqueness.repeated_summary(key, ["gid"]).head().members
-            bad, total = bad + n, total + df.count()
+            bad, total = bad + n, total + run.rows(name)
             if n:
                 run.find(run.severity("duplicate_globalid"), f"{n} rows share a GlobalID", name, n, run.ids(uniqueness.repeated_rows(key, ["gid"]), "__id"))
+        elif name in run.dataset.geometry:
+            run.find(run.severity("missing_globalid"), f"{name} has no GlobalID field", name, run.rows(name))
         for f in run.rules["asset_id_fields"]:
             if f.lower() in have:
                 rows = df.where(~completeness.blanks(df, [have[f.lower()]])[have[f.lower()]])
-                n = uniqueness.repeated_summary(rows, [have[f.lower()]]).head().members
-                bad, total = bad + 0.25 * n, total + rows.count()
-                if n:
-                    run.find(run.severity("duplicate_asset_id"), f"{n} rows share a {f}", name, n)
+                r = uniqueness.repeated_summary(rows, [have[f.lower()]]).crossJoin(F.broadcast(rows.agg(F.count("*").alias("filled")))).head()  # one row each
+                bad, total = bad + 0.25 * r.members, total + r.filled
+                if r.members:
+                    run.find(run.severity("duplicate_asset_id"), f"{r.members} rows share a {f}", name, r.members)
     if len(ids) > 1:
         n = uniqueness.across_layers(uniqueness.stack_ids(ids)).agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n")).head().n
         bad += n
@@ -254,3 +329,6 @@ def coded(run: Run) -> None:
             top = ", ".join(x.value for x in domains.top_violations(rows).orderBy("rank").collect())
             run.find(run.severity("coded_value"), f"{n} values in {r.field} are not in domain {r.domain}", r.layer, n, run.ids(rows, "id"), f"Invalid values: {top}")
     run.score(scoring.penalty_of(bad, total), 2)
+
+
+from assay.plans import checks  # noqa: E402, F401  (registers the other checks)

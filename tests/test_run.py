@@ -81,8 +81,43 @@ def test_geometry(spark):
     got = spark.createDataFrame([(1, bytearray(wkb)), (2, None), (3, bytearray(b"junk"))], "id int, w binary").select("id", geometry.from_wkb("w").alias("g"))
     rows = {r.id: r for r in got.select("id", geometry.length(F.col("g")).alias("n"), geometry.is_empty(F.col("g")).alias("e"), F.size(geometry.ends(F.col("g"))).alias("k")).collect()}
     assert (rows[1].n, rows[1].e, rows[1].k) == (5.0, False, 2) and rows[2].e and rows[3].e
-    assert geometry._reason("polygon", [[{"x": x, "y": y} for x, y in ((0, 0), (2, 0), (2, 2), (0, 2), (0, 0))]]) is None
-    assert geometry._reason("line", [[{"x": 1.0, "y": 1.0}] * 2]) == "Too few points in geometry component"
+    assert geometry._reason("polygon", [[[{"x": x, "y": y} for x, y in ((0, 0), (2, 0), (2, 2), (0, 2), (0, 0))]]]) is None
+    assert geometry._reason("line", [[[{"x": 1.0, "y": 1.0}] * 2]]) == "Too few points in geometry component"
+
+
+def _polygons(*parts):
+    return [[[{"x": float(x), "y": float(y), "z": None} for x, y in ring] for ring in part] for part in parts]
+
+
+def _box(x, y, size):
+    return [(x, y), (x + size, y), (x + size, y + size), (x, y + size), (x, y)]
+
+
+def test_polygons_with_holes_and_parts(spark):
+    two, holed = _polygons([_box(0, 0, 2)], [_box(5, 0, 2)]), _polygons([_box(0, 0, 4), _box(1, 1, 1)])
+    frame = spark.createDataFrame([(1, two), (2, holed), (3, []), (4, None)], f"id int, g {geometry.SHAPE}")
+    rows = {r.id: r for r in frame.select("id", geometry.area(F.col("g")).alias("a"), geometry.geojson(F.lit("polygon"), F.col("g"), F.struct("id")).alias("j")).collect()}
+    assert [rows[k].a for k in (1, 2, 3, 4)] == [8.0, 15.0, 0.0, 0.0]
+    shapes = {k: json.loads(rows[k].j)["geometry"] for k in rows}
+    assert (shapes[1]["type"], len(shapes[1]["coordinates"])) == ("MultiPolygon", 2) and shapes[3] is None and shapes[4] is None
+    assert (shapes[2]["type"], len(shapes[2]["coordinates"])) == ("Polygon", 2)
+    reason = lambda *parts: geometry._reason("polygon", _polygons(*parts))
+    assert reason([_box(0, 0, 4), _box(1, 1, 1)], [_box(5, 0, 2)]) is None and reason([_box(0, 0, 2)], [_box(2, 2, 2)]) is None
+    assert reason([_box(0, 0, 2), _box(5, 5, 1)]) == "Hole lies outside shell"
+    assert reason([_box(0, 0, 4)], [_box(1, 1, 1)]) == "Nested shells" and reason([_box(0, 0, 4), _box(1, 1, 2)], [_box(1.5, 1.5, 1)]) is None
+    assert reason([_box(0, 0, 2)], [_box(1, 1, 2)]) == "Self-intersection" and reason([_box(0, 0, 9), _box(1, 1, 5), _box(2, 2, 1)]) == "Holes are nested"
+    raw = b"".join([struct.pack("<BII", 1, 6, 2), *[struct.pack("<BIII", 1, 3, 1, 5) + b"".join(struct.pack("<dd", *v) for v in _box(x, 0, 2)) for x in (0, 5)]])
+    assert geometry._parts(raw) == [[[(float(x), float(y), None) for x, y in _box(k, 0, 2)]] for k in (0, 5)]
+    line = spark.createDataFrame([([[[{"x": x, "y": 0.0, "z": None} for x in (0.0, 0.1, 0.2, 1.0, 1.05, 2.0)]]],)], f"g {geometry.SHAPE}")
+    assert [v.x for v in line.select(geometry.simplified(F.col("g"), 0.5).alias("g")).head().g[0][0]] == [0.0, 1.0, 2.0]
+
+
+def test_rows_of_the_grid_grow_with_the_segments(spark):
+    """However long the segments are, each covers a few dozen cells."""
+    for n in (100, 1000, 10_000):
+        s = spark.range(n).selectExpr("id as owner", "rand(1) * 100 as x1", "rand(2) * 100 as y1", "rand(3) * 100 as x2", "rand(4) * 100 as y2").withColumn("layer", F.lit("L"))
+        base, longest = network.extent(s)
+        assert network.covered(s, 0.001, base).count() < 3 * network.REACH * n and longest <= 100
 
 
 def test_connectivity_against_brute_force(spark):
@@ -105,7 +140,7 @@ def test_connectivity_against_brute_force(spark):
             for p in ((x1, y1), (x2, y2)):
                 d = min(d2(*p, *s[1:]) for s in segs if s[0] != o)
                 want[o, *p] = "connected" if d <= snap * snap else "near miss" if d <= near * near else "dangle"
-        got = network.endpoint_states(frame.withColumn("ends", ends), snap=snap, near=near, cell=cell).collect()
+        got = network.endpoint_states(frame.withColumn("ends", ends), snap=snap, near=near).collect()
         assert {(r.owner, r.x, r.y): r.state for r in got} == want
 
 
@@ -122,7 +157,17 @@ def test_documents():
     assert documents.evaluate("<a>")["summary"] == "missing" and documents.evaluate(None)["standard"] is None
     full = "<metadata><idinfo><purpose>why</purpose><bounding><w>1</w><e>2</e><n>3</n><s>4</s></bounding></idinfo></metadata>"
     got = documents.evaluate(full)
-    assert (got["summary"], got["extent"], got["standard"], got["tags"]) == ("present", "present", "FGDC", "missing")
+    assert (got["summary"], got["extent"], got["standard"], got["tags"]) == ("present", "present", "FGDC CSDGM", "missing")
+    nested = documents.evaluate("<metadata><a><idinfo><descript><abstract>Water mains</abstract><purpose>Ops</purpose></descript></idinfo></a></metadata>")
+    assert (nested["standard"], nested["description"], nested["summary"]) == ("FGDC CSDGM", "present", "present")
+    iso = documents.evaluate('<g:MD_Metadata xmlns:g="urn:g"><g:abstract><g:t>Mains</g:t></g:abstract></g:MD_Metadata>')
+    assert (iso["standard"], iso["description"]) == ("ISO 19139", "present")
+    hollow = documents.evaluate("<metadata><dataIdInfo><idPurp>TBD</idPurp><idAbs>&amp;lt;p&amp;gt;&amp;lt;/p&amp;gt;</idAbs><idPoC>n/a</idPoC></dataIdInfo></metadata>")
+    assert (hollow["summary"], hollow["description"], hollow["contact"]) == ("placeholder", "missing", "missing")
+    auto = documents.evaluate("<metadata><x><Esri><DataProperties><lineage><Process>Append</Process></lineage></DataProperties></Esri></x></metadata>")
+    assert auto["lineage"] == "auto" and auto["standard"] == "ArcGIS"
+    bounds = documents.evaluate("<metadata><GeoBndBox><w>10 W</w><e>20 E</e><n>3</n><s>4</s></GeoBndBox></metadata>")
+    assert bounds["extent"] == "present" and bounds["standard"] == "Unknown"
     assert documents.evaluate("<!DOCTYPE a [<!ENTITY x SYSTEM 'file:///etc/passwd'>]><a><purpose>&x;</purpose></a>")["summary"] == "missing"
 
 
