@@ -16,6 +16,7 @@ from pyspark.sql.types import DoubleType
 from assay.functions.text import name_fold
 from assay.operators.domains import small
 
+# The least similarity of a proposal, and that of two group names that may stand for each other.
 FUZZY, GROUP = 0.84, 0.8
 
 
@@ -54,16 +55,22 @@ def _similarity(g: pd.Series, t: pd.Series, bg: pd.Series, bt: pd.Series) -> pd.
 def fuzzy(found: DataFrame, baseline: DataFrame, least: float = FUZZY) -> DataFrame:
     """(found's columns, match_group, match_type, confidence): the baseline's most similar pair, ``least`` at least.
 
-    Candidates are of the same class, or of any class where the baseline lacks it.
-    Ties go to the first name.
+    Candidates are of the same class, or of any class where the baseline lacks it,
+    and of lengths that allow the similarity: the ratio of two texts is at most twice
+    the shorter length by the sum of both.  Each distinct pair of folded names is
+    compared once, whatever the rows.  Ties go to the first name.
     """
     base = _folded(baseline, "b").select("bc", "bg", "bt", F.col("asset_group").alias("match_group"), F.col("asset_type").alias("match_type")).distinct()
     a = _folded(found, "a").where("ag <> '' or at <> ''")
-    lone = a.join(small(base.select("bc").distinct()), F.col("ac") == F.col("bc"), "left_anti")
-    meet = a.join(small(base), F.col("ac") == F.col("bc")).unionByName(lone.join(small(base), F.lit(True)))
+    keys = a.select("ac", "ag", "at").distinct()
+    most = lambda x, y: 2 * F.least(F.length(x), F.length(y)) / (F.length(x) + F.length(y))
+    types = (F.col("at") == "") | ((F.col("bt") != "") & (F.coalesce(most("at", "bt"), F.lit(0.0)) >= 2 * least - 1 - 1e-9))
+    groups = (F.col("ag") == "") | (F.col("bg") == "") | (F.col("ag") == F.col("bg")) | (F.coalesce(most("ag", "bg"), F.lit(0.0)) >= GROUP - 1e-9)
+    lone = keys.join(small(base.select("bc").distinct()), F.col("ac") == F.col("bc"), "left_anti")
+    meet = keys.join(small(base), (F.col("ac") == F.col("bc")) & types & groups).unionByName(lone.join(small(base), types & groups))
     scored = meet.withColumn("confidence", _similarity("ag", "at", "bg", "bt")).where(F.col("confidence") >= least)
-    best = Window.partitionBy("class_name", "ag", "at", "asset_group", "asset_type").orderBy(F.desc("confidence"), "bg", "bt")
-    return scored.withColumn("r", F.row_number().over(best)).where("r = 1").select(*found.columns, "match_group", "match_type", F.round("confidence", 3).alias("confidence"))
+    best = scored.groupBy("ac", "ag", "at").agg(F.min_by(F.struct("match_group", "match_type", "confidence"), F.struct(-F.col("confidence"), "bg", "bt", "match_group", "match_type")).alias("m"))
+    return a.join(best, ["ac", "ag", "at"]).select(*found.columns, "m.match_group", "m.match_type", F.round("m.confidence", 3).alias("confidence"))
 
 
 def missing_groups(found: DataFrame, baseline: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from assay.functions.text import domain_guess, type_family
 from assay.operators.completeness import TRACKING, TRACKING_GROUPS
 
-#: Types that have nothing to compare.
+# Fixed value: types that have nothing to compare.
 SKIPPED = r"(?i)OID|Geometry|Blob|Raster|XML"
 _GROUP = {n: i for i, g in enumerate(TRACKING_GROUPS) for n in g}
 
@@ -94,4 +94,6 @@ def match_models(source: DataFrame, models: DataFrame, name: str, path: str = ""
         bonus = bonus + F.when(low.contains(flavour), 0.15).otherwise(0.0)
     both = jaccard(classes, "class", "c").join(jaccard(fields, "field", "f"), "model").where(low != name.lower())
     scored = both.select("model", F.round(3 * F.col("j_c") + F.col("j_f") + bonus, 3).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "model"))).where(F.col("rank") <= keep)  # a row for each model
+    top = scored.orderBy(F.desc("score"), "model").limit(keep)  # a handful: ranked in one array
+    ranked = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), "model", "score"))).alias("t")).select(F.posexplode("t").alias("pos", "t"))
+    return ranked.select("t.model", "t.score", (F.col("pos") + 1).alias("rank"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from assay.functions.text import ws_trim
 from assay.operators.completeness import TRACKING
+from assay.operators.domains import small
 
 # Fields that systems fill and no mapping has to name.
 SYSTEM_FIELDS = ("objectid", "shape", "shape_length", "shape_area", "shape.len", "shape.area", "globalid", "fid", "st_length(shape)", "st_area(shape)", "shape_leng")
@@ -42,7 +43,7 @@ def coverage(fields: DataFrame, targets: DataFrame, alias: DataFrame, class_map:
     own = class_map.join(names, "class").select("layer", "target").distinct()
     rest = wanted.select("layer").distinct().join(class_map.select("layer"), "layer", "left_anti")
     # every name for each unmapped layer: sizes of schemas
-    open_ = rest.join(F.broadcast(names.select("target").distinct()), F.lit(True))
+    open_ = rest.join(small(names.select("target").distinct()), F.lit(True))
     allowed = own.unionByName(open_)
     tried = wanted.select("layer", "field", F.col("field").alias("target")).unionByName(wanted.join(alias, F.col("field") == F.col("source")).select("layer", "field", "target"))
     hit = tried.join(allowed, ["layer", "target"], "left_semi").select("layer", "field").distinct().withColumn("hit", F.lit(True))

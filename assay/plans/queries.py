@@ -101,10 +101,14 @@ def inventory_system_tables(spark, sf):
     return inline(spark, "name string", NAMES).select("name", text.is_system(F.col("name")).alias("system"))
 
 
-@query("select concat('main.', n_name) as name, n_name as short_name, coalesce(r_name, concat('type-', cast(n_regionkey as string))) as kind from nation left join region on r_regionkey = n_regionkey and r_regionkey <> 2")
+_KIND = "concat('type-', case when n_nationkey % 7 = 3 then 'unknown' else cast(n_regionkey as string) end)"
+
+
+@query(f"""select concat('main.', n_name) as name, n_name as short_name, coalesce(r_name, kind) as kind
+from (select *, {_KIND} as kind from nation) left join region on concat('type-', cast(r_regionkey as string)) = kind""")
 def catalog_items(spark, sf):
-    items = read(spark, sf, "nation").select(F.concat(F.lit("main."), "n_name").alias("name"), F.concat(F.lit("type-"), F.col("n_regionkey").cast("string")).alias("type"))
-    types = read(spark, sf, "region").where("r_regionkey <> 2").select(F.concat(F.lit("type-"), F.col("r_regionkey").cast("string")).alias("uuid"), F.col("r_name").alias("label"))
+    items = read(spark, sf, "nation").selectExpr("concat('main.', n_name) as name", f"{_KIND} as type")
+    types = read(spark, sf, "region").selectExpr("concat('type-', cast(r_regionkey as string)) as uuid", "r_name as label")
     return dataset.catalog_items(items, types)
 
 
@@ -312,10 +316,17 @@ def domain_unused(spark, sf):
 # ---- references and system tables -----------------------------------------------------------------
 
 
-@query("select l_orderkey, l_linenumber, l_partkey, l_suppkey from lineitem where l_partkey not in (select p_partkey from part where p_size <> 7) or l_suppkey not in (select s_suppkey from supplier where s_nationkey <> 3)")
+#: Ends of an association with planted defects: ids that no part or supplier has, and nulls.
+_ENDS = """case when l_orderkey % 50 = 7 then 'p0' when l_orderkey % 64 = 9 then null else concat('p', cast(l_partkey as string)) end as from_id,
+case when l_linenumber = 5 and l_orderkey % 9 = 2 then '{s-1}' else concat('{s', cast(l_suppkey as string), '}') end as to_id"""
+_ORPHANS = f"""select l_orderkey, l_linenumber, l_partkey, l_suppkey from (select *, {_ENDS} from lineitem)
+where from_id is null or upper(from_id) not in (select concat('P', cast(p_partkey as string)) from part) or upper(trim(to_id, '{{}}')) not in (select concat('S', cast(s_suppkey as string)) from supplier)"""
+
+
+@query(_ORPHANS)
 def assoc_orphans(spark, sf):
-    known = read(spark, sf, "part").where("p_size <> 7").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("id")).unionByName(read(spark, sf, "supplier").where("s_nationkey <> 3").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("id")))
-    ends = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("from_id"), F.concat(F.lit("{s"), F.col("l_suppkey").cast("string"), F.lit("}")).alias("to_id"))
+    known = read(spark, sf, "part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("id")).unionByName(read(spark, sf, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("id")))
+    ends = read(spark, sf, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *_ENDS.split(",\n"))
     return references.orphans(ends, ["from_id", "to_id"], references.known_ids((known, "id"))).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
@@ -336,7 +347,7 @@ def dirty_ratio(spark, sf):
     return n.select("dirty", "total", F.least(F.lit(20.0), F.try_divide(100.0 * F.col("dirty"), F.col("total"))).alias("deduction"))
 
 
-@query("""with o as (select count(*) as n from lineitem where l_partkey not in (select p_partkey from part where p_size <> 7) or l_suppkey not in (select s_suppkey from supplier where s_nationkey <> 3)), t as (select count(*) as n from lineitem), d as (select count(*) filter (o_orderstatus = 'P') as n, count(*) as t from orders)
+@query(f"""with o as (select count(*) as n from ({_ORPHANS})), t as (select count(*) as n from lineitem), d as (select count(*) filter (o_orderstatus = 'P') as n, count(*) as t from orders)
 select o.n as orphans, t.n as associations, d.n as dirty, 100.0::double - least(30.0::double, 300.0 * o.n / t.n) - least(20.0::double, 100.0 * d.n / d.t) as score from o, t, d""")
 def un_tables_counts(spark, sf):
     a = assoc_orphans(spark, sf).agg(F.count("*").alias("orphans"))
