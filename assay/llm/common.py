@@ -26,13 +26,29 @@ def scratch_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def new_table(spark: SparkSession) -> str:
+    """A path for a scratch table; all of an application's are in one folder of the scratch directory."""
+    return f"{scratch_dir(spark)}/assay-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
     """df, computed once, written to the shared scratch folder and read from there: lost executors cost nothing and lineage ends here."""
-    path = f"{scratch_dir(df.sparkSession)}/assay-{uuid.uuid4().hex}"
+    path = path or new_table(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch table that nothing will read again."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes all scratch tables of this application; results that are not written yet need them."""
+    remove(spark, new_table(spark).rpartition("/")[0])
+
+
 #: Bytes of an Arrow batch, at most, unless one row is longer.
 BATCH_BYTES = 4 << 20
 
@@ -86,6 +102,13 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns if c.lower() not in taken])
 
 
+def same_columns(docs: DataFrame, names: Iterable[str], step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """step(docs) with the columns of docs alone; those that step would replace, named like ``names`` in any case, come through unharmed."""
+    taken = {n.lower() for n in names}
+    safe = {c: f"__kept_{i}" if c.lower() in taken else c for i, c in enumerate(docs.columns)}
+    return step(docs.withColumnsRenamed(safe)).select(*[F.col(f"`{k.replace('`', '``')}`").alias(c) for c, k in safe.items()])
+
+
 def remainder(id_col: str, n: int) -> Column:
     """crc32(id as text) mod n; null for a null id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
@@ -115,7 +138,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     hot node are split by Spark's skew join because only (node, minimum) pairs meet.
     """
     e = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    e = materialise(e)
+    path = new_table(edges.sparkSession)
+    e = materialise(e, path)
     old, new = None, _fingerprint(e)
     while new != old:
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -123,7 +147,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         ends = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
-        e = materialise(large.join(low, "u").select(F.explode(ends).alias("e")).select("e.u", "e.v").where("u <> v").distinct())
+        before, path = path, new_table(edges.sparkSession)
+        e = materialise(large.join(low, "u").select(F.explode(ends).alias("e")).select("e.u", "e.v").where("u <> v").distinct(), path)
         old, new = new, _fingerprint(e)
+        remove(edges.sparkSession, before)
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots).distinct()

@@ -11,15 +11,18 @@ probes the sketches of all partitions with its shingles; items it meets are
 verified by exact shingle containment in the same task.  Documents are read once
 and never shuffled; a document of any length is one row of work.
 
-The index holds items, not documents.  It is broadcast only up to
-``block_shingles`` shingles; a larger benchmark is searched in blocks of items,
-each with one pass over the documents.
+The index holds items, not documents.  It is broadcast only up to about
+``block_shingles`` shingles; a larger benchmark is dealt into blocks by a hash of
+the items, and each block is fetched, broadcast, searched with one pass over the
+documents, written out and released before the next, so the driver never holds
+more than one.
 
 Words: A-Z lower-cased runs of non-blank bytes.  An item with one to four words
 has its word sequence as its only shingle and so matches documents with exactly
 these words.  Null and empty texts contain and are contained in nothing.
-Repeated documents or items are each reported.  Empty tables give an empty
-result; other columns are ignored.
+Repeated documents or items are each reported; ids may have any type.  Very long
+texts are one row each in Arrow batches bounded in bytes.  Empty tables give an
+empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assay.llm import tokens
-from assay.llm.common import without
+from assay.llm.common import freeing, materialise, small_batches, text_udf, without
 
 SHINGLE, LEAST = 5, 0.8
 
@@ -44,8 +47,8 @@ def _needed(n: np.ndarray, least: float) -> np.ndarray:
 class Index:
     """Sketches and shingles of a block of items."""
 
-    def __init__(self, ids: list, sets: list[np.ndarray], least: float):
-        self.ids, self.size = ids, np.array([len(s) for s in sets], np.int64)
+    def __init__(self, sets: list[np.ndarray], least: float):
+        self.size = np.array([len(s) for s in sets], np.int64)
         self.need = np.maximum(1, _needed(self.size, least))
         sketch, owner = [], []
         for i, s in enumerate(sets):
@@ -87,50 +90,71 @@ def _item_rows(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())], names=["item", "shingles", "n"])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: float = LEAST, block_shingles: int = 2_000_000, keep_all: bool = False) -> DataFrame:
-    """(id, item, n_item, n_shared, containment) for each document and item contained in it.
+def _searcher(index):
+    """(id, text) -> (id, number of the item in its block, shingles of the item, shared ones)."""
 
-    keep_all: instead, all columns of docs with ``n_items``, the number of items that each row contains (0: clean).
-    """
+    def run(batches):
+        for b in batches:
+            row, item, n, shared = [], [], [], []
+            for i, s in enumerate(_sets(b.column(1))):
+                for j, k in index.value.hits(s):
+                    row.append(i), item.append(j), n.append(int(index.value.size[j])), shared.append(k)
+            found = [b.column(0).take(pa.array(row, pa.int64())), pa.array(item, pa.int64()), pa.array(n, pa.int64()), pa.array(shared, pa.int64())]
+            yield pa.RecordBatch.from_arrays(found, names=["id", "number", "n_item", "n_shared"])
+
+    return run
+
+
+def _counter(index):
+    return text_udf("long", lambda text: pa.array([len(index.value.hits(s)) for s in _sets(text)], pa.int64()))
+
+
+def _blocks(items: DataFrame, block_shingles: int, least: float):
+    """An index of each block of items (item, text) with the ids of its items, one at a time; at least one."""
+    item_type = items.schema["item"].dataType.simpleString()
+    sized = materialise(items.mapInArrow(freeing(_item_rows), f"item {item_type}, shingles binary, n long").where("n > 0"))
+    total = sized.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).head().n
+    n_blocks = max(1, -(-total // block_shingles))
+    for k in range(n_blocks):
+        rows = sized.where(F.pmod(F.xxhash64("shingles"), F.lit(n_blocks)) == k).select("item", "shingles").collect()
+        yield Index([np.frombuffer(bytes(r.shingles), tokens.U64) for r in rows], least), [r.item for r in rows], n_blocks
+
+
+def contaminated(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
+    least: float = LEAST, block_shingles: int = 2_000_000,
+) -> DataFrame:
+    """(id, item, n_item, n_shared, containment) for each document and item contained in it."""
     spark = docs.sparkSession
+    small_batches(spark)
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).cast("string").alias("text"))
-    item_type = items.schema["item"].dataType.simpleString()
-    sized = items.mapInArrow(_item_rows, f"item {item_type}, shingles binary, n long").where("n > 0")
-    blocks, held = [[]], 0
-    for r in sized.toLocalIterator():
-        if held and held + r.n > block_shingles:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((r.item, np.frombuffer(bytes(r.shingles), tokens.U64)))
-        held += r.n
-
-    result = without(docs, ["n_items"]).withColumn("n_items", F.lit(0)) if keep_all else None
-    for block in blocks:
-        index = spark.sparkContext.broadcast(Index([i for i, _ in block], [s for _, s in block], least))
-        if keep_all:
-            at = result.columns.index("n_items")
-            text_at = result.columns.index(text_col)
-
-            def flag(batches, index=index, at=at, text_at=text_at):
-                for b in batches:
-                    n = np.array([len(index.value.hits(s)) for s in _sets(b.column(text_at))], np.int32)
-                    total = pa.array(b.column(at).to_numpy(zero_copy_only=False).astype(np.int32) + n, pa.int32())
-                    yield b.set_column(at, b.schema.field(at).name, total)
-
-            result = result.mapInArrow(flag, result.schema)
-            continue
-
-        id_type = docs.schema[id_col].dataType.simpleString()
-
-        def search(batches, index=index):
-            for b in batches:
-                row, item, n, shared = [], [], [], []
-                for i, s in enumerate(_sets(b.column(1))):
-                    for j, k in index.value.hits(s):
-                        row.append(i), item.append(index.value.ids[j]), n.append(int(index.value.size[j])), shared.append(k)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(item), pa.array(n, pa.int64()), pa.array(shared, pa.int64())], names=["id", "item", "n_item", "n_shared"]) if row else pa.RecordBatch.from_pylist([], pa.schema([("id", b.schema.field(0).type), ("item", pa.int64()), ("n_item", pa.int64()), ("n_shared", pa.int64())]))
-
-        part = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(search, f"id {id_type}, item {item_type}, n_item long, n_shared long")
+    id_type = docs.schema[id_col].dataType.simpleString()
+    texts, result = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), None
+    for index, ids, n_blocks in _blocks(items, block_shingles, least):
+        shared = spark.sparkContext.broadcast(index)
+        names = spark.createDataFrame(list(enumerate(ids)), items.select(F.lit(0).cast("long").alias("number"), "item").schema)
+        part = texts.mapInArrow(freeing(_searcher(shared)), f"id {id_type}, number long, n_item long, n_shared long").join(F.broadcast(names), "number")
         part = part.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
+        if n_blocks > 1:
+            part = materialise(part)
+            shared.destroy()
         result = part if result is None else result.unionByName(part)
     return result
+
+
+def with_item_counts(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: float = LEAST, block_shingles: int = 2_000_000) -> DataFrame:
+    """docs with ``n_items``, the number of items that each row contains (0: clean); an input column of that name is replaced.
+
+    Only the text travels to Python; the other columns stay in the JVM.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).cast("string").alias("text"))
+    result = without(docs, ["n_items"]).withColumn("n_items", F.lit(0).cast("long"))
+    for index, _, n_blocks in _blocks(items, block_shingles, least):
+        shared = spark.sparkContext.broadcast(index)
+        result = result.withColumn("n_items", F.col("n_items") + _counter(shared)(F.col(text_col).cast("string")))
+        if n_blocks > 1:
+            result = materialise(result)
+            shared.destroy()
+    return result

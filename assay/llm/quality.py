@@ -15,8 +15,9 @@ summed in each task: all labelled rows are used, whatever their number.
 Labels other than 0 and 1 (and null) are not learned from; with labels of one
 class only, every score is that class's prior (1 or 0), with none 0.5.  A label
 row and a document row with the same id make one example each time they meet.
-Null texts are scored as empty ones.  Repeated rows are all returned; an empty
-table gives an empty result; other columns are ignored.
+Null texts are scored as empty ones; texts of any length are scored whole, in
+chunks of bounded size.  Repeated rows are all returned; an empty table gives an
+empty result; other columns are ignored.  Ids may have any type.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assay.llm import tokens
-from assay.llm.common import materialise, remainder, without
+from assay.llm.common import freeing, materialise, remainder, small_batches, text_udf, without
 
 STATS = ("words", "word_length", "longest", "capitals", "symbols", "bars", "digits", "stops", "shouts", "lines", "short", "distinct", "same_as_before", "pairs_repeated")
 
@@ -86,7 +87,8 @@ def _statistics(batches):
     for b in batches:
         for c in tokens.chunks(b.column(2)):
             x = statistics(c)
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(c.first, c.n), b.column(1).slice(c.first, c.n), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], names=["id", "held_out", "x"])
+            rows = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(c.first, c.n), b.column(1).slice(c.first, c.n), rows], names=["id", "held_out", "x"])
 
 
 def _moments(batches):
@@ -135,7 +137,7 @@ class Discriminant:
 
 
 def _learn(stats: DataFrame, labels: DataFrame, pooled: float, ridge: float) -> Discriminant:
-    rows = labels.select(F.col("id"), F.col("label").cast("int").alias("label")).where("label in (0, 1)").join(stats, "id").select("label", "x").mapInArrow(_moments, "k int, m double")
+    rows = labels.select(F.col("id"), F.col("label").cast("int").alias("label")).where("label in (0, 1)").join(stats, "id").select("label", "x").mapInArrow(freeing(_moments), "k int, m double")
     moments = np.zeros(2 * (1 + len(STATS) + len(STATS) ** 2))
     for r in rows.groupBy("k").agg(F.sum("m").alias("m")).collect():
         moments[r.k] = r.m
@@ -153,31 +155,31 @@ def _scorer(model, at: int):
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", pooled: float = 0.1, ridge: float = 0.02) -> DataFrame:
     """(id, held_out, score, predicted) for each row of docs; held_out: crc32(id) mod 3 is 1, whose labels are not used."""
+    small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     held = F.coalesce(remainder(id_col, 3) == 1, F.lit(False))
     rows = docs.select(F.col(id_col).alias("id"), held.alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    stats = materialise(rows.mapInArrow(_statistics, f"id {id_type}, held_out boolean, x array<double>"))
+    stats = materialise(rows.mapInArrow(freeing(_statistics), f"id {id_type}, held_out boolean, x array<double>"))
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where(remainder("id", 3) != 1)
     model = docs.sparkSession.sparkContext.broadcast(_learn(stats.select("id", "x"), known, pooled, ridge))
-    out = stats.mapInArrow(_scorer(model, 2), f"id {id_type}, held_out boolean, score double")
+    out = stats.mapInArrow(freeing(_scorer(model, 2)), f"id {id_type}, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int")).withColumnRenamed("id", id_col)
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", least: float = 0.5, pooled: float = 0.1, ridge: float = 0.02) -> DataFrame:
     """The rows of docs, with all their columns, whose text scores at least `least`; trained as in quality_scores."""
+    small_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).where(remainder("id", 3) != 1)
     few = materialise(known)
     texts = docs.select(F.col(id_col).alias("id"), F.lit(False).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     labelled = texts.join(F.broadcast(few.select("id").distinct()) if few.count() <= 1_000_000 else few.select("id").distinct(), "id", "left_semi")
-    stats = labelled.mapInArrow(_statistics, f"id {id_type}, held_out boolean, x array<double>").select("id", "x")
+    stats = labelled.mapInArrow(freeing(_statistics), f"id {id_type}, held_out boolean, x array<double>").select("id", "x")
     model = docs.sparkSession.sparkContext.broadcast(_learn(stats, few, pooled, ridge))
-    docs = without(docs, [])
-    at = docs.columns.index(text_col)
 
-    def run(batches):
-        for b in batches:
-            score = [model.value.score(statistics(c)) for c in tokens.chunks(b.column(at).cast(pa.string()))]
-            yield b.filter(pa.array(np.concatenate([np.zeros(0), *score]) >= least))
+    def score(text: pa.Array) -> pa.Array:
+        return pa.array(np.concatenate([np.zeros(0), *[model.value.score(statistics(c)) for c in tokens.chunks(text)]]))
 
-    return docs.mapInArrow(run, docs.schema)
+    # only the text travels to Python; the other columns stay in the JVM
+    docs = without(docs, [])
+    return docs.where(text_udf("double", score)(F.col(text_col).cast("string")) >= least)

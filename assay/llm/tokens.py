@@ -45,7 +45,7 @@ _powers: dict[str, np.ndarray] = {}
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, at least n of each."""
     if not _powers or len(_powers["p"]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 18)
         for key, base in (("p", _BASE), ("i", pow(_BASE, -1, 1 << 64))):
             a = np.full(size, U64(base))
             a[0] = 1
@@ -67,7 +67,7 @@ class Chunk:
         return len(self.start)
 
 
-def chunks(column: pa.Array | pa.ChunkedArray, most: int = 1 << 20) -> Iterator[Chunk]:
+def chunks(column: pa.Array | pa.ChunkedArray, most: int = 1 << 17) -> Iterator[Chunk]:
     """Slices of a string column whose texts hold about `most` bytes; a longer text comes alone."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
