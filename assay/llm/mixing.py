@@ -93,7 +93,10 @@ def exponent(tokens: Sequence[float], flatten: float = 0.5, entropy: float | Non
     return high
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", flatten: float = 0.5, entropy: float | None = None, repetition: float | None = 2.0, seed: int = 17, most_sources: int = 100_000) -> DataFrame:
+def mix(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", flatten: float = 0.5, entropy: float | None = None,
+    repetition: float | None = 2.0, seed: int = 17, most_sources: int = 100_000,
+) -> DataFrame:
     """docs in the target mixture.  The table of sources (one row each, at most most_sources) is what the driver sees."""
     kept = without(docs, OUT)
     text = F.col(text_col).cast("string")
@@ -136,6 +139,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     inner = Window.partitionBy("__s", "epoch", "__b").orderBy(F.xxhash64("__h", "epoch", F.lit(seed + 2)), F.col(id_col), "__h", "n_tokens")
     placed = copies.withColumns({"__i": F.row_number().over(inner) - 1, "__u": F.coalesce(F.sum("n_tokens").over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    if sum(b * (whole + 1) for _, _, whole, _, _, b in plan) <= 200_000:  # a dozen megabytes
+        before = F.broadcast(before)
     placed = placed.join(before, F.col("__s").eqNullSafe(F.col("__s2")) & (F.col("__b") == F.col("__b2")) & (F.col("epoch") == F.col("__e2")))
     read = F.col("__t_before") + F.col("__u")
     placed = placed.withColumn("__read", read.cast("double")).where((F.col("epoch") < F.col("__whole")) | (F.col("__read") < F.col("__rest")))
