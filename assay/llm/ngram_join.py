@@ -23,32 +23,48 @@ on the sorted shingle arrays.
 Groups.  Members of a tile are first paired with its most connected class only
 (the one whose tiles have most members: the text that the others are edits of
 shares more slices than any edit does), so a group of near copies costs one pair
-for each member; verified links make components.  Only where an unverified pair leaves two components in one tile are
-all pairs across components compared, in blocks of 512 x 512 members, bitmaps
-first: large groups become many tasks, and only survivors leave a block.
+for each member; verified links make components.  Only where an unverified pair
+leaves two components in one tile are pairs across components compared, in
+blocks of 256 x 256 members, bitmaps first: only survivors leave a block.  A
+tile with more than CROWD members in several components (many edits of one text,
+or texts that share a passage) is not compared at all.  Its members meet again by
+the prefix principle: in any order of shingles that two texts share, of a pair
+that links each has one of the other's among its first floor(n * (1 - least)) + 1.
+The order here puts shingles that a centre does not hold first, then goes by hash;
+a tile's centre is the one of its component that leads most crowded tiles.  A text that is no copy of the centre fills its prefix
+with shingles of its own, so it meets those only that share its own edits.
+
+Pairs are verified with their sets side by side.  The second of a pair may be
+the centre of a large group, so pairs are dealt by it and a salt: its set is sent
+once for each SALT pairs, and no task gets all pairs of a centre.
 
 Tiles travel as packed arrays (6 bytes an entry) in one shuffle; a map task
 forwards a tile's name once and writes its other members beside it, so a tile
 that a third of all documents share does not meet in one task.
 
 Result: (id, n_shingles, component_id), a row for each input row; component_id
-is the smallest id among the documents reachable by links.  Null and empty
-texts have no shingles and link with nothing.  A null id takes part in links and
-gets its component's smallest non-null id, or null.  Repeated rows (or texts)
-are one class.  Other columns are ignored; an empty table gives an empty result.
+is the smallest id among the documents reachable by links.  Ids may have any
+type that Spark can order.  Null and empty texts have no shingles and link with
+nothing.  A null id takes part in links and gets its component's smallest
+non-null id, or null.  Repeated rows (or texts) are one class.  A text of any
+length is one row of work; Arrow batches are bounded in bytes.  Other columns
+are ignored, whatever their names; an empty table gives an empty result.
+
+``one_each`` keeps one row of each component and every row without shingles.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assay.llm import tokens
-from assay.llm.common import buckets, components, materialise
+from assay.llm.common import buckets, components, freeing, materialise, small_batches, without
 from assay.llm.tokens import U64
 
 #: Words in a shingle, and the least similarity as a fraction, unless given.
@@ -56,9 +72,13 @@ SHINGLE, NUM, DEN = 4, 85, 100
 #: A least similarity: numerator and denominator.
 Least = tuple[int, int]
 #: Members on each side of a block in which all pairs are compared.
-BLOCK = 512
-#: Tile entries that a map task gathers before it packs them.
-FLUSH = 500_000
+BLOCK = 256
+#: Members from which on a tile with several components is taken by its members' prefixes.
+CROWD = 128
+#: Pairs of one centre that are verified together.
+SALT = 64
+#: Tile entries that a map task gathers before it packs them, and classes that a task remembers.
+FLUSH, KNOWN = 250_000, 100_000
 
 
 def links(a: np.ndarray, b: np.ndarray, shared: np.ndarray, least: Least) -> np.ndarray:
@@ -98,8 +118,8 @@ def tiles(s: np.ndarray, least: Least) -> np.ndarray:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """Parity bitmap: bit h mod width is flipped for each h."""
-    width = 1 << min(12, max(6, int(len(s)).bit_length()))
+    """Parity bitmap: bit h mod width is flipped for each h.  Two to four bits for a shingle, so that few differences cancel out."""
+    width = 1 << min(12, max(6, int(len(s)).bit_length() + 1))
     odd = np.bincount((s & U64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -122,11 +142,13 @@ def may_link(na: np.ndarray, nb: np.ndarray, differ: np.ndarray, least: Least) -
 _MAP = "bucket int, kind int, id {id}, th long, class long, n long, data binary, members binary"
 
 
-def _map(n_buckets: int, id_type, shingle: int, least: Least):
+def _map(n_buckets: int, shingle: int, least: Least):
     """Rows of kind 0: a document (data: its class's bitmap); 1: packed tiles of a bucket; 2: packed (tile, class) of groups met here."""
-    schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("id", id_type), ("th", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), ("data", pa.binary()), ("members", pa.binary())])
 
-    def packed(names: list[np.ndarray], classes: list[int]) -> Iterator[pa.RecordBatch]:
+    def schema_of(id_type) -> pa.Schema:
+        return pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("id", id_type), ("th", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), ("data", pa.binary()), ("members", pa.binary())])
+
+    def packed(names: list[np.ndarray], classes: list[int], id_type) -> Iterator[pa.RecordBatch]:
         if not names:
             return
         lens = [len(x) for x in names]
@@ -160,12 +182,17 @@ def _map(n_buckets: int, id_type, shingle: int, least: Least):
             rows["data"].append(k[x:y].astype(np.uint32).tobytes() + (at.astype(wide) | np.where(m[x:y], mark, wide(0))).astype(wide).tobytes())
             rows["members"].append(who.tobytes())
         n = len(rows["kind"])
-        yield pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int32()), pa.array(rows["kind"], pa.int32()), pa.nulls(n, id_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(rows["data"], pa.binary()), pa.array(rows["members"], pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([
+            pa.array(rows["bucket"], pa.int32()), pa.array(rows["kind"], pa.int32()), pa.nulls(n, id_type), *[pa.nulls(n, pa.int64())] * 3,
+            pa.array(rows["data"], pa.binary()), pa.array(rows["members"], pa.binary()),
+        ], schema=schema_of(id_type))
 
     def run(batches):
         names, classes, held = [], [], 0
         done: set[int] = set()
+        id_type = None
         for b in batches:
+            id_type = b.column(0).type
             for c in tokens.chunks(b.column(1)):
                 sets = tokens.shingle_sets(tokens.words(c), shingle)
                 ids = [tokens.set_id(s) if len(s) else None for s in sets]
@@ -181,12 +208,16 @@ def _map(n_buckets: int, id_type, shingle: int, least: Least):
                         names.append(t), classes.append(i)
                         held += len(t)
                 n = len(sets)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(c.first, c.first + n) % n_buckets, pa.int32()), pa.array(np.zeros(n, np.int32)), b.column(0).slice(c.first, n), b.column(2).slice(c.first, n), pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(maps, pa.binary()), pa.nulls(n, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.arange(c.first, c.first + n) % n_buckets, pa.int32()), pa.array(np.zeros(n, np.int32)), b.column(0).slice(c.first, n), b.column(2).slice(c.first, n),
+                    pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(maps, pa.binary()), pa.nulls(n, pa.binary()),
+                ], schema=schema_of(id_type))
                 if held >= FLUSH:
-                    yield from packed(names, classes)
+                    yield from packed(names, classes, id_type)
                     names, classes, held = [], [], 0
+                if held == 0 or len(done) > KNOWN:
                     done.clear()  # bounded; a class seen again is merged later
-        yield from packed(names, classes)
+        yield from packed(names, classes, id_type)
 
     return run
 
@@ -194,24 +225,30 @@ def _map(n_buckets: int, id_type, shingle: int, least: Least):
 _REDUCED = "kind int, id {id}, th long, class long, n long, bits binary, tile long"
 
 
-def _reduce(id_type):
-    schema = pa.schema([("kind", pa.int32()), ("id", id_type), ("th", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("tile", pa.int64())])
+def _reduce():
+    def schema_of(id_type) -> pa.Schema:
+        return pa.schema([("kind", pa.int32()), ("id", id_type), ("th", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("tile", pa.int64())])
 
-    def groups(key: np.ndarray, cls: np.ndarray) -> pa.RecordBatch:
+    def groups(key: np.ndarray, cls: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
         n = len(key)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, 1, np.int32)), pa.nulls(n, id_type), pa.nulls(n, pa.int64()), pa.array(cls), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(key.view(np.int64))], schema=schema)
+        return pa.RecordBatch.from_arrays([
+            pa.array(np.full(n, 1, np.int32)), pa.nulls(n, schema.field("id").type), pa.nulls(n, pa.int64()), pa.array(cls),
+            pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(key.view(np.int64)),
+        ], schema=schema)
 
     def run(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, classes, marks = [], [], []
+        keys, classes, marks, schema = [], [], [], None
         for b in group:
+            schema = schema or schema_of(b.column("id").type)
             kind = b.column("kind").to_numpy()
             docs = b.filter(pa.array(kind == 0))
             if docs.num_rows:
-                yield pa.RecordBatch.from_arrays([docs.column("kind"), docs.column("id"), docs.column("th"), docs.column("class"), docs.column("n"), docs.column("data"), pa.nulls(docs.num_rows, pa.int64())], schema=schema)
+                known = [docs.column(c) for c in ("kind", "id", "th", "class", "n", "data")]
+                yield pa.RecordBatch.from_arrays([*known, pa.nulls(docs.num_rows, pa.int64())], schema=schema)
             for i in np.flatnonzero(kind):
                 data, who = b.column("data")[i].as_buffer(), np.frombuffer(b.column("members")[i].as_buffer(), np.int64)
                 if kind[i] == 2:
-                    yield groups(np.frombuffer(data, U64), who)
+                    yield groups(np.frombuffer(data, U64), who, schema)
                     continue
                 wide, size = (np.uint16, 6) if len(who) <= 0x7FFF else (np.uint32, 8)
                 n = data.size // size
@@ -229,8 +266,9 @@ def _reduce(id_type):
         more = ~head
         more[:-1] |= ~head[1:]
         more |= mark
-        for i in range(0, int(more.sum()), 1 << 18):
-            yield groups(key[more][i : i + (1 << 18)], cls[more][i : i + (1 << 18)])
+        key, cls = key[more], cls[more]
+        for i in range(0, len(key), 1 << 16):
+            yield groups(key[i : i + (1 << 16)], cls[i : i + (1 << 16)], schema)
 
     return run
 
@@ -255,10 +293,13 @@ def differing(left, i: np.ndarray, right, j: np.ndarray) -> np.ndarray:
     out = np.zeros(len(i), np.int64)
     code = lw[i] * 1024 + rw[j]
     for c in np.unique(code).tolist():
-        at = np.flatnonzero(code == c)
+        every = np.flatnonzero(code == c)
         words = min(divmod(c, 1024))
-        a, b = folded(lby[c // 1024][lp[i[at]]], words), folded(rby[c % 1024][rp[j[at]]], words)
-        out[at] = np.bitwise_count(a ^ b).sum(axis=1)
+        step = max(1, (1 << 18) // max(divmod(c, 1024)))  # 2 MB of bitmaps on each side
+        for k in range(0, len(every), step):
+            at = every[k : k + step]
+            a, b = folded(lby[c // 1024][lp[i[at]]], words), folded(rby[c % 1024][rp[j[at]]], words)
+            out[at] = np.bitwise_count(a ^ b).sum(axis=1)
     return out
 
 
@@ -278,7 +319,7 @@ def _screen(least: Least):
     return run
 
 
-def _pairs_in(start: np.ndarray, size: np.ndarray, side: np.ndarray, diagonal: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _pairs_in(start: np.ndarray, size: np.ndarray, side: np.ndarray, diagonal: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs inside each block; off the diagonal only those between its two sides."""
     for g in np.unique(size[diagonal]).tolist():
         if g < 2:
@@ -345,6 +386,8 @@ def _sets(shingle: int):
                         names.append(i), sets.append(s.tobytes())
                 if names:
                     yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.binary())], names=["class", "set"])
+                if len(done) > KNOWN:
+                    done.clear()
 
     return run
 
@@ -366,24 +409,100 @@ def _exact(least: Least):
     return run
 
 
-def _verified(pairs: DataFrame, info: DataFrame, texts: DataFrame, shingle: int, least: Least) -> DataFrame:
-    """The pairs (a, b) of classes that link, by their shingle sets; one text of each class involved is read again."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(info.select("class", "th"), "class").select("th").distinct()
-    needed = materialise(needed)
+def _sets_of(pairs: DataFrame, info: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """(class, set), once for each class in pairs (a, b); a text of each is read again."""
+    classes = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    needed = materialise(classes.join(info.select("class", "th"), "class").select("th").distinct())
     few = needed.count() <= 1_000_000  # 8 MB; more are joined by a shuffle
-    sets = texts.join(F.broadcast(needed) if few else needed, "th", "left_semi").select("text").mapInArrow(_sets(shingle), "class long, set binary").dropDuplicates(["class"])
-    left, right = sets.select(F.col("class").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("class").alias("b"), F.col("set").alias("set_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(_exact(least), "a long, b long")
+    mine = texts.join(F.broadcast(needed) if few else needed, "th", "left_semi").select("text")
+    return mine.mapInArrow(freeing(_sets(shingle)), "class long, set binary").dropDuplicates(["class"])
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: Least = (NUM, DEN)) -> DataFrame:
-    """(id, n_shingles, component_id) for each row of docs; two link from the similarity `least`, below 1, of their sets of `shingle` words on."""
+def _side_by_side(pairs: DataFrame, info: DataFrame, texts: DataFrame, shingle: int) -> list[DataFrame]:
+    """Pairs (a, b) as (a, b, set_a, set_b): those of ordinary classes b, and those of centres with many pairs."""
+    hot = materialise(pairs.groupBy("b").agg(F.ceil(F.count("*") / SALT).cast("int").alias("parts")).where("parts > 1"))
+    n_hot = hot.count()
+    if n_hot <= 200_000:  # a few megabytes
+        hot = F.broadcast(hot)
+    out = []
+    for centre in (False, True)[: 2 if n_hot else 1]:
+        mine = pairs.join(hot, "b") if centre else pairs.join(hot, "b", "left_anti") if n_hot else pairs
+        sets = _sets_of(mine, info, texts, shingle)
+        left, right = sets.select(F.col("class").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("class").alias("b"), F.col("set").alias("set_b"))
+        if not centre:
+            out.append(mine.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b"))
+            continue
+        # a centre's set goes out once for each SALT of its pairs
+        dealt = mine.withColumn("salt", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).select("a", "b", "salt")
+        right = right.join(hot, "b").select("b", "set_b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
+        out.append(dealt.join(left, "a").join(right, ["b", "salt"]).select("a", "b", "set_a", "set_b"))
+    return out
+
+
+def _verified(pairs: DataFrame, info: DataFrame, texts: DataFrame, shingle: int, least: Least) -> DataFrame:
+    """The pairs (a, b) of classes that link, by their shingle sets."""
+    return reduce(DataFrame.unionByName, [p.mapInArrow(freeing(_exact(least)), "a long, b long") for p in _side_by_side(pairs, info, texts, shingle)])
+
+
+def prefix(s: np.ndarray, centre: np.ndarray, least: Least) -> np.ndarray:
+    """The first n - ceil(least * n) + 1 shingles of s in the order: those not in centre, then those in it, each by hash."""
+    at = np.minimum(np.searchsorted(centre, s), len(centre) - 1)
+    inside = centre[at] == s
+    return np.concatenate([s[~inside], s[inside]])[: len(s) - -(-least[0] * len(s) // least[1]) + 1]
+
+
+#: Bits of the fixed bitmap of prefixes (8 MB); beyond its capacity it lets more through, never less.
+BITS = 1 << 26
+
+
+def _bitmap_of(tiles: DataFrame) -> np.ndarray:
+    """A bitmap of tile names (tile), built by Spark in pieces of 4 KB; its size is that of BITS, whatever the table's."""
+    at = F.pmod("tile", F.lit(BITS)) + 1
+    out = np.zeros(BITS // 8, np.uint8)
+    for r in tiles.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("b")).collect():
+        out[(r.k - 1) * 4096 : r.k * 4096] = np.frombuffer(bytes(r.b), np.uint8)
+    return out
+
+
+def _prefixes(least: Least, seen=None):
+    """(a, b, set of a, set of b) -> (tile, class): a in a tile for each shingle of its prefix, apart for each b; seen: a bitmap of the tiles that count."""
+
+    def run(batches):
+        for t in batches:
+            cls, centre = t.column(0).to_numpy(), t.column(1).to_numpy()
+            names = []
+            for k in range(t.num_rows):
+                x, y = (np.frombuffer(t.column(c)[k].as_buffer(), U64) for c in (2, 3))
+                name = tokens.mix(prefix(x, y, least) ^ tokens.mix(centre[k : k + 1].view(U64)))
+                if seen is not None:
+                    at = (name & U64(BITS - 1)).astype(np.int64)
+                    name = name[(seen.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+                names.append(name)
+            n = np.array([len(x) for x in names], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, U64), *names]).view(np.int64)), pa.array(np.repeat(cls, n))], names=["tile", "class"])
+
+    return run
+
+
+def _across(groups: DataFrame, again: DataFrame, least: Least) -> DataFrame:
+    """(a, b): pairs of members of one tile in different components whose sizes and bitmaps allow a link."""
+    met = groups.join(again.select("class", "comp"), "class")
+    mixed = met.groupBy("tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("tile", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    dealt = groups.join(mixed, "tile").join(again, "class").withColumn("side", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("tile", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "class", "comp", "n", "bits")
+    dealt = dealt.repartition("tile", "lo", "hi").sortWithinPartitions("tile", "lo", "hi", "side")
+    return dealt.mapInArrow(freeing(_compare(least)), "a long, b long")
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: Least) -> tuple[DataFrame, DataFrame]:
+    """(id, th, class, n) of each row, class null without shingles; and (class, id, comp) of each class, id the smallest of its rows."""
     spark = docs.sparkSession
+    small_batches(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("th"))
-    arrow_id = pa.int64() if id_type == "bigint" else pa.int32() if id_type == "int" else pa.string()
-    packed = texts.mapInArrow(_map(buckets(spark), arrow_id, shingle, least), _MAP.format(id=id_type))
-    every = materialise(packed.groupBy("bucket").applyInArrow(_reduce(arrow_id), _REDUCED.format(id=id_type)))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), text_hash(text_col).alias("th"))
+    packed = texts.mapInArrow(freeing(_map(buckets(spark), shingle, least)), _MAP.format(id=id_type))
+    every = materialise(packed.groupBy("bucket").applyInArrow(_reduce(), _REDUCED.format(id=id_type)))
 
     rows = every.where("kind = 0").select("id", "th", "class", "n")
     info = every.where("kind = 0 and class is not null").groupBy("class").agg(F.max("n").alias("n"), F.max("bits").alias("bits"), F.min("th").alias("th"), F.min("id").alias("id"))
@@ -394,11 +513,11 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # every member with its tile's most connected class
     sizes = groups.groupBy("tile").agg(F.count("*").alias("size"))
     reach = groups.join(sizes, "tile").groupBy("class").agg(F.sum("size").alias("reach"))
-    first = groups.join(reach, "class").groupBy("tile").agg(F.max_by("class", F.struct("reach", "class")).alias("b"))
+    first = materialise(groups.join(reach, "class").groupBy("tile").agg(F.max_by("class", F.struct("reach", "class")).alias("b")))
     stars = groups.join(first, "tile").where("class <> b").select(F.col("class").alias("a"), "b").distinct()
     sized = info.select("class", "n", "bits")
     stars = stars.join(sized.toDF("a", "na", "bits_a"), "a").join(sized.toDF("b", "nb", "bits_b"), "b")
-    stars = materialise(stars.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(_screen(least), "a long, b long, may boolean"))
+    stars = materialise(stars.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(freeing(_screen(least)), "a long, b long, may boolean"))
     found = materialise(_verified(stars.where("may").select("a", "b"), info, texts, shingle, least))
     comps = materialise(components(found))
 
@@ -409,18 +528,62 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     again = sized.join(of, "class", "left").withColumn("comp", F.coalesce("comp", "class")).join(open_, "comp", "left_semi")
     again = materialise(again.select("class", "comp", "n", "bits"))
     met = groups.join(again.select("class", "comp"), "class")
-    mixed = met.groupBy("tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("tile", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    dealt = groups.join(mixed, "tile").join(again, "class").withColumn("side", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("tile", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "class", "comp", "n", "bits")
-    dealt = dealt.repartition("tile", "lo", "hi").sortWithinPartitions("tile", "lo", "hi", "side")
-    more = materialise(dealt.mapInArrow(_compare(least), "a long, b long").distinct())
-    more = _verified(more, info, texts, shingle, least)
-    comps = materialise(components(found.unionByName(more)))
+    mixed = materialise(met.groupBy("tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("tile", "size"))
+    crowded = mixed.where(F.col("size") > CROWD)
+    near = _across(groups.join(mixed.where(F.col("size") <= CROWD), "tile", "left_semi"), again, least)
+    if crowded.limit(1).count():
+        led = crowded.join(first, "tile").join(of.toDF("b", "cb"), "b", "left").select("tile", "b", F.coalesce("cb", "b").alias("cb"))
+        centres = led.groupBy("cb", "b").agg(F.count("*").alias("k")).groupBy("cb").agg(F.max_by("b", F.struct("k", "b")).alias("b"))
+        held = met.join(led.select("tile", "cb").join(centres, "cb"), "tile").select(F.col("class").alias("a"), "b", (F.col("comp") == F.col("cb")).alias("home")).distinct()
+        held = materialise(held)
+
+        def members(mine: DataFrame, seen=None) -> DataFrame:
+            parts = _side_by_side(mine.select("a", "b"), info, texts, shingle)
+            return materialise(reduce(DataFrame.unionByName, [p.mapInArrow(freeing(_prefixes(least, seen)), "tile long, class long") for p in parts]))
+
+        strangers = members(held.where("not home"))
+        family = members(held.where("home"), spark.sparkContext.broadcast(_bitmap_of(strangers)))
+        near = near.unionByName(_across(strangers.unionByName(family), again, least))
+    more = _verified(materialise(near.distinct()), info, texts, shingle, least)
+    # these links join components, whose names are their smallest classes
+    more = more.join(of.toDF("a", "ca"), "a", "left").join(of.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    joined = materialise(components(more)).select(F.col("node").alias("comp"), F.col("component").alias("whole"))
+    named = info.select("class", "id").join(of, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+    return rows, named.join(joined, "comp", "left").select("class", "id", F.coalesce("whole", "comp").alias("comp"))
+
+
+def text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.col(text_col).cast("string"))
 
-    of = comps.select(F.col("node").alias("class"), F.col("component").alias("comp"))
-    classes = info.select("class", "id").join(of, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: Least = (NUM, DEN)) -> DataFrame:
+    """(id, n_shingles, component_id) for each row of docs; two link from the similarity `least`, below 1, of their sets of `shingle` words on."""
+    rows, classes = _classes(docs, id_col, text_col, shingle, least)
     smallest = classes.groupBy("comp").agg(F.min("id").alias("component_id"))
     named = classes.select("class", "comp").join(smallest, "comp").select("class", "component_id")
     out = rows.join(named, "class", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: Least = (NUM, DEN)) -> DataFrame:
+    """The rows of docs, with all their columns, less those linked with one that stays.
+
+    Of each component the row with the smallest id stays (null ids last, ties by the text's hash); of rows alike in
+    id and text one.  Rows with different texts that merely share an id are apart.  Rows without shingles all stay.
+    """
+    rows, classes = _classes(docs, id_col, text_col, shingle, least)
+    rows = rows.where("class is not null").groupBy("class", "id", "th").agg(F.count("*").alias("alike"))
+    who = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("th").alias("th"), F.col("alike").alias("alike"))
+    best = rows.join(classes.select("class", "comp"), "class").groupBy("comp").agg(F.min(who).alias("w"))
+    best = materialise(best.select(F.col("w.id").alias("__id"), F.col("w.th").alias("__th"), F.col("w.alike").alias("alike")))
+    docs = without(docs, [])
+    fits = (text_hash(text_col) == F.col("__th")) & F.col(id_col).eqNullSafe(F.col("__id"))
+    silent = ~F.coalesce(F.col(text_col).cast("string").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    once = best.where("alike = 1")
+    if once.count() <= 500_000:  # a dozen megabytes; more are joined by a shuffle of the rows
+        once = F.broadcast(once)
+    kept = docs.where(~silent).join(once, fits, "left_semi").unionByName(docs.where(silent))
+    repeated = best.where("alike > 1")
+    if repeated.limit(1).count():
+        kept = kept.unionByName(docs.where(~silent).join(repeated, fits, "left_semi").dropDuplicates([id_col, text_col]))
+    return kept
