@@ -60,7 +60,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir).select(F.col("doc_id"), *sharding.OUT)
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mixing, op2_url_filter, op3_language_id, op4_decontamination, op5_quality_classifier, op6_sharding, op7_media_columns, op8_toxicity, op9_lm_scoring, op10_ngram_join, pipeline)}
+QUERIES = {f.__name__: f for f in (
+    op1_source_mixing, op2_url_filter, op3_language_id, op4_decontamination, op5_quality_classifier, op6_sharding, op7_media_columns, op8_toxicity,
+    op9_lm_scoring, op10_ngram_join, pipeline,
+)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(" + _LOWER + r", '[^\x20\x09-\x0D]+')"

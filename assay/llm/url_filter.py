@@ -24,8 +24,8 @@ Only DataFrame functions.  Urls that a rule fits are labelled by that rule
 Segments from level ``levels`` on count as one, so work grows with a path's length
 and not with its square, however long it is.  Counts are made per (host, id-free
 path) before anything is joined, so a hot host costs one partial sum per task; each
-level is written once, and joins are plain equi-joins of written tables, which
-Spark may split when skewed.
+level is written once, and joins are plain equi-joins, which Spark may split when
+skewed.
 
 Null urls and urls without ``://`` have an empty host and path, no rule, and the
 verdict of that host's root.  Repeated rows are judged alike and all returned; ids
@@ -84,8 +84,8 @@ def _generalised(paths: DataFrame, depth: int, min_children: int, rare: float) -
     for k in range(1, depth + 1):
         out = materialise(out.withColumn("seg", F.try_element_at("segs", F.lit(k))))
         children = out.where("seg is not null").groupBy("host", "node", "seg").agg(F.sum("n").alias("c"))
-        nodes = materialise(children.groupBy("host", "node").agg(F.sum("c").alias("total"), F.count("*").alias("kinds")).where(F.col("kinds") >= min_children))
-        wild = materialise(children.join(nodes, ["host", "node"]).where(F.col("c") < rare * F.col("total")).select("host", "node", "seg", F.lit(True).alias("wild")))
+        nodes = children.groupBy("host", "node").agg(F.sum("c").alias("total"), F.count("*").alias("kinds")).where(F.col("kinds") >= min_children)
+        wild = children.join(nodes, ["host", "node"]).where(F.col("c") < rare * F.col("total")).select("host", "node", "seg", F.lit(True).alias("wild"))
         out = out.join(wild, ["host", "node", "seg"], "left").withColumn("gen", F.when(F.col("wild"), "*").otherwise(F.col("seg")))
         out = out.withColumns({"gens": F.when(F.col("gen").isNull(), F.col("gens")).otherwise(F.concat("gens", F.array("gen"))), "node": F.when(F.col("gen").isNull(), F.col("node")).otherwise(F.concat("node", F.lit("/"), "gen"))})
         out = out.drop("seg", "wild", "gen")
@@ -98,7 +98,7 @@ def _merged(level: DataFrame, z: float, k: float) -> DataFrame:
     each = each.withColumn("rate", (F.col("b") + k * F.col("p")) / (F.col("l") + k))
     order = Window.partitionBy("host", "branch").orderBy("rate", "g")
     before = F.last(F.when(F.col("l") > 0, F.struct("l", "b")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    each = materialise(each.withColumns({"prev": F.lag("g").over(order), "np": F.lag("n").over(order), "last": before}))
+    each = each.withColumns({"prev": F.lag("g").over(order), "np": F.lag("n").over(order), "last": before})
     cells = level.groupBy("host", "branch", "g", "next").agg(F.sum("n").cast("double").alias("o"))
     pairs = each.where("prev is not null").select("host", "branch", "g", "prev", F.sqrt(F.col("np") / F.col("n")).alias("a"))
     mine = pairs.join(cells, ["host", "branch", "g"]).select("host", "branch", "g", "next", "a", F.col("o").alias("og"), F.lit(0.0).alias("op"))
@@ -121,14 +121,14 @@ def _judged(shapes: DataFrame, depth: int, z: float, k: float) -> DataFrame:
     overall = shapes.agg(F.coalesce(F.try_divide(F.sum("bad").cast("double"), F.sum("labelled")), F.lit(0.0)).alias("rate"))
     hosts = shapes.groupBy("host").agg(F.sum("labelled").alias("m_labelled"), F.sum("bad").alias("m_bad")).crossJoin(F.broadcast(overall))  # one row
     hosts = hosts.select("host", "m_labelled", "m_bad", purity("m_", F.col("rate")).alias("purity"))
-    out = shapes.join(materialise(hosts), "host").withColumn("branch", F.lit(""))
+    out = shapes.join(hosts, "host").withColumn("branch", F.lit(""))
     for i in range(1, depth + 1):
         out = materialise(out.withColumns({"g": F.try_element_at("gens", F.lit(i)), "next": F.coalesce(F.try_element_at("gens", F.lit(i + 1)), F.lit(""))}))
-        merged = materialise(_merged(out.where("g is not null"), z, k))
+        merged = _merged(out.where("g is not null"), z, k)
         out = out.join(merged, ["host", "branch", "g"], "left")
         out = materialise(out.withColumn("branch", F.when(F.col("g").isNotNull(), F.concat("branch", F.lit("/"), "name")).otherwise(F.col("branch"))).drop("name"))
         below = out.where("g is not null").groupBy("host", "branch").agg(F.sum("labelled").alias("b_labelled"), F.sum("bad").alias("b_bad"))
-        out = out.join(materialise(below).withColumn("here", F.lit(True)), ["host", "branch"], "left")
+        out = out.join(below.withColumn("here", F.lit(True)), ["host", "branch"], "left")
         here = F.col("here") & F.col("g").isNotNull()
         out = out.withColumns({
             "purity": F.when(here, purity("b_", F.col("purity"))).otherwise(F.col("purity")),
@@ -137,7 +137,10 @@ def _judged(shapes: DataFrame, depth: int, z: float, k: float) -> DataFrame:
     return out.select("host", "gens", F.when(F.col("branch") == "", "/").otherwise(F.col("branch")).alias("template"), F.col("m_labelled").alias("labelled"), F.col("m_bad").alias("bad"), "purity")
 
 
-def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", min_children: int = 8, rare: float = 0.1, z: float = 1.96, k: float = 10.0, reject: float = 0.8, levels: int = LEVELS) -> DataFrame:
+def url_filter(
+    pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url",
+    min_children: int = 8, rare: float = 0.1, z: float = 1.96, k: float = 10.0, reject: float = 0.8, levels: int = LEVELS,
+) -> DataFrame:
     """(id, host, path, rule, verdict, template, labelled, bad, purity): one row for each row of pages."""
     url = F.col(url_col).cast("string")
     seen = pages.select(F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"))
@@ -147,7 +150,7 @@ def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     depth = paths.agg(F.max(F.size("segs")).alias("d")).head().d or 0
     named = _generalised(paths, depth, min_children, rare)
     shapes = materialise(named.groupBy("host", "gens").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")))
-    lookup = materialise(named.select("host", "segs", "gens").join(materialise(_judged(shapes, depth, z, k)), ["host", "gens"]).drop("gens"))
+    lookup = materialise(named.select("host", "segs", "gens").join(_judged(shapes, depth, z, k), ["host", "gens"]).drop("gens"))
     by_template = F.when(F.col("purity") >= reject, "block").otherwise("allow")
     return seen.join(lookup, ["host", "segs"], "left").select(
         F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("by_rule", by_template).alias("verdict"), "template", "labelled", "bad", "purity",

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from assay.llm import decontamination, langid, lm, matroska, mixing, ngram_join, quality, sharding, tokens, toxicity, url_filter
 from assay.llm.common import components
-from assay.llm.queries import SQL
+from assay.llm.queries import QUERIES, SQL
+
+SF = "/root/testdata/sf0.001"
 
 DOCS = "doc_id long, text string, lang string, source string, size int, SCORE string, shard string"
 
@@ -129,6 +131,63 @@ def test_ngram_join_boundary(spark):
     assert {r.doc_id: r.component_id for r in ngram_join.ngram_join(frame).collect()} == {k: least[r] for k, r in root.items()}
 
 
+def test_ngram_join_takes_a_crowded_tile_by_prefixes(spark, monkeypatch):
+    """5,000 texts share a third of their shingles and are no copies; a few pairs among them are. Few pairs are compared."""
+    common = "this notice must stay in all copies of"
+    rows = [(i, f"{common} a{i} b{i} c{i} d{i}") for i in range(5000)]
+    rows += [(10_000 + i, f"{common} a{i} b{i} c{i} d{i} e") for i in range(0, 5000, 500)]
+    compared = []
+    real = ngram_join._verified
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(ngram_join, "_verified", counted)
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    sets = {k: _set(t, 4) for k, t in rows}
+    want = {k: k % 10_000 if k >= 10_000 and 100 * len(sets[k] & sets[k % 10_000]) >= 85 * len(sets[k] | sets[k % 10_000]) else k for k in sets}
+    assert got == want and sum(compared) < 4 * len(rows)
+
+
+@pytest.mark.parametrize("crowd", [2, 256])
+def test_ngram_join_of_edits_of_one_text(spark, crowd, monkeypatch):
+    """400 edits of one text, many of them too far from it but some near to each other, with small crowds and ordinary ones."""
+    monkeypatch.setattr(ngram_join, "CROWD", crowd)
+    monkeypatch.setattr(ngram_join, "SALT", 16)
+    rng = random.Random(6)
+    base = [f"b{i}" for i in range(80)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 400):
+        w = list(rows[rng.randrange(len(rows))][1].split()) if i % 3 == 0 else list(base)
+        for k in rng.sample(range(80), rng.choice([1, 2, 3, 6, 10])):
+            w[k] = f"e{i}x{k}"
+        rows.append((i, " ".join(w)))
+    root = _components({k: _set(t, 4) for k, t in rows})
+    least = defaultdict(lambda: 10**9)
+    for k, r in root.items():
+        least[r] = min(least[r], k)
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: least[r] for k, r in root.items()} and len(set(got.values())) > 50
+
+
+@pytest.mark.parametrize("kind", ["smallint", "string", "decimal(9,2)", "date"])
+def test_ids_of_any_type(spark, corpus, kind):
+    """All operators take ids of any type that Spark can order."""
+    as_id = {"date": "date_add(date'2020-01-01', cast(doc_id as int))"}.get(kind, f"cast(doc_id as {kind})")
+    frame = spark.createDataFrame(corpus[:40], DOCS).selectExpr(f"{as_id} as doc_id", "text", "lang", "source").repartition(2)
+    labels = frame.selectExpr("doc_id", "cast(length(text) % 2 as int) as quality", "cast(length(text) % 3 = 0 as int) as toxic").distinct()
+    bench = frame.select(F.col("doc_id").alias("item_id"), "text").limit(5)
+    every = [
+        mixing.mix(frame), url_filter.url_filter(frame, id_col="doc_id", url_col="text"), langid.identify(frame, frame), decontamination.contaminated(frame, bench), quality.quality_scores(frame, labels),
+        sharding.shard(frame), matroska.digests(matroska.as_media(frame)), matroska.packet_table(matroska.as_media(frame)), toxicity.toxicity_scores(frame, labels), lm.lm_scores(frame), ngram_join.ngram_join(frame),
+    ]
+    for out in every:
+        ids = {r.doc_id for r in out.select("doc_id").collect()}
+        assert out.schema["doc_id"].dataType == frame.schema["doc_id"].dataType
+        assert ids <= {r.doc_id for r in frame.select("doc_id").collect()} and len(ids) > 3
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(40)] + [(100 + rng.randrange(30), 100 + rng.randrange(30)) for _ in range(20)] + [(7, 7), (-5, 3)]
@@ -163,8 +222,10 @@ def test_decontamination(spark, docs, corpus, empty, block_shingles):
                 want[(r[0], i, len(s), len(s & d))] += 1
     got = decontamination.contaminated(docs, bench, block_shingles=block_shingles)
     assert Counter((r.doc_id, r.item_id, r.n_item, r.n_shared) for r in got.collect()) == want
-    marked = decontamination.contaminated(docs, bench, block_shingles=block_shingles, keep_all=True)
+    clash = docs.withColumn("N_ITEMS", F.lit("x"))
+    marked = decontamination.with_item_counts(clash, bench, block_shingles=block_shingles)
     assert marked.columns[:-1] == docs.columns
+    assert decontamination.with_item_counts(empty, bench).count() == 0
     assert marked.agg(F.sum("n_items")).collect()[0][0] == sum(want.values())
     assert decontamination.contaminated(empty, bench).count() == 0
     assert decontamination.contaminated(docs, bench.limit(0)).count() == 0
@@ -187,10 +248,50 @@ def test_url_filter_matches_sql(spark, tmp_path):
     assert url_filter.url_filter(frame.limit(0)).count() == 0
 
 
+def _verdicts(spark, urls, **how):
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    return {r.url: r for r in url_filter.url_filter(frame, **how).join(frame, "page_id").collect()}
+
+
 def test_url_filter_blocks_by_purity(spark):
-    bad = [(i, f"http://a.net/es/{i}") for i in range(80)] + [(100 + i, f"http://a.net/q{i}") for i in range(20)]
-    got = {r.page_id: r for r in url_filter.url_filter(spark.createDataFrame(bad, "page_id long, url string")).collect()}
-    assert got[0].verdict == "block" and got[100].template == "/*"
+    got = _verdicts(spark, [f"http://a.net/es/{i}" for i in range(80)] + [f"http://a.net/q{i}" for i in range(20)])
+    assert got["http://a.net/es/0"].verdict == "block" and got["http://a.net/q3"].template == "/*"
+
+
+def test_url_tree_pools_the_children_of_a_wildcard(spark):
+    """60 users with 20 pages each: no page is frequent below one user, but below the wildcard each is rare among many."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("ghijklmnopqrstuvw") for _ in range(7))
+    users, pages = [word() for _ in range(60)], [word() for _ in range(20)]
+    urls = [f"http://a.org/{u}/{p}" for u in users for p in rng.sample(pages, 3)]
+    got = _verdicts(spark, urls)
+    assert {r.template for r in got.values()} == {"/*/*"}
+    # the same pages below a kept segment are generalised there alone
+    rules = (("block", "a.org", "/list/top"), ("allow", "a.org", "/list/"))
+    got = _verdicts(spark, [f"http://a.org/list/{p}" for p in pages] + ["http://a.org/list/top"] * 20, rules=rules)
+    assert got["http://a.org/list/top"].template == "/list/top" and got[f"http://a.org/list/{pages[0]}"].template == "/list/*"
+
+
+def test_url_branches_merge_when_alike(spark):
+    rules = (("block", "a.org", "/ads/"), ("allow", "a.org", "/en/"), ("allow", "a.org", "/fr/"))
+    urls = [f"http://a.org/{b}/{i}" for b in ("en", "fr", "de") for i in range(40)] + [f"http://a.org/ads/{i}" for i in range(60)]
+    urls += [f"http://a.org/shop/{x}/{i}" for x in ("cart", "item") for i in range(30)]
+    got = _verdicts(spark, urls, rules=rules)
+    # three languages with the same children and no bad label; ads differ by their labels, the shop by its children
+    assert {got[f"http://a.org/{b}/1"].template for b in ("en", "fr", "de")} == {"/+1/*"}
+    assert got["http://a.org/ads/1"].template == "/ads/*" and got["http://a.org/shop/cart/1"].template.startswith("/shop/")
+    assert got["http://a.org/de/1"].labelled == 80 and got["http://a.org/de/1"].verdict == "allow"
+    # unlabelled templates back off to their host, unlabelled hosts to the overall rate
+    bad = (("block", "b.org", "/x/"),)
+    got = _verdicts(spark, [f"http://b.org/x/{i}" for i in range(90)] + ["http://b.org/y/z/1", "http://c.org/"], rules=bad)
+    assert got["http://b.org/y/z/1"].verdict == "block" and got["http://c.org/"].purity == 1.0
+    assert _verdicts(spark, ["http://c.org/"], rules=bad)["http://c.org/"].verdict == "allow"
+
+
+def test_url_filter_takes_very_long_paths(spark):
+    long = "http://a.org/" + "/".join(f"part{i}x" for i in range(50_000))
+    got = _verdicts(spark, [long, "http://a.org/a/b"])
+    assert got[long].template.count("/") == 50_000 and len(got) == 2
 
 
 def test_language_id(spark, docs, empty):
@@ -235,6 +336,41 @@ def test_language_profiles_match_brute_force(spark):
         assert got[lang] == {code(g): i for i, g in enumerate(ranked)}
 
 
+def test_language_distance_by_brute_force():
+    """Out-of-place distance, ties and score on random profiles."""
+    rng = random.Random(3)
+    grams = list(range(1, 60))
+    for size in (5, 20):
+        lists = {k: rng.sample(grams, size) for k in ("aa", "bb", "cc")}
+        lists["dd"] = list(lists["aa"])  # a tie: the first name wins
+        model = langid.Model([type("R", (), {"lang": k, "gram": g, "rank": i}) for k, v in lists.items() for i, g in enumerate(v)], size)
+        for _ in range(30):
+            text = [rng.choice(grams) for _ in range(rng.randint(1, 200))]
+            count = Counter(text)
+            top = sorted(count, key=lambda g: (-count[g], g))[:size]
+            far = {k: sum(abs(v.index(g) - i) if g in v else size for i, g in enumerate(top)) for k, v in lists.items()}
+            order = sorted(far, key=lambda k: (far[k], k))
+            lang, score = model.predict(np.array(text, np.uint64))
+            assert lang == order[0] and math.isclose(score, (far[order[1]] - far[order[0]]) / far[order[1]] if far[order[1]] else 0.0)
+
+
+def test_document_statistics_by_brute_force():
+    texts = ["", "One two, TWO two! 3 a|b", "x", "A b A b a B\nend. \u00e9t\u00e9 #&", "word " * 5000 + "LAST;;"]
+    got = np.concatenate([quality.statistics(c) for c in tokens.chunks(pa.array(texts), 64)])
+    for t, row in zip(texts, got, strict=True):
+        raw, w = t.encode(), _words(t)
+        n, pairs = len(w), Counter(zip(w, w[1:], strict=False))
+        chars = lambda s: sum(raw.count(x.encode()) for x in s)
+        upper = sum(65 <= b <= 90 for b in raw)
+        alpha = upper + sum(97 <= b <= 122 for b in raw)
+        want = [
+            math.log1p(n), math.log1p(sum(map(len, w)) / max(n, 1)), math.log1p(max(map(len, w), default=0)), math.sqrt(upper / max(alpha, 1)), math.sqrt(chars("#$%&*@^~<>=+\\/_{}[]") / max(len(raw), 1)),
+            math.sqrt(chars("|") / max(len(raw), 1)), math.sqrt(chars("0123456789") / max(len(raw), 1)), math.sqrt(chars(".,;:") / max(n, 1)), math.sqrt(chars("!?") / max(len(raw), 1)), math.sqrt(chars("\n") / max(n, 1)),
+            math.sqrt(sum(len(x) <= 3 for x in w) / max(n, 1)), math.log1p(len(set(w))) / math.log1p(max(n, 1)), math.sqrt(sum(x == y for x, y in zip(w, w[1:], strict=False)) / max(n, 1)), math.sqrt(sum(v - 1 for v in pairs.values()) / max(n, 1)),
+        ]
+        assert np.allclose(row, want)
+
+
 def test_quality(spark, empty):
     rng = random.Random(6)
     words = ["stone", "river", "the", "of", "a", "walking", "people"]
@@ -298,6 +434,51 @@ def test_sharding(spark, docs, empty, hot):
         assert sharding.shard(empty).count() == 0
 
 
+def test_sharding_splits_a_hot_key(spark):
+    """3,000 rows without an id, all of one text: near equal bytes all the same."""
+    frame = spark.range(3000).selectExpr("cast(null as string) as doc_id", "'the same text' as text")
+    got = sharding.shard(frame).groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("slots"), F.max("slot").alias("top")).collect()
+    assert len(got) == 24 and all(abs(r.n - 125) <= 1 and r.slots == r.n == r.top + 1 for r in got)
+
+
+def test_sharding_with_many_buckets(spark, monkeypatch):
+    """Buckets that follow the data: more than the grid's first cells would hold, with splitters inside cells."""
+    monkeypatch.setattr(sharding, "BUCKET_BYTES", 100)
+    frame = spark.range(20000).selectExpr("cast(id as int) as doc_id", "repeat('x', cast(id % 50 as int)) as text")
+    got = sharding.shard(frame, shards=8).select("doc_id", "shard", "slot", "size").collect()
+    total = defaultdict(int)
+    for r in got:
+        total[r.shard] += r["size"]
+    assert sorted(r.doc_id for r in got) == list(range(20000)) and max(total.values()) - min(total.values()) <= 200
+    for k in range(8):
+        assert sorted(r.slot for r in got if r.shard == k) == list(range(sum(1 for r in got if r.shard == k)))
+
+
+def _tempered(size, a):
+    x = [(t / sum(size)) ** a if t else 0.0 for t in size]
+    return [v / sum(x) for v in x]
+
+
+def _entropy(w):
+    return -sum(v * math.log(v) for v in w if v)
+
+
+def _most_read(size, w):
+    r = [v / t for v, t in zip(w, size, strict=True) if t]
+    return max(r) / min(r)
+
+
+@pytest.mark.parametrize("flatten, limit", [(0.5, None), (0.5, 1.2), (0.0, None), (1.0, 3.0)])
+def test_mixing_target_by_scan(flatten, limit):
+    """The exponent against a fine scan of [0, 1] for the first value that is flat enough and within the limit."""
+    size = [7000, 2000, 1000, 350, 0]
+    goal = _entropy(_tempered(size, 1.0)) + flatten * (math.log(4) - _entropy(_tempered(size, 1.0)))
+    fits = [k / 20000 for k in range(20001) if _entropy(_tempered(size, k / 20000)) <= goal + 1e-12 and (limit is None or _most_read(size, _tempered(size, k / 20000)) <= limit + 1e-12)]
+    want = fits[0] if fits else 1.0
+    assert abs(mixing.exponent(size, flatten, None, limit) - want) <= 1 / 20000 + 1e-9
+    assert mixing.exponent([5, 5, 5]) in (0.0, 1.0)
+
+
 def test_mixing(spark, docs, corpus, empty):
     got = mixing.mix(docs, repetition=3.0).collect()
     tokens_of, rows = defaultdict(int), defaultdict(Counter)
@@ -306,11 +487,14 @@ def test_mixing(spark, docs, corpus, empty):
         rows[r[3]][r[0], r[1]] += 1
     names = sorted(tokens_of, key=lambda s: (s is not None, str(s)))
     size = [tokens_of[s] for s in names]
-    a = mixing.exponent(size, 3.0)
-    w = dict(zip(names, mixing.weights(size, a), strict=True))
-    e = dict(zip(names, mixing.epochs(size, mixing.weights(size, a)), strict=True))
-    assert math.isclose(max(e.values()), 3.0, rel_tol=1e-6) or a in (0.0, 1.0)
-    assert math.isclose(sum(w.values()), 1.0)
+    own = _entropy(_tempered(size, 1.0))
+    goal = own + 0.5 * (math.log(len(size)) - own)
+    a = got[0].exponent
+    w = dict(zip(names, _tempered(size, a), strict=True))
+    assert 0 < a < 1 and math.isclose(_entropy(w.values()), goal, rel_tol=1e-9) or math.isclose(_most_read(size, w.values()), 3.0, rel_tol=1e-9)
+    assert {(r.exponent, round(r.entropy, 9), round(r.repetition, 9)) for r in got} == {(a, round(_entropy(w.values()), 9), round(_most_read(size, list(w.values())), 9))}
+    least = min(w[s] / tokens_of[s] for s in names)
+    e = {s: w[s] / tokens_of[s] / least for s in names}
     longest = max(len(_words(r[1])) for r in corpus)
     for s in names:
         mine = [r for r in got if r.source == s]
@@ -323,9 +507,21 @@ def test_mixing(spark, docs, corpus, empty):
         for k in {r.epoch for r in mine}:
             assert sorted(r.position for r in mine if r.epoch == k) == list(range(sum(1 for r in mine if r.epoch == k)))
     assert mixing.mix(empty).count() == 0
-    for h in (0.5, 0.9, 1.05):
-        x = mixing.weights([70, 20, 10], mixing.exponent([70, 20, 10], None, h))
-        assert math.isclose(-sum(v * math.log(v) for v in x), max(h, 0.8018185525433372), rel_tol=1e-6)
+    for h in (0.85, 0.9, 1.05):
+        x = _tempered([70, 20, 10], mixing.exponent([70, 20, 10], entropy=h))
+        assert math.isclose(_entropy(x), h, rel_tol=1e-6)
+
+
+def test_mixing_deals_alike_rows_into_many_blocks(spark):
+    """A third of the rows are alike in source, id and text, a third share a null id."""
+    frame = spark.range(9000).selectExpr("case when id % 3 = 2 then id end as doc_id", "case when id % 3 = 0 then 'same text here' else concat('w', id) end as text", "'s' as source")
+    got = mixing.mix(frame).groupBy("block").count().collect()
+    assert sum(r["count"] for r in got) == 9000 and len(got) == 35 and max(r["count"] for r in got) < 2 * 9000 / 35
+
+
+def test_op1_target_binds_on_the_registered_table(spark):
+    r = QUERIES["op1_source_mixing"](spark, SF).select("exponent", "entropy", "repetition").distinct().collect()
+    assert len(r) == 1 and 0 < r[0].exponent < 1 and r[0].repetition > 1
 
 
 def test_matroska(spark, docs, corpus, empty):
@@ -368,6 +564,9 @@ def test_matroska_lacing_groups_and_damage(spark):
     frame = spark.createDataFrame([(1, bytearray(raw[:-1])), (2, None), (3, bytearray(b"junk"))], "doc_id long, media binary")
     got = matroska.packet_table(frame).collect()
     assert {r.doc_id for r in got} == {1, 3} and all(r.error for r in got)
+    rows = {r.doc_id: r for r in matroska.digests(frame.withColumn("n_bytes", F.lit(0))).collect()}
+    assert rows[2].payload_sha256 is None and rows[2].error is None and rows[1].error and rows[3].error
+    assert rows[1].payload_bytes == sum(r["size"] for r in got if r.doc_id == 1 and r.packet is not None) and rows[3].payload_bytes == 0
 
 
 def test_toxicity(spark, empty):
@@ -410,6 +609,50 @@ def test_counterfactual_penalty_spares_neutral_mentions(spark):
     free, fair = toxicity.fit(frame, fair=0.0).score(probe), toxicity.fit(frame, fair=10.0).score(probe)
     assert abs(fair[0] - fair[1]) < 0.3 * abs(free[0] - free[1]) and fair[0] < free[0]
     assert toxicity.swaps("The Women met a man.") == ["The men met a woman.", "The  met a ."]
+    assert toxicity.swaps("Die Frauen und Männer") == ["Die männer und frauen", "Die  und "]
+
+
+def test_counterfactual_objective_by_brute_force():
+    """Loss as written down, gradient by differences, and the fit at a stationary point."""
+    rng = np.random.default_rng(3)
+    rows = [np.flatnonzero(rng.random(9) < 0.4) for _ in range(40)]
+    y = (rng.random(40) < 0.4).astype(float)
+    pairs = [(rng.choice(9, 2, replace=False), rng.choice(9, 1)) for _ in range(12)]
+    loss = toxicity.objective(rows, y, pairs, 9, 0.01, 0.7)
+
+    def plain(x):
+        w, value = x[:-1], 0.0
+        for r, t in zip(rows, y, strict=True):
+            p = 1 / (1 + math.exp(-(sum(w[k] for k in r) + x[-1])))
+            value -= (math.log(p) if t else math.log(1 - p)) / len(rows)
+        return value + 0.01 * sum(v * v for v in w) + 0.7 * sum((sum(w[k] for k in a) - sum(w[k] for k in b)) ** 2 for a, b in pairs) / len(pairs)
+
+    x = rng.normal(size=10)
+    value, g = loss(x)
+    assert math.isclose(value, plain(x), rel_tol=1e-12)
+    for k in range(10):
+        up, down = x.copy(), x.copy()
+        up[k] += 1e-6
+        down[k] -= 1e-6
+        assert math.isclose(g[k], (plain(up) - plain(down)) / 2e-6, rel_tol=1e-5, abs_tol=1e-7)
+    fitted = toxicity.Linear(rows, y, pairs, 9, 0.01, 0.7)
+    assert np.abs(loss(np.append(fitted.weight, fitted.bias))[1]).max() < 1e-3
+
+
+def test_op8_has_swaps_on_the_registered_tables(spark):
+    docs, labels = (spark.read.parquet(f"{SF.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    assert toxicity.toxicity_model(docs, labels).swaps > 100
+
+
+def test_found_groups_are_neutral_words_of_one_place(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(400):
+        bad = i % 2
+        rows.append((bad, f"near the {rng.choice(['north', 'south', 'east'])} a {rng.choice(['tree', 'house'])} {'scum' if bad else 'fine'} the {'vermin' if bad and i % 3 else 'guest'}"))
+    groups = toxicity.found_groups(spark.createDataFrame(rows, "label int, text string"), {0: 200, 1: 200})
+    words = {w for g in groups for w in g}
+    assert not words & {"scum", "vermin", "fine", "guest"} and any(set(g) <= {"north", "south", "east"} for g in groups)
 
 
 def test_lm(spark, docs, corpus, empty):
@@ -453,6 +696,115 @@ def test_lm_is_a_distribution_and_em_climbs():
     assert lex.find(np.append(words[::-1], [np.uint64(5)])).tolist()[-1] == -1 and (lex.hash[lex.find(words)] == words).all()
 
 
+class PlainModel:
+    """The interpolated model of the module's docstring, word by word, from dictionaries."""
+
+    def __init__(self, train, heads):
+        texts = [[*_words(t), None] for _, t in train]
+        name = lambda w: int(tokens.END) if w is None else int(tokens.words(next(tokens.chunks(pa.array([w.decode()])))).hash[0])
+        self.heads, self.count = heads, Counter(w for t in texts for w in t)
+        self.n, self.v = sum(self.count.values()), len(self.count)
+        ranked = sorted(self.count, key=lambda w: (-self.count[w], name(w)))
+        self.cls = {w: k if k < heads else heads + int(math.log2(k / heads + 1e-12)) for k, w in enumerate(ranked)}
+        self.rare, self.c = heads + 19, heads + 20
+        self.mass = Counter()
+        for w, k in self.cls.items():
+            self.mass[k] += self.count[w] + 0.5
+        self.mass[self.rare] += 0.5
+        pairs = {0: Counter(), 1: Counter()}
+        self.seen = Counter()
+        for (i, _), t in zip(train, texts, strict=True):
+            out = int(zlib.crc32(str(i).encode()) // 5 % 10 == 0)
+            for v, w in zip([None, *t], t, strict=False):
+                pairs[out][self.cls[v], self.cls[w]] += 1
+                self.seen[v, w] += 1
+        self.lam = self._weights(pairs[0], pairs[1])
+        self.pairs = pairs[0] + pairs[1]
+        self.from_, self.one = Counter(), Counter()
+        for (x, y), m in self.pairs.items():
+            self.from_[x] += m
+            self.one[y] += m
+        self.a = self._pair_weights()
+
+    def _weights(self, kept, held):
+        start, one = Counter(), Counter()
+        for (x, y), m in kept.items():
+            start[x] += m
+            one[y] += m
+        lam = defaultdict(lambda: [0.02, 0.49, 0.49], {0: [0.02, 0.98, 0.0]})
+        for _ in range(60):
+            got = defaultdict(lambda: [0.02, 0.49, 0.49])
+            for (x, y), m in held.items():
+                b = int(math.log2(start[x] + 1.0))
+                part = [q * f for q, f in zip(lam[b], (1 / self.c, one[y] / max(1, sum(kept.values())), kept[x, y] / max(1, start[x])), strict=True)]
+                got[b] = [g + m * q / sum(part) for g, q in zip(got[b], part, strict=True)]
+            lam = defaultdict(lambda: [0.02, 0.49, 0.49], {b: [q / sum(g) for q in g] for b, g in got.items()})
+            if 0 not in lam:
+                lam[0] = [0.02, 0.49, 0.49]
+        return lam
+
+    def classes(self, x, y):
+        l0, l1, l2 = self.lam[int(math.log2(self.from_[x] + 1.0))]
+        if not self.from_[x]:
+            l1, l2 = l1 + l2, 0.0
+        return l0 / self.c + l1 * self.one[y] / self.n + l2 * self.pairs[x, y] / max(1, self.from_[x])
+
+    def parts(self, v, w):
+        """count, denominator, lower estimate, and whether v is a head."""
+        x, y = self.cls.get(v, self.rare), self.cls.get(w, self.rare)
+        inside = (self.count[w] + 0.5) / self.mass[y]
+        if x < self.heads:
+            d = sum(m for (a, b), m in self.seen.items() if a == v and self.cls[b] == y)
+            return self.seen[v, w], d, inside, True
+        return self.seen[v, w], self.count[v], inside * self.classes(x, y), False
+
+    def _pair_weights(self):
+        cells = Counter()
+        for (v, w), c in self.seen.items():
+            if self.cls[v] < self.heads and self.cls[w] < self.heads:
+                continue
+            _, d, low, head = self.parts(v, w)
+            if d > 1:
+                left = (c - 1) / (d - 1) / low * (self.count[w] + 0.5) / max(self.count[w] - 0.5, 0.5)
+                cell = min(255, max(1, int(128 + 4 * math.log2(left)))) if left > 0 else 0
+                cells[(0 if head else 64) + int(math.log2(d)), cell] += c
+        a = defaultdict(lambda: 0.5)
+        for _ in range(60):
+            up, total = Counter(), Counter()
+            for (k, j), m in cells.items():
+                r = 2.0 ** ((j + 0.5 - 128) / 4) if j else 0.0
+                up[k] += m * a[k] * r / (a[k] * r + 1 - a[k])
+                total[k] += m
+            a = defaultdict(lambda: 0.5, {k: (up[k] + 0.5) / (total[k] + 1) for k in total})
+        a[0] = a[64] = 0.0
+        return a
+
+    def log10(self, text):
+        out, t = 0.0, [*_words(text), None]
+        for v, w in zip([None, *t], t, strict=False):
+            x, y = self.cls.get(v, self.rare), self.cls.get(w, self.rare)
+            if x < self.heads and y < self.heads:
+                out += math.log10(self.classes(x, y) * (self.count[w] + 0.5) / self.mass[y])
+                continue
+            c, d, low, head = self.parts(v, w)
+            a = self.a[(0 if head else 64) + int(math.log2(d + 1.0))]
+            out += math.log10((a * c / max(d, 1) + (1 - a) * low) * (self.classes(x, y) if head else 1.0))
+        return out
+
+
+def test_lm_against_a_plain_model(spark):
+    """All scores against word-by-word dictionaries; every word of training is in the lexicon."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(rng.choice(words[: rng.choice([3, 10, 60])]) for _ in range(rng.randint(0, 25)))) for i in range(300)]
+    rows += [(400 + i, f"w1 new{i} W2 new{i}") for i in range(6)]
+    train = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 != 1]
+    plain = PlainModel(train, heads=6)
+    got = {r.doc_id: r.score for r in lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), heads=6, top=1000).collect()}
+    want = {i: plain.log10(t) for i, t in rows}
+    assert max(abs(got[i] - want[i]) / abs(want[i]) for i in want) < 1e-6
+
+
 @pytest.mark.parametrize("top", [4, 12, 1000])
 def test_lm_word_pairs_beyond_the_heads(spark, top):
     """Two-word texts over the whole vocabulary: the model is a distribution, and pairs seen in training count whatever the words' ranks."""

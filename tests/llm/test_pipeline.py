@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import corpus_pipeline
 from assay.llm import decontamination, ngram_join
@@ -60,3 +61,27 @@ def test_near_copies_of_five_word_similarity_80(spark):
     assert want == {0, 10, 20, 30, 40, 41, 50, 51}
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id for r in corpus_pipeline.ngram_jaccard_join(spark, docs, "").collect()} == want
+
+
+def test_awkward_rows(spark, tmp_path):
+    """Repeated and null ids, repeated rows, null, empty and very long texts, columns named like the stages' own: nothing is lost by chance."""
+    rng = random.Random(5)
+    prose = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    a, b, c, d, long = prose(30), prose(30), prose(30), prose(30), prose(200_000)
+    item = prose(12)
+    rows = [(7, a), (7, b), (None, c), (None, c), (None, d), (8, None), (8, None), (9, ""), (10, long), (11, long + " end"), (12, d), (12, d), (13, prose(20) + " " + item), (14, " \t")]
+    docs = spark.createDataFrame([(i, t, "en", None if k % 5 == 0 else "s", 1, "x", "y") for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, N_Items string, Shard string")
+    kept = corpus_pipeline.ngram_jaccard_join(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(7, a), (7, b), (None, c), (8, None), (8, None), (9, ""), (10, long), (12, d), rows[12], rows[13]])
+    spark.createDataFrame([(13, item), (None, item), (1, None), (2, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    want = {(r.doc_id, r.text) for r in kept.collect()} - {rows[12]}
+    assert {(r.doc_id, r.text) for r in out} == want
+    for s in {r.shard for r in out}:
+        assert sorted(r.slot for r in out if r.shard == s) == list(range(sum(1 for r in out if r.shard == s)))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        none = stage(spark, docs.limit(0), str(tmp_path))
+        assert none.count() == 0 and (k == 4 or none.columns == docs.columns)
