@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from assay.functions.geometry import distance2
 
 #: Cells that a segment is long at most, on its level.
-REACH = 48
+REACH = 64
 
 
 def _cell(v: Column, h: Column) -> Column:
