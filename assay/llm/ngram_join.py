@@ -33,6 +33,8 @@ that links each has one of the other's among its first floor(n * (1 - least)) +
 The order here puts shingles that a centre does not hold first, then goes by hash;
 a tile's centre is the one of its component that leads most crowded tiles.  A text that is no copy of the centre fills its prefix
 with shingles of its own, so it meets those only that share its own edits.
+Prefixes travel packed, as tiles do, and a shingle that one member alone has is
+dropped before it becomes a row.
 
 Pairs are verified with their sets side by side.  The second of a pair may be
 the centre of a large group, so pairs are dealt by it and a salt: its set is sent
@@ -55,7 +57,7 @@ are ignored, whatever their names; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -139,36 +141,33 @@ def may_link(na: np.ndarray, nb: np.ndarray, differ: np.ndarray, least: Least) -
 
 # ---- pass over the texts: classes, bitmaps, tiles -------------------------------------------------
 
-_MAP = "bucket int, kind int, id {id}, th long, class long, n long, data binary, members binary"
+_PACKED = "bucket int, kind int, data binary, members binary"
 
 
-def _map(n_buckets: int, shingle: int, least: Least):
-    """Rows of kind 0: a document (data: its class's bitmap); 1: packed tiles of a bucket; 2: packed (tile, class) of groups met here."""
+def shortened(names: np.ndarray, n_buckets: int) -> np.ndarray:
+    """Names as they travel: their bucket and 32 bits."""
+    return (((names >> U64(32)) % U64(n_buckets)) << U64(32)) | (names & U64(0xFFFFFFFF))
 
-    def schema_of(id_type) -> pa.Schema:
-        return pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("id", id_type), ("th", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), ("data", pa.binary()), ("members", pa.binary())])
 
-    def packed(names: list[np.ndarray], classes: list[int], id_type) -> Iterator[pa.RecordBatch]:
-        if not names:
-            return
-        lens = [len(x) for x in names]
-        key, cls = np.concatenate(names), np.repeat(np.array(classes, np.int64), lens)
-        order = np.lexsort((cls, key))
-        key, cls = key[order], cls[order]
+def packed(names: list[np.ndarray], classes: list[int], n_buckets: int) -> pa.RecordBatch:
+    """Rows (bucket, kind, data, members) of the names of some classes: kind 1: (name, class) of a bucket; 2: (name, class) of groups met here."""
+    lens = [len(x) for x in names]
+    key, cls = np.concatenate([np.zeros(0, U64), *names]), np.repeat(np.array(classes, np.int64), lens)
+    order = np.lexsort((cls, key))
+    key, cls = key[order], cls[order]
+    rows: dict[str, list] = {"bucket": [], "kind": [], "data": [], "members": []}
+    if len(key):
         keep = np.r_[True, (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])]
         key, cls = key[keep], cls[keep]
         head = np.r_[True, key[1:] != key[:-1]]
         shared = np.zeros(len(key), bool)
         shared[:-1] |= ~head[1:]
         shared |= ~head
-        rows: dict[str, list] = {"bucket": [], "kind": [], "data": [], "members": []}
-        if shared.any():  # groups: written as they are
-            k, c = key[shared], cls[shared]
-            k = (((k >> U64(32)) % U64(n_buckets)) << U64(32)) | (k & U64(0xFFFFFFFF))
-            for i in range(0, len(k), 65536):
-                rows["bucket"].append(int(c[i] % n_buckets)), rows["kind"].append(2)
-                rows["data"].append(k[i : i + 65536].tobytes()), rows["members"].append(c[i : i + 65536].tobytes())
-        # a tile's first class goes on, marked if the tile is a group already
+        k, c = shortened(key[shared], n_buckets), cls[shared]  # groups: written as they are
+        for i in range(0, len(k), 65536):
+            rows["bucket"].append(int(c[i] % n_buckets)), rows["kind"].append(2)
+            rows["data"].append(k[i : i + 65536].tobytes()), rows["members"].append(c[i : i + 65536].tobytes())
+        # a name's first class goes on, marked if the name has a group already
         k, c, m = key[head], cls[head], shared[head]
         b = (k >> U64(32)) % U64(n_buckets)
         order = np.argsort(b, kind="stable")
@@ -181,11 +180,46 @@ def _map(n_buckets: int, shingle: int, least: Least):
             rows["bucket"].append(int(b[x])), rows["kind"].append(1)
             rows["data"].append(k[x:y].astype(np.uint32).tobytes() + (at.astype(wide) | np.where(m[x:y], mark, wide(0))).astype(wide).tobytes())
             rows["members"].append(who.tobytes())
-        n = len(rows["kind"])
-        yield pa.RecordBatch.from_arrays([
-            pa.array(rows["bucket"], pa.int32()), pa.array(rows["kind"], pa.int32()), pa.nulls(n, id_type), *[pa.nulls(n, pa.int64())] * 3,
-            pa.array(rows["data"], pa.binary()), pa.array(rows["members"], pa.binary()),
-        ], schema=schema_of(id_type))
+    kinds = {"bucket": pa.int32(), "kind": pa.int32(), "data": pa.binary(), "members": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(rows[k], v) for k, v in kinds.items()], names=list(kinds))
+
+
+def unpacked(bucket: int, kind: int, data: pa.Buffer, members: pa.Buffer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shortened names, classes, marks) of a packed row."""
+    who = np.frombuffer(members, np.int64)
+    if kind == 2:
+        return np.frombuffer(data, U64), who, np.ones(len(who), bool)
+    wide, size = (np.uint16, 6) if len(who) <= 0x7FFF else (np.uint32, 8)
+    n = data.size // size
+    at = np.frombuffer(data, wide, n, 4 * n)
+    top = wide(1 << (8 * wide().itemsize - 1))
+    return (U64(bucket) << U64(32)) | np.frombuffer(data, np.uint32, n).astype(U64), who[at & wide(top - 1)], (at & top) != 0
+
+
+def in_groups(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(name, class) of those names of a bucket that several classes have here, or that are marked; all others are dropped."""
+    key, cls, mark = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(key, kind="stable")
+    key, cls, mark = key[order], cls[order], mark[order]
+    head = np.r_[True, key[1:] != key[:-1]]
+    more = ~head
+    more[:-1] |= ~head[1:]
+    more |= mark
+    return key[more], cls[more]
+
+
+_MAP = "bucket int, kind int, id {id}, th long, class long, n long, data binary, members binary"
+
+
+def _map(n_buckets: int, shingle: int, least: Least):
+    """Rows of kind 0: a document (data: its class's bitmap); 1: packed tiles of a bucket; 2: packed (tile, class) of groups met here."""
+
+    def schema_of(id_type) -> pa.Schema:
+        return pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("id", id_type), ("th", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), ("data", pa.binary()), ("members", pa.binary())])
+
+    def wide(rows: pa.RecordBatch, id_type) -> pa.RecordBatch:
+        n = rows.num_rows
+        return pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.nulls(n, id_type), *[pa.nulls(n, pa.int64())] * 3, rows.column(2), rows.column(3)], schema=schema_of(id_type))
 
     def run(batches):
         names, classes, held = [], [], 0
@@ -213,11 +247,12 @@ def _map(n_buckets: int, shingle: int, least: Least):
                     pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(maps, pa.binary()), pa.nulls(n, pa.binary()),
                 ], schema=schema_of(id_type))
                 if held >= FLUSH:
-                    yield from packed(names, classes, id_type)
+                    yield wide(packed(names, classes, n_buckets), id_type)
                     names, classes, held = [], [], 0
                 if held == 0 or len(done) > KNOWN:
                     done.clear()  # bounded; a class seen again is merged later
-        yield from packed(names, classes, id_type)
+        if names:
+            yield wide(packed(names, classes, n_buckets), id_type)
 
     return run
 
@@ -237,7 +272,7 @@ def _reduce():
         ], schema=schema)
 
     def run(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, classes, marks, schema = [], [], [], None
+        parts, schema = [], None
         for b in group:
             schema = schema or schema_of(b.column("id").type)
             kind = b.column("kind").to_numpy()
@@ -246,27 +281,14 @@ def _reduce():
                 known = [docs.column(c) for c in ("kind", "id", "th", "class", "n", "data")]
                 yield pa.RecordBatch.from_arrays([*known, pa.nulls(docs.num_rows, pa.int64())], schema=schema)
             for i in np.flatnonzero(kind):
-                data, who = b.column("data")[i].as_buffer(), np.frombuffer(b.column("members")[i].as_buffer(), np.int64)
+                part = unpacked(b.column("bucket")[i].as_py(), kind[i], b.column("data")[i].as_buffer(), b.column("members")[i].as_buffer())
                 if kind[i] == 2:
-                    yield groups(np.frombuffer(data, U64), who, schema)
-                    continue
-                wide, size = (np.uint16, 6) if len(who) <= 0x7FFF else (np.uint32, 8)
-                n = data.size // size
-                at = np.frombuffer(data, wide, n, 4 * n)
-                top = wide(1 << (8 * wide().itemsize - 1))
-                keys.append((np.uint64(b.column("bucket")[i].as_py()) << U64(32)) | np.frombuffer(data, np.uint32, n).astype(U64))
-                classes.append(who[at & wide(top - 1)])
-                marks.append((at & top) != 0)
-        if not keys:
+                    yield groups(*part[:2], schema)
+                else:
+                    parts.append(part)
+        if not parts:
             return
-        key, cls, mark = np.concatenate(keys), np.concatenate(classes), np.concatenate(marks)
-        order = np.argsort(key, kind="stable")
-        key, cls, mark = key[order], cls[order], mark[order]
-        head = np.r_[True, key[1:] != key[:-1]]
-        more = ~head
-        more[:-1] |= ~head[1:]
-        more |= mark
-        key, cls = key[more], cls[more]
+        key, cls = in_groups(parts)
         for i in range(0, len(key), 1 << 16):
             yield groups(key[i : i + (1 << 16)], cls[i : i + (1 << 16)], schema)
 
@@ -319,6 +341,12 @@ def _screen(least: Least):
     return run
 
 
+def screened(pairs: DataFrame, sized: DataFrame, least: Least) -> DataFrame:
+    """Pairs (a, b) of classes with ``may``: whether their sizes and bitmaps allow a link."""
+    both = pairs.join(sized.toDF("a", "na", "bits_a"), "a").join(sized.toDF("b", "nb", "bits_b"), "b")
+    return both.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(freeing(_screen(least)), "a long, b long, may boolean")
+
+
 def _pairs_in(start: np.ndarray, size: np.ndarray, side: np.ndarray, diagonal: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs inside each block; off the diagonal only those between its two sides."""
     for g in np.unique(size[diagonal]).tolist():
@@ -455,36 +483,75 @@ def prefix(s: np.ndarray, centre: np.ndarray, least: Least) -> np.ndarray:
 BITS = 1 << 26
 
 
-def _bitmap_of(tiles: DataFrame) -> np.ndarray:
-    """A bitmap of tile names (tile), built by Spark in pieces of 4 KB; its size is that of BITS, whatever the table's."""
-    at = F.pmod("tile", F.lit(BITS)) + 1
+def _places(names: np.ndarray) -> np.ndarray:
+    return (tokens.mix(names) & U64(BITS - 1)).astype(np.int64)
+
+
+def _pieces(batches):
+    """Packed names -> pieces of a bitmap of them, once for each task: (k, 4 KB)."""
+    pieces: dict[int, np.ndarray] = {}
+    for b in batches:
+        for bucket, kind, data, members in zip(*(b.column(k) for k in range(4)), strict=True):
+            at = np.unique(_places(unpacked(bucket.as_py(), kind.as_py(), data.as_buffer(), members.as_buffer())[0]))
+            k = at >> 15
+            cuts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+            for x, y in zip(cuts, np.r_[cuts[1:], len(k)], strict=True):
+                piece = pieces.setdefault(int(k[x]), np.zeros(4096, np.uint8))
+                np.bitwise_or.at(piece, (at[x:y] & 32767) >> 3, (1 << (at[x:y] & 7)).astype(np.uint8))
+    names = list(pieces)
+    for i in range(0, len(names), 256):
+        yield pa.RecordBatch.from_arrays([pa.array(names[i : i + 256], pa.int32()), pa.array([pieces[k].tobytes() for k in names[i : i + 256]], pa.binary())], names=["k", "bits"])
+
+
+def _bitmap_of(names: DataFrame) -> np.ndarray:
+    """A bitmap of packed names, put together by Spark in pieces of 4 KB; its size is that of BITS, whatever the table's."""
     out = np.zeros(BITS // 8, np.uint8)
-    for r in tiles.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("b")).collect():
-        out[(r.k - 1) * 4096 : r.k * 4096] = np.frombuffer(bytes(r.b), np.uint8)
+    for r in names.mapInArrow(freeing(_pieces), "k int, bits binary").groupBy("k").agg(F.bitmap_or_agg("bits").alias("bits")).collect():
+        out[r.k * 4096 : (r.k + 1) * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
     return out
 
 
-def _prefixes(least: Least, seen=None):
-    """(a, b, set of a, set of b) -> (tile, class): a in a tile for each shingle of its prefix, apart for each b; seen: a bitmap of the tiles that count."""
+def _prefixes(least: Least, n_buckets: int, seen=None):
+    """(a, b, set of a, set of b) -> packed (name, a): a name for each shingle of a's prefix, apart for each b; seen: a bitmap of the names that count."""
 
     def run(batches):
+        names, classes, held = [], [], 0
         for t in batches:
             cls, centre = t.column(0).to_numpy(), t.column(1).to_numpy()
-            names = []
             for k in range(t.num_rows):
                 x, y = (np.frombuffer(t.column(c)[k].as_buffer(), U64) for c in (2, 3))
                 name = tokens.mix(prefix(x, y, least) ^ tokens.mix(centre[k : k + 1].view(U64)))
                 if seen is not None:
-                    at = (name & U64(BITS - 1)).astype(np.int64)
+                    at = _places(shortened(name, n_buckets))
                     name = name[(seen.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
-                names.append(name)
-            n = np.array([len(x) for x in names], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, U64), *names]).view(np.int64)), pa.array(np.repeat(cls, n))], names=["tile", "class"])
+                names.append(name), classes.append(int(cls[k]))
+                held += len(name)
+                if held >= FLUSH:
+                    yield packed(names, classes, n_buckets)
+                    names, classes, held = [], [], 0
+        if held:
+            yield packed(names, classes, n_buckets)
 
     return run
 
 
-def _across(groups: DataFrame, again: DataFrame, least: Least) -> DataFrame:
+def _meet(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed names of a bucket -> (tile, class) of those that several classes have."""
+    parts = []
+    for b in group:
+        for bucket, kind, data, members in zip(*(b.column(k) for k in ("bucket", "kind", "data", "members")), strict=True):
+            part = unpacked(bucket.as_py(), kind.as_py(), data.as_buffer(), members.as_buffer())
+            if kind.as_py() == 2:
+                yield pa.RecordBatch.from_arrays([pa.array(part[0].view(np.int64)), pa.array(part[1])], names=["tile", "class"])
+            else:
+                parts.append(part)
+    if parts:
+        key, cls = in_groups(parts)
+        for i in range(0, len(key), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(key[i : i + (1 << 16)].view(np.int64)), pa.array(cls[i : i + (1 << 16)])], names=["tile", "class"])
+
+
+def across(groups: DataFrame, again: DataFrame, least: Least) -> DataFrame:
     """(a, b): pairs of members of one tile in different components whose sizes and bitmaps allow a link."""
     met = groups.join(again.select("class", "comp"), "class")
     mixed = met.groupBy("tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("tile", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
@@ -510,16 +577,29 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: L
     groups = every.where("kind = 1").select("tile", "class").distinct()
     groups = materialise(groups)
 
+    return rows, connect(groups, info, texts, shingle, least)
+
+
+def connect(groups: DataFrame, info: DataFrame, texts: DataFrame, shingle: int, least: Least, closer: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(class, id, comp): the components of the links between classes that share a tile of groups (tile, class).
+
+    closer(comp of classes, sizes and bitmaps) may name pairs (a, b) of different components that are to be
+    verified after the stars and before all else.
+    """
+    spark = groups.sparkSession
     # every member with its tile's most connected class
     sizes = groups.groupBy("tile").agg(F.count("*").alias("size"))
     reach = groups.join(sizes, "tile").groupBy("class").agg(F.sum("size").alias("reach"))
     first = materialise(groups.join(reach, "class").groupBy("tile").agg(F.max_by("class", F.struct("reach", "class")).alias("b")))
     stars = groups.join(first, "tile").where("class <> b").select(F.col("class").alias("a"), "b").distinct()
     sized = info.select("class", "n", "bits")
-    stars = stars.join(sized.toDF("a", "na", "bits_a"), "a").join(sized.toDF("b", "nb", "bits_b"), "b")
-    stars = materialise(stars.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(freeing(_screen(least)), "a long, b long, may boolean"))
+    stars = materialise(screened(stars, sized, least))
     found = materialise(_verified(stars.where("may").select("a", "b"), info, texts, shingle, least))
     comps = materialise(components(found))
+    if closer is not None:
+        more = closer(comps.select(F.col("node").alias("class"), F.col("component").alias("comp")), sized)
+        more = _verified(materialise(more.distinct()), info, texts, shingle, least)
+        comps = materialise(components(found.unionByName(more)))
 
     # components that meet in an unlinked pair: compare across them wherever they share a tile
     of = comps.select(F.col("node").alias("class"), F.col("component").alias("comp"))
@@ -530,26 +610,30 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: L
     met = groups.join(again.select("class", "comp"), "class")
     mixed = materialise(met.groupBy("tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("tile", "size"))
     crowded = mixed.where(F.col("size") > CROWD)
-    near = _across(groups.join(mixed.where(F.col("size") <= CROWD), "tile", "left_semi"), again, least)
+    near = across(groups.join(mixed.where(F.col("size") <= CROWD), "tile", "left_semi"), again, least)
     if crowded.limit(1).count():
         led = crowded.join(first, "tile").join(of.toDF("b", "cb"), "b", "left").select("tile", "b", F.coalesce("cb", "b").alias("cb"))
         centres = led.groupBy("cb", "b").agg(F.count("*").alias("k")).groupBy("cb").agg(F.max_by("b", F.struct("k", "b")).alias("b"))
         held = met.join(led.select("tile", "cb").join(centres, "cb"), "tile").select(F.col("class").alias("a"), "b", (F.col("comp") == F.col("cb")).alias("home")).distinct()
         held = materialise(held)
+        n_buckets = buckets(spark)
 
         def members(mine: DataFrame, seen=None) -> DataFrame:
             parts = _side_by_side(mine.select("a", "b"), info, texts, shingle)
-            return materialise(reduce(DataFrame.unionByName, [p.mapInArrow(freeing(_prefixes(least, seen)), "tile long, class long") for p in parts]))
+            return materialise(reduce(DataFrame.unionByName, [p.mapInArrow(freeing(_prefixes(least, n_buckets, seen)), _PACKED) for p in parts]))
 
         strangers = members(held.where("not home"))
-        family = members(held.where("home"), spark.sparkContext.broadcast(_bitmap_of(strangers)))
-        near = near.unionByName(_across(strangers.unionByName(family), again, least))
+        seen = spark.sparkContext.broadcast(_bitmap_of(strangers))
+        family = members(held.where("home"), seen)
+        seen.unpersist()
+        meeting = materialise(strangers.unionByName(family).groupBy("bucket").applyInArrow(_meet, "tile long, class long").distinct())
+        near = near.unionByName(across(meeting, again, least))
     more = _verified(materialise(near.distinct()), info, texts, shingle, least)
     # these links join components, whose names are their smallest classes
     more = more.join(of.toDF("a", "ca"), "a", "left").join(of.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     joined = materialise(components(more)).select(F.col("node").alias("comp"), F.col("component").alias("whole"))
     named = info.select("class", "id").join(of, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
-    return rows, named.join(joined, "comp", "left").select("class", "id", F.coalesce("whole", "comp").alias("comp"))
+    return named.join(joined, "comp", "left").select("class", "id", F.coalesce("whole", "comp").alias("comp"))
 
 
 def text_hash(text_col: str) -> Column:
