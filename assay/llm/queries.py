@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assay.llm import decontamination, langid, lm, matroska, mixing, ngram_join, quality, sharding, toxicity, url_filter
+from assay.llm import decontamination, fim, forest, langid, lm, matroska, mixing, ngram_join, quality, sharding, spelling, toxicity, url_filter
 from assay.llm.common import remainder
 
 
@@ -54,6 +54,18 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"), noise=31)
+
+
+def op12_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -62,7 +74,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_source_mixing, op2_url_filter, op3_language_id, op4_decontamination, op5_quality_classifier, op6_sharding, op7_media_columns, op8_toxicity,
-    op9_lm_scoring, op10_ngram_join, pipeline,
+    op9_lm_scoring, op10_ngram_join, op11_spelling_variants, op12_minhash_forest, op13_fill_in_middle, pipeline,
 )}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -162,14 +174,46 @@ met as (select doc_id, item_id, count(*) as n_shared from d join b using (sh) gr
 select doc_id, item_id, n_item, n_shared, n_shared::double / n_item as containment from met join size using (item_id) where 5 * n_shared >= 4 * n_item
 """
 
-OP10_SQL = f"""
-with recursive s as ({_shingles("documents", "doc_id", 4)}),
+def _near_sql(words: int, more: str = "") -> str:
+    """Components of the documents whose shingles are alike from 85 of 100 on."""
+    return f"""
+with recursive s as ({_shingles("documents", "doc_id", words)}),
 n as (select doc_id, count(*) as n from s group by doc_id),
 met as (select a.doc_id as x, b.doc_id as y, count(*) as k from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by all),
 link as (select x, y from met join n p on p.doc_id = x join n q on q.doc_id = y where 100 * k >= 85 * (p.n + q.n - k)),
 both_ways as (select x, y from link union select y, x from link),
 reach(x, y) as (select doc_id, doc_id from n union select r.x, b.y from reach r join both_ways b on r.y = b.x)
-select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(m.c, d.doc_id) as component_id from documents d left join n using (doc_id) left join (select x, min(y) as c from reach group by x) m on m.x = d.doc_id
+select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(m.c, d.doc_id) as component_id{more} from documents d left join n using (doc_id) left join (select x, min(y) as c from reach group by x) m on m.x = d.doc_id
+"""
+
+#: crc32 of a word's bytes, by the table of its polynomial.
+OP11_SQL = f"""
+with recursive crcs as materialized (select list(c order by k) as t from (select k, list_reduce(list_prepend(k::bigint, range(8)), lambda c, i: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end) as c from range(256) r(k))),
+runs as (select doc_id, w, count(*) as c from (select doc_id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[A-Za-z\u00C0-\u00FF]+')) as w from documents) group by all),
+bytes as (select *, hex(encode(coalesce(doc_id::varchar, '') || ':' || w)) as x from runs where length(w) >= 7),
+hashed as (select w, c, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i::int + 1, 2))::bigint)), lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1]))) as h from bytes, crcs),
+words as materialized (
+    select word, sum(c)::bigint as n from (select c, case when h % 31 = 0 then substr(w, 1, (h % length(w))::int) || substr(w, (h % length(w))::int + 2) else w end as word from hashed)
+    where length(word) >= 7 group by word having sum(c) >= 2),
+cut as materialized (select word, i, substr(word, 1, i::int - 1) || substr(word, i::int + 1) as rest from (select word, unnest(range(1, length(word) + 1)) as i from words)),
+half as (select a.word as x, b.word as y from cut a join cut b using (i, rest) where a.word <> b.word union select w.word, c.word from words w join cut c on w.word = c.rest),
+near as (select x as word, y as near from half union select y, x from half),
+best as (select e.word, count(*) as n_near, arg_min(near, (-v.n, near)) as form, max(v.n) as form_n from near e join words v on v.word = e.near group by e.word),
+named as materialized (select w.word, w.n, coalesce(n_near, 0) as n_near, case when form_n >= 10 * n then form end as form, case when form_n >= 10 * n then form_n end as form_n from words w left join best b using (word)),
+path(word, goal) as (select word, word from named union all select p.word, n.form from path p join named n on n.word = p.goal where n.form is not null)
+select word, n, n_near, form, form_n, p.goal as root from named join (select p.word, p.goal from path p join named n on n.word = p.goal where n.form is null) p using (word)
+"""
+
+OP13_SQL = r"""
+with h as (select doc_id, coalesce(text, '') as t, sha256('7:' || doc_id::varchar) as x from documents),
+u as (select doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') as u, ('0x' || x[1:8])::bigint as h1, ('0x' || x[9:16])::bigint as h2, ('0x' || x[17:24])::bigint as h3, ('0x' || x[25:32])::bigint as h4 from h),
+c as (select *, len(u) as n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) as a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) as b,
+    case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 100 then 'plain' when h4 % 100 < 50 then 'spm' else 'psm' end as form from u),
+p as (select *, array_to_string(u[1:a], '') as p, array_to_string(u[a + 1:b], '') as m, array_to_string(u[b + 1:], '') as s from c)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+    sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256,
+    sha256(t) as restored_sha256
+from p
 """
 
-SQL = {"op2_url_filter": _op2_sql(), "op4_decontamination": OP4_SQL, "op10_ngram_join": OP10_SQL}
+SQL = {"op2_url_filter": _op2_sql(), "op4_decontamination": OP4_SQL, "op10_ngram_join": _near_sql(4), "op11_spelling_variants": OP11_SQL, "op12_minhash_forest": _near_sql(3, ", coalesce(m.c, d.doc_id) = d.doc_id as kept"), "op13_fill_in_middle": OP13_SQL}
