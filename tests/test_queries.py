@@ -34,4 +34,4 @@ def test_queries_without_sql(spark):
     assert sorted(r.n_fields for r in classes) == [0, 2] and {r.subtypes for r in classes} == {"1=Main", ""}
     assert all(0.84 <= r.confidence <= 1 for r in QUERIES["asset_fuzzy"](spark, SF).collect())
     assert QUERIES["input_hash"](spark, SF).collect()[0].files == 14
-    assert all(r.feature.startswith('{"type":"Feature","geometry":{"type":"MultiLineString"') for r in QUERIES["geo_geojson"](spark, SF).limit(5).collect())
+    assert all(r.feature.startswith('{"type":"Feature","geometry":{"type":"LineString"') for r in QUERIES["geo_geojson"](spark, SF).limit(5).collect())
