@@ -15,14 +15,14 @@ similarity s share one in at least one tree with probability 1 - (1 - s^4)^16:
 ``ngram_join.CROWD`` rows is descended, value by value, until each part is small
 enough or the signature ends.
 
-Links, in this order, each step for what the last one left apart:
-1. each member of a region with the region's most connected class,
-2. longest-common-prefix neighbours (rows that stand next to each other in a tree)
-   that are not in one component yet, and all such pairs of each descended region,
-3. all such pairs of a region at its least depth.  Where a region is too crowded for
-   that, its members meet by the prefix principle instead (see ngram_join.connect),
-   which is exact: what two texts of one region share is found whatever its size.
-Every pair is screened by sizes and parity bitmaps and confirmed on the full sets.
+Candidates.  First each member of a region with the region's most connected class:
+verified links make components, so a group of copies costs a pair for each member.
+Then whatever is still apart: longest-common-prefix neighbours (rows that stand next
+to each other in a tree), all pairs across components of a descended region, and all
+those of a region that was not crowded.  The members of a crowded region also meet by
+the prefix principle (see ngram_join.connect), which is exact: what descending parted
+is found whatever the region's size.  Every pair is screened by sizes and parity
+bitmaps and confirmed on the full sets.
 
 Result: (id, n_shingles, component_id, kept), a row for each input row; component_id is
 the smallest id reachable by links, kept says whether it is the row's own.  Null and
@@ -219,17 +219,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     company = groups.groupBy("tile").agg(F.count("*").alias("size")).where("size > 1")
     groups = materialise(groups.join(company, "tile", "left_semi"))
 
-    def closer(of: DataFrame, sized: DataFrame) -> DataFrame:
-        """Neighbours and members of descended regions that are not in one component."""
-        comp = sized.join(of, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
-        near = forest.where("kind = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        near = near.join(comp.select(F.col("class").alias("a"), F.col("comp").alias("ca")), "a").join(comp.select(F.col("class").alias("b"), F.col("comp").alias("cb")), "b").where("ca <> cb")
-        near = ngram_join.screened(near.select("a", "b"), sized, least).where("may").select("a", "b")
-        deep = forest.where("kind = 2").select(F.col("a").alias("tile"), F.col("b").alias("class")).distinct()
-        small = deep.groupBy("tile").agg(F.count("*").alias("size")).where(F.col("size").between(2, ngram_join.CROWD))
-        return near.unionByName(ngram_join.across(deep.join(small, "tile", "left_semi"), comp, least))
-
-    classes = ngram_join.connect(groups, info, texts, shingle, least, closer)
+    near = forest.where("kind = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    deep = forest.where("kind = 2").select(F.col("a").alias("tile"), F.col("b").alias("class")).distinct()
+    small = deep.groupBy("tile").agg(F.count("*").alias("size")).where(F.col("size").between(2, ngram_join.CROWD))
+    classes = ngram_join.connect(groups, info, texts, shingle, least, near, deep.join(small, "tile", "left_semi"))
     smallest = classes.groupBy("comp").agg(F.min("id").alias("component_id"))
     named = classes.select("class", "comp").join(smallest, "comp").select("class", "component_id")
     out = rows.join(named, "class", "left").withColumn("component_id", F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component_id")))

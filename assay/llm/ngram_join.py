@@ -57,7 +57,7 @@ are ignored, whatever their names; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -580,11 +580,11 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, least: L
     return rows, connect(groups, info, texts, shingle, least)
 
 
-def connect(groups: DataFrame, info: DataFrame, texts: DataFrame, shingle: int, least: Least, closer: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+def connect(groups: DataFrame, info: DataFrame, texts: DataFrame, shingle: int, least: Least, neighbours: DataFrame | None = None, deeper: DataFrame | None = None) -> DataFrame:
     """(class, id, comp): the components of the links between classes that share a tile of groups (tile, class).
 
-    closer(comp of classes, sizes and bitmaps) may name pairs (a, b) of different components that are to be
-    verified after the stars and before all else.
+    Pairs of neighbours (a, b) and of members of small deeper groups (tile, class), parts of those groups, are
+    compared too where the stars leave them apart.
     """
     spark = groups.sparkSession
     # every member with its tile's most connected class
@@ -596,10 +596,6 @@ def connect(groups: DataFrame, info: DataFrame, texts: DataFrame, shingle: int,
     stars = materialise(screened(stars, sized, least))
     found = materialise(_verified(stars.where("may").select("a", "b"), info, texts, shingle, least))
     comps = materialise(components(found))
-    if closer is not None:
-        more = closer(comps.select(F.col("node").alias("class"), F.col("component").alias("comp")), sized)
-        more = _verified(materialise(more.distinct()), info, texts, shingle, least)
-        comps = materialise(components(found.unionByName(more)))
 
     # components that meet in an unlinked pair: compare across them wherever they share a tile
     of = comps.select(F.col("node").alias("class"), F.col("component").alias("comp"))
@@ -610,7 +606,11 @@ def connect(groups: DataFrame, info: DataFrame, texts: DataFrame, shingle: int,
     met = groups.join(again.select("class", "comp"), "class")
     mixed = materialise(met.groupBy("tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("tile", "size"))
     crowded = mixed.where(F.col("size") > CROWD)
-    near = across(groups.join(mixed.where(F.col("size") <= CROWD), "tile", "left_semi"), again, least)
+    small = groups.join(mixed.where(F.col("size") <= CROWD), "tile", "left_semi")
+    near = across(small if deeper is None else small.unionByName(deeper), again, least)
+    if neighbours is not None:
+        side = lambda x: again.select(F.col("class").alias(x), F.col("comp").alias(f"c{x}"))
+        near = near.unionByName(screened(neighbours.join(side("a"), "a").join(side("b"), "b").where("ca <> cb").select("a", "b"), sized, least).where("may").select("a", "b"))
     if crowded.limit(1).count():
         led = crowded.join(first, "tile").join(of.toDF("b", "cb"), "b", "left").select("tile", "b", F.coalesce("cb", "b").alias("cb"))
         centres = led.groupBy("cb", "b").agg(F.count("*").alias("k")).groupBy("cb").agg(F.max_by("b", F.struct("k", "b")).alias("b"))
