@@ -344,6 +344,10 @@ def _screen(least: Least):
 def screened(pairs: DataFrame, sized: DataFrame, least: Least) -> DataFrame:
     """Pairs (a, b) of classes with ``may``: whether their sizes and bitmaps allow a link."""
     both = pairs.join(sized.toDF("a", "na", "bits_a"), "a").join(sized.toDF("b", "nb", "bits_b"), "b")
+    return _screened(both, least)
+
+
+def _screened(both: DataFrame, least: Least) -> DataFrame:
     return both.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(freeing(_screen(least)), "a long, b long, may boolean")
 
 
@@ -446,24 +450,20 @@ def _sets_of(pairs: DataFrame, info: DataFrame, texts: DataFrame, shingle: int)
     return mine.mapInArrow(freeing(_sets(shingle)), "class long, set binary").dropDuplicates(["class"])
 
 
-def _side_by_side(pairs: DataFrame, info: DataFrame, texts: DataFrame, shingle: int) -> list[DataFrame]:
-    """Pairs (a, b) as (a, b, set_a, set_b): those of ordinary classes b, and those of centres with many pairs."""
+def _side_by_side(pairs: DataFrame, info: DataFrame, texts: DataFrame, shingle: int, *more: str) -> list[DataFrame]:
+    """Pairs (a, b) as (a, b, set_a, set_b), with their columns ``more``: those of ordinary classes b, and those of centres with many pairs."""
     hot = materialise(pairs.groupBy("b").agg(F.ceil(F.count("*") / SALT).cast("int").alias("parts")).where("parts > 1"))
     n_hot = hot.count()
     if n_hot <= 200_000:  # a few megabytes
         hot = F.broadcast(hot)
-    out = []
-    for centre in (False, True)[: 2 if n_hot else 1]:
-        mine = pairs.join(hot, "b") if centre else pairs.join(hot, "b", "left_anti") if n_hot else pairs
-        sets = _sets_of(mine, info, texts, shingle)
-        left, right = sets.select(F.col("class").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("class").alias("b"), F.col("set").alias("set_b"))
-        if not centre:
-            out.append(mine.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b"))
-            continue
-        # a centre's set goes out once for each SALT of its pairs
-        dealt = mine.withColumn("salt", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).select("a", "b", "salt")
+    sets = _sets_of(pairs, info, texts, shingle)
+    left, right = sets.select(F.col("class").alias("a"), F.col("set").alias("set_a")), sets.select(F.col("class").alias("b"), F.col("set").alias("set_b"))
+    columns = ["a", "b", "set_a", "set_b", *more]
+    out = [(pairs.join(hot, "b", "left_anti") if n_hot else pairs).join(left, "a").join(right, "b").select(*columns)]
+    if n_hot:  # a centre's set goes out once for each SALT of its pairs
+        dealt = pairs.join(hot, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).drop("parts")
         right = right.join(hot, "b").select("b", "set_b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
-        out.append(dealt.join(left, "a").join(right, ["b", "salt"]).select("a", "b", "set_a", "set_b"))
+        out.append(dealt.join(left, "a").join(right, ["b", "salt"]).select(*columns))
     return out
 
 
@@ -511,20 +511,32 @@ def _bitmap_of(names: DataFrame) -> np.ndarray:
     return out
 
 
-def _prefixes(least: Least, n_buckets: int, seen=None):
-    """(a, b, set of a, set of b) -> packed (name, a): a name for each shingle of a's prefix, apart for each b; seen: a bitmap of the names that count."""
+def _prefixes(least: Least):
+    """(a, b, set of a, set of b, home) -> (a, home, names): a name for each shingle of a's prefix, apart for each b."""
 
     def run(batches):
-        names, classes, held = [], [], 0
         for t in batches:
-            cls, centre = t.column(0).to_numpy(), t.column(1).to_numpy()
+            centre, names = t.column(1).to_numpy(), []
             for k in range(t.num_rows):
                 x, y = (np.frombuffer(t.column(c)[k].as_buffer(), U64) for c in (2, 3))
-                name = tokens.mix(prefix(x, y, least) ^ tokens.mix(centre[k : k + 1].view(U64)))
+                names.append(tokens.mix(prefix(x, y, least) ^ tokens.mix(centre[k : k + 1].view(U64))).tobytes())
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(4), pa.array(names, pa.binary())], names=["a", "home", "names"])
+
+    return run
+
+
+def _dealt(n_buckets: int, seen=None):
+    """(a, home, names) -> packed (name, a); seen: a bitmap of the names that count."""
+
+    def run(batches):
+        names, classes, held = [], [], 0
+        for t in batches:
+            for a, raw in zip(t.column(0).to_pylist(), t.column(2), strict=True):
+                name = np.frombuffer(raw.as_buffer(), U64)
                 if seen is not None:
                     at = _places(shortened(name, n_buckets))
                     name = name[(seen.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
-                names.append(name), classes.append(int(cls[k]))
+                names.append(name), classes.append(a)
                 held += len(name)
                 if held >= FLUSH:
                     yield packed(names, classes, n_buckets)
@@ -607,10 +619,7 @@ def connect(groups: DataFrame, info: DataFrame, texts: DataFrame, shingle: int,
     mixed = materialise(met.groupBy("tile").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("tile", "size"))
     crowded = mixed.where(F.col("size") > CROWD)
     small = groups.join(mixed.where(F.col("size") <= CROWD), "tile", "left_semi")
-    near = across(small if deeper is None else small.unionByName(deeper), again, least)
-    if neighbours is not None:
-        side = lambda x: again.select(F.col("class").alias(x), F.col("comp").alias(f"c{x}"))
-        near = near.unionByName(screened(neighbours.join(side("a"), "a").join(side("b"), "b").where("ca <> cb").select("a", "b"), sized, least).where("may").select("a", "b"))
+    met_again = small if deeper is None else small.unionByName(deeper)
     if crowded.limit(1).count():
         led = crowded.join(first, "tile").join(of.toDF("b", "cb"), "b", "left").select("tile", "b", F.coalesce("cb", "b").alias("cb"))
         centres = led.groupBy("cb", "b").agg(F.count("*").alias("k")).groupBy("cb").agg(F.max_by("b", F.struct("k", "b")).alias("b"))
@@ -618,16 +627,18 @@ def connect(groups: DataFrame, info: DataFrame, texts: DataFrame, shingle: int,
         held = materialise(held)
         n_buckets = buckets(spark)
 
-        def members(mine: DataFrame, seen=None) -> DataFrame:
-            parts = _side_by_side(mine.select("a", "b"), info, texts, shingle)
-            return materialise(reduce(DataFrame.unionByName, [p.mapInArrow(freeing(_prefixes(least, n_buckets, seen)), _PACKED) for p in parts]))
-
-        strangers = members(held.where("not home"))
+        parts = _side_by_side(held, info, texts, shingle, "home")
+        prefixes = materialise(reduce(DataFrame.unionByName, [p.mapInArrow(freeing(_prefixes(least)), "a long, home boolean, names binary") for p in parts]))
+        strangers = materialise(prefixes.where("not home").mapInArrow(freeing(_dealt(n_buckets)), _PACKED))
         seen = spark.sparkContext.broadcast(_bitmap_of(strangers))
-        family = members(held.where("home"), seen)
-        seen.unpersist()
-        meeting = materialise(strangers.unionByName(family).groupBy("bucket").applyInArrow(_meet, "tile long, class long").distinct())
-        near = near.unionByName(across(meeting, again, least))
+        family = prefixes.where("home").mapInArrow(freeing(_dealt(n_buckets, seen)), _PACKED)
+        meeting = strangers.unionByName(family).groupBy("bucket").applyInArrow(_meet, "tile long, class long").distinct()
+        met_again = met_again.unionByName(materialise(meeting))
+    near = across(met_again, again, least)
+    if neighbours is not None:
+        side = lambda x: again.select(F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"), F.col("comp").alias(f"c{x}"))
+        apart = neighbours.join(side("a"), "a").join(side("b"), "b").where("ca <> cb")
+        near = near.unionByName(_screened(apart, least).where("may").select("a", "b"))
     more = _verified(materialise(near.distinct()), info, texts, shingle, least)
     # these links join components, whose names are their smallest classes
     more = more.join(of.toDF("a", "ca"), "a", "left").join(of.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
