@@ -268,25 +268,11 @@ def geojson(kind: Column, shape: Column, properties: Column) -> Column:
     return F.concat(F.lit('{"type":"Feature","geometry":'), F.when(is_empty(shape), "null").otherwise(geometry), F.lit(',"properties":'), F.to_json(properties), F.lit("}"))
 
 
-_R = 6378137.0
-
-
-def to_mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
-    """WGS 84 degrees to Web Mercator metres."""
-    return F.radians(lon) * _R, F.log(F.tan(F.lit(np.pi / 4) + F.radians(lat) / 2)) * _R
-
-
-def from_mercator(x: Column, y: Column) -> tuple[Column, Column]:
-    """Web Mercator metres to WGS 84 degrees."""
-    return F.degrees(x / _R), F.degrees(2 * F.atan(F.exp(y / _R)) - F.lit(np.pi / 2))
-
-
 def moved(shape: Column, change) -> Column:
-    """The shape with change(x, y) applied to its vertices; heights stay."""
+    """The shape with change(x, y), a struct of both, applied to its vertices; heights stay."""
 
     def vertex(v: Column) -> Column:
-        x, y = change(v.x, v.y)
-        return F.struct(x.alias("x"), y.alias("y"), v.z.alias("z"))
+        return F.element_at(F.transform(F.array(change(v.x, v.y)), lambda c: F.struct(c.x.alias("x"), c.y.alias("y"), v.z.alias("z"))), 1)
 
     return F.transform(shape, lambda part: F.transform(part, lambda ring: F.transform(ring, vertex)))
 

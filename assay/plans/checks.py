@@ -19,7 +19,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.functions import documents, geometry, scoring
+from assay.functions import documents, geometry, projection, scoring
 from assay.functions.text import is_system, number
 from assay.operators import assets, conformance, dates, domains, lineage, mapping, network, references, trust
 from assay.plans.run import Run, check
@@ -418,7 +418,8 @@ def geometry_validity(run: Run) -> None:
 def aligned(run: Run, layer: str, reference) -> DataFrame | None:
     """(id, g) of a layer in the reference system; None where it cannot be brought there.
 
-    Degrees and Web Mercator are converted; a layer whose coordinates fit only the reference system is taken as mislabelled.
+    Degrees, transverse Mercator (UTM), Lambert conformal conic and Mercator systems are converted into each other;
+    a layer whose coordinates fit only the reference system is taken as mislabelled.
     """
     shape, own = shapes(run, layer).where(~geometry.is_empty(F.col("g"))), systems(run).get(layer)
     if reference is None or own is None or not own.defined or own.horizontal == reference.horizontal:
@@ -427,12 +428,12 @@ def aligned(run: Run, layer: str, reference) -> DataFrame | None:
     if not fits(own, box) and fits(reference, box):
         run.log(f"{layer}: its coordinates fit {reference.horizontal} only; used as they are", "warning")
         return shape
-    mercator = lambda s: "mercator" in (s.horizontal or "").lower() or s.epsg == 3857
-    change = geometry.to_mercator if own.geographic and mercator(reference) else geometry.from_mercator if mercator(own) and reference.geographic else None
-    if change is None:
+    here, there = projection.parse(own.wkt), projection.parse(reference.wkt)
+    if here is None or there is None:
         run.log(f"{layer} left out: no way from {own.horizontal} to {reference.horizontal}", "warning")
         return None
-    return shape.withColumn("g", geometry.moved(F.col("g"), change))
+    run.log(f"{layer}: brought from {own.horizontal} to {reference.horizontal}")
+    return shape.withColumn("g", geometry.moved(F.col("g"), projection.between(here, there)))
 
 
 @check("quality", "Line connectivity", 40)
@@ -597,8 +598,13 @@ def map_preview(run: Run) -> None:
         features.append(part)
     if not features:
         return
-    mercator = [n for n, s in found.items() if s.epsg == 3857 or "mercator" in (s.horizontal or "").lower()]
-    g = F.when(F.col("layer").isin(mercator or [""]), geometry.moved(F.col("g"), geometry.from_mercator)).otherwise(F.col("g"))
+    ways: dict[projection.Projection, list[str]] = {}
+    for n, s in found.items():
+        if (way := projection.parse(s.wkt)) is not None and way.method:
+            ways.setdefault(way, []).append(n)
+    g = F.col("g")
+    for way, names in ways.items():
+        g = F.when(F.col("layer").isin(names), geometry.moved(F.col("g"), projection.between(way, projection.DEGREES))).otherwise(g)
     kinds = F.create_map(*[F.lit(x) for n, k in run.dataset.geometry.items() for x in (n, k)])[F.col("layer")]
     flagged = F.when(F.size(geometry.vertices(F.col("g"))) == 1, "point").otherwise(kinds)
     every = trust.union(*features).withColumn("g", g)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assay.functions import documents, geometry, scoring, text
+from assay.functions import documents, geometry, projection, scoring, text
 from assay.operators import assets, conformance, lineage, mapping, network, profiles, trust
 from assay.plans.queries import _BLANK, _FAMILY, _NULLS, domain_coded_text, dup_within_class, inline, num, planted, query, read, required_nulls_severity, values
 from assay.plans.queries import _LI, _TEXT
@@ -445,6 +445,44 @@ def geo_geojson(spark, sf):
     return s.select("event_id", geometry.geojson(F.lit("line"), _shape(), F.struct("layer", "owner")).alias("feature"))
 
 
+_UTM = 'PROJCS["WGS 84 / UTM zone 16N",GEOGCS["WGS 84",DATUM["WGS_1984",SPHEROID["WGS 84",6378137,298.257223563]],PRIMEM["Greenwich",0],UNIT["degree",0.0174532925199433]],PROJECTION["Transverse_Mercator"],PARAMETER["latitude_of_origin",0],PARAMETER["central_meridian",-87],PARAMETER["scale_factor",0.9996],PARAMETER["false_easting",500000],PARAMETER["false_northing",0],UNIT["metre",1]]'
+_CONE = 'PROJCS["NAD83 / Texas South Central",GEOGCS["NAD83",DATUM["North_American_Datum_1983",SPHEROID["GRS 1980",6378137,298.257222101]],PRIMEM["Greenwich",0],UNIT["degree",0.0174532925199433]],PROJECTION["Lambert_Conformal_Conic_2SP"],PARAMETER["standard_parallel_1",30.2833333333333],PARAMETER["standard_parallel_2",28.3833333333333],PARAMETER["latitude_of_origin",27.8333333333333],PARAMETER["central_meridian",-99],PARAMETER["false_easting",1968500],PARAMETER["false_northing",13123333.333333333],UNIT["US survey foot",0.304800609601219]]'
+_UTM_P, _CONE_P = projection.parse(_UTM), projection.parse(_CONE)
+
+
+def _sums(table, n: float, of: str) -> str:
+    return " + ".join(f"({c!r}::double) * {of.replace('@', str(2 * j) + '.0::double * ')}" for j, c in enumerate(projection.series(table, n), 1))
+
+
+def _projected_sql() -> str:
+    """Both projections of p_customer-like points, and the way back from the first one, by the same series."""
+    u, c = _UTM_P, _CONE_P
+    n, radius, origin = c.cone()
+    size = u.k0 * u.rectifying
+    return f"""with p as (select c_custkey as id, -93.0 + (c_custkey % 1201) / 100.0::double as lon, 24.0 + (c_custkey % 2503) / 100.0::double as lat from customer),
+r as (select id, radians(lon) - ({u.lon0!r}::double) as far, radians(lon) - ({c.lon0!r}::double) as turn, asinh(tan(radians(lat))) - {u.e!r}::double * atanh({u.e!r}::double * sin(radians(lat))) as psi,
+    asinh(tan(radians(lat))) - {c.e!r}::double * atanh({c.e!r}::double * sin(radians(lat))) as iso from p),
+t as (select *, atan2(sinh(psi), cos(far)) as xi, asinh(sin(far) / sqrt(sinh(psi) * sinh(psi) + cos(far) * cos(far))) as eta from r),
+m as (select id, turn, iso, eta + {_sums(projection.FORWARD, u.n, "cos(@xi) * sinh(@eta)")} as east, xi + {_sums(projection.FORWARD, u.n, "sin(@xi) * cosh(@eta)")} as north from t),
+b as (select *, north - ({_sums(projection.INVERSE, u.n, "sin(@north) * cosh(@east)")}) as xi, east - ({_sums(projection.INVERSE, u.n, "cos(@north) * sinh(@east)")}) as eta from m),
+k as (select *, atan(sin(xi) / sqrt(sinh(eta) * sinh(eta) + cos(xi) * cos(xi))) as chi from b)
+select id, round(500000 + {size!r}::double * east, 3) as utm_x, round({size!r}::double * north, 3) as utm_y,
+    round(({c.fe!r}::double + {radius!r}::double * exp(-({n!r}::double) * iso) * sin({n!r}::double * turn)) / {c.unit!r}::double, 3) as cone_x,
+    round(({c.fn!r}::double + {origin!r}::double - {radius!r}::double * exp(-({n!r}::double) * iso) * cos({n!r}::double * turn)) / {c.unit!r}::double, 3) as cone_y,
+    round(degrees(atan2(sinh(eta), cos(xi)) + ({u.lon0!r}::double)), 7) as lon, round(degrees(chi + {_sums(projection.LATITUDE, u.n, "sin(@chi)")}), 7) as lat
+from k"""
+
+
+@query(_projected_sql())
+def geo_projected(spark, sf):
+    lon, lat = -93.0 + (F.col("c_custkey") % 1201) / 100.0, 24.0 + (F.col("c_custkey") % 2503) / 100.0
+    utm, cone = (projection.between(projection.DEGREES, p) for p in (_UTM_P, _CONE_P))
+    flat = read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), utm(lon, lat).alias("utm"), cone(lon, lat).alias("cone"))
+    back = flat.select("*", projection.between(_UTM_P, projection.DEGREES)(F.col("utm.x"), F.col("utm.y")).alias("back"))
+    metres = [F.round(f"{c}.{k}", 3).alias(f"{c}_{k}") for c in ("utm", "cone") for k in ("x", "y")]
+    return back.select("id", *metres, F.round("back.x", 7).alias("lon"), F.round("back.y", 7).alias("lat"))
+
+
 @query("select quantile_disc(c_acctbal, 0.08) as west, quantile_disc(c_custkey, 0.08)::double as south, quantile_disc(c_acctbal, 0.92) as east, quantile_disc(c_custkey, 0.92)::double as north from customer")
 def geo_map_extent(spark, sf):
     return trust.extent(read(spark, sf, "customer"), "c_acctbal", "c_custkey")

@@ -167,9 +167,3 @@ def test_hashes_of_files(spark, tmp_path):
     assert (one.files, one.bytes) == (2, 9)
 
 
-def test_mercator_both_ways(spark):
-    shape = spark.createDataFrame([(_shape([[(10, 50), (-3.5, 12)]]),)], f"g {geometry.SHAPE}")
-    there = geometry.moved(F.col("g"), geometry.to_mercator)
-    r = shape.select(there.alias("m"), geometry.moved(there, geometry.from_mercator).alias("b")).head()
-    assert abs(r.m[0][0][0].x - 1113194.9079) < 1e-3 and abs(r.m[0][0][0].y - 6446275.8410) < 1e-3
-    assert all(abs(a.x - b) < 1e-9 and abs(a.y - c) < 1e-9 for a, (b, c) in zip(r.b[0][0], ((10, 50), (-3.5, 12)), strict=True))
