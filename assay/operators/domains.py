@@ -6,6 +6,8 @@ check of their row count, and joined by shuffle beyond it.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +49,20 @@ def coded_violations(values: DataFrame, codes: DataFrame) -> DataFrame:
     return typed.join(small(keys.select("domain", "key")), ["domain", "key"], "left_anti").select("id", "value", "domain")
 
 
+def breaks_codes(value: Column, keys: Sequence[str], numeric: bool) -> Column:
+    """Whether a value (text, not null) is none of a domain's codes, as coded_violations has it; keys and numeric are those of code_keys."""
+    if numeric:
+        num = number(value)
+        return num.isNull() | ~num.isin(*[float(k) for k in keys])
+    return (ws_trim(value) != "") & ~ws_trim(value).isin(*keys)
+
+
+def breaks_range(value: Column, low: float | None, high: float | None) -> Column:
+    """Whether a value is a number outside [low, high]; a null bound is open."""
+    num = number(value)
+    return F.coalesce((num < F.lit(float("-inf") if low is None else float(low))) | (num > F.lit(float("inf") if high is None else float(high))), F.lit(False))
+
+
 def range_violations(values: DataFrame, ranges: DataFrame) -> DataFrame:
     """Of values (id, value, domain) the numbers outside [min, max] of ranges (domain, min, max); a null bound is open."""
     num = number(F.col("value"))

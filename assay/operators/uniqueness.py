@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assay.functions.text import guid
@@ -45,6 +45,22 @@ def stack_ids(layers: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).where("gid is not null and gid <> ''")
 
 
+def id_usage(layers: Mapping[str, tuple[DataFrame, Sequence[tuple[str, Column]]]]) -> DataFrame:
+    """(layer, field, filled, members, shared) of id fields, layer -> (rows, [(field, id)]).
+
+    filled: rows with an id, neither null nor empty; members: rows whose id repeats in the layer; shared: rows whose id
+    another layer has in the same field.  Each layer is scanned once for all its fields; counts of (field, id, layer) are
+    summed in the tasks before they are shuffled.
+    """
+    one = lambda f, key: F.struct(F.lit(f).alias("field"), key.cast("string").alias("key"))
+    parts = [df.select(F.lit(n).alias("layer"), F.explode(F.array(*[one(f, key) for f, key in fields])).alias("k")).select("layer", "k.*") for n, (df, fields) in layers.items()]
+    per = reduce(DataFrame.unionByName, parts).where("key is not null and key <> ''").groupBy("field", "key", "layer").agg(F.count("*").alias("n"))
+    whole = per.groupBy("field", "key").agg(F.collect_list(F.struct("layer", "n")).alias("each"))  # as many as layers at most
+    back = whole.select("field", F.size("each").alias("in_layers"), F.explode("each").alias("e"))
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name)
+    return back.groupBy(F.col("e.layer").alias("layer"), "field").agg(total(F.col("e.n"), "filled"), total(F.when(F.col("e.n") > 1, F.col("e.n")), "members"), total(F.when(F.col("in_layers") > 1, F.col("e.n")), "shared"))
+
+
 def across_layers(ids: DataFrame) -> DataFrame:
     """(gid, rows, layers) of ids used in more than one layer; layers is a sorted, comma-separated list."""
     per = ids.groupBy("gid", "layer").agg(F.count("*").alias("n"))

@@ -6,6 +6,7 @@ Catalog tables, all optional (a check without its table does nothing):
 ``class_fields`` (class, kind, field, type, domain, nullable, required), ``domains`` (name, field_type);
 ``crs`` (layer, wkt), ``model_crs`` (model, wkt); ``models`` (model and the columns of class_fields);
 ``match_table`` (type, SubstringsA, SubstringsB, match_strings), ``class_map`` (source_class, target_class, rows);
+``references`` (layer, field, type, domain), ``subtypes`` (layer, subtype_field, code, name, field, domain), ``domain_codes``, ``domain_ranges``;
 ``baseline`` (class_name, asset_group, asset_type); ``isconnected_codes`` (layer, code, label).
 They are sizes of schemas, so what a check gathers from them is small; layers are
 only ever aggregated, and geometry is a column ``geometry`` (a shape or WKB) of the
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assay.functions import documents, geometry, projection, scoring
@@ -39,9 +40,10 @@ def _names(values, shown: int = 60) -> str:
     return ", ".join(sorted(values)[:shown])
 
 
-def shapes(run: Run, layer: str) -> DataFrame:
-    """(id, g) of a layer's rows that have a geometry column."""
+def shapes(run: Run, layer: str, where: Column | None = None) -> DataFrame:
+    """(id, g) of a layer's rows, or of those where a condition holds, that have a geometry column."""
     df = run.dataset.frames[layer]
+    df = df if where is None else df.where(where)
     g = F.col(run.fields(df)["geometry"])
     if df.schema[run.fields(df)["geometry"]].dataType.typeName() == "binary":
         g = geometry.from_wkb(g)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assay.functions import scoring, text
-from assay.operators import completeness, dates, domains, lineage, references, trust, uniqueness
+from assay.operators import completeness, dates, domains, evaluate, lineage, references, trust, uniqueness
 from assay.sources import dataset
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -270,6 +270,55 @@ def domain_range(spark, sf):
     return domains.range_violations(stacked, inline(spark, "domain string, min double, max double", RANGES)).groupBy("domain").agg(F.count("*").alias("n"))
 
 
+_EVALUATED = {
+    "brand": "brand is null", "size of every third": "fid % 3 = 0 and (try_cast(size_text as double) is null or try_cast(size_text as double) not in (1, 2, 3, 5, 8, 13, 21, 34))",
+    "kind": "kind is not null and trim(kind) <> '' and kind <> upper(kind)",
+}
+
+
+def _evaluated_sql() -> str:
+    """For each test: counts, the first 25 ids and the six most frequent values."""
+    shown = {"brand": "null", "size of every third": "size_text", "kind": "kind"}
+    counts = {"brand": "true", "size of every third": "fid % 3 = 0 and size_text is not null", "kind": "kind is not null"}
+    parts = []
+    for name, bad in _EVALUATED.items():
+        bad = f"coalesce({bad}, false) and {counts[name]}"
+        top = f"(select string_agg(v || '=' || n, ',' order by n desc, v) from (select {shown[name]} as v, count(*) as n from p_part where {bad} group by 1 order by n desc, v limit 6))" if name != "brand" else "null"
+        parts.append(f"select '{name}' as test, count(*) filter ({bad}) as bad, count(*) filter ({counts[name]}) as counted, (select string_agg(fid, ',' order by fid) from (select fid from p_part where {bad} order by fid limit 25)) as ids, {top} as top from p_part")
+    return " union all ".join(parts)
+
+
+@query(_evaluated_sql())
+def layer_evaluated(spark, sf):
+    df = planted(spark, sf, "p_part")
+    size, kind, third = F.col("size_text"), F.col("kind"), F.col("fid") % 3 == 0
+    tests = [
+        evaluate.RowTest("brand", completeness.blanks(df, ["brand"])["brand"]),
+        evaluate.RowTest("size of every third", third & size.isNotNull() & domains.breaks_codes(size, ["1", "2", "3", "5", "8", "13", "21", "34"], True), third & size.isNotNull(), size),
+        evaluate.RowTest("kind", kind.isNotNull() & (kind != F.upper(kind)), kind.isNotNull(), kind),
+    ]
+    row = evaluate.counted(df, tests)
+    counts = row.select(F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.lit(t.name).alias("test"), F.col(f"b{i}").alias("bad"), F.col(f"n{i}").alias("counted")) for i, t in enumerate(tests)])).alias("c")).select("c.*")
+    found = evaluate.samples(df, "fid", tests, 25).withColumnRenamed("test", "k")
+    lists = found.groupBy("k").agg(
+        F.array_sort(F.collect_list("id")).alias("ids"), F.array_sort(F.collect_list(F.when(F.col("id").isNull(), F.struct("rank", F.concat_ws("=", "value", F.col("rows").cast("string")).alias("t"))))).alias("top")
+    )
+    text = lambda c: F.when(F.size(c) > 0, F.array_join(c, ","))
+    lists = lists.select("k", text(F.transform("ids", lambda x: x.cast("string"))).alias("ids"), text(F.transform("top", lambda t: t["t"])).alias("top"))
+    return counts.join(lists, "k", "left").drop("k")
+
+
+@query("""with u as (select 'customer' as layer, 'key' as field, cast(c_custkey as varchar) as key from customer union all select 'customer', 'segment', c_mktsegment from customer
+    union all select 'orders', 'key', cast(o_custkey as varchar) from orders union all select 'orders', 'segment', o_orderpriority from orders union all select 'supplier', 'key', cast(s_suppkey as varchar) from supplier),
+p as (select field, key, layer, count(*) as n, count(*) over (partition by field, key) as k from u where key is not null and key <> '' group by field, key, layer)
+select layer, field, sum(n)::bigint as filled, coalesce(sum(n) filter (n > 1), 0)::bigint as members, coalesce(sum(n) filter (k > 1), 0)::bigint as shared from p group by all""")
+def id_usage(spark, sf):
+    c, o, s = (read(spark, sf, t) for t in ("customer", "orders", "supplier"))
+    return uniqueness.id_usage({
+        "customer": (c, [("key", F.col("c_custkey")), ("segment", F.col("c_mktsegment"))]), "orders": (o, [("key", F.col("o_custkey")), ("segment", F.col("o_orderpriority"))]), "supplier": (s, [("key", F.col("s_suppkey"))]),
+    })
+
+
 @query("""with e as (select event_id as id, event_type, value, cast(json_extract_string(props, '$.k') as int) as k from events)
 select 'click_value' as domain, count(*) as n from e where event_type = 'click' and (value < 0 or value > 20) union all select 'any_value', count(*) from e where event_type not in ('click', 'error') and (value < 1 or value > 60)
 union all select 'error_k', count(*) from e where event_type = 'error' and k not in (select range * 2 from range(0, 50))""")

@@ -7,17 +7,20 @@ the end of the check, so that a check that fails becomes a finding of its own.
 
 from __future__ import annotations
 
+import hashlib
 import importlib.util
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import datetime
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assay.functions import scoring
+from assay.functions.text import number
 from assay.operators import completeness, dates, domains, profiles, references, trust, uniqueness
+from assay.operators.evaluate import Outcome, RowTest, evaluate
 from assay.plans.rules import digest, effective
 from assay.sources.dataset import Dataset
 
@@ -32,6 +35,8 @@ class Check:
 
 
 _CHECKS: dict[tuple[str, str], Check] = {}
+#: What checks ask of each layer's rows: name of the check -> fn(run, layer, df), a list of tests.
+_TESTS: dict[str, Callable] = {}
 
 
 def check(stage: str, name: str, order: int = 100, requires: Iterable[str] = ()):
@@ -44,12 +49,22 @@ def check(stage: str, name: str, order: int = 100, requires: Iterable[str] = ())
     return put
 
 
+def row_tests(name: str):
+    """Registers fn(run, layer, df) -> tests; all tests of a layer are counted in one scan (see Run.outcomes)."""
+
+    def put(fn):
+        _TESTS[name] = fn
+        return fn
+
+    return put
+
+
 def load_plugins(paths: Iterable[str]) -> dict[str, str]:
     """Imports check files; path -> error of those that are broken."""
     errors = {}
     for p in paths:
         try:
-            spec = importlib.util.spec_from_file_location(f"assay_plugin_{abs(hash(p))}", p)
+            spec = importlib.util.spec_from_file_location(f"assay_plugin_{hashlib.sha256(str(p).encode()).hexdigest()[:16]}", p)
             module = importlib.util.module_from_spec(spec)
             spec.loader.exec_module(module)
         except Exception as e:  # a broken plugin is reported, the others load
@@ -108,6 +123,26 @@ class Run:
         few = trust.hash_sample(shapes.select(F.lit(layer).alias("layer"), F.col("id").cast("string").alias("id"), "g"), "layer", "id", most)
         self.flags.append(few.select("layer", "id", F.lit(severity).alias("severity"), F.lit(label).alias("label"), "g"))
 
+    def outcomes(self, name: str) -> dict[str, dict[Any, Outcome]]:
+        """layer -> outcomes of the tests registered under name; the tests of all checks are counted in one scan a layer, once a run."""
+        if "outcomes" not in self.state:
+            found: dict[str, dict[str, dict]] = {}
+            errors: dict[str, Exception] = {}
+            for layer, df in self.layers().items():
+                every = []
+                for who, fn in _TESTS.items():
+                    try:
+                        every += [replace(t, name=(who, t.name)) for t in fn(self, layer, df)]
+                    except Exception as e:  # it is that check's failure alone
+                        errors.setdefault(who, e)
+                for (who, test), o in evaluate(df, df.columns[0], every, self.rules["thresholds"]["max_sample_ids"]).items():
+                    found.setdefault(who, {}).setdefault(layer, {})[test] = o
+            self.state["outcomes"] = found, errors
+        found, errors = self.state["outcomes"]
+        if name in errors:
+            raise errors[name]
+        return found.get(name, {})
+
     def inventory(self) -> list:
         """(layer, rows, fields, readable, system), counted once a run: a row for each table."""
         if self._inventory is None:
@@ -225,73 +260,99 @@ def readability(run: Run) -> None:
     run.score(100.0 * sum(r.readable for r in mine) / len(mine) if mine else None)
 
 
+def needed(run: Run) -> dict[str, dict[str, Any]]:
+    """layer -> field -> why it must be filled: configured, or demanded by the catalog's ``class_fields`` (class, field, type, nullable, required)."""
+    if "needed" not in run.state:
+        spark = run.dataset.spark
+        declared = run.dataset.catalog.get("class_fields")
+        found = spark.createDataFrame([(n, f, "") for n, df in run.layers().items() for f in df.columns] or [("", "", "")], "layer string, name string, type string")
+        if declared is None:
+            listed = found.withColumns({"nullable": F.lit(True), "required": F.lit(False)})
+        else:
+            said = declared.select(F.lower("class").alias("k"), F.lower("field").alias("f"), F.col("type").alias("t"), "nullable", "required")
+            listed = found.join(said, (F.lower("layer") == F.col("k")) & (F.lower("name") == F.col("f")), "left").select("layer", "name", F.coalesce("t", "type").alias("type"), "nullable", "required")
+        out: dict[str, dict[str, Any]] = {}
+        for r in completeness.required_fields(listed, run.rules["required_fields"]).orderBy("layer", "name").collect():
+            out.setdefault(r.layer, {})[r.name] = r
+        run.state["needed"] = out
+    return run.state["needed"]
+
+
+@row_tests("Required fields")
+def blank_tests(run: Run, layer: str, df: DataFrame) -> list[RowTest]:
+    return [RowTest(f, test) for f, test in completeness.blanks(df, list(needed(run).get(layer, {}))).items()]
+
+
 @check("quality", "Required fields", 10)
 def required(run: Run) -> None:
-    """Configured fields, and those that the catalog's ``class_fields`` (class, field, type, nullable, required) demand."""
     bad = total = 0
-    spark = run.dataset.spark
-    declared = run.dataset.catalog.get("class_fields")
-    found = spark.createDataFrame([(n, f, "") for n, df in run.layers().items() for f in df.columns] or [("", "", "")], "layer string, name string, type string")
-    if declared is None:
-        listed = found.withColumns({"nullable": F.lit(True), "required": F.lit(False)})
-    else:
-        said = declared.select(F.lower("class").alias("k"), F.lower("field").alias("f"), F.col("type").alias("t"), "nullable", "required")
-        listed = found.join(said, (F.lower("layer") == F.col("k")) & (F.lower("name") == F.col("f")), "left").select("layer", "name", F.coalesce("t", "type").alias("type"), "nullable", "required")
-    needed: dict[str, list] = {}
-    for r in completeness.required_fields(listed, run.rules["required_fields"]).orderBy("layer", "name").collect():
-        needed.setdefault(r.layer, []).append(r)
-    for name, rows in needed.items():
-        df = run.layers()[name]
-        why = {r.name: r for r in rows}
-        for r in completeness.blank_counts(df, list(why)).collect():
-            bad, total = bad + r.empty, total + r.rows
-            if r.empty:
-                strict = why[r.field].configured or not why[r.field].nullable
-                sev = run.severity("null_globalid" if r.field.upper() == "GLOBALID" else "null_required" if strict else "null_optional")
-                run.find(sev, f"{r.empty} of {r.rows} values in {r.field} are blank", name, r.empty, run.ids(completeness.blank_rows(df, [r.field]), df.columns[0]))
+    for name, outcomes in run.outcomes("Required fields").items():
+        for f, o in outcomes.items():
+            why = needed(run)[name][f]
+            bad, total = bad + o.bad, total + o.of
+            if o.bad:
+                strict = why.configured or not why.nullable
+                sev = run.severity("null_globalid" if f.upper() == "GLOBALID" else "null_required" if strict else "null_optional")
+                run.find(sev, f"{o.bad} of {o.of} values in {f} are blank", name, o.bad, ",".join(map(str, o.ids)))
     run.score(scoring.penalty_of(bad, total), 2)
 
 
 @check("quality", "Duplicate ids", 20)
 def duplicates(run: Run) -> None:
+    """GlobalIDs and asset ids that repeat in a layer or across layers: the ids of all layers are counted in one job."""
     bad = total = 0.0
-    ids: dict[str, tuple[DataFrame, str]] = {}
-    for name, df in run.layers().items():
+    layers, keys = run.layers(), {}
+    for name, df in layers.items():
+        have = run.fields(df)
+        mine = [("globalid", uniqueness.guid(F.col(have["globalid"]).cast("string")))] if "globalid" in have else []
+        for f in run.rules["asset_id_fields"]:
+            if f.lower() in have:
+                col = have[f.lower()]
+                mine.append((f, F.when(~completeness.blanks(df, [col])[col], F.col(col).cast("string"))))
+        if mine:
+            keys[name] = df, mine
+    used = {(r.layer, r.field): r for r in uniqueness.id_usage(keys).collect()} if keys else {}
+    shared = 0
+    for name, df in layers.items():
         have = run.fields(df)
         if "globalid" in have:
-            ids[name] = (df, have["globalid"])
-            key = df.select(uniqueness.guid(F.col(have["globalid"]).cast("string")).alias("gid"), F.col(df.columns[0]).alias("__id"))
-            n = uniqueness.repeated_summary(key, ["gid"]).head().members
+            r = used.get((name, "globalid"))
+            n, shared = (r.members if r else 0), shared + (r.shared if r else 0)
             bad, total = bad + n, total + run.rows(name)
             if n:
+                key = df.select(uniqueness.guid(F.col(have["globalid"]).cast("string")).alias("gid"), F.col(df.columns[0]).alias("__id")).where("gid <> ''")
                 run.find(run.severity("duplicate_globalid"), f"{n} rows share a GlobalID", name, n, run.ids(uniqueness.repeated_rows(key, ["gid"]), "__id"))
         elif name in run.dataset.geometry:
             run.find(run.severity("missing_globalid"), f"{name} has no GlobalID field", name, run.rows(name))
         for f in run.rules["asset_id_fields"]:
-            if f.lower() in have:
-                rows = df.where(~completeness.blanks(df, [have[f.lower()]])[have[f.lower()]])
-                r = uniqueness.repeated_summary(rows, [have[f.lower()]]).crossJoin(F.broadcast(rows.agg(F.count("*").alias("filled")))).head()  # one row each
+            if r := used.get((name, f)):
                 bad, total = bad + 0.25 * r.members, total + r.filled
                 if r.members:
                     run.find(run.severity("duplicate_asset_id"), f"{r.members} rows share a {f}", name, r.members)
-    if len(ids) > 1:
-        n = uniqueness.across_layers(uniqueness.stack_ids(ids)).agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n")).head().n
-        bad += n
-        if n:
-            run.find("critical", f"{n} rows have a GlobalID that another layer has too", count=n)
+    if shared:
+        bad += shared
+        run.find("critical", f"{shared} rows have a GlobalID that another layer has too", count=shared)
     run.score(scoring.penalty_of(bad, total), 2)
 
 
+@row_tests("Date sanity")
+def date_tests(run: Run, layer: str, df: DataFrame) -> list[RowTest]:
+    late, early = F.lit(run.as_of).cast("timestamp_ntz") + F.expr("interval 1 day"), F.lit(dates.FLOOR).cast("timestamp_ntz")
+    out = []
+    for c in dates.date_columns(df):
+        d = dates.as_date(df, c)
+        out += [RowTest((c, "in the future"), d > late, d.isNotNull(), extreme=F.max(F.when(d > late, d))), RowTest((c, "before 1850"), d < early, F.lit(False), extreme=F.min(F.when(d < early, d)))]
+    return out
+
+
 @check("quality", "Date sanity", 60)
 def date_sanity(run: Run) -> None:
     bad = total = 0
-    for name, df in run.layers().items():
-        columns = dates.date_columns(df)
-        for r in dates.date_sanity(df, columns, run.as_of).collect() if columns else ():
-            bad, total = bad + r.future + r.old, total + r.dated
-            for n, what, at in ((r.future, "in the future", r.latest), (r.old, "before 1850", r.earliest)):
-                if n:
-                    run.find("warning", f"{n} dates in {r.field} are {what}", name, n, detail=str(at))
+    for name, outcomes in run.outcomes("Date sanity").items():
+        for (f, what), o in outcomes.items():
+            bad, total = bad + o.bad, total + o.of
+            if o.bad:
+                run.find("warning", f"{o.bad} dates in {f} are {what}", name, o.bad, ",".join(map(str, o.ids)), str(o.extreme))
     run.score(scoring.penalty_of(bad, total), 0.5)
 
 
@@ -307,28 +368,87 @@ def associations(run: Run) -> None:
         run.score(max(0.0, 100.0 - min(30.0, 300.0 * lost / total)) if total else None)
 
 
+def domain_rules(run: Run) -> dict[str, Callable]:
+    """domain -> condition that a value breaks it, from ``domain_codes`` (domain, code), ``domain_ranges`` (domain, min, max) and the rules' own codes."""
+    if "domain_rules" not in run.state:
+        codes, ranges = run.dataset.catalog.get("domain_codes"), run.dataset.catalog.get("domain_ranges")
+        extra = [(d, str(c)) for d, cs in run.rules["domains"].items() for c in cs]
+        if codes is not None and extra:
+            codes = codes.select("domain", "code").unionByName(run.dataset.spark.createDataFrame(extra, "domain string, code string"))
+        out: dict[str, Callable] = {}
+        if codes is not None:
+            known: dict[str, tuple[bool, list]] = {}
+            for r in domains.code_keys(codes).orderBy("domain", "key").collect():  # a row for each code of the schema
+                known.setdefault(r.domain, (r.numeric, []))[1].append(r.key)
+            out = {d: (lambda v, keys=keys, numeric=numeric: domains.breaks_codes(v, keys, numeric)) for d, (numeric, keys) in known.items()}
+        for r in ranges.collect() if ranges is not None else ():
+            out[r.domain] = lambda v, low=r["min"], high=r["max"]: domains.breaks_range(v, low, high)
+        run.state["domain_rules"] = out
+    return run.state["domain_rules"]
+
+
+def assignments(run: Run, layer: str, df: DataFrame) -> list[tuple[str, str, Any, str | None, Column]]:
+    """(field, domain, subtype's code, its name, condition on the row): which rows' values a domain holds for.
+
+    ``references`` (layer, field, type, domain) gives a field's domain.  A layer in ``subtypes``
+    (layer, subtype_field, code, name, field, domain) is looked at by subtype: a subtype's own domain for a field comes
+    before the field's, and rows of no known subtype have none.
+    """
+    if "assigned" not in run.state:
+        refs, subs = run.dataset.catalog.get("references"), run.dataset.catalog.get("subtypes")
+        run.state["assigned"] = [t.collect() if t is not None else [] for t in (refs, subs)]
+    refs, subs = ([r for r in t if r.layer.lower() == layer.lower()] for t in run.state["assigned"])
+    have, plain = run.fields(df), {r.field.lower(): r.domain for r in refs if r.domain}
+    kinds: dict[Any, tuple[str | None, dict[str, str]]] = {}
+    for r in subs:
+        own = kinds.setdefault(r.code, (r.name, {}))[1]
+        if r.field and r.domain:
+            own[r.field.lower()] = r.domain
+    key = next((have[r.subtype_field.lower()] for r in subs if r.subtype_field and r.subtype_field.lower() in have), None)
+    said = {r.field.lower(): r.field for r in (*subs, *refs) if r.field}  # as the catalog spells it
+    out = []
+    for f in sorted({*plain, *(f for _, own in kinds.values() for f in own)} & set(have)):
+        if kinds:
+            for code, (name, own) in kinds.items():
+                if domain := own.get(f, plain.get(f)):
+                    here = F.lit(True) if key is None else F.coalesce(number(F.col(f"`{key}`")) == float(code), F.lit(False))
+                    out.append((said[f], domain, code, name, here))
+        elif f in plain:
+            out.append((said[f], plain[f], None, None, F.lit(True)))
+    return out
+
+
+@row_tests("Coded values")
+def coded_tests(run: Run, layer: str, df: DataFrame) -> list[RowTest]:
+    rules, have, out = domain_rules(run), run.fields(df), []
+    for f, domain, code, name, here in assignments(run, layer, df):
+        value = F.col(f"`{have[f.lower()]}`").cast("string")
+        some = here & value.isNotNull()
+        broken = rules[domain](value) if domain in rules else F.lit(False)
+        out.append(RowTest((f, domain, code, name), some & broken, some, value))
+    return out
+
+
 @check("schema", "Coded values", 20)
 def coded(run: Run) -> None:
-    """Catalog tables ``references`` (layer, field, type, domain), ``domain_codes`` (domain, code), ``domain_ranges`` (domain, min, max)."""
-    refs, bad, total = run.dataset.catalog.get("references"), 0, 0
-    if refs is None:
+    """Values in fields with a domain must be codes of it or lie in its range, by subtype where the layer has subtypes."""
+    if run.dataset.catalog.get("references") is None and run.dataset.catalog.get("subtypes") is None:
         return
-    codes, ranges = run.dataset.catalog.get("domain_codes"), run.dataset.catalog.get("domain_ranges")
-    extra = [(d, str(c)) for d, cs in run.rules["domains"].items() for c in cs]
-    if codes is not None and extra:
-        codes = codes.unionByName(run.dataset.spark.createDataFrame(extra, "domain string, code string"))
-    for r in refs.where("domain is not null").collect():
-        df = run.dataset.layer(r.layer)
-        if df is None or r.field.lower() not in run.fields(df):
-            continue
-        values = domains.assigned(df, df.columns[0], r.field, F.lit(r.domain))
-        wrong = [f(values, t) for f, t in ((domains.coded_violations, codes), (domains.range_violations, ranges)) if t is not None]
-        rows = trust.union(*wrong)
-        n = rows.count()
-        bad, total = bad + n, total + values.count()
-        if n:
-            top = ", ".join(x.value for x in domains.top_violations(rows).orderBy("rank").collect())
-            run.find(run.severity("coded_value"), f"{n} values in {r.field} are not in domain {r.domain}", r.layer, n, run.ids(rows, "id"), f"Invalid values: {top}")
+    bad, total, rows = 0, 0, []
+    for layer, outcomes in run.outcomes("Coded values").items():
+        for (f, domain, _, subtype), o in outcomes.items():
+            bad, total = bad + o.bad, total + o.of
+            if o.bad:
+                rows.append((layer, f, domain, subtype, o.bad))
+                more = f" (subtype {subtype})" if subtype else ""
+                run.find(run.severity("coded_value"), f"{o.bad} values in {f} are not in domain {domain}{more}", layer, o.bad, ",".join(map(str, o.ids)), f"Invalid values: {', '.join(str(v) for v, _ in o.top)}")
+        if layer in run.dataset.geometry and any(o.bad for o in outcomes.values()):
+            df, wrong = run.layers()[layer], F.lit(False)
+            for t in coded_tests(run, layer, df):
+                wrong = wrong | F.coalesce(t.bad, F.lit(False))
+            if "geometry" in run.fields(df):
+                run.flag(layer, checks.shapes(run, layer, wrong), "error", "value outside domain", 150)
+    run.tables["domain_violations"] = run.dataset.spark.createDataFrame(rows, "layer string, field string, domain string, subtype string, invalid long")
     run.score(scoring.penalty_of(bad, total), 2)
 
 
