@@ -39,7 +39,7 @@ def ws_trim(c: Column) -> Column:
 
 def as_text(c: Column, kind: DataType | None = None) -> Column:
     """c as text; bytes are read as UTF-8."""
-    return F.decode(c, "UTF-8") if kind is not None and kind.typeName() == "binary" else c.cast("string")
+    return F.make_valid_utf8(c.cast("string")) if kind is not None and kind.typeName() == "binary" else c.cast("string")
 
 
 def is_null(c: Column, kind: DataType | None = None) -> Column:

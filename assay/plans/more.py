@@ -9,7 +9,7 @@ from assay.operators import assets, conformance, lineage, mapping, network, prof
 from assay.plans.queries import _BLANK, _FAMILY, _NULLS, domain_coded_text, dup_within_class, inline, num, planted, query, read, required_nulls_severity, values
 from assay.plans.queries import _LI, _TEXT
 from assay.plans import run
-from assay.sources import dataset, sinks
+from assay.sources import dataset, geopackage, sinks
 from assay.streaming import events
 
 # ---- conformance ----------------------------------------------------------------------------------
@@ -154,6 +154,16 @@ def metadata_score(spark, sf):
     return _evaluated(spark, sf).select("doc_id", documents.metadata_score(F.col("m")).alias("score"))
 
 
+@query("""with r as (select row_number() over (order by doc_id) as pos, 'Class' || (doc_id % 700) as table_name, case when doc_id % 17 = 0 then 'geopackage' else 'table' end as scope, doc_id as id from labels),
+a as (select *, scope = 'geopackage' as whole, case when scope <> 'geopackage' then lower(table_name) end as class from r),
+l as (select whole, class, max(pos) as pos from a join documents on id = doc_id group by whole, class)
+select l.class, md5(text) as document from l join a using (pos) join documents on a.id = doc_id where text is not null""")
+def metadata_references(spark, sf):
+    r = read(spark, sf, "labels").select(F.col("doc_id").alias("pos"), F.concat(F.lit("Class"), (F.col("doc_id") % 700).cast("string")).alias("table_name"), F.when(F.col("doc_id") % 17 == 0, "geopackage").otherwise("table").alias("reference_scope"), F.col("doc_id").alias("md_file_id"))
+    m = read(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("metadata"))
+    return geopackage.documents_of(m, r).where("document is not null").select("class", F.md5(F.col("document").cast("binary")).alias("document"))
+
+
 @query(" union all ".join(f"select '{e}' as element, count(*) filter ({e} in ('missing', 'placeholder')) as lacking, count(*) filter ({e} = 'placeholder') as placeholders from ({_META})" for e in _ITEMS))
 def metadata_items(spark, sf):
     rows = _evaluated(spark, sf).select(F.explode(F.array(*[F.struct(F.lit(e).alias("element"), F.col(f"m.{e}").alias("state")) for e in _ITEMS])).alias("e")).select("e.*")
