@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ctypes
+import functools
+import inspect
 import re
 import tempfile
 import uuid
@@ -109,6 +111,24 @@ def same_columns(docs: DataFrame, names: Iterable[str], step: Callable[[DataFram
     return step(docs.withColumnsRenamed(safe)).select(*[F.col(f"`{k.replace('`', '``')}`").alias(c) for c, k in safe.items()])
 
 
+def shielded(step: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """step(docs, ...), whose own helper columns begin with ``__``: columns of docs that begin so come through unharmed under other names."""
+
+    @functools.wraps(step)
+    def run(docs: DataFrame, *args, **more) -> DataFrame:
+        names = {c: f"kept_{'_' * max(len(x) for x in docs.columns)}{i}" for i, c in enumerate(docs.columns) if c.startswith("__")}
+        if not names:
+            return step(docs, *args, **more)
+        given = inspect.signature(step).bind(docs.withColumnsRenamed(names), *args, **more)
+        given.apply_defaults()
+        for k, v in given.arguments.items():
+            if k.endswith("_col"):
+                given.arguments[k] = names.get(v, v)
+        return step(*given.args, **given.kwargs).withColumnsRenamed({v: k for k, v in names.items()})
+
+    return run
+
+
 def remainder(id_col: str, n: int) -> Column:
     """crc32(id as text) mod n; null for a null id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n

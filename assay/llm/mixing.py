@@ -41,7 +41,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assay.llm.common import materialise, without
+from assay.llm.common import materialise, shielded, without
 
 OUT = ("weight", "epoch", "block", "position", "n_tokens", "mix_key", "exponent", "entropy", "repetition")
 #: Rows in a block, about, and blocks of a source at most (a window sorts their lengths); beyond, blocks grow.
@@ -93,6 +93,7 @@ def exponent(tokens: Sequence[float], flatten: float = 0.5, entropy: float | Non
     return high
 
 
+@shielded
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", flatten: float = 0.5, entropy: float | None = None,
     repetition: float | None = 2.0, seed: int = 17, most_sources: int = 100_000,

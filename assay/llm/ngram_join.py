@@ -66,7 +66,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assay.llm import tokens
-from assay.llm.common import buckets, components, freeing, materialise, small_batches, without
+from assay.llm.common import buckets, components, freeing, materialise, shielded, small_batches, without
 from assay.llm.tokens import U64
 
 #: Words in a shingle, and the least similarity as a fraction, unless given.
@@ -660,6 +660,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+@shielded
 def one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: Least = (NUM, DEN)) -> DataFrame:
     """The rows of docs, with all their columns, less those linked with one that stays.
 

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from assay.llm.common import materialise, without
+from assay.llm.common import materialise, shielded, without
 
 OUT = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 #: About the bytes of a bucket, which one task sorts, and the most buckets.
@@ -110,6 +110,7 @@ def _counted(keys: DataFrame, bits: int) -> DataFrame:
     return keys.groupBy(_cell(bits).alias("c")).agg(F.sum("__size").alias("b"), F.count("*").alias("n"))
 
 
+@shielded
 def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 24, tolerance: float = 0.001) -> DataFrame:
     """docs with size, text_crc32, law, shard, slot and grown_shard (null under this law)."""
     spark = docs.sparkSession
