@@ -616,6 +616,6 @@ def map_preview(run: Run) -> None:
 
 @check("report", "Top issues", 20)
 def top_issues(run: Run) -> None:
-    """The eight findings that matter most: by severity, then by records."""
+    """The eight findings that matter most: by severity, then by records; hints are left out."""
     table = run.dataset.spark.createDataFrame(run.findings, f"{trust.BASE}, {trust.MORE}")
-    run.tables["top_issues"] = trust.ordered(trust.detailed(table)).select("severity", "check", "layer", "message", "count").limit(8)
+    run.tables["top_issues"] = trust.ordered(trust.detailed(table)).where("severity <> 'info'").select("severity", "check", "layer", "message", "count").limit(8)

@@ -37,6 +37,40 @@ def discover(spark: SparkSession, root: str) -> dict[str, str]:
     return dict(sorted(found.items()))
 
 
+def discover_datasets(spark: SparkSession, root: str) -> list[dict]:
+    """The datasets below a path, in path order: folders that hold tables, and GeoPackage files, with their tables and bytes.
+
+    Breadth first through the folders of any store that Hadoop reads.  A table (a file or folder with the suffix of a
+    format) is not entered, only measured; hidden folders and files are left out.
+    """
+    jvm = spark.sparkContext._jvm
+    start = jvm.org.apache.hadoop.fs.Path(root)
+    fs = start.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(start):
+        return []
+    found, level = [], [fs.getFileStatus(start)]
+    while level:
+        below = []
+        for folder in level:
+            tables, size = [], 0
+            for s in fs.listStatus(folder.getPath()) if folder.isDirectory() else [folder]:
+                name = s.getPath().getName()
+                stem, _, suffix = name.rpartition(".")
+                if name.startswith((".", "_")):
+                    continue
+                if suffix in FORMATS and stem:
+                    tables.append(stem)
+                    size += fs.getContentSummary(s.getPath()).getLength()
+                elif suffix.lower() == "gpkg" and s.isFile():
+                    found.append({"path": s.getPath().toString(), "kind": "geopackage", "tables": [], "bytes": s.getLen()})
+                elif s.isDirectory():
+                    below.append(s)
+            if tables:
+                found.append({"path": folder.getPath().toString(), "kind": "folder", "tables": sorted(tables), "bytes": size})
+        level = below
+    return sorted(found, key=lambda d: d["path"])
+
+
 class Dataset:
     """Lazily read tables, found by name in any case.  A table that cannot be read has its error in ``errors``."""
 
@@ -92,8 +126,8 @@ def data_layers(layers: DataFrame, annotation: Column | None = None) -> DataFram
 
 
 def read_ids(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """The rows of df with the ids of (id, pos), with ``pos``, the requested place."""
-    return df.join(ids.withColumnRenamed("id", id_col), id_col)
+    """The rows of df with the ids of (id, pos), in the order of ``pos``, the requested place; an id asked for twice comes twice, a missing one not at all."""
+    return df.join(ids.withColumnRenamed("id", id_col), id_col).orderBy("pos")
 
 
 def catalog_items(items: DataFrame, types: DataFrame) -> DataFrame:
