@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 
 from assay.functions import documents, geometry, projection, scoring
 from assay.functions.text import is_system, number
-from assay.operators import assets, conformance, dates, domains, lineage, mapping, network, references, trust
+from assay.operators import assets, conformance, dates, domains, lineage, mapping, network, references, trust, uniqueness
 from assay.plans.run import Run, check
 from assay.sources import dataset as source
+from assay.sources.scratch import kept
 
 #: Layers that are no part of a network, point layers that are its junctions, labels of a code for "not connected".
 NETWORK_EXCLUDE = re.compile("subnetline|serviceterritory|dirtyarea|boundary", re.IGNORECASE)
@@ -400,6 +401,8 @@ def geometry_validity(run: Run) -> None:
         judged = df.select("id", "g", empty.alias("empty"), F.when(~empty, reason).alias("reason"), (~empty & zero).alias("zero"))
         facts = judged.groupBy(F.coalesce("reason", F.lit("")).alias("reason")).agg(F.count("*").alias("rows"), F.count_if("empty").alias("empty"), F.count_if("zero").alias("zero")).collect()
         total += sum(r.rows for r in facts)
+        if any(r.reason or r.empty or r.zero for r in facts):
+            judged = kept(judged.where("empty or reason is not null or zero"))  # few; their ids and shapes are asked for several times
         reasons = {r.reason: r.rows for r in facts if r.reason}
         counts = (("empty", sum(r.empty for r in facts), "{} rows have null or empty geometry", ""), ("reason is not null", sum(reasons.values()), "{} invalid shapes", "; ".join(f"{k} x{v}" for k, v in sorted(reasons.items(), key=lambda x: (-x[1], x[0]))[:5])),
                   ("zero", sum(r.zero for r in facts), "{} zero-length lines" if "line" in kind else "{} zero-area polygons", ""))
@@ -465,15 +468,18 @@ def connectivity(run: Run) -> None:
     pieces = pieces.select("layer", "owner", "s.*", ends.alias("ends"))
     spots = [s.select(owner(n), F.explode(geometry.vertices(F.col("g"))).alias("v")).select("owner", F.col("v.x").alias("x"), F.col("v.y").alias("y")) for n, s in shape.items() if n in points]
     states = network.endpoint_states(pieces, trust.union(*spots) if spots else None, snap, near)
+    states = kept(states)  # the distance join runs once; all below reads its rows
     run.tables["endpoints"], run.tables["connectivity"] = states, network.connectivity(states)
     facts = run.tables["connectivity"].orderBy("layer").collect()
     short = F.element_at(F.split("owner", ":", 2), 2)
+    loose = states.where("state <> 'connected'").withColumn("id", short)
+    ids = {(r.layer, r.state): r.ids for r in uniqueness.first_ids(loose, ["layer", "state"], "id", run.rules["thresholds"]["max_sample_ids"]).collect()} if any(r.near_miss or r.dangles for r in facts) else {}
     for r in facts:
-        mine = states.where(F.col("layer") == r.layer).withColumn("id", short)
+        mine = loose.where(F.col("layer") == r.layer)
         for k, state, severity, words in ((r.near_miss, "near miss", "warning", "{} line ends stop short of another feature"), (r.dangles, "dangle", "info", "{} line ends touch nothing")):
             if k:
                 these = mine.where(F.col("state") == state)
-                run.find(severity, words.format(k), r.layer, k, run.ids(these, "id"), threshold=f"{snap:g}, {near:g}")
+                run.find(severity, words.format(k), r.layer, k, ids.get((r.layer, state), ""), threshold=f"{snap:g}, {near:g}")
                 run.flag(r.layer, these.select("id", geometry.point(F.col("x"), F.col("y")).alias("g")), severity, state, 250 if state == "near miss" else 120)
     n = sum(r.endpoints for r in facts)
     missed, free = sum(r.near_miss for r in facts), sum(r.dangles for r in facts)
@@ -481,7 +487,7 @@ def connectivity(run: Run) -> None:
     for name in (p for p in points if JUNCTION_HINT.search(p) and p in shape):
         first = F.element_at(geometry.vertices(F.col("g")), 1)
         spot = shape[name].select("id", F.lit(name).alias("owner"), first.x.alias("x"), first.y.alias("y"))
-        lone = network.orphan_points(spot, pieces.select("owner", "x1", "y1", "x2", "y2"), snap)
+        lone = kept(network.orphan_points(spot, pieces.select("owner", "x1", "y1", "x2", "y2"), snap))
         k = lone.count()
         if k:
             run.find("warning", f"{k} points are orphan junctions, on no line", name, k, run.ids(lone, "id"), check="Orphan junctions", action="Move the point to its line, or remove it.")

@@ -167,3 +167,30 @@ def test_hashes_of_files(spark, tmp_path):
     assert (one.files, one.bytes) == (2, 9)
 
 
+
+
+def _all(store):
+    seen = store.executionsList()
+    return [seen.apply(i) for i in range(seen.size())]
+
+
+def test_distance_join_runs_once_whatever_is_found(spark):
+    """The number of queries that the connectivity check runs does not grow with the layers' findings."""
+    from assay.plans import checks
+
+    line = lambda *v: _shape([v])
+
+    store = spark._jsparkSession.sharedState().statusStore()
+
+    def executions(n):
+        kind = f"fid long, geometry {geometry.SHAPE}"
+        layers = {f"Line{k}": spark.createDataFrame([(1, line((0.0, 10.0 * k), (10.0, 10.0 * k))), (2, line((10.2, 10.0 * k), (20.0, 10.0 * k)))], kind) for k in range(n)}
+        r = run.Run(dataset.Dataset(spark, "d", layers, geometry=dict.fromkeys(layers, "line")), as_of=AS_OF)
+        r.now = next(c for c in run._CHECKS.values() if c.fn is checks.connectivity)
+        r.layers(), checks.systems(r)
+        before = max((e.executionId() for e in _all(store)), default=-1)
+        checks.connectivity(r)
+        assert sorted((f[4], f[6], f[7]) for f in r.findings) == sorted(x for k in range(n) for x in ((f"Line{k}", 2, "1,2"), (f"Line{k}", 2, "1,2")))
+        return sum(e.executionId() > before for e in _all(store))
+
+    assert executions(1) == executions(4) > 1
