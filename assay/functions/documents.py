@@ -130,8 +130,8 @@ def domain_definition(xml: Column) -> Column:
     """struct(name, kind, field_type, description, codes, min, max); the name is null for broken XML."""
     raw = F.from_xml(xml, _DOMAIN, _LENIENT)
     coded = xml.rlike(r"<(\w+:)?GPCodedValueDomain|<(\w+:)?CodedValues[ />]")
-    whole = raw["FieldType"].rlike("Integer")
-    code = lambda c: F.when(whole & c.try_cast("double").isNotNull(), c.try_cast("double").cast("long").cast("string")).otherwise(c)
+    whole, real = raw["FieldType"].rlike("Integer|OID"), raw["FieldType"].rlike("Double|Single")
+    code = lambda c: F.when(c.try_cast("double").isNull(), c).when(whole, c.try_cast("double").cast("long").cast("string")).when(real, c.try_cast("double").cast("string")).otherwise(c)
     codes = F.transform(raw["CodedValues"]["CodedValue"], lambda v: F.struct(code(v["Code"]).alias("code"), F.coalesce(v["Name"], F.lit("")).alias("label")))
     return F.struct(
         raw["DomainName"].alias("name"), F.when(coded, "coded").otherwise("range").alias("kind"), raw["FieldType"].alias("field_type"), raw["Description"].alias("description"),

@@ -194,3 +194,13 @@ def test_distance_join_runs_once_whatever_is_found(spark):
         return sum(e.executionId() > before for e in _all(store))
 
     assert executions(1) == executions(4) > 1
+
+
+@pytest.mark.parametrize(("kind", "expected"), [("esriFieldTypeInteger", ["1", "2", "x", None]), ("esriFieldTypeDouble", ["1.0", "2.5", "x", None]), ("esriFieldTypeSingle", ["1.0", "2.5", "x", None]), ("esriFieldTypeString", ["1", "2.5", "x", None])])
+def test_codes_take_the_kind_of_their_field(spark, kind, expected):
+    from assay.functions import documents
+
+    codes = "".join(f"<CodedValue><Code>{c}</Code><Name>n</Name></CodedValue>" for c in ("1", "2.5", "x")) + "<CodedValue><Name>n</Name></CodedValue>"
+    xml = f"<GPCodedValueDomain2><DomainName>D</DomainName><FieldType>{kind}</FieldType><CodedValues>{codes}</CodedValues></GPCodedValueDomain2>"
+    got = spark.createDataFrame([(xml,)], "x string").select(documents.domain_definition(F.col("x")).alias("d")).head().d
+    assert [c.code for c in got.codes] == expected
