@@ -130,35 +130,36 @@ g{k} as (
 named as (select host, segs, gens, n, labelled, bad from {last}),
 shapes as (select host, gens, sum(n) as n, sum(labelled) as labelled, sum(bad) as bad from named group by all),
 rate as (select coalesce(sum(bad)::double / nullif(sum(labelled), 0), 0) as rate from shapes),
-hosts as (select host, sum(labelled) as ml, sum(bad) as mb from shapes group by host),
-m0 as (select s.*, '' as branch, ml, mb, (mb::double + 10.0::double * rate) / (ml::double + 10.0::double) as purity from shapes s join hosts using (host), rate)""")
+hosts as (select host, sum(n) as mn, sum(labelled) as ml, sum(bad) as mb from shapes group by host),
+m0 as (select s.*, '' as branch, rate as prior, mn, ml, mb, (mb::double + 10.0::double * rate) / (ml::double + 10.0::double) as purity from shapes s join hosts using (host), rate)""")
     for k in range(1, levels + 1):
         parts.append(f"""
-l{k} as (select *, gens[{k}] as g, coalesce(gens[{k + 1}], '') as nxt from m{k - 1} where len(gens) >= {k}),
+l{k} as (select * replace (prior + (purity - prior) * (ml::double / mn::double) as prior), gens[{k}] as g, coalesce(gens[{k + 1}], '') as nxt from m{k - 1} where len(gens) >= {k}),
+cells{k} as (select host, branch, g, nxt, sum(n)::double as o from l{k} group by all),
+main{k} as (select host, branch, g, nxt as main from cells{k} qualify row_number() over (partition by host, branch, g order by o desc, nxt desc) = 1),
 each{k} as (
-    select *, lag(g) over w as prev, lag(n) over w as np,
+    select *, lag(g) over w as prev, lag(n) over w as np, lag(l) over w as lp,
         last_value(case when l > 0 then l end ignore nulls) over v as ll, last_value(case when l > 0 then b end ignore nulls) over v as lb
     from (select *, (b + 10.0::double * p) / (l + 10.0::double) as rate
-        from (select host, branch, g, sum(n)::double as n, sum(labelled)::double as l, sum(bad)::double as b, max(purity) as p from l{k} group by all))
-    window w as (partition by host, branch order by rate, g), v as (partition by host, branch order by rate, g rows between unbounded preceding and 1 preceding)),
-cells{k} as (select host, branch, g, nxt, sum(n)::double as o from l{k} group by all),
+        from (select host, branch, g, sum(n)::double as n, sum(labelled)::double as l, sum(bad)::double as b, max(prior) as p from l{k} group by all) join main{k} using (host, branch, g))
+    window w as (partition by host, branch order by main, rate, g), v as (partition by host, branch order by main, rate, g rows between unbounded preceding and 1 preceding)),
 both{k} as (
     select host, branch, g, nxt, sum(og) as og, sum(op) as op, max(a) as a
     from (select e.host, e.branch, e.g, nxt, sqrt(np / n) as a, o as og, 0::double as op from each{k} e join cells{k} c on c.host = e.host and c.branch = e.branch and c.g = e.g where prev is not null
         union all select e.host, e.branch, e.g, nxt, sqrt(np / n), 0, o from each{k} e join cells{k} c on c.host = e.host and c.branch = e.branch and c.g = e.prev) group by host, branch, g, nxt),
 shape{k} as (select host, branch, g, sum((og * a - op / a) * (og * a - op / a) / (og + op)) as chi, (count(*) - 1)::double as df from both{k} group by all),
 runs{k} as (
-    select *, sum(case when alike then 0 else 1 end) over (partition by host, branch order by rate, g) as run
-    from (select e.*, coalesce(chi <= df + 1.96::double * sqrt(2 * df) + 1e-6::double, false) and coalesce(
+    select *, sum(case when alike then 0 else 1 end) over (partition by host, branch order by main, rate, g) as run
+    from (select e.*, coalesce(chi <= df + 1.96::double * sqrt(2 * df) + 1e-6::double and ((l > 0) = (lp > 0) or (df > 0 and least(n, np) >= 20)), false) and coalesce(
             pow(b / nullif(l, 0) - lb / ll, 2) <= 1.96::double * 1.96::double * ((b + lb) / (l + ll)) * (1 - (b + lb) / (l + ll)) * (1 / nullif(l, 0) + 1 / ll) + 1e-9::double, true) as alike
         from each{k} e left join shape{k} s on s.host = e.host and s.branch = e.branch and s.g = e.g)),
 same{k} as (select host, branch, g, case when count(*) over (partition by host, branch, run) > 1 then '+' || run::bigint else g end as name from runs{k}),
 n{k} as (
     select l.* exclude (g, nxt) replace (l.branch || '/' || s.name as branch)
     from l{k} l join same{k} s on s.host = l.host and s.branch = l.branch and s.g = l.g),
-b{k} as (select host, branch, sum(labelled) as bl, sum(bad) as bb from n{k} group by all),
+b{k} as (select host, branch, sum(n) as bn, sum(labelled) as bl, sum(bad) as bb from n{k} group by all),
 m{k} as (
-    select n.* replace (bl as ml, bb as mb, (bb::double + 10.0::double * purity) / (bl::double + 10.0::double) as purity) from n{k} n join b{k} using (host, branch)
+    select n.* replace (bn as mn, bl as ml, bb as mb, (bb::double + 10.0::double * prior) / (bl::double + 10.0::double) as purity) from n{k} n join b{k} using (host, branch)
     union all select * from m{k - 1} where len(gens) < {k})""")
     return head + ",".join(parts).lstrip() + f"""
 select s.id as page_id, s.host, s.path, s.rule, coalesce(s.by_rule, case when m.purity >= 0.8::double then 'block' else 'allow' end) as verdict,

@@ -8,18 +8,25 @@ Only DataFrame functions.  Urls that a rule fits are labelled by that rule
    node with at least ``min_children`` different children those that hold less
    than ``rare`` of its urls become ``*`` too.  The node of the next level is named
    by the generalised segments, so children of a wildcard are pooled.
-2. Merge, again from the host down.  Siblings are put in the order of their smoothed
-   bad rates.  Neighbours in it are alike if their distributions of next segments
-   pass a two-sample chi-square test (at most df + z * sqrt(2 df)) and the later
-   one's bad rate passes a two-proportion z test against the last labelled sibling
-   before it; siblings without labels pass that.  A run of two or more neighbours
-   that are alike becomes one branch ``+1``, ``+2``, ... whose subtrees are merged.
-   (After step 1 a node has few children: fewer than ``min_children``, or those with
-   the share ``rare`` at least and ``*``.)
-3. Judge.  The purity of a node is (bad + k * purity of its parent) / (labelled + k),
-   over all urls at or below it; a host's parent is the rate of all labels.  So
-   labels reach unlabelled templates of their branch and host; a host without any
-   label has the overall rate.  A template is blocked from purity ``reject`` on.
+2. Merge, again from the host down.  Siblings are put in the order of their most
+   frequent next segment, then of their smoothed bad rates, so that those with like
+   subtrees and rates are neighbours.  Neighbours are alike if their distributions of
+   next segments pass a two-sample chi-square test (at most df + z * sqrt(2 df)) and
+   their labels speak for it: both labelled, the later one's bad rate passes a
+   two-proportion z test against the last labelled sibling before it; both unlabelled,
+   the subtrees are enough; one labelled and one not, the subtrees must be evidence,
+   with at least ``min_urls`` urls each and two or more next segments in all (a lone
+   wildcard is none).  A run of two or more neighbours that are alike becomes one
+   branch ``+1``, ``+2``, ... whose subtrees are merged.  (After step 1 a node has few
+   children: fewer than ``min_children``, or those with the share ``rare`` at least
+   and ``*``.)
+3. Judge.  The purity of a node is (bad + k * prior) / (labelled + k), over all urls at
+   or below it.  A host's prior is the rate of all labels.  Below it, the prior is the
+   parent's purity as far as the parent's urls are labelled, and the parent's own prior
+   for the rest: prior + (purity - prior) * labelled / urls.  So a branch without labels
+   follows its host where the host is known, and not where only a part of it is; a host
+   without any label has the overall rate.  A template is blocked from purity
+   ``reject`` on.
 
 Segments from level ``levels`` on count as one, so work grows with a path's length
 and not with its square, however long it is.  Counts are made per (host, id-free
@@ -92,14 +99,15 @@ def _generalised(paths: DataFrame, depth: int, min_children: int, rare: float) -
     return materialise(out.drop("node"))
 
 
-def _merged(level: DataFrame, z: float, k: float) -> DataFrame:
-    """level (host, branch, g, next, n, labelled, bad, purity of the branch) -> (host, branch, g, name) of the siblings' runs."""
-    each = level.groupBy("host", "branch", "g").agg(*[F.sum(c).cast("double").alias(c[0]) for c in ("n", "labelled", "bad")], F.max("purity").alias("p"))
+def _merged(level: DataFrame, z: float, k: float, min_urls: int) -> DataFrame:
+    """level (host, branch, g, next, n, labelled, bad, prior of the siblings) -> (host, branch, g, name) of the siblings' runs."""
+    cells = level.groupBy("host", "branch", "g", "next").agg(*[F.sum(c).cast("double").alias(a) for a, c in (("o", "n"), ("l", "labelled"), ("b", "bad"))], F.max("prior").alias("p"))
+    main = F.max(F.struct("o", "next"))["next"]
+    each = cells.groupBy("host", "branch", "g").agg(F.sum("o").alias("n"), F.sum("l").alias("l"), F.sum("b").alias("b"), F.max("p").alias("p"), main.alias("main"))
     each = each.withColumn("rate", (F.col("b") + k * F.col("p")) / (F.col("l") + k))
-    order = Window.partitionBy("host", "branch").orderBy("rate", "g")
+    order = Window.partitionBy("host", "branch").orderBy("main", "rate", "g")
     before = F.last(F.when(F.col("l") > 0, F.struct("l", "b")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    each = each.withColumns({"prev": F.lag("g").over(order), "np": F.lag("n").over(order), "last": before})
-    cells = level.groupBy("host", "branch", "g", "next").agg(F.sum("n").cast("double").alias("o"))
+    each = each.withColumns({"prev": F.lag("g").over(order), "np": F.lag("n").over(order), "lp": F.lag("l").over(order), "last": before})
     pairs = each.where("prev is not null").select("host", "branch", "g", "prev", F.sqrt(F.col("np") / F.col("n")).alias("a"))
     mine = pairs.join(cells, ["host", "branch", "g"]).select("host", "branch", "g", "next", "a", F.col("o").alias("og"), F.lit(0.0).alias("op"))
     theirs = pairs.join(cells.withColumnRenamed("g", "prev"), ["host", "branch", "prev"]).select("host", "branch", "g", "next", "a", F.lit(0.0).alias("og"), F.col("o").alias("op"))
@@ -109,37 +117,39 @@ def _merged(level: DataFrame, z: float, k: float) -> DataFrame:
     l, b, m, c = F.col("l"), F.col("b"), F.col("last.l"), F.col("last.b")
     rate, apart = F.try_divide(b + c, l + m), F.try_divide(b, l) - F.try_divide(c, m)
     same_rate = F.coalesce(apart * apart <= z * z * rate * (1.0 - rate) * (F.try_divide(F.lit(1.0), l) + F.try_divide(F.lit(1.0), m)) + 1e-9, F.lit(True))
-    alike = F.coalesce(F.col("chi") <= F.col("df") + z * F.sqrt(2.0 * F.col("df")) + 1e-6, F.lit(False)) & same_rate
+    evidence = ((l > 0) == (F.col("lp") > 0)) | ((F.col("df") > 0) & (F.least("n", "np") >= min_urls))
+    alike = F.coalesce((F.col("chi") <= F.col("df") + z * F.sqrt(2.0 * F.col("df")) + 1e-6) & evidence, F.lit(False)) & same_rate
     runs = each.join(shape, ["host", "branch", "g"], "left").withColumn("run", F.sum(F.when(alike, 0).otherwise(1)).over(order))
     size = F.count("*").over(Window.partitionBy("host", "branch", "run"))
     return runs.select("host", "branch", "g", F.when(size > 1, F.concat(F.lit("+"), F.col("run").cast("string"))).otherwise(F.col("g")).alias("name"))
 
 
-def _judged(shapes: DataFrame, depth: int, z: float, k: float) -> DataFrame:
+def _judged(shapes: DataFrame, depth: int, z: float, k: float, min_urls: int) -> DataFrame:
     """shapes (host, gens, n, labelled, bad) with template, purity and the labels at or below the template's node."""
     purity = lambda c, prior: (F.col(c + "bad").cast("double") + k * prior) / (F.col(c + "labelled").cast("double") + k)
     overall = shapes.agg(F.coalesce(F.try_divide(F.sum("bad").cast("double"), F.sum("labelled")), F.lit(0.0)).alias("rate"))
-    hosts = shapes.groupBy("host").agg(F.sum("labelled").alias("m_labelled"), F.sum("bad").alias("m_bad")).crossJoin(F.broadcast(overall))  # one row
-    hosts = hosts.select("host", "m_labelled", "m_bad", purity("m_", F.col("rate")).alias("purity"))
+    hosts = shapes.groupBy("host").agg(F.sum("n").alias("m_n"), F.sum("labelled").alias("m_labelled"), F.sum("bad").alias("m_bad")).crossJoin(F.broadcast(overall))  # one row
+    hosts = hosts.withColumnRenamed("rate", "prior").withColumn("purity", purity("m_", F.col("prior")))
     out = shapes.join(hosts, "host").withColumn("branch", F.lit(""))
+    known = F.col("prior") + (F.col("purity") - F.col("prior")) * (F.col("m_labelled").cast("double") / F.col("m_n").cast("double"))
     for i in range(1, depth + 1):
-        out = materialise(out.withColumns({"g": F.try_element_at("gens", F.lit(i)), "next": F.coalesce(F.try_element_at("gens", F.lit(i + 1)), F.lit(""))}))
-        merged = _merged(out.where("g is not null"), z, k)
+        out = materialise(out.withColumns({"g": F.try_element_at("gens", F.lit(i)), "next": F.coalesce(F.try_element_at("gens", F.lit(i + 1)), F.lit("")), "prior": known}))
+        merged = _merged(out.where("g is not null"), z, k, min_urls)
         out = out.join(merged, ["host", "branch", "g"], "left")
         out = materialise(out.withColumn("branch", F.when(F.col("g").isNotNull(), F.concat("branch", F.lit("/"), "name")).otherwise(F.col("branch"))).drop("name"))
-        below = out.where("g is not null").groupBy("host", "branch").agg(F.sum("labelled").alias("b_labelled"), F.sum("bad").alias("b_bad"))
+        below = out.where("g is not null").groupBy("host", "branch").agg(F.sum("n").alias("b_n"), F.sum("labelled").alias("b_labelled"), F.sum("bad").alias("b_bad"))
         out = out.join(below.withColumn("here", F.lit(True)), ["host", "branch"], "left")
         here = F.col("here") & F.col("g").isNotNull()
         out = out.withColumns({
-            "purity": F.when(here, purity("b_", F.col("purity"))).otherwise(F.col("purity")),
-            "m_labelled": F.when(here, F.col("b_labelled")).otherwise(F.col("m_labelled")), "m_bad": F.when(here, F.col("b_bad")).otherwise(F.col("m_bad")),
-        }).drop("g", "next", "b_labelled", "b_bad", "here")
+            "purity": F.when(here, purity("b_", F.col("prior"))).otherwise(F.col("purity")),
+            **{f"m_{c}": F.when(here, F.col(f"b_{c}")).otherwise(F.col(f"m_{c}")) for c in ("n", "labelled", "bad")},
+        }).drop("g", "next", "b_n", "b_labelled", "b_bad", "here")
     return out.select("host", "gens", F.when(F.col("branch") == "", "/").otherwise(F.col("branch")).alias("template"), F.col("m_labelled").alias("labelled"), F.col("m_bad").alias("bad"), "purity")
 
 
 def url_filter(
     pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, id_col: str = "page_id", url_col: str = "url",
-    min_children: int = 8, rare: float = 0.1, z: float = 1.96, k: float = 10.0, reject: float = 0.8, levels: int = LEVELS,
+    min_children: int = 8, rare: float = 0.1, z: float = 1.96, k: float = 10.0, reject: float = 0.8, min_urls: int = 20, levels: int = LEVELS,
 ) -> DataFrame:
     """(id, host, path, rule, verdict, template, labelled, bad, purity): one row for each row of pages."""
     url = F.col(url_col).cast("string")
@@ -150,7 +160,7 @@ def url_filter(
     depth = paths.agg(F.max(F.size("segs")).alias("d")).head().d or 0
     named = _generalised(paths, depth, min_children, rare)
     shapes = materialise(named.groupBy("host", "gens").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")))
-    lookup = materialise(named.select("host", "segs", "gens").join(_judged(shapes, depth, z, k), ["host", "gens"]).drop("gens"))
+    lookup = materialise(named.select("host", "segs", "gens").join(_judged(shapes, depth, z, k, min_urls), ["host", "gens"]).drop("gens"))
     by_template = F.when(F.col("purity") >= reject, "block").otherwise("allow")
     return seen.join(lookup, ["host", "segs"], "left").select(
         F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("by_rule", by_template).alias("verdict"), "template", "labelled", "bad", "purity",
