@@ -14,13 +14,7 @@ from assay.streaming import events
 
 # ---- conformance ----------------------------------------------------------------------------------
 
-# (class, kind, field, type, domain, nullable, required)
-SOURCE = [("Line", "line", "ASSETID", "String", None, True, False), ("Line", "line", "AssetGroup", "Integer", None, True, False), ("Line", "line", "Diameter", "Integer", "Size", True, False), ("Line", "line", "Creator", "String", None, True, False), ("Line", "line", "Shape", "Geometry", None, True, False), ("Line", "line", "LocalNote", "String", None, True, False), ("Pumps", "point", "Flow", "Double", None, True, False), ("Pumps", "point", "Head", "Double", None, True, False), ("Pumps", "point", "Name", "String", None, True, False), ("Zone", "polygon", "Code", "String", None, True, False)]
-MODEL = [("line", "line", "assetid", "String", None, True, False), ("line", "line", "assetgroup", "Integer", None, True, False), ("line", "line", "diameter", "Double", "Size", True, False), ("line", "line", "created_user", "String", None, True, False), ("line", "line", "material", "String", "Material", True, False), ("line", "line", "owner", "String", None, False, False), ("pump", "point", "flow", "Double", "Flow", True, False), ("pump", "point", "head", "Double", None, True, False), ("pump", "point", "name", "String", None, True, False), ("pump", "point", "speed", "Double", None, True, True), ("valve", "point", "flow", "Double", None, True, False)]
-_SCHEMA = "class string, kind string, field string, type string, domain string, nullable boolean, required boolean"
-_S, _M = values(SOURCE, "s(class, kind, field, type, domain, nullable, required)"), values(MODEL, "m(class, kind, field, type, domain, nullable, required)")
-_PAIRS = [("Line", "line"), ("Pumps", "pump")]
-_P = values(_PAIRS, "p(class, counterpart)")
+_S, _M, _P, _MO = "p_source s", "p_model m", "p_pairs p", "p_models m"
 _TRACK = "('created_user', 'creator')"
 _FIELDS = f"""with a as (select s.class as class, lower(field) as field, type, domain from {_S} join {_P} on p.class = s.class where not regexp_matches(type, 'OID|Geometry|Blob|Raster|XML', 'i')),
 b as (select p.class as class, lower(field) as field, type, domain, nullable, required from {_M} join {_P} on p.counterpart = m.class where not regexp_matches(type, 'OID|Geometry|Blob|Raster|XML', 'i')),
@@ -31,12 +25,12 @@ when not there and field in {_TRACK} and class in (select class from b where fie
 
 @query(_FIELDS)
 def conformance_fields(spark, sf):
-    return conformance.field_conformance(inline(spark, _SCHEMA, SOURCE), inline(spark, _SCHEMA, MODEL), inline(spark, "class string, counterpart string", _PAIRS))
+    return conformance.field_conformance(*[planted(spark, sf, t) for t in ("p_source", "p_model", "p_pairs")])
 
 
 @query(f"select distinct class from {_M} where class not in (select counterpart from {_P})")
 def conformance_absent(spark, sf):
-    return inline(spark, _SCHEMA, MODEL).select("class").distinct().join(inline(spark, "c string, class string", _PAIRS).select("class"), "class", "left_anti")
+    return planted(spark, sf, "p_model").select("class").distinct().join(planted(spark, sf, "p_pairs").select(F.col("counterpart").alias("class")), "class", "left_anti")
 
 
 @query(f"select class, count(*) filter (there) as fields, count(*) filter (starts_with(status, 'missing')) as missing, count(*) filter (status = 'type') as mismatched, 100.0::double * (count(*) filter (there) - count(*) filter (starts_with(status, 'missing')) - count(*) filter (status = 'type')) / count(*) filter (there) as score from ({_FIELDS}) group by class")
@@ -48,11 +42,9 @@ def conformance_score(spark, sf):
 j as (select class, counterpart, case when lower(class) = lower(counterpart) then 1.0::double else len(list_intersect(a.f, b.f))::double / (len(a.f) + len(b.f) - len(list_intersect(a.f, b.f))) end as similarity, lower(class) <> lower(counterpart) as other from a, b where lower(class) = lower(counterpart) or a.kind = b.kind)
 select class, counterpart, similarity from (select *, row_number() over (partition by class order by other, similarity desc, counterpart) as r from j where not other or similarity >= 0.5) where r = 1""")
 def best_counterpart(spark, sf):
-    return conformance.counterparts(inline(spark, _SCHEMA, SOURCE), inline(spark, _SCHEMA, MODEL))
+    return conformance.counterparts(planted(spark, sf, "p_source"), planted(spark, sf, "p_model"))
 
 
-MODELS = [("water essential", "line", "diameter"), ("water essential", "line", "material"), ("water essential", "pump", "flow"), ("sewer balanced", "line", "diameter"), ("sewer balanced", "manhole", "depth"), ("gas", "main", "pressure"), ("my water", "line", "diameter"), ("electric advanced", "zone", "code"), ("steam", "pumps", "flow"), ("telecom", "cable", "code")]
-_MO = values(MODELS, "m(model, class, field)")
 
 
 @query(f"""with s as (select count(distinct lower(class)) as c, count(distinct lower(field)) as f from {_S}), m as (select distinct model from {_MO} where model <> 'my water'),
@@ -60,7 +52,7 @@ c as (select model, count(distinct class) as m, count(distinct class) filter (cl
 x as (select m.model, round(3 * (c.k::double / (c.m + s.c - c.k)) + f.k::double / (f.m + s.f - f.k) + case when m.model like '%water%' then 0.5 else 0.0 end + case when m.model like '%essential%' then 0.15 else 0.0 end, 3) as score from m join c using (model) join f using (model), s)
 select model, score, cast(row_number() over (order by score desc, model) as int) as rank from x qualify rank <= 5""")
 def match_target(spark, sf):
-    return conformance.match_models(inline(spark, _SCHEMA, SOURCE), inline(spark, "model string, class string, field string", MODELS), "my water", "data/essential")
+    return conformance.match_models(planted(spark, sf, "p_source"), planted(spark, sf, "p_models"), "my water", "data/essential")
 
 
 # ---- mapping --------------------------------------------------------------------------------------
@@ -170,12 +162,11 @@ def metadata_items(spark, sf):
     return rows.groupBy("element").agg(F.count_if(F.col("state").isin("missing", "placeholder")).alias("lacking"), F.count_if(F.col("state") == "placeholder").alias("placeholders"))
 
 
-HOLLOW = [("REQUIRED: text",), (" none ",), ("N/A",), ("na",), ("nothing",), ("tbd",), ("There is no description for this",), ("a real text",), ("none of it",), (None,), ("",)]
 
 
-@query(f"select t, coalesce(regexp_matches(t, 'REQUIRED:|There is no description|No description available|^\\s*(none|n/?a|tbd|todo)\\s*$', 'i'), false) as hollow from {values(HOLLOW, 'h(t)')}")
+@query("select doc_id, coalesce(regexp_matches(t, 'REQUIRED:|There is no description|No description available|^\\s*(none|n/?a|tbd|todo)\\s*$', 'i'), false) as hollow from p_hollow")
 def placeholder_detect(spark, sf):
-    return inline(spark, "t string", HOLLOW).select("t", text.is_placeholder(F.col("t")).alias("hollow"))
+    return planted(spark, sf, "p_hollow").select("doc_id", text.is_placeholder(F.col("t")).alias("hollow"))
 
 
 _PLAIN = "html"
@@ -268,13 +259,12 @@ def profile_layers(spark, sf):
     return profiles.layer_profile(profile_fields(spark, sf))
 
 
-GUESS = [("City Stormwater",), ("wastewater mains",), ("Sanitary Sewer",), ("Water Distribution",), ("rain water sewer",), ("Electric",), ("Gas pipeline",), ("fiber",), ("District Energy",), ("other",), (None,)]
 
 
-@query(f"""select t, case when l like '%storm%' then 'stormwater' when regexp_matches(l, 'sewer|sanitary|wastewater') then 'sewer' when l like '%water%' and not regexp_matches(l, 'storm|waste|sewer') then 'water' when regexp_matches(l, 'electric|transmission|distribution|power') then 'electric'
-when regexp_matches(l, 'gas|pipeline|updm') then 'gas' when regexp_matches(l, 'communication|telecom|fiber') then 'communications' when regexp_matches(l, 'districtenergy|district_energy|district energy|steam') then 'district_energy' end as guess from (select t, lower(t) as l from {values(GUESS, 'g(t)')})""")
+@query("""select id, case when l like '%storm%' then 'stormwater' when regexp_matches(l, 'sewer|sanitary|wastewater') then 'sewer' when l like '%water%' and not regexp_matches(l, 'storm|waste|sewer') then 'water' when regexp_matches(l, 'electric|transmission|distribution|power') then 'electric'
+when regexp_matches(l, 'gas|pipeline|updm') then 'gas' when regexp_matches(l, 'communication|telecom|fiber') then 'communications' when regexp_matches(l, 'districtenergy|district_energy|district energy|steam') then 'district_energy' end as guess from (select id, lower(t) as l from p_topic)""")
 def domain_guess(spark, sf):
-    return inline(spark, "t string", GUESS).select("t", text.domain_guess(F.col("t")).alias("guess"))
+    return planted(spark, sf, "p_topic").select("id", text.domain_guess(F.col("t")).alias("guess"))
 
 
 # ---- lineage and geometry -------------------------------------------------------------------------
@@ -285,25 +275,26 @@ def crs_mode(spark, sf):
     return lineage.mode(read(spark, sf, "customer").select(F.col("c_mktsegment").alias("label"), "c_custkey"), "label", "c_custkey")
 
 
-CRS = [("Line", "UTM 16N", "NAVD88", True, False, 0), ("Point", "UTM 16N", None, True, False, 1), ("Area", "WGS 84", None, False, True, 2), ("Other", None, None, False, None, 3)]
 
 
-@query(f"""with l as (select * from {values(CRS, 'l(layer, horizontal, vertical, has_z, geographic, pos)')}),
+@query("""with l as (select * from p_systems),
 m as (select horizontal from l where horizontal is not null group by 1 order by count(*) desc, min(pos) limit 1),
 f as (select count(*) filter (horizontal is null) as undefined, count(distinct horizontal) as horizontals, count(distinct coalesce(vertical, '(none)')) as verticals,
     bool_or(has_z) and bool_and(coalesce(vertical, '(none)') = '(none)') as flat_z, (select bool_or(geographic) from l join m using (horizontal)) as geographic_main from l)
 select *, (greatest(0, 100 - case when undefined > 0 then 40 else 0 end - case when horizontals > 1 then 40 else 0 end - case when verticals > 1 then 15 else 0 end
     - case when flat_z then 10 else 0 end - case when geographic_main then 10 else 0 end))::double as score from f""")
 def crs_consistency(spark, sf):
-    return lineage.crs_deductions(inline(spark, "layer string, horizontal string, vertical string, has_z boolean, geographic boolean, pos int", CRS))
+    return lineage.crs_deductions(planted(spark, sf, "p_systems"))
 
 
-WKT = [(1, 'COMPD_CS["UTM + height",PROJCS["NAD83 / UTM zone 16N",GEOGCS["NAD83",DATUM["North_American_Datum_1983",SPHEROID["GRS 1980",6378137,298.257222101]],UNIT["degree",0.0174532925199433]],PROJECTION["Transverse_Mercator"],UNIT["metre",1],AUTHORITY["EPSG","26916"]],VERT_CS["NAVD88 height",VERT_DATUM["NAVD88",2005],UNIT["metre",1]]]'), (2, 'GEOGCS["WGS 84",DATUM["WGS_1984",SPHEROID["WGS 84",6378137,298.257223563]],UNIT["degree",0.0174532925199433],AUTHORITY["EPSG","4326"]]'), (3, 'PROJCS["State plane",GEOGCS["NAD83",DATUM["NAD83",SPHEROID["x",1,2]],UNIT["degree",0.01745]],UNIT["US survey foot",0.3048006096012192]]'), (4, "not a system"), (5, ""), (6, None)]
 
 
-@query()
+@query("""select id, not coalesce(wkt, '') = '' as defined, case when wkt <> '' then case kind when 0 then concat('geo ', c_name) when 1 then concat('zone ', nation) when 2 then concat('both ', c_name) else c_name end end as name,
+case kind when 0 then concat('geo ', c_name) when 1 then concat('zone ', nation) when 2 then concat('zone ', nation) end as horizontal, case when kind = 2 then concat('height ', nation) end as vertical,
+(case kind when 0 then 4000 + c_nationkey when 1 then 26900 + c_nationkey end)::int as epsg, case when kind < 2 then concat('d', nation) when kind = 2 then 'd1' end as datum, case kind when 0 then 'degree' when 1 then 'metre' when 2 then 'foot' end as unit,
+case kind when 0 then 111320::double when 1 then 1::double when 2 then 0.3048::double end as unit_m, kind = 0 as geographic from p_wkt""")
 def crs_table(spark, sf):
-    return inline(spark, "id int, wkt string", WKT).select("id", documents.crs(F.col("wkt")).alias("c")).select("id", "c.*")
+    return planted(spark, sf, "p_wkt").select("id", documents.crs(F.col("wkt")).alias("c")).select("id", "c.*")
 
 
 _EV = "select event_id, user_id, event_type, cast(json_extract_string(props, '$.k') as double) as x, value as y from events"
@@ -600,12 +591,11 @@ def rule_key(spark, sf):
     return read(spark, sf, "customer").selectExpr("c_custkey as n", "concat('  ', c_name, ' has ', cast(c_custkey as string), ',000.5 of  ', c_mktsegment, ' ') as m").select("n", text.rule_key(F.col("m")).alias("rule"))
 
 
-CELLS = [("=1+1",), ("-5",), ("-x",), ("+3.5e2",), ("@a",), ("plain",), (None,), ("",), ("-inf",), ("+1_000",), ("=",)]
 
 
-@query(f"select c, coalesce(case when regexp_matches(c, '^[=+\\-@\\t\\r]') and not regexp_matches(c, '^\\s*[+-]?((\\d+(_\\d+)*(\\.(\\d+(_\\d+)*)?)?|\\.\\d+)(e[+-]?\\d+)?|inf(inity)?|nan)\\s*$', 'i') then concat('''', c) else c end, '') as safe from {values(CELLS, 't(c)')}")
+@query("select id, coalesce(case when regexp_matches(c, '^[=+\\-@\\t\\r]') and not regexp_matches(c, '^\\s*[+-]?((\\d+(_\\d+)*(\\.(\\d+(_\\d+)*)?)?|\\.\\d+)(e[+-]?\\d+)?|inf(inity)?|nan)\\s*$', 'i') then concat('''', c) else c end, '') as safe from p_cell")
 def csv_safe(spark, sf):
-    return inline(spark, "c string", CELLS).select("c", text.csv_safe(F.col("c")).alias("safe"))
+    return planted(spark, sf, "p_cell").select("id", text.csv_safe(F.col("c")).alias("safe"))
 
 
 @query("select * from (select severity, count(*) as n from (" + _ALL + ") group by 1)")
@@ -664,10 +654,11 @@ OVERLAY = [("null_required", "warning"), ("coded_value", "info")]
 DEFAULTS = [("null_required", "error"), ("null_optional", "warning"), ("duplicate_globalid", "critical"), ("coded_value", "error")]
 
 
-@query(f"select d.key, coalesce(o.severity, d.severity) as severity from {values(DEFAULTS, 'd(key, severity)')} left join {values(OVERLAY, 'o(key, severity)')} on o.key = d.key")
+@query(f"select e.key, coalesce(o.severity, d.severity) as severity, count(*) as n from p_emitted e left join {values(DEFAULTS, 'd(key, severity)')} on d.key = e.key left join {values(OVERLAY, 'o(key, severity)')} on o.key = e.key group by 1, 2")
 def rules_severity(spark, sf):
     d, o = inline(spark, "key string, severity string", DEFAULTS), inline(spark, "key string, other string", OVERLAY)
-    return d.join(o, "key", "left").select("key", F.coalesce("other", "severity").alias("severity"))
+    found = planted(spark, sf, "p_emitted").groupBy("key").agg(F.count("*").alias("n"))
+    return found.join(F.broadcast(d), "key", "left").join(F.broadcast(o), "key", "left").select("key", F.coalesce("other", "severity").alias("severity"), "n")
 
 
 @query("select event_id as seq, event_type as kind from events where event_id >= 500")
@@ -691,19 +682,35 @@ def failed_dataset(spark, sf):
     return spark.createDataFrame([(got.status, got.score, got.grade)], "status string, score double, grade string")
 
 
-CLASS_XML = """<DEFeatureClassInfo xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance" xsi:type="typens:DEFeatureClassInfo"><HasZ>true</HasZ><HasM>false</HasM><ShapeType>Line</ShapeType><XYTolerance>0.001</XYTolerance><SubtypeFieldName>ASSETGROUP</SubtypeFieldName><GPFieldInfoExs xsi:type="x"><GPFieldInfoEx xsi:type="x"><Name>ASSETGROUP</Name><FieldType>esriFieldTypeInteger</FieldType><IsNullable>false</IsNullable></GPFieldInfoEx><GPFieldInfoEx xsi:type="x"><Name>SIZE</Name><FieldType>esriFieldTypeDouble</FieldType><DomainName>Size</DomainName></GPFieldInfoEx></GPFieldInfoExs><Subtypes><Subtype><SubtypeName>Main</SubtypeName><SubtypeCode>1</SubtypeCode><FieldInfos><SubtypeFieldInfo><FieldName>ASSETTYPE</FieldName><DomainName>Main types</DomainName></SubtypeFieldInfo></FieldInfos></Subtype><Subtype><SubtypeName>Bad</SubtypeName><SubtypeCode>x</SubtypeCode></Subtype></Subtypes></DEFeatureClassInfo>"""
-DOMAIN_XML = [("<GPCodedValueDomain2 xmlns:xs='x'><DomainName>Size</DomainName><FieldType>esriFieldTypeSmallInteger</FieldType><CodedValues><CodedValue><Name>Gate</Name><Code xs:type='xs:short'>1</Code></CodedValue><CodedValue><Name>Ball</Name><Code>2.0</Code></CodedValue></CodedValues></GPCodedValueDomain2>",), ("<GPRangeDomain2><DomainName>Depth</DomainName><FieldType>esriFieldTypeDouble</FieldType><MinValue>0</MinValue><MaxValue>150.5</MaxValue></GPRangeDomain2>",), ("<broken",)]
+_G = "cast(floor(c_custkey / 20) as bigint)"
 
 
-@query()
-def catalog_classes(spark, sf):
-    c = inline(spark, "xml string", [(CLASS_XML,), ("<broken",)]).select(documents.class_definition(F.col("xml")).alias("c"))
-    return c.select(F.size("c.fields").alias("n_fields"), "c.subtype_field", F.array_join(F.transform("c.subtypes", lambda s: F.concat(s["code"].cast("string"), F.lit("="), s["name"])), ",").alias("subtypes"), "c.has_z", "c.has_m", "c.shape_type", "c.xy_tolerance")
+def _grouped_xml(spark, sf, element: str, whole: str):
+    """A document for each 20 customers: whole, an expression over g, low, high and the joined elements; every seventh is broken."""
+    e = read(spark, sf, "customer").selectExpr(f"{_G} as g", "c_custkey", "c_acctbal", f"{element} as e").groupBy("g")
+    rows = e.agg(F.min("c_acctbal").alias("low"), F.max("c_acctbal").alias("high"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "e"))), lambda x: x["e"]), "").alias("elements"))
+    return rows.selectExpr("g", f"case when g % 7 = 6 then '<broken' else {whole} end as xml")
 
 
-@query()
+@query(f"""select g, case when ok then count(*) else 0 end as n_fields, case when ok then count(*) filter (c_custkey % 2 = 0) else 0 end as n_nullable, case when ok then count(*) filter (c_custkey % 3 = 0) else 0 end as n_domains, case when ok then 'ASSETGROUP' end as subtype_field,
+case when ok then coalesce(string_agg(concat(c_custkey, '=', c_name), ',' order by c_custkey) filter (c_custkey % 5 = 0), '') else '' end as subtypes, case when ok then g % 2 = 0 end as has_z, case when ok then false end as has_m, case when ok then 'Line' end as shape_type, case when ok then (g + 1)::double / 8 end as xy_tolerance
+from (select *, {_G} as g, {_G} % 7 <> 6 as ok from customer) group by g, ok""")
+def catalog_classes(spark, sf):
+    field = "concat('<GPFieldInfoEx xsi:type=\"x\"><Name>F', c_custkey, '</Name><FieldType>esriFieldTypeInteger</FieldType><IsNullable>', c_custkey % 2 = 0, '</IsNullable>', case when c_custkey % 3 = 0 then '<DomainName>D</DomainName>' else '' end, '</GPFieldInfoEx>', '|', '<Subtype><SubtypeName>', c_name, '</SubtypeName><SubtypeCode>', case when c_custkey % 5 = 0 then cast(c_custkey as string) else 'x' end, '</SubtypeCode></Subtype>', '|')"
+    part = lambda k: f"array_join(transform(filter(split(elements, '[|]'), x -> startswith(x, '{k}')), x -> x), '')"
+    whole = f"concat('<DEFeatureClassInfo xmlns:xsi=\"http://www.w3.org/2001/XMLSchema-instance\"><HasZ>', g % 2 = 0, '</HasZ><HasM>false</HasM><ShapeType>Line</ShapeType><XYTolerance>', (g + 1) / 8D, '</XYTolerance><SubtypeFieldName>ASSETGROUP</SubtypeFieldName><GPFieldInfoExs>', {part('<GPField')}, '</GPFieldInfoExs><Subtypes>', {part('<Subtype>')}, '</Subtypes></DEFeatureClassInfo>')"
+    c = _grouped_xml(spark, sf, field, whole).select("g", documents.class_definition(F.col("xml")).alias("c"))
+    n = lambda test: F.size(F.filter("c.fields", test)).cast("long")
+    subtypes = F.array_join(F.transform("c.subtypes", lambda s: F.concat(s["code"].cast("string"), F.lit("="), s["name"])), ",").alias("subtypes")
+    return c.select("g", n(lambda f: F.lit(True)).alias("n_fields"), n(lambda f: f["nullable"]).alias("n_nullable"), n(lambda f: f["domain"].isNotNull()).alias("n_domains"), "c.subtype_field", subtypes, "c.has_z", "c.has_m", "c.shape_type", "c.xy_tolerance")
+
+
+@query(f"""select g, case when g % 7 <> 6 then concat('Domain', g) end as name, case when g % 7 <> 6 and g % 3 > 0 then 'coded' else 'range' end as kind, case when g % 7 <> 6 then case when g % 3 = 1 then 'esriFieldTypeSmallInteger' else 'esriFieldTypeDouble' end end as field_type,
+case when g % 7 <> 6 and g % 3 > 0 then string_agg(concat(c_custkey, case when g % 3 = 2 then '.0' else '' end, '=', c_name), ',' order by c_custkey) else '' end as codes, case when g % 7 <> 6 and g % 3 = 0 then min(c_acctbal)::double end as min, case when g % 7 <> 6 and g % 3 = 0 then max(c_acctbal)::double end as max
+from (select *, {_G} as g from customer) group by g""")
 def catalog_domains(spark, sf):
-    d = inline(spark, "xml string", DOMAIN_XML).select(documents.domain_definition(F.col("xml")).alias("d"))
-    return d.select("d.name", "d.kind", "d.field_type", F.array_join(F.transform("d.codes", lambda c: F.concat(c["code"], F.lit("="), c["label"])), ",").alias("codes"), "d.min", "d.max")
-
-
+    value = f"concat('<CodedValue><Name>', c_name, '</Name><Code>', c_custkey, case when {_G} % 3 = 1 then '.0' else '' end, '</Code></CodedValue>')"
+    coded = "concat('<GPCodedValueDomain2><DomainName>Domain', g, '</DomainName><FieldType>', case when g % 3 = 1 then 'esriFieldTypeSmallInteger' else 'esriFieldTypeDouble' end, '</FieldType><CodedValues>', elements, '</CodedValues></GPCodedValueDomain2>')"
+    ranged = "concat('<GPRangeDomain2><DomainName>Domain', g, '</DomainName><FieldType>esriFieldTypeDouble</FieldType><MinValue>', low, '</MinValue><MaxValue>', high, '</MaxValue></GPRangeDomain2>')"
+    d = _grouped_xml(spark, sf, value, f"case when g % 3 = 0 then {ranged} else {coded} end").select("g", documents.domain_definition(F.col("xml")).alias("d"))
+    return d.select("g", "d.name", "d.kind", "d.field_type", F.array_join(F.transform("d.codes", lambda c: F.concat(c["code"], F.lit("="), c["label"])), ",").alias("codes"), "d.min", "d.max")

@@ -23,11 +23,30 @@ SQL: dict[str, str] = {}
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels", "conversations", "pages", "benchmark", "embeddings")
 AS_OF = datetime(2001, 6, 1)
 
+_N, _K, _KINDS = "cast(c_nationkey as string)", "(c_custkey % 41)", "case when c_nationkey % 3 = 0 then 'point' else 'line' end"
+_TYPES = f"case ({_K} + c_nationkey) % 4 when 0 then 'String' when 1 then 'Integer' when 2 then 'Double' else 'Date' end"
+
 #: Tables with planted defects, as expressions over one driver table.
 PLANTED = {
     "p_customer": ("customer", "c_custkey as fid, c_name as name, case when c_custkey % 7 = 0 then null when c_custkey % 11 = 0 then '  ' when c_custkey % 13 = 0 then 'None' when c_custkey % 17 = 0 then 'nan' else c_mktsegment end as segment, case when c_custkey % 10 = 0 then null when c_custkey % 19 = 0 then cast('NaN' as double) else c_acctbal end as balance, case when c_custkey % 23 = 0 then null else concat('{', lower(c_name), '}') end as globalid"),
     "p_orders": ("orders", "o_orderkey as fid, case when o_orderkey % 9 = 0 then null when o_orderkey % 5 = 0 then concat(' ', o_orderpriority, ' ') else o_orderpriority end as priority, case when o_orderkey % 8 = 0 then '' else o_orderstatus end as status, o_orderdate as ordered, o_totalprice as price"),
     "p_part": ("part", "p_partkey as fid, case when p_partkey % 9 = 0 then concat('x', cast(p_size as string)) when p_partkey % 4 = 0 then concat(cast(p_size as string), '.0') when p_partkey % 14 = 0 then '' else cast(p_size as string) end as size_text, case when p_partkey % 12 = 0 then null else p_brand end as brand, case when p_partkey % 15 = 0 then null when p_partkey % 6 = 0 then lower(p_type) else p_type end as kind, p_name as name"),
+    # a catalog with a class for each nation and up to 41 fields in each, its reference model, and the layers' coordinate systems
+    "p_source": ("customer", f"distinct concat('Class', {_N}) as class, {_KINDS} as kind, case {_K} when 0 then 'ASSETID' when 1 then 'AssetGroup' when 2 then case when c_nationkey % 4 = 0 then 'Author' else 'Creator' end when 3 then 'Shape' else concat('Field', cast({_K} as string)) end as field, case {_K} when 1 then 'Integer' when 3 then 'Geometry' else {_TYPES} end as type, case when {_K} % 5 = 0 then concat('Dom', cast({_K} as string)) end as domain, {_K} % 3 <> 0 as nullable, {_K} % 7 = 0 as required"),
+    "p_model": ("customer", f"distinct case when c_nationkey % 8 = 7 then concat('other', {_N}) else concat('class', {_N}) end as class, {_KINDS} as kind, case {_K} when 0 then 'assetid' when 1 then 'assetgroup' when 2 then 'created_user' when 3 then 'shape' else concat(case when {_K} % 6 = 0 then 'new' else 'field' end, cast({_K} as string)) end as field, case {_K} when 1 then 'Integer' when 3 then 'Geometry' when 8 then 'Double' else {_TYPES} end as type, case when {_K} % 4 = 0 then concat('dom', cast({_K} as string)) end as domain, {_K} % 4 <> 1 as nullable, {_K} % 9 = 0 as required"),
+    "p_pairs": ("customer", "distinct concat('Class', cast(case when c_nationkey % 8 = 7 then 0 else c_nationkey end as string)) as class, concat('class', cast(case when c_nationkey % 8 = 7 then 0 else c_nationkey end as string)) as counterpart"),
+    "p_models": ("customer", f"distinct case c_nationkey % 6 when 0 then 'water essential' when 1 then 'sewer balanced' when 2 then 'gas' when 3 then 'my water' when 4 then 'electric advanced' else 'telecom' end as model, concat('class', {_N}) as class, concat('field', cast({_K} as string)) as field"),
+    "p_domain": ("part", "distinct concat('Dom', cast(p_size as string)) as name, case p_size % 4 when 0 then 'esriFieldTypeSmallInteger' when 1 then 'esriFieldTypeString' when 2 then 'esriFieldTypeDouble' else 'esriFieldTypeDate' end as field_type"),
+    "p_systems": ("customer", "c_name as layer, case when c_custkey % 7 = 0 then null else concat('zone ', cast(c_nationkey % 3 as string)) end as horizontal, case when c_custkey % 5 = 0 then null else 'NAVD88' end as vertical, c_custkey % 2 = 0 as has_z, case when c_custkey % 7 = 0 then null else c_nationkey % 3 = 1 end as geographic, c_custkey as pos"),
+    "p_label": ("customer", f"c_custkey as id, case c_custkey % 18 when 0 then concat('GDB_', c_name) when 1 then concat('UN_', {_N}, '_Associations') when 2 then concat('un_temp_', c_name) when 3 then concat('B_', c_mktsegment) when 4 then '_Version' when 5 then concat(c_name, '__ATTACH') when 6 then concat('T_', {_N}, '_Dirty') when 7 then concat('N_', {_N}, '_X') when 8 then 'view_UN_5' when 9 then concat('gpkg_', c_name) when 10 then 'rtree_a' when 11 then 'sqlite_seq' when 12 then 'xGDB_' when 13 then concat('UN_x_', {_N}) when 14 then '_Versions' else c_name end as name"),
+    "p_hollow": ("documents", "doc_id, case doc_id % 14 when 0 then concat('REQUIRED: ', text) when 1 then ' none ' when 2 then 'N/A' when 3 then 'na' when 4 then 'nothing' when 5 then 'tbd' when 6 then concat('There is no description for ', lang) when 7 then concat('none of ', text) when 8 then null when 9 then '' else text end as t"),
+    "p_topic": ("part", "p_partkey as id, case p_partkey % 13 when 0 then null when 1 then concat(p_name, ' Stormwater') when 2 then concat('wastewater ', p_type) when 3 then concat('Sanitary ', p_name) when 4 then concat('Water Distribution ', p_brand) when 5 then concat('rain water sewer ', p_name) when 6 then concat('Electric ', p_type) when 7 then 'Gas pipeline' when 8 then concat(p_brand, ' fiber') when 9 then 'District Energy' else p_name end as t"),
+    "p_cell": ("customer", "c_custkey as id, case c_custkey % 12 when 0 then concat('=', c_name) when 1 then concat('-', cast(c_custkey as string)) when 2 then concat('-', c_name) when 3 then concat('+', cast(c_custkey as string), '.5e2') when 4 then concat('@', c_mktsegment) when 5 then null when 6 then '' when 7 then '-inf' when 8 then concat('+1_0', cast(c_custkey as string)) when 9 then '=' when 10 then cast(c_custkey as string) else c_name end as c"),
+    "p_wkt": ("customer", f"""c_custkey as id, case when c_custkey % 4 = 0 then concat('GEOGCS["geo ', c_name, '",DATUM["d', {_N}, '",SPHEROID["s",6378137,298.25]],UNIT["degree",0.0174532925199433],AUTHORITY["EPSG","', cast(4000 + c_nationkey as string), '"]]')
+        when c_custkey % 4 = 1 then concat('PROJCS["zone ', {_N}, '",GEOGCS["g",DATUM["d', {_N}, '"],UNIT["degree",0.0174532925199433]],UNIT["metre",1],AUTHORITY["EPSG","', cast(26900 + c_nationkey as string), '"]]')
+        when c_custkey % 4 = 2 then concat('COMPD_CS["both ', c_name, '",PROJCS["zone ', {_N}, '",GEOGCS["g",DATUM["d1"],UNIT["degree",0.01745]],UNIT["foot",0.3048]],VERT_CS["height ', {_N}, '",VERT_DATUM["v",2005],UNIT["metre",1]]]')
+        when c_custkey % 12 = 3 then '' when c_custkey % 12 = 7 then null else c_name end as wkt, c_custkey % 4 as kind, c_name, {_N} as nation, c_nationkey"""),
+    "p_emitted": ("orders", "o_orderkey, case o_orderkey % 5 when 0 then 'null_required' when 1 then 'null_optional' when 2 then 'duplicate_globalid' when 3 then 'coded_value' else 'unknown_rule' end as key"),
 }
 
 
@@ -93,12 +112,11 @@ def inventory_summary(spark, sf):
     return dataset.summary(dataset.Dataset.open(spark, sf, TABLES).layers())
 
 
-NAMES = [("GDB_Items",), ("UN_5_Associations",), ("un_temp_x",), ("B_Rules",), ("_Version",), ("Photos__ATTACH",), ("T_1_Dirty",), ("N_2_X",), ("view_UN_5",), ("gpkg_contents",), ("rtree_a",), ("sqlite_seq",), ("WaterLine",), ("subnet",), ("xGDB_",), ("Customers",), ("UN_x_1",)]
 
 
-@query(f"select name, regexp_matches(name, '^GDB_|^UN_\\d+_|^UN_Temp|^[ABC]_|^_Version$|__ATTACH$|^T_\\d+_|^N_\\d+_|^view_UN_|^gpkg_|^rtree_|^sqlite_', 'i') as system from {values(NAMES, 'n(name)')}")
+@query("select id, name, regexp_matches(name, '^GDB_|^UN_\\d+_|^UN_Temp|^[ABC]_|^_Version$|__ATTACH$|^T_\\d+_|^N_\\d+_|^view_UN_|^gpkg_|^rtree_|^sqlite_', 'i') as system from p_label")
 def inventory_system_tables(spark, sf):
-    return inline(spark, "name string", NAMES).select("name", text.is_system(F.col("name")).alias("system"))
+    return planted(spark, sf, "p_label").withColumn("system", text.is_system(F.col("name")))
 
 
 _KIND = "concat('type-', case when n_nationkey % 7 = 3 then 'unknown' else cast(n_regionkey as string) end)"
@@ -140,13 +158,12 @@ def read_fids_ordered(spark, sf):
 
 # ---- completeness ---------------------------------------------------------------------------------
 
-FIELDS = [("Line", "OBJECTID", "OID", False, True), ("Line", "GLOBALID", "GlobalID", False, True), ("Line", "AssetGroup", "Integer", True, False), ("Line", "Shape", "Geometry", False, True), ("Line", "Shape_Length", "Double", False, False), ("Line", "Diameter", "Double", False, False), ("Line", "created_user", "String", False, False), ("Line", "Note", "String", True, True), ("Point", "ASSETTYPE", "Integer", True, None), ("Point", "Extra", "String", None, None)]
 
 
-@query(f"""select distinct layer, name, lower(name) in ('globalid', 'assetgroup', 'assettype') as configured, coalesce(nullable, true) as nullable from {values(FIELDS, 'f(layer, name, type, nullable, required)')}
-where lower(name) in ('globalid', 'assetgroup', 'assettype') or ((not coalesce(nullable, true) or coalesce(required, false)) and not (regexp_matches(type, 'OID|Geometry', 'i') or lower(name) in ('created_user') or starts_with(lower(name), 'shape')))""")
+@query(f"""select distinct layer, name, lower(name) in ('globalid', 'assetgroup', 'assettype') as configured, coalesce(nullable, true) as nullable from (select class as layer, field as name, type, nullable, required from p_source)
+where lower(name) in ('globalid', 'assetgroup', 'assettype') or ((not coalesce(nullable, true) or coalesce(required, false)) and not (regexp_matches(type, 'OID|Geometry', 'i') or lower(name) in ('created_user', 'creator') or starts_with(lower(name), 'shape')))""")
 def required_fields_selected(spark, sf):
-    return completeness.required_fields(inline(spark, "layer string, name string, type string, nullable boolean, required boolean", FIELDS))
+    return completeness.required_fields(planted(spark, sf, "p_source").select(F.col("class").alias("layer"), F.col("field").alias("name"), "type", "nullable", "required"))
 
 
 _COLS = [("p_customer", "segment", _BLANK), ("p_customer", "balance", _NAN), ("p_customer", "name", _BLANK), ("p_customer", "globalid", _BLANK), ("p_orders", "priority", _BLANK), ("p_orders", "status", _BLANK)]
@@ -343,23 +360,25 @@ def domain_validity_score(spark, sf):
     return bad.crossJoin(F.broadcast(total)).select("bad", "total", scoring.penalty(F.col("bad"), F.col("total")).alias("score"))
 
 
-REFS = [("Line", "ASSETGROUP", "esriFieldTypeInteger", "Group"), ("Line", "MATERIAL", "esriFieldTypeString", "Material"), ("Line", "SIZE", "esriFieldTypeDouble", "Size"), ("Point", "STATE", "esriFieldTypeString", "State"), ("Point", "DATE", "esriFieldTypeDate", "Material"), ("Point", "NOTE", "esriFieldTypeString", None)]
-DOMAINS = [("Group", "esriFieldTypeSmallInteger"), ("Material", "esriFieldTypeString"), ("Size", "esriFieldTypeInteger"), ("Spare", "esriFieldTypeString")]
-_R, _D = values(REFS, "r(layer, field, type, domain)"), values(DOMAINS, "d(name, field_type)")
+_R, _D = "(select class as layer, field, type, domain from p_source) r", "p_domain d"
 _FAMILY = "case when regexp_matches(lower({0}), 'integer|int16|int32|int64') then 'int' when regexp_matches(lower({0}), 'double|single|float|real') then 'float' when regexp_matches(lower({0}), 'date|time') then 'date' when regexp_matches(lower({0}), 'guid|globalid') then 'guid' when regexp_matches(lower({0}), 'str|object') then 'text' else lower({0}) end"
 
 
+def _references(spark, sf):
+    return planted(spark, sf, "p_source").withColumnRenamed("class", "layer")
+
+
 @query(f"""select layer, field, domain, 'missing' as problem from {_R} where domain is not null and domain not in (select name from {_D})
 union all select layer, field, domain, 'mismatch' from (select layer, field, domain, {_FAMILY.format('type')} as a, {_FAMILY.format('field_type')} as b from {_R} join {_D} on domain = name) where a <> b and not (a in ('int', 'float') and b in ('int', 'float'))""")
 def domain_integrity(spark, sf):
-    refs, doms = inline(spark, "layer string, field string, type string, domain string", REFS), inline(spark, "name string, field_type string", DOMAINS)
+    refs, doms = _references(spark, sf), planted(spark, sf, "p_domain")
     cols = ["layer", "field", "domain"]
     return domains.missing_domains(refs, doms).withColumn("problem", F.lit("missing")).unionByName(domains.mismatched_domains(refs, doms).select(*cols).withColumn("problem", F.lit("mismatch")))
 
 
 @query(f"select name from {_D} where name not in (select domain from {_R} where domain is not null)")
 def domain_unused(spark, sf):
-    return domains.unused_domains(inline(spark, "layer string, field string, type string, domain string", REFS), inline(spark, "name string, field_type string", DOMAINS))
+    return domains.unused_domains(_references(spark, sf), planted(spark, sf, "p_domain"))
 
 
 # ---- references and system tables -----------------------------------------------------------------
@@ -452,9 +471,8 @@ def edit_span(spark, sf):
     return s.select(F.date_format("first", "yyyy-MM-dd").alias("first"), F.date_format("last", "yyyy-MM-dd").alias("last"))
 
 
-LAYER_FIELDS = [("Line", "Created_User"), ("Line", "x"), ("Point", "y"), ("Area", "EDITDATE"), ("Area", "updatedby"), ("Table", "z")]
 
 
-@query(f"select layer, bool_or(lower(field) in ('created_user', 'editdate', 'updatedby')) as tracked from {values(LAYER_FIELDS, 'f(layer, field)')} group by 1")
+@query("select class as layer, bool_or(lower(field) in ('created_user', 'creator', 'editdate', 'updatedby')) as tracked from p_source group by 1")
 def edit_tracking_coverage(spark, sf):
-    return lineage.tracking_coverage(inline(spark, "layer string, field string", LAYER_FIELDS))
+    return lineage.tracking_coverage(_references(spark, sf))
