@@ -2,7 +2,12 @@
 
 Definitions with a known layout are read by Spark's ``from_xml``.  Metadata come in
 several standards with elements at any depth, so each document is searched by a
-small function in an Arrow UDF; broken XML, a DOCTYPE or null count as no document.
+small function in an Arrow UDF; a DOCTYPE, no element at all or null count as no document.
+
+XML that is not well formed is repaired: an end tag closes all that is open inside its
+element, one without a start is dropped, what is open at the end is closed there, a
+``<`` that begins no tag is text, as is an ``&`` that begins no known entity, attributes
+without quotes or values are kept, and what follows the first element is left out.
 """
 
 from __future__ import annotations
@@ -36,12 +41,53 @@ EVALUATION = StructType([StructField(k, StringType()) for k in (*ELEMENTS, "stan
 _HOLLOW = re.compile(PLACEHOLDER)
 
 
+_NAME = r"[^\W\d][\w.:-]*"
+_TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<\?.*?(?:\?>|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|</\s*(?P<end>{_NAME})[^<>]*>|<(?P<start>{_NAME})(?P<rest>(?:[^<>"']|"[^"<]*"|'[^'<]*')*)>""", re.S)
+_ATTRIBUTE = re.compile(rf"""({_NAME})(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'/]+)))?""")
+_NOT_XML = re.compile("[^\t\n\r\x20-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]")
+
+
+def _recovered(doc: str) -> ElementTree.Element | None:
+    """The first element of a document that is not well formed, with all that can be read of it; without namespaces."""
+    local = lambda name: name.rpartition(":")[2]
+    doc, out, open_, at, seen = _NOT_XML.sub("", doc), ElementTree.TreeBuilder(), [], 0, False
+    for m in _TOKEN.finditer(doc):
+        if open_:
+            out.data(html.unescape(doc[at : m.start()]))
+        at, end, start = m.end(), m["end"] and local(m["end"]), m["start"] and local(m["start"])
+        if m["cdata"] and open_:
+            out.data(m["cdata"])
+        elif start:
+            empty = m["rest"].rstrip().endswith("/")
+            pairs = {local(k): html.unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(m["rest"]) if local(k) and not k.startswith("xmlns")}
+            out.start(start, pairs)
+            open_.append(start)
+            if empty:
+                out.end(open_.pop())
+        elif end in open_:
+            while out.end(open_.pop()).tag != end:
+                pass
+        if start and not open_ or end and seen and not open_:
+            break
+        seen = seen or bool(start)
+    if open_:
+        out.data(html.unescape(re.sub(r"<[^<>]*\Z", "", doc[at:])))
+    for name in reversed(open_):
+        out.end(name)
+    try:
+        return out.close()
+    except AssertionError:  # no element at all
+        return None
+
+
 def _tree(doc: str | None) -> ElementTree.Element | None:
     if not doc or "<!DOCTYPE" in doc or "<!ENTITY" in doc:
         return None
     try:
         root = ElementTree.fromstring(doc.strip())
-    except ElementTree.ParseError:
+    except (ElementTree.ParseError, ValueError):
+        root = _recovered(doc)
+    if root is None:
         return None
     for e in root.iter():
         if isinstance(e.tag, str):
@@ -107,8 +153,24 @@ _DOMAIN = "DomainName string, FieldType string, Description string, CodedValues
 _LENIENT = {"mode": "PERMISSIVE", "excludeAttribute": "true", "ignoreNamespace": "true"}
 
 
+@F.pandas_udf(StringType())
+def _repair(doc: pd.Series) -> pd.Series:
+    trees = [_tree(d) for d in doc]
+    return pd.Series([None if t is None else ElementTree.tostring(t, "unicode") for t in trees], dtype=object)
+
+
+def repaired(xml: Column) -> Column:
+    """XML as it is where Spark's parser reads it, else well-formed XML with what can be read, without namespaces; null if that is nothing.
+
+    Only what the parser refuses travels to Python.  Add it as a column before a
+    definition is read from it: Spark takes no Python function inside a definition.
+    """
+    broken = F.from_xml(xml, "_corrupt_record string", _LENIENT)["_corrupt_record"].isNotNull()
+    return F.when(broken, _repair(F.when(broken, xml))).otherwise(xml)
+
+
 def class_definition(xml: Column) -> Column:
-    """struct(fields, subtype_field, subtypes, has_z, has_m, shape_type, xy_tolerance) of a class definition; null fields for broken XML."""
+    """struct(fields, subtype_field, subtypes, has_z, has_m, shape_type, xy_tolerance) of a class definition; null fields for broken XML (see ``repaired``)."""
     raw = F.from_xml(xml, _CLASS, _LENIENT)
     fields = F.transform(F.filter(raw["GPFieldInfoExs"]["GPFieldInfoEx"], lambda f: f["Name"].isNotNull()), lambda f: F.struct(
         f["Name"].alias("name"), F.coalesce(f["FieldType"], F.lit("")).alias("type"), (F.lower(F.coalesce(f["IsNullable"], F.lit("true"))) == "true").alias("nullable"),
@@ -127,7 +189,7 @@ def class_definition(xml: Column) -> Column:
 
 
 def domain_definition(xml: Column) -> Column:
-    """struct(name, kind, field_type, description, codes, min, max); the name is null for broken XML."""
+    """struct(name, kind, field_type, description, codes, min, max); the name is null for broken XML (see ``repaired``)."""
     raw = F.from_xml(xml, _DOMAIN, _LENIENT)
     coded = xml.rlike(r"<(\w+:)?GPCodedValueDomain|<(\w+:)?CodedValues[ />]")
     whole, real = raw["FieldType"].rlike("Integer|OID"), raw["FieldType"].rlike("Double|Single")
