@@ -13,6 +13,7 @@ import struct
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
@@ -22,8 +23,8 @@ SHAPE = f"array<array<array<{VERTEX}>>>"
 _SHAPE = ArrayType(ArrayType(ArrayType(StructType([StructField(c, DoubleType()) for c in "xyz"]))))
 
 
-def _parts(data: bytes) -> list | None:
-    """Parts of a WKB point, line, polygon or multi of these as lists of rings; None if it cannot be read."""
+def _parts(data: memoryview | bytes) -> list[list[np.ndarray]] | None:
+    """Parts of a WKB point, line, polygon or multi of these as lists of rings, each an array with a row for a vertex; None if it cannot be read."""
 
     def read(at: int):
         order = "<" if data[at] == 1 else ">"
@@ -35,19 +36,18 @@ def _parts(data: bytes) -> list | None:
         kind, dims = (code & 0xFFFF) % 1000, 2 + has_z + has_m
 
         def run(n: int, at: int):
-            v = np.frombuffer(data, order + "f8", n * dims, at).reshape(n, dims)
-            return [(float(r[0]), float(r[1]), float(r[2]) if has_z else None) for r in v], at + 8 * n * dims
+            return np.frombuffer(data, order + "f8", n * dims, at).reshape(n, dims)[:, : 2 + has_z], at + 8 * n * dims
 
         def count(at: int):
             return struct.unpack_from(order + "I", data, at)[0], at + 4
 
         if kind == 1:
             ring, at = run(1, at)
-            return ([[ring]] if ring[0][0] == ring[0][0] else []), at
+            return ([[ring]] if ring[0, 0] == ring[0, 0] else []), at
         n, at = count(at)
         if kind == 2:
             ring, at = run(n, at)
-            return ([[ring]] if ring else []), at
+            return ([[ring]] if n else []), at
         inner: list = []
         for _ in range(n):
             if kind == 3:
@@ -65,10 +65,23 @@ def _parts(data: bytes) -> list | None:
         return None
 
 
-@F.pandas_udf(_SHAPE)
-def from_wkb(c: pd.Series) -> pd.Series:
-    named = lambda parts: None if parts is None else [[[{"x": x, "y": y, "z": z} for x, y, z in ring] for ring in part] for part in parts]
-    return c.map(lambda b: None if b is None else named(_parts(bytes(b))))
+def _shapes(wkb: pa.Array) -> pa.Array:
+    """The shapes of a binary column: rings stay arrays, of which each level's offsets and one array of vertices are made."""
+    shapes = [None if b is None else _parts(b) for b in (memoryview(v.as_buffer()) if v.is_valid else None for v in wkb)]
+    parts = [part for shape in shapes if shape for part in shape]
+    rings_ = [ring for part in parts for ring in part]
+    ends = lambda sizes: pa.array(np.concatenate([[0], np.cumsum(np.fromiter(sizes, "i8", -1))]).astype("i4"))
+    column = lambda k: np.concatenate([np.empty(0), *[r[:, k] if k < r.shape[1] else np.zeros(len(r)) for r in rings_]]).astype("f8", copy=False)
+    flat = np.repeat([r.shape[1] < 3 for r in rings_] or [False], [len(r) for r in rings_] or [0])
+    vertices_ = pa.StructArray.from_arrays([pa.array(column(0)), pa.array(column(1)), pa.array(column(2), mask=flat)], names=["x", "y", "z"])
+    by_ring = pa.ListArray.from_arrays(ends(len(r) for r in rings_), vertices_)
+    by_part = pa.ListArray.from_arrays(ends(len(p) for p in parts), by_ring)
+    return pa.ListArray.from_arrays(ends(len(s or ()) for s in shapes), by_part, mask=pa.array([s is None for s in shapes], pa.bool_()))
+
+
+@F.arrow_udf(_SHAPE)
+def from_wkb(c: pa.Array) -> pa.Array:
+    return _shapes(c)
 
 
 def rings(shape: Column) -> Column:

@@ -396,6 +396,24 @@ def geo_validity(spark, sf):
     return read(spark, sf, "embeddings").select(F.coalesce(geometry.invalid_reason(F.lit("polygon"), shape), F.lit("valid")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
+def _double(n: str) -> str:
+    """SQL: the 16 hexadecimal digits of a positive whole number as a double, high byte first."""
+    e = f"(length(bin({n})) - 1)"
+    return f"lpad(hex(shiftleft(cast(1023 + {e} as bigint), 52) + shiftleft({n} - shiftleft(1L, {e}), 52 - {e})), 16, '0')"
+
+
+@query("""select o_orderkey, o_orderkey % 11 = 0 as empty, case when o_orderkey % 11 = 0 then 0 else 2 end as n_ends, case when o_orderkey % 11 = 0 then 0 else sqrt((o_orderkey % 7) * (o_orderkey % 7) + 9.0::double) end as length,
+case when o_orderkey % 11 <> 0 then (o_custkey + 1 + o_orderkey % 7)::double end as last_x from orders""")
+def geo_wkb(spark, sf):
+    """A line for each order as WKB, some cut short, decoded and measured."""
+    ends = ("(o_custkey + 1)", "(o_orderkey + 1)", "(o_custkey + 1 + o_orderkey % 7)", "(o_orderkey + 4)")
+    wkb = f"unhex(concat('000000000200000002', {', '.join(map(_double, ends))}))"
+    rows = read(spark, sf, "orders").selectExpr("o_orderkey", f"case when o_orderkey % 11 = 0 then substring({wkb}, 1, 30) else {wkb} end as w")
+    g = F.col("g")
+    out = rows.select("o_orderkey", geometry.from_wkb("w").alias("g"))
+    return out.select("o_orderkey", geometry.is_empty(g).alias("empty"), F.size(geometry.ends(g)).alias("n_ends"), geometry.length(g).alias("length"), F.try_element_at(geometry.ends(g), F.lit(2))["x"].alias("last_x"))
+
+
 @query(f"select round(x, 4) as x, round(y, 4) as y, count(*) as members from ({_EV}) group by all having count(*) > 1")
 def geo_stacked_points(spark, sf):
     return network.stacked_points(_points(spark, sf))

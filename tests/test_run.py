@@ -107,11 +107,34 @@ def test_polygons_with_holes_and_parts(spark):
     assert reason([_box(0, 0, 4)], [_box(1, 1, 1)]) == "Nested shells" and reason([_box(0, 0, 4), _box(1, 1, 2)], [_box(1.5, 1.5, 1)]) is None
     assert reason([_box(0, 0, 2)], [_box(1, 1, 2)]) == "Self-intersection" and reason([_box(0, 0, 9), _box(1, 1, 5), _box(2, 2, 1)]) == "Holes are nested"
     raw = b"".join([struct.pack("<BII", 1, 6, 2), *[struct.pack("<BIII", 1, 3, 1, 5) + b"".join(struct.pack("<dd", *v) for v in _box(x, 0, 2)) for x in (0, 5)]])
-    assert geometry._parts(raw) == [[[(float(x), float(y), None) for x, y in _box(k, 0, 2)]] for k in (0, 5)]
+    assert [[[tuple(v) for v in ring.tolist()] for ring in part] for part in geometry._parts(raw)] == [[[(float(x), float(y)) for x, y in _box(k, 0, 2)]] for k in (0, 5)]
     line = spark.createDataFrame([([[[{"x": x, "y": 0.0, "z": None} for x in (0.0, 0.1, 0.2, 1.0, 1.05, 2.0)]]],)], f"g {geometry.SHAPE}")
     assert [v.x for v in line.select(geometry.simplified(F.col("g"), 0.5).alias("g")).head().g[0][0]] == [0.0, 1.0, 2.0]
 
 
+def test_wkb_of_all_kinds(spark):
+    """Both byte orders, heights and measures in both codings, holes, multi kinds, empty and damaged shapes."""
+
+    def body(order, kind, rows, head=b""):
+        return (b"\x01" if order == "<" else b"\x00") + struct.pack(order + "I", kind) + head + (b"" if (kind & 0xFFFF) % 1000 == 1 else struct.pack(order + "I", len(rows))) + b"".join(struct.pack(f"{order}{len(r)}d", *r) for r in rows)
+
+    ring = lambda rows, order="<": struct.pack(order + "I", len(rows)) + b"".join(struct.pack(order + "2d", *r) for r in rows)
+    nan = float("nan")
+    hole = struct.pack("<BII", 1, 3, 2) + ring(_box(0, 0, 9)) + ring(_box(1, 1, 2))
+    every = [
+        (body("<", 1, [(1, 2)]), [[[(1, 2, None)]]]), (body(">", 1, [(1, 2)]), [[[(1, 2, None)]]]), (body(">", 1001, [(1, 2, 3)]), [[[(1, 2, 3)]]]), (body("<", 2001, [(1, 2, 7)]), [[[(1, 2, None)]]]),
+        (body("<", 3002, [(1, 2, 3, 7), (4, 5, 6, 7)]), [[[(1, 2, 3), (4, 5, 6)]]]), (body("<", 0xA0000001, [(1, 2, 3)], struct.pack("<I", 4326)), [[[(1, 2, 3)]]]), (body("<", 0x40000001, [(1, 2, 9)]), [[[(1, 2, None)]]]),
+        (body("<", 1, [(nan, nan)]), []), (body("<", 2, []), []), (struct.pack("<BII", 1, 3, 0), []), (hole, [[[(*v, None) for v in _box(0, 0, 9)], [(*v, None) for v in _box(1, 1, 2)]]]),
+        (struct.pack("<BII", 1, 4, 2) + body("<", 1, [(1, 2)]) + body(">", 1001, [(3, 4, 5)]), [[[(1, 2, None)]], [[(3, 4, 5)]]]), (struct.pack("<BII", 1, 3, 1) + ring([]), [[[]]]),
+        (hole[:-1], None), (b"", None), (b"\x01", None), (b"junk", None), (struct.pack("<BII", 1, 6, 4_000_000_000), None), (None, None),
+    ]
+    frame = spark.createDataFrame([(i, None if w is None else bytearray(w)) for i, (w, _) in enumerate(every)], "id int, w binary")
+    got = {r.id: r.g for r in frame.select("id", geometry.from_wkb("w").alias("g")).collect()}
+    plain = lambda g: None if g is None else [[[tuple(v) for v in r] for r in p] for p in g]
+    assert [plain(got[i]) for i in range(len(every))] == [want for _, want in every]
+    assert frame.limit(0).select(geometry.from_wkb("w")).count() == 0
+
+
 def test_rows_of_the_grid_grow_with_the_segments(spark):
     """However long the segments are, each covers a few dozen cells."""
     for n in (100, 1000, 10_000):
