@@ -110,7 +110,8 @@ _ABSTRACT = f"case when doc_id % 3 = 0 then '' when doc_id % 3 = 1 then 'REQUIRE
 _CONTACT = "case when doc_id % 4 = 0 then 'TBD' when doc_id % 4 = 1 then 'x' when doc_id % 4 = 2 then '' else concat('desk ', source) end"
 _BOUNDS = "case when doc_id % 2 = 0 then concat('<{0}>', n_chars, ' W</{0}><{0}>', n_chars, '</{0}><{0}>1.5 N</{0}><{0}>-3e2</{0}>') else '<{0}>10</{0}><{0}>20</{0}>' end"
 #: One document for each row, of three standards in turn; each eleventh is broken.
-_XML = f"""concat(case when doc_id % 3 = 0 then concat(
+# one of eleven is not well formed and is repaired; one of thirteen has a document type and is not read
+_XML = f"""concat(case when doc_id % 13 = 0 then '<!DOCTYPE metadata>' else '' end, case when doc_id % 3 = 0 then concat(
     '<metadata><dataIdInfo><idPurp>', {_PURPOSE}, '</idPurp><idAbs>', {_ABSTRACT}, '</idAbs><idPoC><n>', {_CONTACT}, '</n></idPoC><searchKeys><keyword>', lang, '</keyword></searchKeys><dataExt><GeoBndBox>', {_BOUNDS.format("v")},
     '</GeoBndBox></dataExt></dataIdInfo><outer><Esri><DataProperties><lineage><Process>x</Process></lineage></DataProperties></Esri></outer>')
 when doc_id % 3 = 1 then concat(
@@ -124,7 +125,7 @@ _STATE = "case when {0} = '' then 'missing' when {0} in ('TBD', 'REQUIRED: a sum
 _META = f"""select doc_id, case when broken then 'missing' else {_STATE.format("purpose")} end as summary, case when broken or abstract = '{_EMPTY_HTML}' then 'missing' else {_STATE.format("abstract")} end as description,
 case when broken then 'missing' else 'present' end as tags, case when not broken and length(contact) >= 3 and contact <> 'TBD' then 'present' else 'missing' end as contact, case when not broken and doc_id % 2 = 0 then 'present' else 'missing' end as extent,
 case when broken or doc_id % 3 = 1 then 'missing' when doc_id % 3 = 0 then 'auto' else 'present' end as lineage, case when not broken then case doc_id % 3 when 0 then 'ArcGIS' when 1 then 'FGDC CSDGM' else 'ISO 19139' end end as standard
-from (select doc_id, doc_id % 11 = 0 as broken, {_PURPOSE} as purpose, {_ABSTRACT} as abstract, {_CONTACT} as contact from documents)"""
+from (select doc_id, doc_id % 13 = 0 as broken, {_PURPOSE} as purpose, {_ABSTRACT} as abstract, {_CONTACT} as contact from documents)"""
 _ITEMS = ("summary", "description", "tags", "contact", "extent", "lineage")
 
 
