@@ -2,7 +2,7 @@
 
 Features are the distinct letter words of a text and their leading 4 to 8 bytes
 (so that inflected and compound forms count), known by hash.  A logistic model
-over the ``features`` most telling ones is fitted with the loss
+over the telling ones is fitted with the loss
 
     mean log loss + l2 * |w|^2 + fair * mean over swaps of (w.x - w.x')^2
 
@@ -20,15 +20,18 @@ both classes, grouped by the word that they follow most often, so that the terms
 of a group may stand in the same places.  Texts of any domain thus have neutral
 mentions to swap; words that the labels do tell apart (slurs) are never swapped.
 
-The vocabulary is bounded by ``features`` (2048), a cut of the model: words in
-at least ``min_texts`` toxic texts whose log odds of being toxic are positive,
-the most significant first.  Words that speak against toxicity are left out on
-purpose: benign padding must not pull a toxic text below the mark.
+The vocabulary follows the data: of the features in at least ``min_texts`` toxic
+texts it holds all whose log odds of being toxic are so many standard errors above
+zero that chance alone would let in about ``noise`` of all features tested, and
+those of the terms.  Features that speak against toxicity are left out on purpose:
+benign padding must not pull a toxic text below the mark (README has figures).
 
 The fit uses a bounded sample of labelled rows: all of them up to ``fit_rows``,
-beyond that those whose id hashes below the matching fraction; of their sentences
-with terms at most ``most_swaps`` a text.  Scoring covers every whole text, of any
-length, in one pass without a shuffle.
+beyond that those whose id hashes below the matching fraction.  All their sentences
+with terms count, in all their swaps: the penalty is a quadratic form of the weights,
+so tasks sum its matrix, whose size is that of the terms' features, and no swap
+reaches the driver.  Scoring covers every whole text, of any length, in one pass
+without a shuffle.
 
 Labels other than 0 and 1 are not learned from; with labels of one class only
 the score is that class (0 or 1), with none 0.5.  Null texts are scored as empty
@@ -41,6 +44,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Sequence
+from statistics import NormalDist
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +76,8 @@ IDENTITY = (
 )
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[^.!?\n]+")
+#: Characters whose UTF-8 bytes make up the words of features.
+_RUN = re.compile(r"[A-Za-z\u0080-\U0010ffff]+")
 
 _BLANK = np.ones(256, bool)
 _BLANK[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -136,16 +143,16 @@ def _before(wanted: set[str]):
     return run
 
 
-def found_groups(labelled: DataFrame, n: dict[int, int], least: int = 20, z: float = 1.0, most: int = 256, size: int = 4) -> list[tuple[str, ...]]:
-    """Groups of two to ``size`` words that the labels say nothing about: each is in at least ``least`` texts, in some of
-    either class, at rates that differ by at most ``z`` standard errors, and most often follows the same word as the others
-    of its group.  The ``most`` such words with the most texts are taken, a bound of the driver's work."""
+def found_groups(labelled: DataFrame, n: dict[int, int], least: int = 20, share: float = 0.05, z: float = 1.0, size: int = 4) -> list[tuple[str, ...]]:
+    """Groups of two to ``size`` words that the labels say nothing about: each is in at least ``least`` texts and a ``share``
+    of all, in some of either class, at rates that differ by at most ``z`` standard errors, and most often follows the same
+    word as the others of its group.  There are at most 1 / share as many such words as a text has distinct words on average."""
     seen = labelled.mapInArrow(freeing(_word_counts), "word string, n1 long, n0 long").groupBy("word").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
     p, q = F.col("n1") / n[1], F.col("n0") / n[0]
     both = (F.col("n1") + F.col("n0")) / (n[1] + n[0])
     error = F.sqrt(both * (1 - both) * (1 / n[1] + 1 / n[0]))
-    neutral = seen.where((F.least("n1", "n0") > 0) & (F.col("n1") + F.col("n0") >= least) & (F.abs(p - q) <= z * error))
-    words = [r.word for r in neutral.orderBy(F.desc(F.col("n1") + F.col("n0")), "word").limit(most).collect()]
+    neutral = seen.where((F.least("n1", "n0") > 0) & (F.col("n1") + F.col("n0") >= max(least, share * (n[1] + n[0]))) & (F.abs(p - q) <= z * error))
+    words = [r.word for r in neutral.orderBy(F.desc(F.col("n1") + F.col("n0")), "word").collect()]
     pairs = labelled.mapInArrow(freeing(_before(set(words))), "word string, before string, n long").groupBy("word", "before").agg(F.sum("n").alias("n"))
     place = {r.word: r.before for r in pairs.groupBy("word").agg(F.max_by("before", F.struct("n", "before")).alias("before")).collect()}
     by: dict[str, list[str]] = {}
@@ -179,13 +186,36 @@ def _frequent(batches):
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["feature", "n"])
 
 
-def objective(rows: list[np.ndarray], y: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], size: int, l2: float, fair: float):
-    """x (weights, then the bias) -> the loss and its gradient; rows: each text's features, pairs: the features that a swap loses and wins."""
-    none = np.zeros(0, np.int32)
-    at, col = np.repeat(np.arange(len(rows), dtype=np.int32), np.array([len(r) for r in rows], np.int64)), np.concatenate([none, *rows])
-    p_at = np.repeat(np.arange(len(pairs), dtype=np.int32), np.array([len(a) + len(b) for a, b in pairs], np.int64))
-    p_col = np.concatenate([none, *[x for p in pairs for x in p]])
-    sign = np.repeat(np.tile([1.0, -1.0], len(pairs)), np.array([len(x) for p in pairs for x in p], np.int64))
+class Swaps(NamedTuple):
+    """Sum over n swaps of d d', d being +1 at each feature that a swap loses and -1 at each that it wins: values at places (row, column)."""
+
+    row: np.ndarray
+    column: np.ndarray
+    value: np.ndarray
+    n: int
+
+
+def moments(pairs: dict[tuple[tuple[int, ...], tuple[int, ...]], int]) -> Swaps:
+    """The matrix of swaps that lose and win such features, with the number of each."""
+    by: dict[int, list] = {}
+    for (lost, won), n in pairs.items():
+        by.setdefault(len(lost) + len(won), []).append(((*lost, *won), len(lost), n))
+    row, column, value = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k, same in by.items():
+        at = np.array([x for x, _, _ in same], np.int64).reshape(-1, k)
+        sign = np.where(np.arange(k) < np.array([x for _, x, _ in same])[:, None], 1, -1)
+        row.append(np.repeat(at, k, axis=1).ravel()), column.append(np.tile(at, (1, k)).ravel())
+        value.append((np.repeat(sign, k, axis=1) * np.tile(sign, (1, k)) * np.array([x for _, _, x in same])[:, None]).ravel())
+    r, c, v = np.concatenate(row), np.concatenate(column), np.concatenate(value)
+    key, place = np.unique(r << 32 | c, return_inverse=True)
+    total = np.zeros(len(key), np.int64)
+    np.add.at(total, place, v)
+    return Swaps(key >> 32, key & 0xFFFFFFFF, total, sum(pairs.values()))
+
+
+def objective(rows: list[np.ndarray], y: np.ndarray, swapped: Swaps, size: int, l2: float, fair: float):
+    """x (weights, then the bias) -> the loss and its gradient; rows: each text's features."""
+    at, col = np.repeat(np.arange(len(rows), dtype=np.int32), np.array([len(r) for r in rows], np.int64)), np.concatenate([np.zeros(0, np.int32), *rows])
 
     def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
         w, bias = x[:-1], x[-1]
@@ -193,10 +223,10 @@ def objective(rows: list[np.ndarray], y: np.ndarray, pairs: list[tuple[np.ndarra
         value = float(np.mean(np.logaddexp(0, z) - y * z) + l2 * (w @ w))
         r = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) / len(rows)
         g = np.append(np.bincount(col, r[at], minlength=size) + 2 * l2 * w, r.sum())
-        if pairs:
-            gap = np.bincount(p_at, sign * w[p_col], minlength=len(pairs))
-            value += fair * float(np.mean(gap * gap))
-            g[:-1] += 2 * fair / len(pairs) * np.bincount(p_col, sign * gap[p_at], minlength=size)
+        if swapped.n:
+            pull = np.bincount(swapped.row, swapped.value * w[swapped.column], minlength=size) / swapped.n
+            value += fair * float(w @ pull)
+            g[:-1] += 2 * fair * pull
         return value, g
 
     return loss
@@ -205,8 +235,8 @@ def objective(rows: list[np.ndarray], y: np.ndarray, pairs: list[tuple[np.ndarra
 class Linear:
     """Logistic regression over sparse 0/1 rows with the counterfactual penalty, by L-BFGS."""
 
-    def __init__(self, rows: list[np.ndarray], y: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]], size: int, l2: float, fair: float, rounds: int = 200, memory: int = 12):
-        loss = objective(rows, y, pairs, size, l2, fair)
+    def __init__(self, rows: list[np.ndarray], y: np.ndarray, swapped: Swaps, size: int, l2: float, fair: float, rounds: int = 200, memory: int = 12):
+        loss = objective(rows, y, swapped, size, l2, fair)
         x = np.zeros(size + 1)
         x[-1] = np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
         value, g = loss(x)
@@ -251,41 +281,88 @@ class Model:
         return [float(1 / (1 + np.exp(-min(40.0, max(-40.0, x))))) for x in z]
 
 
-def _rows(vocabulary, groups: Groups, most_swaps: int):
-    """(label, text) -> (label, features' places, for each swap in a sentence the places lost and won)."""
+def _places(vocabulary):
+    """(label, text) -> (label, the text's features as places of the vocabulary)."""
 
     def run(batches):
-        place = {t: (g, i) for g in groups for i, t in enumerate(g)}
+        for b in batches:
+            places = [vocabulary.value.find(s).astype(np.int32) for c in tokens.chunks(b.column(1)) for s in feature_sets(c)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(places, pa.list_(pa.int32()))], names=["label", "places"])
 
-        def sets_of(texts: list[str]) -> list[np.ndarray]:
-            return [vocabulary.value.find(s) for c in tokens.chunks(pa.array(texts, pa.string())) for s in feature_sets(c)]
+    return run
+
+
+class Swapper:
+    """The features that the swaps of a text's sentences lose and win; of each distinct word they are looked up once."""
+
+    def __init__(self, vocabulary: Vocabulary, groups: Groups):
+        self.vocabulary, self.term = vocabulary, {t: (g, i) for g in groups for i, t in enumerate(g)}
+        self.places: dict[str, frozenset[int]] = {}
+        self.longest: dict[str, int] = {}  # words with terms: the size of the largest group
+
+    def _learn(self, words: set[str]) -> None:
+        new = words - self.places.keys()
+        for w in list(new):
+            sizes = [len(self.term[m[0].lower()][0]) for m in _WORD.finditer(w) if m[0].lower() in self.term]
+            if sizes:
+                self.longest[w] = max(sizes)
+                new.update(self.turned(w, t) for t in [*range(1, self.most), None])
+        new = sorted(new)
+        sets = (self.vocabulary.find(s) for c in tokens.chunks(pa.array(new, pa.string())) for s in feature_sets(c))
+        self.places.update((w, frozenset(s.tolist())) for w, s in zip(new, sets, strict=True))
+
+    @property
+    def most(self) -> int:
+        return max((len(g) for g, _ in self.term.values()), default=0)
+
+    def turned(self, word: str, turn: int | None) -> str:
+        """The word with the terms in it replaced by the ones ``turn`` places on in their groups, or left out."""
+
+        def other(m: re.Match) -> str:
+            if m[0].lower() not in self.term:
+                return m[0]
+            g, i = self.term[m[0].lower()]
+            return "" if turn is None else g[(i + turn) % len(g)]
+
+        return _WORD.sub(other, word)
+
+    def count(self, text: str) -> Counter:
+        """(lost, won) -> how many swaps of the text's sentences lose and win these features, both not empty together."""
+        out: Counter = Counter()
+        if len(self.places) > 200_000:  # looked up again where they are met again
+            self.places.clear(), self.longest.clear()
+        self._learn(set(_RUN.findall(text)))
+        for sentence in _SENTENCE.finditer(text):
+            words = set(_RUN.findall(sentence[0]))
+            terms = [w for w in words if w in self.longest]
+            if not terms:
+                continue
+            rest = frozenset().union(*(self.places[w] for w in words if w not in self.longest))
+            have = frozenset().union(*(self.places[w] for w in terms))
+            for turn in [*range(1, max(self.longest[w] for w in terms)), None]:
+                new = frozenset().union(*(self.places[self.turned(w, turn)] for w in terms))
+                lost, won = have - new - rest, new - have - rest
+                if lost or won:
+                    out[tuple(sorted(lost)), tuple(sorted(won))] += 1
+        return out
+
+
+def _swap_sums(vocabulary, groups: Groups):
+    """(label, text) -> (row, column, value) of the matrix of the batch's swaps; their number at (-1, -1)."""
 
+    def run(batches):
+        swapper = Swapper(vocabulary.value, groups)
         for b in batches:
-            places, lost, won = [], [[] for _ in range(b.num_rows)], [[] for _ in range(b.num_rows)]
-            places = [vocabulary.value.find(s).tolist() for c in tokens.chunks(b.column(1)) for s in feature_sets(c)]
-            owner, sentences = [], []  # a sentence and its swaps, one after the other, for all texts of the batch
-            for i, text in enumerate(b.column(1).to_pylist()):
-                met = 0
-                for sentence in _SENTENCE.findall(text or ""):
-                    if met >= most_swaps:
-                        break
-                    if others := _swapped(sentence, place):
-                        met += 1
-                        owner += [(i, True), *[(i, False)] * len(others)]
-                        sentences += [sentence, *others]
-            have = np.zeros(0, np.int64)
-            for (i, first), s in zip(owner, sets_of(sentences), strict=True):
-                if first:
-                    have = s
-                else:
-                    lost[i].append(np.setdiff1d(have, s).tolist()), won[i].append(np.setdiff1d(s, have).tolist())
-            kind = pa.list_(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(places, pa.list_(pa.int32())), pa.array(lost, kind), pa.array(won, kind)], names=["label", "places", "lost", "won"])
+            found: Counter = Counter()
+            for text in b.column(1).to_pylist():
+                found.update(swapper.count(text or ""))
+            m = moments(found)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(x, y)) for x, y in ((m.row, -1), (m.column, -1), (m.value, m.n))], names=["row", "column", "value"])
 
     return run
 
 
-def fit(labelled: DataFrame, features: int = 2048, min_texts: int = 3, l2: float = 1e-5, fair: float = 1.0, groups: Groups = IDENTITY, find: bool = True, most_swaps: int = 4) -> Model:
+def fit(labelled: DataFrame, min_texts: int = 3, noise: float = 1.0, l2: float = 1e-5, fair: float = 1.0, groups: Groups = IDENTITY, find: bool = True) -> Model:
     """labelled: (label 0 or 1, text), a bounded sample; ``swaps`` of the model is how many counterfactuals changed a feature."""
     spark = labelled.sparkSession
     small_batches(spark)
@@ -298,18 +375,19 @@ def fit(labelled: DataFrame, features: int = 2048, min_texts: int = 3, l2: float
     # log odds of a text with the feature being of class 1, in standard deviations
     p, q = F.coalesce("n1", F.lit(0)) + 0.5, F.coalesce("n0", F.lit(0)) + 0.5
     odds = (F.log(p / (n[1] + 1.0 - p + 0.5)) - F.log(q / (n[0] + 1.0 - q + 0.5))) / F.sqrt(1.0 / p + 1.0 / q)
-    told = counts[0].where(F.col("n1") >= min_texts).join(counts[1], "feature", "left").withColumn("z", odds).where("z > 0")
-    best = told.orderBy(F.desc("z"), "feature").select("feature").limit(features).collect()
+    tested = materialise(counts[0].where(F.col("n1") >= min_texts).join(counts[1], "feature", "left").select("feature", odds.alias("z")))
+    mark = NormalDist().inv_cdf(1 - min(0.5, noise / max(1, tested.count())))
+    best = tested.where(F.col("z") >= mark).select("feature").collect()
     terms = pa.array([t for g in groups for t in g], pa.string())
     named = [s for c in tokens.chunks(terms) for s in feature_sets(c)] if len(terms) else []
     vocabulary = Vocabulary(np.concatenate([np.array([r.feature for r in best], np.int64).view(U64), *named]))
     shared = spark.sparkContext.broadcast(vocabulary)
-    rows = labelled.mapInArrow(freeing(_rows(shared, groups, most_swaps)), "label int, places array<int>, lost array<array<int>>, won array<array<int>>").toArrow()
-    places = _split(rows.column("places"), np.int32)
-    lost, won = (_split(pa.chunked_array([c for x in rows.column(k).chunks for c in [x.flatten()]], pa.list_(pa.int32())), np.int32) for k in ("lost", "won"))
-    pairs = [(a, b) for a, b in zip(lost, won, strict=True) if len(a) or len(b)]
-    linear = Linear(places, rows.column("label").to_numpy().astype(float), pairs, len(vocabulary.hash), l2, fair)
-    return Model(vocabulary, linear, swaps=len(pairs))
+    rows = labelled.mapInArrow(freeing(_places(shared)), "label int, places array<int>").toArrow()
+    sums = labelled.mapInArrow(freeing(_swap_sums(shared, groups)), "row long, column long, value long").groupBy("row", "column").agg(F.sum("value").alias("value")).where("value <> 0").toArrow()
+    r, c, v = (sums.column(k).to_numpy() for k in ("row", "column", "value"))
+    swapped = Swaps(r[r >= 0], c[r >= 0], v[r >= 0], int(v[r < 0].sum()))
+    linear = Linear(_split(rows.column("places"), np.int32), rows.column("label").to_numpy().astype(float), swapped, len(vocabulary.hash), l2, fair)
+    return Model(vocabulary, linear, swaps=swapped.n)
 
 
 def _split(column: pa.ChunkedArray, kind) -> list[np.ndarray]:
