@@ -14,8 +14,8 @@ and never shuffled; a document of any length is one row of work.
 The index holds items, not documents.  It is broadcast only up to about
 ``block_shingles`` shingles; a larger benchmark is dealt into blocks by a hash of
 the items, and each block is fetched, broadcast, searched with one pass over the
-documents, written out and released before the next, so the driver never holds
-more than one.
+documents, its hits written out, and released before the next, so the driver never
+holds more than one.
 
 Words: A-Z lower-cased runs of non-blank bytes.  An item with one to four words
 has its word sequence as its only shingle and so matches documents with exactly
@@ -145,16 +145,25 @@ def contaminated(
 def with_item_counts(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: float = LEAST, block_shingles: int = 2_000_000) -> DataFrame:
     """docs with ``n_items``, the number of items that each row contains (0: clean); an input column of that name is replaced.
 
-    Only the text travels to Python; the other columns stay in the JVM.
+    Only the text travels to Python; the other columns stay in the JVM.  With several blocks the rows are numbered and
+    written once, whatever the number of blocks; a block writes the numbers and counts of the rows that it hits, and these
+    are summed and joined back at the end.
     """
     spark = docs.sparkSession
     small_batches(spark)
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).cast("string").alias("text"))
-    result = without(docs, ["n_items"]).withColumn("n_items", F.lit(0).cast("long"))
+    docs = without(docs, ["n_items"])
+    row = "row" + "_" * max(len(c) for c in docs.columns)  # longer than any name of docs
+    numbered = hits = None
     for index, _, n_blocks in _blocks(items, block_shingles, least):
         shared = spark.sparkContext.broadcast(index)
-        result = result.withColumn("n_items", F.col("n_items") + _counter(shared)(F.col(text_col).cast("string")))
-        if n_blocks > 1:
-            result = materialise(result)
-            shared.destroy()
-    return result
+        n = _counter(shared)(F.col(text_col).cast("string"))
+        if n_blocks == 1:
+            return docs.withColumn("n_items", n)
+        if numbered is None:
+            numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()))
+        part = materialise(numbered.select(row, n.alias("n_items")).where("n_items > 0"))
+        shared.destroy()
+        hits = part if hits is None else hits.unionByName(part)
+    found = numbered.join(hits.groupBy(row).agg(F.sum("n_items").alias("n_items")), row, "left").drop(row)
+    return found.withColumn("n_items", F.coalesce("n_items", F.lit(0).cast("long")))

@@ -226,11 +226,27 @@ def test_decontamination(spark, docs, corpus, empty, block_shingles):
     marked = decontamination.with_item_counts(clash, bench, block_shingles=block_shingles)
     assert marked.columns[:-1] == docs.columns
     assert decontamination.with_item_counts(empty, bench).count() == 0
+    assert decontamination.with_item_counts(empty, bench, block_shingles=block_shingles).count() == 0
     assert marked.agg(F.sum("n_items")).collect()[0][0] == sum(want.values())
     assert decontamination.contaminated(empty, bench).count() == 0
     assert decontamination.contaminated(docs, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block_shingles", [40, 12])
+def test_decontamination_writes_texts_once_whatever_the_blocks(spark, docs, monkeypatch, block_shingles):
+    rng = random.Random(5)
+    bench = spark.createDataFrame([(i, " ".join(rng.choice("abcdefgh") for _ in range(14))) for i in range(30)], "item_id long, text string")
+    frame = docs.select("doc_id", "text").unionByName(bench.select(F.col("item_id").alias("doc_id"), F.concat(F.lit("before it "), "text", F.lit(" after")).alias("text")))
+    frame = frame.withColumn("row", F.lit(7)).withColumn("row_", F.lit("x"))
+    written, whole = [], decontamination.materialise
+    monkeypatch.setattr(decontamination, "materialise", lambda df, *a: written.append(df.columns) or whole(df, *a))
+    got = decontamination.with_item_counts(frame, bench, block_shingles=block_shingles)
+    assert sum("text" in c for c in written) == 1 and len(written) > 6
+    want = decontamination.with_item_counts(frame, bench)
+    assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert want.where("n_items > 0").count() >= 30
+
+
 def test_url_filter_matches_sql(spark, tmp_path):
     rng = random.Random(3)
     urls = [None, "", "no scheme", "http://", "HTTP://EXAMPLE.COM/en/1", "http://www.example.com/en/", "x://a.net/fr/9?q#f", "http://com", "http://com/", "http://xcom/en/1", "http://\u00c9x.net/es/1", "a://b://c/d"]
@@ -648,7 +664,9 @@ def test_counterfactual_objective_by_brute_force():
     rows = [np.flatnonzero(rng.random(9) < 0.4) for _ in range(40)]
     y = (rng.random(40) < 0.4).astype(float)
     pairs = [(rng.choice(9, 2, replace=False), rng.choice(9, 1)) for _ in range(12)]
-    loss = toxicity.objective(rows, y, pairs, 9, 0.01, 0.7)
+    swapped = toxicity.moments(Counter((tuple(a), tuple(b)) for a, b in pairs))
+    assert swapped.n == len(pairs)
+    loss = toxicity.objective(rows, y, swapped, 9, 0.01, 0.7)
 
     def plain(x):
         w, value = x[:-1], 0.0
@@ -665,10 +683,26 @@ def test_counterfactual_objective_by_brute_force():
         up[k] += 1e-6
         down[k] -= 1e-6
         assert math.isclose(g[k], (plain(up) - plain(down)) / 2e-6, rel_tol=1e-5, abs_tol=1e-7)
-    fitted = toxicity.Linear(rows, y, pairs, 9, 0.01, 0.7)
+    fitted = toxicity.Linear(rows, y, swapped, 9, 0.01, 0.7)
     assert np.abs(loss(np.append(fitted.weight, fitted.bias))[1]).max() < 1e-3
 
 
+def test_swaps_are_counted_as_by_whole_sentences():
+    """Features lost and won by each swap of each sentence, from the features of the two sentences."""
+    rng = random.Random(6)
+    words = ["women", "Men", "womanly", "muslim", "“jews”", "atheist-men", "frau", "frauen", "stone", "hinduism", "mène", "x"]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", ", ", ". ", "\n"]) for _ in range(rng.randrange(60))) for _ in range(40)] + ["", "women"]
+    sets = lambda t: [x for c in tokens.chunks(pa.array(t, pa.string())) for x in toxicity.feature_sets(c)]
+    vocabulary = toxicity.Vocabulary(np.concatenate(sets(words)[:-1]))
+    want = Counter()
+    for text in texts:
+        for sentence in re.findall(r"[^.!?\n]+", text):
+            have, *others = (set(vocabulary.find(x).tolist()) for x in sets([sentence, *toxicity.swaps(sentence)]))
+            want.update((tuple(sorted(have - x)), tuple(sorted(x - have))) for x in others if x != have)
+    swapper = toxicity.Swapper(vocabulary, toxicity.IDENTITY)
+    assert want and sum((swapper.count(t) for t in texts), Counter()) == want
+
+
 def test_op8_has_swaps_on_the_registered_tables(spark):
     docs, labels = (spark.read.parquet(f"{SF.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
     assert toxicity.toxicity_model(docs, labels).swaps > 100
