@@ -9,7 +9,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -52,23 +52,69 @@ def _similarity(g: pd.Series, t: pd.Series, bg: pd.Series, bt: pd.Series) -> pd.
     return pd.Series([_score(*x) for x in zip(g, t, bg, bt, strict=True)], dtype="float64")
 
 
-def fuzzy(found: DataFrame, baseline: DataFrame, least: float = FUZZY) -> DataFrame:
-    """(found's columns, match_group, match_type, confidence): the baseline's most similar pair, ``least`` at least.
+def letters(name) -> Column:
+    """The letters of a text, each with the number of its turn, as a set; high turns, which are rare, first, then in an order of hashes."""
+    each = F.filter(F.split(name, ""), lambda c: c != "")
+    turns = F.transform(each, lambda c, i: F.size(F.filter(F.slice(each, F.lit(1), i + 1), lambda x: x == c)))
+    keyed = F.zip_with(each, turns, lambda c, k: F.struct((-k).alias("rank"), F.xxhash64(c).alias("hash"), F.concat(k.cast("string"), c).alias("letter")))
+    return F.transform(F.array_sort(keyed), lambda x: x.letter)
+
+
+def _may_reach(x: Column, y: Column, least: Column) -> Column:
+    """Whether texts with these letters can have a similarity of ``least``: twice the common letters by the sum of the lengths bounds it."""
+    return 2 * F.size(F.array_intersect(x, y)) >= least * (F.size(x) + F.size(y)) - 1e-9
+
+
+def _meet(x: DataFrame, y: DataFrame, names: list[str]) -> DataFrame:
+    """Inner join by scope (null equals null), kind of name and the names; columns of x, then of y."""
+    keys = ["scope", "by_type", *names]
+    z = y.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return x.join(z, same).drop(*[f"_{k}" for k in keys])
+
+
+def _near(names: DataFrame, base: DataFrame, least: Column) -> DataFrame:
+    """(scope, by_type, name, near): pairs of names whose common letters allow a similarity of ``least``.
 
-    Candidates are of the same class, or of any class where the baseline lacks it,
-    and of lengths that allow the similarity: the ratio of two texts is at most twice
-    the shorter length by the sum of both.  Each distinct pair of folded names is
-    compared once, whatever the rows.  Ties go to the first name.
+    With o common letters of two names of m and n letters, 2 o >= s (m + n) and n >= o
+    give o >= s m / (2 - s): a pair shares one of the first m - o + 1 letters of either.
+    """
+
+    def indexed(df: DataFrame) -> DataFrame:
+        full = df.withColumns({"letters": letters("name"), "least": least})
+        m = F.size("letters")
+        start = m - F.ceil(F.col("least") * m / (2 - F.col("least")) - 1e-9).cast("int") + 1
+        return full.withColumn("letter", F.explode(F.slice("letters", F.lit(1), start)))
+
+    found = _meet(indexed(names), indexed(base).select("scope", "by_type", F.col("name").alias("near"), F.col("letters").alias("others"), "letter"), ["letter"])
+    return found.where(_may_reach(F.col("letters"), F.col("others"), F.col("least"))).select("scope", "by_type", "name", "near").distinct()
+
+
+def fuzzy(found: DataFrame, baseline: DataFrame, least: float = FUZZY) -> DataFrame:
+    """(found's columns, match_group, match_type, confidence): the baseline's most similar pair, ``least`` (over a half) at least.
+
+    Candidates are of the same class, or of any class where the baseline lacks it.
+    They come from an inverted index of letters (``letters``): a similarity of s
+    takes at least s / 2 of both lengths in common letters, so of each name the
+    letters but those that would be too few alone meet in the index, and pairs with
+    fewer common letters than that are dropped before they are compared.  All joins
+    have keys; each distinct pair of folded names is compared once, whatever the
+    rows.  Ties go to the first name.  Empty names match nothing.
     """
     base = _folded(baseline, "b").select("bc", "bg", "bt", F.col("asset_group").alias("match_group"), F.col("asset_type").alias("match_type")).distinct()
     a = _folded(found, "a").where("ag <> '' or at <> ''")
-    keys = a.select("ac", "ag", "at").distinct()
-    most = lambda x, y: 2 * F.least(F.length(x), F.length(y)) / (F.length(x) + F.length(y))
-    types = (F.col("at") == "") | ((F.col("bt") != "") & (F.coalesce(most("at", "bt"), F.lit(0.0)) >= 2 * least - 1 - 1e-9))
-    groups = (F.col("ag") == "") | (F.col("bg") == "") | (F.col("ag") == F.col("bg")) | (F.coalesce(most("ag", "bg"), F.lit(0.0)) >= GROUP - 1e-9)
-    lone = keys.join(small(base.select("bc").distinct()), F.col("ac") == F.col("bc"), "left_anti")
-    meet = keys.join(small(base), (F.col("ac") == F.col("bc")) & types & groups).unionByName(lone.join(small(base), types & groups))
-    scored = meet.withColumn("confidence", _similarity("ag", "at", "bg", "bt")).where(F.col("confidence") >= least)
+    keys = a.select("ac", "ag", "at").distinct().join(small(base.select(F.col("bc").alias("ac"), F.lit(True).alias("known")).distinct()), "ac", "left")
+    # by type where there is one, else by group; within a class, or (null) within all
+    by_type = F.col("at") != ""
+    keys = keys.select("ac", "ag", "at", F.when(F.col("known"), F.col("ac")).alias("scope"), by_type.alias("by_type"), F.when(by_type, F.col("at")).otherwise(F.col("ag")).alias("name"))
+    lone = base.select("*", F.explode(F.array("bc", F.lit(None))).alias("scope"))
+    lone = lone.select("*", F.explode(F.array(F.struct(F.lit(True).alias("by_type"), F.col("bt").alias("near")), F.struct(F.lit(False).alias("by_type"), F.col("bg").alias("near")))).alias("n")).select("bc", "bg", "bt", "match_group", "match_type", "scope", "n.*").where("near <> ''")
+    near = _near(keys.select("scope", "by_type", "name").distinct(), lone.select("scope", "by_type", F.col("near").alias("name")).distinct(), F.when(F.col("by_type"), 2 * least - 1).otherwise(least))
+    meet = _meet(_meet(keys, near, ["name"]), lone, ["near"])
+    groups = (F.col("ag") == "") | (F.col("bg") == "") | (F.col("ag") == F.col("bg")) | _may_reach(letters("ag"), letters("bg"), F.lit(GROUP))
+    names = ["ag", "at", "bg", "bt"]
+    judged = meet.where(groups).select(*names).distinct().withColumn("confidence", _similarity(*names)).where(F.col("confidence") >= least)
+    scored = meet.join(judged, names)
     best = scored.groupBy("ac", "ag", "at").agg(F.min_by(F.struct("match_group", "match_type", "confidence"), F.struct(-F.col("confidence"), "bg", "bt", "match_group", "match_type")).alias("m"))
     return a.join(best, ["ac", "ag", "at"]).select(*found.columns, "m.match_group", "m.match_type", F.round("m.confidence", 3).alias("confidence"))
 
