@@ -6,8 +6,12 @@ by the tolerance, so it makes a few dozen rows at most, whatever its length; a
 point looks once at each level in use.  Rows therefore grow in proportion to
 segments and points.  They meet by an equi-join on level and cell with the exact
 distance as residual condition, in a semi or anti join, so no pair is ever
-emitted.  Equal end points of one owner are looked up once, and Spark may split a
-crowded cell.
+emitted.  Equal end points of one owner are looked up once, equal segments lie on
+the grid once for all their owners, end points that coincide with a vertex of
+another owner are found by their coordinates alone, and Spark may split a crowded
+cell.  Spark estimates rows on the grid by the rows that they are made of, a
+hundred times too low, so these joins are sort-merge joins by hint: the table of
+cells would otherwise be broadcast through the driver.
 """
 
 from __future__ import annotations
@@ -57,6 +61,30 @@ def extent(segments: DataFrame) -> tuple[float, float]:
     return max((max(r.x[1] - r.x[0], 0.0) * max(r.y[1] - r.y[0], 0.0) / (0.81 * r.n)) ** 0.5, 1e-9), r.longest or 0.0
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """df, never broadcast in a join."""
+    return df.hint("merge")
+
+
+def by_place(df: DataFrame, *place: str) -> DataFrame:
+    """The distinct places with the smallest and largest owner (lo, hi) and whether there is a null one (nobody)."""
+    return df.groupBy(*place).agg(F.min("owner").alias("lo"), F.max("owner").alias("hi"), F.max(F.col("owner").isNull()).alias("nobody"))
+
+
+def _foreign() -> Column:
+    """Whether a place (lo, hi, nobody) has another owner than ``owner``; null is an owner like others."""
+    owner = F.col("owner")
+    return F.when(owner.isNull(), F.col("lo").isNotNull()).otherwise(F.col("nobody") | (F.col("lo") != owner) | (F.col("hi") != owner))
+
+
+def meeting(points: DataFrame, segments: DataFrame) -> DataFrame:
+    """The distinct (owner, x, y) of points that coincide with an end of a segment of another owner."""
+    ends = F.explode(F.array(*[F.struct(F.col(f"x{k}").alias("vx"), F.col(f"y{k}").alias("vy")) for k in (1, 2)]))
+    vertices = by_place(segments.where(F.expr("not (isnan(x1) or isnan(y1) or isnan(x2) or isnan(y2))")).select("owner", ends.alias("e")).select("owner", "e.*"), "vx", "vy")
+    at = points.select("owner", "x", "y").distinct()
+    return at.join(merged(vertices), (F.col("x") == F.col("vx")) & (F.col("y") == F.col("vy")) & _foreign(), "left_semi")
+
+
 def hits(points: DataFrame, segments: DataFrame, tolerance: float, base: float, longest: float) -> DataFrame:
     """The distinct (owner, x, y) of points within tolerance (inclusive) of a segment of another owner.
 
@@ -69,17 +97,17 @@ def hits(points: DataFrame, segments: DataFrame, tolerance: float, base: float,
     segments = segments.where(sane("x1") & sane("y1") & sane("x2") & sane("y2"))
     # one long for level and cell: where two cells share one, the exact distance tells them apart
     place = F.xxhash64("level", "cx", "cy")
-    s = covered(segments, tolerance, base).select(F.col("owner").alias("s_owner"), "x1", "y1", "x2", "y2", place.alias("s_place"))
+    s = covered(by_place(segments, "x1", "y1", "x2", "y2"), tolerance, base).select("lo", "hi", "nobody", "x1", "y1", "x2", "y2", place.alias("s_place"))
     cell = F.lit(base) * F.pow(F.lit(2.0), F.col("level"))
     looks = points.where(sane("x") & sane("y")).select("owner", "x", "y").distinct().withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(top))))
     looks = looks.withColumns({"cx": _cell(F.col("x"), cell), "cy": _cell(F.col("y"), cell)}).select("owner", "x", "y", place.alias("place"))
     near = distance2(F.col("x"), F.col("y"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")) <= tolerance * tolerance
-    return looks.join(s, (F.col("place") == F.col("s_place")) & ~F.col("owner").eqNullSafe(F.col("s_owner")) & near, "left_semi").select("owner", "x", "y").distinct()
+    return looks.join(merged(s), (F.col("place") == F.col("s_place")) & _foreign() & near, "left_semi").select("owner", "x", "y").distinct()
 
 
 def _same_point(hit: DataFrame) -> tuple[DataFrame, Column]:
     named = hit.toDF("h_owner", "hx", "hy")
-    return named, F.col("owner").eqNullSafe(F.col("h_owner")) & (F.col("x") == F.col("hx")) & (F.col("y") == F.col("hy"))
+    return merged(named), F.col("owner").eqNullSafe(F.col("h_owner")) & (F.col("x") == F.col("hx")) & (F.col("y") == F.col("hy"))
 
 
 def as_points(points: DataFrame) -> DataFrame:
@@ -98,9 +126,11 @@ def endpoint_states(lines: DataFrame, points: DataFrame | None = None, snap: flo
     base, longest = extent(lines)
     if points is not None:
         targets = targets.unionByName(as_points(points))
-    # used twice below; a lost block is computed again
-    snapped, same = _same_point(hits(ends, targets, snap, base, longest).persist(StorageLevel.MEMORY_AND_DISK))
-    missed = hits(ends.join(snapped, same, "left_anti"), targets, near, base, longest).toDF("m_owner", "mx", "my")
+    # both are used twice below; a lost block is computed again
+    met, same = _same_point(meeting(ends, targets).persist(StorageLevel.MEMORY_AND_DISK))
+    apart = hits(ends.join(met, same, "left_anti"), targets, snap, base, longest).persist(StorageLevel.MEMORY_AND_DISK)
+    snapped, same = _same_point(met.toDF("owner", "x", "y").unionByName(apart))
+    missed = merged(hits(ends.join(snapped, same, "left_anti"), targets, near, base, longest).toDF("m_owner", "mx", "my"))
     close = F.col("owner").eqNullSafe(F.col("m_owner")) & (F.col("x") == F.col("mx")) & (F.col("y") == F.col("my"))
     out = ends.join(snapped, same, "left").join(missed, close, "left")
     state = F.when(F.col("hx").isNotNull(), "connected").when(F.col("mx").isNotNull(), "near miss").otherwise("dangle")

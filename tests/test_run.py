@@ -211,3 +211,46 @@ def test_streaming_counts_and_sinks(spark, lines, tmp_path):
 
 def test_text(spark):
     assert json.loads(spark.range(1).select(F.to_json(F.struct(text.guid(F.lit(" {a-b} ")).alias("g"), text.short_name(F.lit("db.x.y")).alias("s"), text.path_tail(F.lit("/a/b/c/d")).alias("p"), text.type_family(F.lit("esriFieldTypeSingle")).alias("f")))).head()[0]) == {"g": "A-B", "s": "y", "p": "b/c/d", "f": "float"}
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _lines_of(rows, kind="long"):
+    """Lines (layer, owner, x1, y1, x2, y2, ends), a row each."""
+    from pyspark.sql import SparkSession
+
+    frame = SparkSession.getActiveSession().createDataFrame(rows, f"layer string, owner {kind}, x1 double, y1 double, x2 double, y2 double")
+    return frame.withColumn("ends", F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"))))
+
+
+def test_connectivity_broadcasts_no_rows_of_the_grid(spark):
+    """Small tables too make many rows on the grid: a broadcast of them fills the driver."""
+    states = network.endpoint_states(_lines_of([("L", i, 0.0, float(i), 90.0, float(i)) for i in range(20)]))
+    assert "Broadcast" not in _plan(network.connectivity(states)) and network.connectivity(states).head().dangles == 40
+
+
+def test_equal_ends_and_segments_of_many_owners(spark):
+    """Ends that owners share, an owner's own repeats, null owners and NaN, against brute force."""
+    nan = float("nan")
+    rows = [("L", o, 0.0, 0.0, 5.0, 0.0) for o in (1, 2, 3)] + [("L", 4, 20.0, 0.0, 25.0, 0.0)] * 2 + [("M", 4, 25.0, 0.0, 30.0, 0.0), ("L", None, 40.0, 0.0, 45.0, 0.0), ("L", None, 45.0, 0.0, 50.0, 0.0)]
+    rows += [("L", 5, 50.0, 0.0, 55.0, 0.3), ("L", 6, 2.5, 0.0005, 2.5, 9.0), ("L", 6, 2.5, 9.3, nan, 1.0), ("L", 7, 2.5, 9.3, 8.0, 9.3), ("L", 8, 22.0, 0.4, 22.0, 7.0), ("L", 8, 22.0, 0.4, 28.0, 7.0)]
+
+    def d2(px, py, x1, y1, x2, y2):
+        dx, dy = x2 - x1, y2 - y1
+        t = max(0.0, min(1.0, ((px - x1) * dx + (py - y1) * dy) / (dx * dx + dy * dy)))
+        return (px - (x1 + t * dx)) ** 2 + (py - (y1 + t * dy)) ** 2
+
+    want = {}
+    for layer, o, *s in rows:
+        for p in (tuple(s[:2]), tuple(s[2:])):
+            d = min((d2(*p, *other) for _, o2, *other in rows if o2 != o and nan not in other and p == p and not any(v != v for v in (*other, *p))), default=9.0)
+            state = "connected" if d <= 1e-6 else "near miss" if d <= 0.25 else "dangle"
+            key = (layer, o, *map(str, p))
+            want[key] = (want.get(key, (0,))[0] + 1, state)
+    for kind in ("long", "string"):
+        named = rows if kind == "long" else [(a, None if o is None else str(o), *s) for a, o, *s in rows]
+        got = network.endpoint_states(_lines_of(named, kind)).collect()
+        assert {(r.layer, None if r.owner is None else int(r.owner), str(r.x), str(r.y)): (r.n, r.state) for r in got} == want
+    assert {s for _, s in want.values()} == {"connected", "near miss", "dangle"}
