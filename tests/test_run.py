@@ -254,3 +254,9 @@ def test_equal_ends_and_segments_of_many_owners(spark):
         got = network.endpoint_states(_lines_of(named, kind)).collect()
         assert {(r.layer, None if r.owner is None else int(r.owner), str(r.x), str(r.y)): (r.n, r.state) for r in got} == want
     assert {s for _, s in want.values()} == {"connected", "near miss", "dangle"}
+
+
+def test_dangles_of_a_query_are_not_broadcast(spark):
+    from assay.plans import catalogue
+
+    assert "Broadcast" not in _plan(catalogue.QUERIES["geo_dangles"](spark, "/root/testdata/sf0.001"))
