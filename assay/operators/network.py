@@ -148,10 +148,10 @@ def orphan_points(points: DataFrame, segments: DataFrame, snap: float = 0.001) -
     """Points (owner, x, y, ...) that touch no segment."""
     base, longest = extent(segments)
     anyone = segments.withColumn("owner", F.lit(None).cast(points.schema["owner"].dataType))
-    # owners do not matter here: null stands for that of all segments, and points without an owner are looked up by place
-    named = points.withColumn("owner", F.coalesce(F.col("owner").cast("string"), F.lit("-"))).select("owner", "x", "y")
+    # owners do not matter here: null stands for that of all segments, and points are looked up by place
+    named = points.select(F.lit("-").alias("owner"), "x", "y")
     hit, _ = _same_point(hits(named, anyone.withColumn("owner", F.col("owner").cast("string")), snap, base, longest))
-    return points.join(hit.select("hx", "hy").distinct(), (F.col("x") == F.col("hx")) & (F.col("y") == F.col("hy")), "left_anti")
+    return points.join(merged(hit.select("hx", "hy")), (F.col("x") == F.col("hx")) & (F.col("y") == F.col("hy")), "left_anti")
 
 
 def stacked_points(points: DataFrame, digits: int = 4) -> DataFrame:

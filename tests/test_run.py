@@ -260,3 +260,11 @@ def test_dangles_of_a_query_are_not_broadcast(spark):
     from assay.plans import catalogue
 
     assert "Broadcast" not in _plan(catalogue.QUERIES["geo_dangles"](spark, "/root/testdata/sf0.001"))
+
+
+def test_orphan_points_broadcast_no_rows_of_the_grid(spark):
+    segments = _lines_of([("L", i, 0.0, float(i), 90.0, float(i)) for i in range(20)]).select("owner", "x1", "y1", "x2", "y2")
+    points = spark.createDataFrame([(1, 3.0, 4.0), (2, 3.0, 4.0), (3, 3.0, 4.5), (None, 3.0, 4.5), (4, None, 1.0), (5, float("nan"), 1.0)], "owner long, x double, y double")
+    lone = network.orphan_points(points, segments)
+    assert "Broadcast" not in _plan(lone)
+    assert sorted((r.owner or 0) for r in lone.collect()) == [0, 3, 4, 5]
