@@ -31,8 +31,12 @@ Pairs of neighbours, unless both are heads (those have their cell in T), travel
 the same way: to the pair's bucket if both words are among the ``top``, else to
 that of the rare word; of two rare words to the first's and, with its count, on
 to the second's.  No pair is more frequent than its rarer word, so none fills a
-bucket.  There the pair's count is known exactly; the ratio of f to the lower
-estimate goes to a scratch table until the weights are known.
+bucket.  A rare word after a known one is counted from its pair, others from an
+entry of their own.  Texts are named by the numbers of their rows, in the order in
+which a task reads them: it must read them in that order again if it is repeated,
+as scans of files do.  Packs hold the steps from one number to the next.  In its
+bucket a pair's count is known exactly; the ratio of f to the lower estimate goes
+to a scratch table until the weights are known.
 
 base_score is exact: sum over tokens of log10((c + 1/2) / (N + (V + 1) / 2)).
 Null and empty texts have the end token only.  Rows with a null id are training
@@ -65,6 +69,23 @@ _FLUSH = 4_000_000
 _PACK = "bucket int, words binary, counts binary"
 
 
+def _planes(a: np.ndarray, k: int) -> bytes:
+    """The lowest byte of all numbers, then the next one of all, k in all: those that are 0 throughout compress to nothing."""
+    return np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :k].T).tobytes()
+
+
+def _narrow(a: np.ndarray) -> bytes:
+    """Whole numbers from 0 on in as many bytes as the largest needs."""
+    return _planes(a, max(1, (int(a.max()).bit_length() + 7) // 8))
+
+
+def _wide(data, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    planes = np.frombuffer(data, np.uint8).reshape(-1, n)
+    out[:, : len(planes)] = planes.T
+    return out.view("<i8")[:, 0]
+
+
 def _sum(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     h, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     order = np.argsort(h, kind="stable")
@@ -86,7 +107,7 @@ def _bucketed(h: np.ndarray, n_buckets: int) -> Iterator[tuple[int, np.ndarray]]
 def _count_words(n_buckets: int):
     def out(parts):
         h, n = _sum(parts)
-        rows = [(k, h[at].tobytes(), n[at].tobytes()) for k, at in _bucketed(h, n_buckets)]
+        rows = [(k, h[at].tobytes(), _narrow(n[at])) for k, at in _bucketed(h, n_buckets)]
         for i in range(0, len(rows), 64):
             b, w, c = zip(*rows[i : i + 64], strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(w, pa.binary()), pa.array(c, pa.binary())], names=["bucket", "words", "counts"])
@@ -114,7 +135,8 @@ def _add_words(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts = []
     for b in group:
         for w, c in zip(b.column("words"), b.column("counts"), strict=True):
-            parts.append((np.frombuffer(w.as_buffer(), U64), np.frombuffer(c.as_buffer(), np.int64)))
+            h = np.frombuffer(w.as_buffer(), U64)
+            parts.append((h, _wide(c.as_buffer(), len(h))))
     if not parts:
         return
     h, n = _sum(parts)
@@ -261,7 +283,7 @@ def transitions(kept: np.ndarray, held: np.ndarray) -> np.ndarray:
 
 # ---- pass 3: scores -------------------------------------------------------------------------------
 
-#: kind: null of a text; 0 of rare words; then of pairs of known words, a rare and a known, a known and a rare, two rare words.
+#: kind: null of a text; 0 of rare words after rare ones; then of pairs of known words, a rare and a known, a known and a rare, two rare words.
 _PARTS = "bucket int, rid long, id {id}, held_out boolean, n_tokens long, n_known long, base double, score double, words binary, refs binary, texts binary, kind int"
 _BOTH, _FIRST, _SECOND, _NONE = 1, 2, 3, 4
 _LOW = U64(0xFFFFFFFF)
@@ -280,23 +302,23 @@ def _of_codes(data) -> np.ndarray:
     return (code >> U64(20)) << U64(32) | code & U64((1 << 20) - 1)
 
 
-def _runs(rid: np.ndarray, held: np.ndarray) -> bytes:
-    """Neighbouring entries of one text as (text, twice their number, and 1 if held out)."""
-    at = np.flatnonzero(np.r_[True, rid[1:] != rid[:-1]])
-    return np.stack([rid[at], 2 * np.diff(np.r_[at, len(rid)]) + held[at]]).tobytes()
+def _texts(rid: np.ndarray, held: np.ndarray | None = None) -> bytes:
+    """The ascending row numbers of entries and whether these are held out: the first number, then twice the step to each, and 1 if held out."""
+    step = 2 * np.diff(rid, prepend=rid[:1])
+    return rid[:1].tobytes() + _narrow(step if held is None else step + held)
 
 
-def _of_runs(data) -> tuple[np.ndarray, np.ndarray]:
-    """The text of each entry, and whether it is a training text."""
-    rid, n = np.frombuffer(data, np.int64).reshape(2, -1)
-    return np.repeat(rid, n >> 1), np.repeat((n & 1) == 0, n >> 1)
+def _of_texts(data, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The row number of each entry, and whether it is of a training text."""
+    step = _wide(data[8:], n)
+    return np.frombuffer(data, np.int64, 1)[0] + np.cumsum(step >> 1), (step & 1) == 0
 
 
 def _score(lexicon, table, n_buckets: int, id_type):
     names = ["bucket", "rid", "id", "held_out", "n_tokens", "n_known", "base", "score", "words", "refs", "texts", "kind"]
 
     def pairs(lex, w, at, context, token, rid, held):
-        """(kind, key, the other word or null, text, held out) of a chunk's pairs."""
+        """(kind, key, the other word or null, text, held out) of a chunk's pairs, and of the rare words after rare ones: the others are in their pairs."""
         n = np.diff(w.first)
         place = np.insert(at, w.first[1:], lex.end if lex.has_end else -1)
         h = np.insert(w.hash, w.first[1:], END)
@@ -310,11 +332,13 @@ def _score(lexicon, table, n_buckets: int, id_type):
                 key = (before[p].astype(U64) << U64(32)) | place[p].astype(U64) if kind == _BOTH else h[p] if kind == _SECOND else h_before[p]
                 other = None if kind == _BOTH else place[p].astype(U64) if kind == _FIRST else before[p].astype(U64) if kind == _SECOND else h[p]
                 yield kind, key, other, rid[who[p]], held[who[p]].astype(np.int64)
+                if kind == _NONE and (p := p[h[p] != END]).size:
+                    yield 0, h[p], None, rid[who[p]], held[who[p]].astype(np.int64)
 
     def pair_rows(found):
         for kind in sorted({x[0] for x in found}):
             key, other, rid, held = (np.concatenate(x) if x[0] is not None else None for x in list(zip(*[x for x in found if x[0] == kind], strict=True))[1:])
-            rows = [(k, _codes(key[p]) if kind == _BOTH else key[p].tobytes(), None if other is None else other[p].tobytes(), _runs(rid[p], held[p])) for k, p in _bucketed(tokens.mix(key) if kind == _BOTH else key, n_buckets)]
+            rows = [(k, _codes(key[p]) if kind == _BOTH else key[p].tobytes(), None if other is None else other[p].tobytes() if kind == _NONE else _narrow(other[p]), _texts(rid[p], held[p])) for k, p in _bucketed(tokens.mix(key) if kind == _BOTH else key, n_buckets)]
             for i in range(0, len(rows), 64):
                 k, words, others, texts = zip(*rows[i : i + 64], strict=True)
                 m = len(k)
@@ -345,19 +369,6 @@ def _score(lexicon, table, n_buckets: int, id_type):
                     pa.array((rid % n_buckets).astype(np.int32)), pa.array(rid), b.column(1).slice(c.first, c.n), pa.array(held), pa.array(n + 1), pa.array(n - rare + int(has_end)),
                     pa.array(base), pa.array(score), *[pa.nulls(c.n, pa.binary())] * 3, pa.nulls(c.n, pa.int32()),
                 ], names=names)
-                if rare.any():
-                    h, t = w.hash[~known], text[~known]
-                    rows = [(k, h[p].tobytes(), t[p].astype(np.int32)) for k, p in _bucketed(h, n_buckets)]
-                    packed = []
-                    for k, words, refs in rows:
-                        u, place = np.unique(refs, return_inverse=True)
-                        packed.append((k, words, place.astype(np.uint16 if len(u) <= 65536 else np.uint32).tobytes(), np.concatenate([rid[u], held[u].astype(np.int64)]).tobytes()))
-                    k, words, refs, texts = zip(*packed, strict=True)
-                    m = len(k)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(k, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, id_type), pa.nulls(m, pa.bool_()), *[pa.nulls(m, pa.int64())] * 2,
-                        *[pa.nulls(m, pa.float64())] * 2, pa.array(words, pa.binary()), pa.array(refs, pa.binary()), pa.array(texts, pa.binary()), pa.array([0] * m, pa.int32()),
-                    ], names=names)
                 for x in pairs(lex, w, at, context, token, rid, held):
                     found.append(x)
                     waiting += len(x[1])
@@ -410,7 +421,7 @@ def _ratios(rid: np.ndarray, at: np.ndarray, ratio, weight, id_type) -> Iterator
     order = np.argsort(rid, kind="stable")
     for i in range(0, len(order), 1 << 18):
         p = order[i : i + (1 << 18)]
-        yield _packs([0], [_runs(rid[p], np.zeros(len(p), np.int64))], [ratio[at[p]].tobytes() + weight[at[p]].tobytes()], 1, id_type)
+        yield _packs([0], [_texts(rid[p])], [ratio[at[p]].tobytes() + weight[at[p]].tobytes()], 1, id_type)
 
 
 def _histogram(cell: np.ndarray, n: np.ndarray, id_type) -> Iterator[pa.RecordBatch]:
@@ -438,14 +449,12 @@ def _rare(lexicon, table, within, n_buckets: int, id_type):
                 kind = b.column("kind")[i].as_py()
                 data = b.column("words")[i].as_buffer()
                 h = _of_codes(data) if kind == _BOTH else np.frombuffer(data, U64)
+                rid, ok = _of_texts(b.column("texts")[i].as_buffer(), len(h))
                 if kind:
-                    other = None if kind == _BOTH else np.frombuffer(b.column("refs")[i].as_buffer(), U64)
-                    pairs[kind].append((h, other, *_of_runs(b.column("texts")[i].as_buffer())))
-                    continue
-                who = np.frombuffer(b.column("texts")[i].as_buffer(), np.int64).reshape(2, -1)
-                refs = b.column("refs")[i].as_buffer()
-                at = np.frombuffer(refs, np.uint16 if refs.size == 2 * len(h) else np.uint32)
-                words.append(h), texts.append(who[0][at]), train.append(who[1][at] == 0)
+                    refs = b.column("refs")[i].as_buffer() if kind != _BOTH else None
+                    pairs[kind].append((h, None if kind == _BOTH else np.frombuffer(refs, U64) if kind == _NONE else _wide(refs, len(h)), rid, ok))
+                if kind in (0, _SECOND):
+                    words.append(h), texts.append(rid), train.append(ok)
         rare_words, rare_counts = np.zeros(0, U64), np.zeros(0, np.int64)
         if words:
             h, t, ok = np.concatenate(words), np.concatenate(texts), np.concatenate(train)
@@ -455,9 +464,9 @@ def _rare(lexicon, table, within, n_buckets: int, id_type):
             rid, at = np.unique(t, return_inverse=True)
             base = np.bincount(at, np.log10((c + 0.5) / z))
             known = np.bincount(at, c > 0)
-            rows = [(k, np.stack([rid[p].view(np.float64), base[p], known[p]]).tobytes()) for k, p in _homes(rid, n_buckets)]
-            k, sums = zip(*rows, strict=True)
-            yield _packs(k, sums, [None] * len(k), 0, id_type)
+            rows = [(k, _texts(rid[p]), base[p].tobytes() + _planes(known[p].astype(np.int64), 4)) for k, p in _homes(rid, n_buckets)]
+            k, sums, more = zip(*rows, strict=True)
+            yield _packs(k, sums, more, 0, id_type)
             slot = ((rare_words[0] >> U64(32)) % U64(n_buckets)).astype(int)
             yield _packs([slot], [rare_words.tobytes()], [rare_counts.tobytes()], 4, id_type)
         words, texts, train = [], [], []
@@ -507,7 +516,7 @@ def _rare(lexicon, table, within, n_buckets: int, id_type):
                 for k, p in dealt:
                     rows = order[done : done + int(size[p].sum())]
                     done += len(rows)
-                    yield _packs([k], [np.stack([w[p].view(np.int64), c[p].astype(np.int64), d[p].astype(np.int64), size[p]]).tobytes()], [rid[rows].tobytes()], 3, id_type)
+                    yield _packs([k], [_planes(np.concatenate([w[p].view(np.int64), c[p].astype(np.int64), d[p].astype(np.int64), size[p]]), 8)], [_narrow(rid[rows])], 3, id_type)
 
     return run
 
@@ -543,11 +552,11 @@ def _second(lexicon, table, id_type):
                 if b.column("kind")[i].as_py() == 4:
                     known.append((np.frombuffer(sums, U64), np.frombuffer(more, np.int64)))
                 else:
-                    pairs.append((np.frombuffer(sums, np.int64).reshape(4, -1), np.frombuffer(more, np.int64)))
+                    x = _wide(sums, sums.size // 8).reshape(4, -1)
+                    pairs.append((*x, _wide(more, int(x[3].sum()))))
         if not pairs:
             return
-        w, c, d, n = np.concatenate([x[0] for x in pairs], axis=1)
-        rid = np.concatenate([x[1] for x in pairs])
+        w, c, d, n, rid = map(np.concatenate, zip(*pairs, strict=True))
         h, cw = _sum(known) if known else (np.zeros(0, U64), np.zeros(0, np.int64))
         w = w.view(U64)
         place = np.minimum(np.searchsorted(h, w), max(0, len(h) - 1))
@@ -572,16 +581,17 @@ def _weighed(a: np.ndarray, n_buckets: int, id_type):
         for b in batches:
             rids, sums = [], []
             for i in range(b.num_rows):
-                rid, n = np.frombuffer(b.column("sums")[i].as_buffer(), np.int64).reshape(2, -1)
-                n = n >> 1
-                more, m = b.column("more")[i].as_buffer(), int(n.sum())
+                more = b.column("more")[i].as_buffer()
+                m = more.size // 5
+                rid, _ = _of_texts(b.column("sums")[i].as_buffer(), m)
+                at = np.flatnonzero(np.r_[True, rid[1:] != rid[:-1]])
                 k = a[np.frombuffer(more, np.uint8, m, 4 * m)]
-                rids.append(rid), sums.append(np.bincount(np.repeat(np.arange(len(n)), n), np.log10(1 - k + k * np.frombuffer(more, np.float32, m)), minlength=len(n)))
+                rids.append(rid[at]), sums.append(np.add.reduceat(np.log10(1 - k + k * np.frombuffer(more, np.float32, m)), at))
             if rids:
                 rid, at = np.unique(np.concatenate(rids), return_inverse=True)
                 total = np.bincount(at, np.concatenate(sums))
-                k, packed = zip(*[(k, np.stack([rid[p].view(np.float64), total[p]]).tobytes()) for k, p in _homes(rid, n_buckets)], strict=True)
-                yield _packs(k, packed, [None] * len(k), 1, id_type)
+                k, packed, more = zip(*[(k, _texts(rid[p]), total[p].tobytes()) for k, p in _homes(rid, n_buckets)], strict=True)
+                yield _packs(k, packed, more, 1, id_type)
 
     return run
 
@@ -593,22 +603,26 @@ def _together(id_type):
             packed = b.column("sums").is_valid().to_numpy(zero_copy_only=False)
             docs.append(b.filter(pa.array(~packed)))
             for i in np.flatnonzero(packed):
-                one = b.column("kind")[i].as_py() == 1
-                (ratios if one else parts).append(np.frombuffer(b.column("sums")[i].as_buffer(), np.float64).reshape(2 if one else 3, -1))
+                sums, more = b.column("sums")[i].as_buffer(), b.column("more")[i].as_buffer()
+                if b.column("kind")[i].as_py() == 1:
+                    ratios.append((_of_texts(sums, more.size // 8)[0], np.frombuffer(more, np.float64)))
+                else:
+                    m = more.size // 12
+                    parts.append((_of_texts(sums, m)[0], np.frombuffer(more, np.float64, m), _wide(more[8 * m :], m)))
         if not any(d.num_rows for d in docs):
             return
         t = pa.Table.from_batches(docs).combine_chunks()
-        rid, at, copies = np.unique(t.column("rid").to_numpy(), return_inverse=True, return_counts=True)
-        base, known, pairs = np.zeros(len(rid)), np.zeros(len(rid)), np.zeros(len(rid))
+        row = t.column("rid").to_numpy()
+        order = np.argsort(row)
+        base, known, pairs = np.zeros(len(row)), np.zeros(len(row)), np.zeros(len(row))
         if ratios:
-            p = np.concatenate(ratios, axis=1)
-            pairs = np.bincount(np.searchsorted(rid, np.ascontiguousarray(p[0]).view(np.int64)), p[1], minlength=len(rid))
+            rid, total = map(np.concatenate, zip(*ratios, strict=True))
+            pairs = np.bincount(order[np.searchsorted(row, rid, sorter=order)], total, minlength=len(row))
         if parts:
-            p = np.concatenate(parts, axis=1)
-            place = np.searchsorted(rid, np.ascontiguousarray(p[0]).view(np.int64))
-            base, known = np.bincount(place, p[1], minlength=len(rid)), np.bincount(place, p[2], minlength=len(rid))
-        # rows alike in id and text share a reference: each gets its part of their sums
-        base, pairs, known = (base / copies)[at], (pairs / copies)[at], np.rint(known / copies).astype(np.int64)[at]
+            rid, b, k = map(np.concatenate, zip(*parts, strict=True))
+            place = order[np.searchsorted(row, rid, sorter=order)]
+            base, known = np.bincount(place, b, minlength=len(row)), np.bincount(place, k, minlength=len(row))
+        known = known.astype(np.int64)
         yield pa.RecordBatch.from_arrays([
             t.column("id").combine_chunks(), t.column("held_out").combine_chunks(), t.column("n_tokens").combine_chunks(), pa.array(t.column("n_known").to_numpy() + known),
             pa.array(t.column("base").to_numpy() + base), pa.array(t.column("score").to_numpy() + base + pairs),
@@ -656,7 +670,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     shape = (lexicon.classes, lexicon.classes)
     table = sc.broadcast(transitions(counts[0].reshape(shape), counts[1].reshape(shape)))
 
-    rows = docs.select(F.xxhash64(F.col(id_col), text).bitwiseAND(F.lit((1 << 63) - 1)).alias("rid"), F.col(id_col).alias("id"), held.alias("held_out"), text.alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), held.alias("held_out"), text.alias("text"))
     parts = rows.mapInArrow(freeing(_score(lex, table, n_buckets, arrow_id)), _PARTS.format(id=id_type))
     back = _BACK.format(id=id_type)
     within = sc.broadcast(counts.sum(axis=0).reshape(shape)[:heads, heads:])

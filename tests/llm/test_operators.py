@@ -887,3 +887,31 @@ def test_lm_word_pairs_beyond_the_heads(spark, top):
     q = np.array([[p[""], *[p[x] for x in every]], *[[1.0, *[p[f"{x} {y}"] / p[x] for y in every]] for x in every]])
     assert 0.998 < max(abs(np.linalg.eigvals(q))) < 1.00001
     assert p["w17 w18"] / (p["w17"] * p["w18"]) > 5 * p["w18 w17"] / (p["w17"] * p["w18"])
+
+
+def test_lm_packs_stay_small_with_many_buckets():
+    """Bytes that travel for each word with few and many buckets: a text's number costs a byte or two for each pair, not sixteen."""
+    from types import SimpleNamespace as Box
+
+    rng = np.random.default_rng(5)
+    texts = pa.array([" ".join(f"w{k}" for k in rng.integers(0, 3000, 60)) for _ in range(500)])
+    (chunk,) = tokens.chunks(texts, 1 << 30)
+    h, n = np.unique(tokens.words(chunk).hash, return_counts=True)
+    h, n = np.append(h[:1500], lm.END), np.append(n[:1500], 500)
+    order = np.argsort(h)
+    lex = lm.Lexicon(h[order], n[order], 30_500, 3001, 16)
+    table = np.full((lex.classes, lex.classes), -1.0)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(500) + (3 << 33)), pa.array(np.arange(500)), pa.array(np.arange(500) % 5 == 1), texts], names=["rid", "id", "held_out", "text"])
+    for buckets, most in ((4, 16), (400, 22)):
+        out = list(lm._score(Box(value=lex), Box(value=table), buckets, pa.int64())([batch]))
+        size = sum(len(v.as_py()) for b in out for c in ("words", "refs", "texts") for v in b.column(c) if v.is_valid)
+        assert size < most * 30_000, (buckets, size / 30_000)
+
+
+def test_lm_numbers_in_planes_come_back():
+    for a in ([0], [255, 0], [256, 1, 70_000], [0, 1 << 40, 3], [(1 << 62) + 5, 9]):
+        a = np.array(a)
+        assert (lm._wide(lm._narrow(a), len(a)) == a).all() and (lm._wide(lm._planes(a, 8), len(a)) == a).all()
+    rid, held = np.array([7, 7, 9, (5 << 33) + 1, (5 << 33) + 300]), np.array([1, 1, 0, 1, 0])
+    back, train = lm._of_texts(lm._texts(rid, held), 5)
+    assert (back == rid).all() and (train == (held == 0)).all()
