@@ -268,3 +268,33 @@ def test_orphan_points_broadcast_no_rows_of_the_grid(spark):
     lone = network.orphan_points(points, segments)
     assert "Broadcast" not in _plan(lone)
     assert sorted((r.owner or 0) for r in lone.collect()) == [0, 3, 4, 5]
+
+
+def test_segments_put_cells_down_only_near_ends_to_look_up(spark, monkeypatch):
+    """What two owners' vertices connect needs no grid, and a lone end only the cells around it."""
+    rows = [("L", o, float(k % 50), float(k), float(k % 50) + 60.0, float(k) + 40.0) for k in range(200) for o in (1, 2)]
+    seen = []
+    covered = network.covered
+    monkeypatch.setattr(network, "covered", lambda *a: seen.append(covered(*a)) or seen[-1])
+    for more, lone in (([], 0), ([("L", 3, 500.0, 500.0, 0.0, 0.0)], 1)):
+        seen.clear()
+        got = network.endpoint_states(_lines_of(rows + more)).collect()
+        assert sum(r.n for r in got if r.state == "connected") == 2 * len(rows + more) - lone
+        assert sum(f.count() for f in seen) < 200  # all segments cover about 10,000
+
+
+def test_ends_that_are_no_vertices_nulls_and_points(spark):
+    """An end need not be a vertex, of its own owner or another; a vertex of a point connects; null and NaN ends dangle."""
+    nan, at = float("nan"), lambda *xy: list(xy)
+    rows = [
+        ("A", 1, 0.0, 0.0, 9.0, 0.0, at((0.0, 0.0), (4.0, 5.0))), ("A", 2, 0.0, 9.0, 9.0, 9.0, at((4.0, 5.0), (0.0, 0.0))), ("B", 2, 3.0, 7.0, 4.0, 7.0, at((None, 1.0), (nan, 1.0), (4.0, 5.0))),
+        ("A", 3, 20.0, 0.0, 29.0, 0.0, at((20.0, 0.0), (29.0, 0.0))), ("A", 4, 24.0, 0.2, 24.0, 8.0, at((24.0, 0.2), (24.0, 8.0))), ("A", None, 40.0, 0.0, 49.0, 0.0, at((40.0, 0.0), (49.0, 0.0))), ("C", 5, 7.0, 7.0, 8.0, 7.0, None),
+    ]
+    frame = spark.createDataFrame(rows, "layer string, owner long, x1 double, y1 double, x2 double, y2 double, ends array<struct<x:double,y:double>>")
+    points = spark.createDataFrame([(9, 29.0, 0.0), (3, 20.0, 0.0), (None, 40.0, 0.0), (9, 49.0, 0.3), (9, None, 1.0)], "owner long, x double, y double")
+    got = {(r.layer, r.owner, str(r.x), str(r.y)): (r.n, r.state) for r in network.endpoint_states(frame, points).collect()}
+    assert got == {
+        ("A", 1, "0.0", "0.0"): (1, "dangle"), ("A", 1, "4.0", "5.0"): (1, "dangle"), ("A", 2, "4.0", "5.0"): (1, "dangle"), ("A", 2, "0.0", "0.0"): (1, "connected"), ("B", 2, "None", "1.0"): (1, "dangle"),
+        ("B", 2, "nan", "1.0"): (1, "dangle"), ("B", 2, "4.0", "5.0"): (1, "dangle"), ("A", 3, "20.0", "0.0"): (1, "dangle"), ("A", 3, "29.0", "0.0"): (1, "connected"), ("A", 4, "24.0", "0.2"): (1, "near miss"),
+        ("A", 4, "24.0", "8.0"): (1, "dangle"), ("A", None, "40.0", "0.0"): (1, "dangle"), ("A", None, "49.0", "0.0"): (1, "near miss"),
+    }
