@@ -298,3 +298,11 @@ def test_ends_that_are_no_vertices_nulls_and_points(spark):
         ("B", 2, "nan", "1.0"): (1, "dangle"), ("B", 2, "4.0", "5.0"): (1, "dangle"), ("A", 3, "20.0", "0.0"): (1, "dangle"), ("A", 3, "29.0", "0.0"): (1, "connected"), ("A", 4, "24.0", "0.2"): (1, "near miss"),
         ("A", 4, "24.0", "8.0"): (1, "dangle"), ("A", None, "40.0", "0.0"): (1, "dangle"), ("A", None, "49.0", "0.0"): (1, "near miss"),
     }
+
+
+def test_dangles_of_a_query_leave_no_table_on_disk(spark):
+    from assay.plans import catalogue
+
+    spark.catalog.clearCache()
+    assert sum(r.endpoints for r in catalogue.QUERIES["geo_dangles"](spark, "/root/testdata/sf0.001").collect()) > 0
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == 0
